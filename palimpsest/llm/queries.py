@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import minhash
+from palimpsest.llm import minhash, quality, repeats
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.op3,
+    "op6_suffix_array_dedup": repeats.op6,
+    "op7_quality_rules": quality.op7,
 }
 
 ORACLES: dict[str, str] = {}
