@@ -36,6 +36,8 @@ COORDINATES, MATCHES = 48, 22
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Bits of a parity sketch; documents of a posting list that are compared in one step.
+SKETCH, BLOCK = 2048, 2048
 
 _U = np.uint64
 
@@ -95,6 +97,52 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and parity sketch of each shingle set: bit i says if an odd number of hashes fall to place i."""
+    for batch in batches:
+        sizes, bits = [], []
+        for _, found in _kernel.shingle_sets(batch.column(1), SHINGLE):
+            odd = np.bincount((found & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+            sizes.append(len(found))
+            bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["rid", "n", "bits"])
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list block that lie in two components and that size and sketch can't rule out.
+
+    100 i >= 75 u means that the sets differ in at most (n_a + n_b) / 7 shingles;
+    sketches differ in no more places than the sets in shingles.  So no link is lost.
+    """
+
+    def flush(rows: list) -> pa.RecordBatch:
+        own, rid, root, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (3, 4, 5, 6))
+        bits = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+        within = rows[0][1] == rows[0][2]
+        values, counts = np.unique(root, return_counts=True)
+        main = values[counts.argmax()]
+        out = []
+        for i in np.flatnonzero((root != main) if within else (own == rows[0][1])):
+            far = (root != root[i]) if within else ((root != root[i]) & (own != own[i]))
+            far &= (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n)
+            at = np.flatnonzero(far)
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            at = at[7 * apart <= n[at] + n[i]]
+            out.append(np.stack([np.minimum(rid[i], rid[at]), np.maximum(rid[i], rid[at])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    held: list = []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield flush(held)
+                held = []
+            held.append(row)
+    if held:
+        yield flush(held)
+
+
 def _agree(x: str, y: str) -> Column:
     return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> IF(p = q, 1, 0)), 0, (s, v) -> s + v)")
 
@@ -133,14 +181,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pairs_of = heads.select("rid", F.posexplode("sig").alias("k", "v")).select("rid", F.expr("shiftleft(CAST(k AS LONG), 32) | (CAST(v AS LONG) & 4294967295L)").alias("token"))
     shared = keep(pairs_of.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
     prefix = F.expr(f"slice(array_sort(collect_list(struct(df, token))), 1, greatest(count(*) - {MATCHES - 1}, 0))")
-    posted = pairs_of.join(shared, "token").groupBy("rid").agg(prefix.alias("p")).where(F.size("p") > 0)
-    posted = keep(posted.select("rid", F.explode("p").alias("p")).select("rid", "p.token"), "posted")
+    posted = pairs_of.join(shared, "token").groupBy("rid").agg(prefix.alias("p"), F.sum("df").alias("rank")).where(F.size("p") > 0)
+    posted = keep(posted.select("rid", "rank", F.explode("p").alias("p")).select("rid", "rank", "p.token"), "posted")
 
-    # A document can only be linked if one of its lists has another document in it.
-    lists = posted.groupBy("token").agg(F.min("rid").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    lists = keep(lists, "lists")
+    # A document can only be linked if one of its lists has another document in it.  The hub of a list is
+    # the document whose pairs are the most common: what near copies have in common, it has.
+    lists = posted.groupBy("token").agg(F.max(F.struct("rank", -F.col("rid"))).alias("top"), F.count("*").alias("m")).where("m > 1")
+    lists = keep(lists.select("token", (-F.col("top.col2")).alias("hub"), "m"), "lists")
     starred = posted.join(lists, "token").select("token", "rid", "hub", "m")
-    first = keep(starred.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "stars")
+    first = keep(starred.where("rid <> hub").select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct(), "stars")
     involved = first.select(F.col("a").alias("rid")).union(first.select("b")).distinct()
     texts = keep(source.select("rid", "text").join(involved.hint("shuffle_hash"), "rid"), "texts")
     signatures = heads.join(texts.select("rid"), "rid", "left_semi")
@@ -153,11 +202,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     placed = keep(placed.where("m > 2 AND rid <> hub"), "placed")
     spread = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_lists = keep(placed.join(spread.select("token"), "token").select("token", "rid", "root"), "open")
-    sizes = open_lists.groupBy("token", "root").agg(F.count("*").alias("c"))
-    main = keep(sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main")), "main")
-    minor = open_lists.join(main, "token").where("root <> main").select("token", F.col("rid").alias("x"), F.col("root").alias("rx"))
-    minor = keep(minor, "minor")
-    crossing = minor.join(open_lists, "token").where("rx <> root").select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
+    sketches = texts.join(open_lists.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", "text").mapInArrow(_sketched, "rid long, n long, bits binary")
+    sketches = keep(sketches, "sketches")
+    blocks = keep(open_lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = open_lists.join(blocks, "token").withColumn("own", F.expr("pmod(xxhash64(rid), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sketches, "rid")
+    dealt = dealt.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rid", "root", "n", "bits")
+    crossing = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_crossing, "a long, b long").distinct()
     crossing = keep(crossing.join(first, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         more = _confirmed(crossing, signatures, texts)
