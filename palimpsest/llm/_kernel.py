@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step takes (a longer text is taken alone).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1

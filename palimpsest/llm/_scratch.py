@@ -32,6 +32,30 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_dealt(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """Like ``keep``, in buckets of ``column``: joins on it read the table in place, without a shuffle.
+
+    Meant for the result of a join on ``column``, which is dealt out like that already.
+
+    Returns the table and its name; whoever is done with it drops the name.
+    """
+    spark = df.sparkSession
+    name = f"palimpsest_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(name)
+    return spark.table(name), name
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python at most ``rows`` at a time; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def rows_with_id(df: DataFrame, *columns: str) -> DataFrame:
     """``rid``, a number for each input row, and ``columns``.
 
@@ -40,4 +64,5 @@ def rows_with_id(df: DataFrame, *columns: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
+    small_batches(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("rid"), *columns)

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _kernel
-from palimpsest.llm._scratch import keep, rows_with_id
+from palimpsest.llm._scratch import keep, keep_dealt, rows_with_id
 
-MIN_LENGTH, GRAM = 200, 50
+MIN_LENGTH, GRAM = 200, 32
 MOST_CLASSES = 20_000
 #: Bytes of contexts that one suffix array takes, but for a single anchor's.
 CHUNK = 1 << 19
@@ -75,26 +75,56 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH,
     picked = np.zeros(n, dtype=bool)
     picked[(low[inside] & _U(0xFFFFFFFF)).astype(np.int64)] = True
     places = np.flatnonzero(picked)
-    return places, hashes[places], sums
-
-
-def _list_anchors(min_length: int, gram: int, contexts: bool):
+    return (places := _thinned(places, hashes[places], width)), hashes[places], sums
+
+
+def _thinned(places: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
+    """Of equal neighbours only as many that every window of ``width`` grams that had one still has one."""
+    equal = np.flatnonzero(hashes[1:] == hashes[:-1])
+    if not len(equal):
+        return places
+    keep = np.ones(len(places), dtype=bool)
+    for run in np.split(equal, np.flatnonzero(np.diff(equal) > 1) + 1):
+        lo, hi = run[0], run[-1] + 2
+        own, i = places[lo:hi], 0
+        keep[lo:hi] = False
+        while i < len(own):
+            keep[lo + i] = True
+            i = max(i + 1, int(np.searchsorted(own, own[i] + width, side="right")) - 1)
+    return places[keep]
+
+
+def _list_anchors(min_length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
-                at, h, sums = anchors(raw, offsets, min_length, gram)
+                at, h, _ = anchors(raw, offsets, min_length, gram)
                 doc = np.searchsorted(offsets, at, side="right") - 1
-                out = [pa.array(h.view(np.int64)), pa.array(rid[lo:hi][doc])]
-                names = ["h", "rid"]
-                if contexts:
-                    back = _kernel.powers(len(raw) + 1)[1]
-                    start = np.maximum(offsets[doc], at - (min_length - gram))
-                    end = np.minimum(offsets[doc + 1], at + min_length)
-                    c = _kernel.mix((sums[end] - sums[start]) * back[start] + _kernel.mix(((at - start) * 65536 + end - at).astype(_U)))
-                    out += [pa.array(c.view(np.int64)), pa.array(at - offsets[doc]), pa.array(start - offsets[doc]), pa.array(end - offsets[doc])]
-                    names += ["c", "at", "s", "e"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[lo:hi][doc]), pa.array(at - offsets[doc])], names=["h", "rid", "at"])
+
+    return run
+
+
+def _list_contexts(min_length: int, gram: int):
+    """The context of each repeated anchor, with a hash of its bytes and of the anchor's place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, asked = batch.column(0).to_numpy(), batch.column(2)
+            first = np.r_[0, np.cumsum(asked.value_lengths().to_numpy())]
+            flat = asked.flatten()
+            h, place = flat.field("h").to_numpy(), flat.field("at").to_numpy()
+            for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
+                sums, back = _running(raw)
+                doc = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
+                at = offsets[doc] + place[first[lo] : first[hi]]
+                start = np.maximum(offsets[doc], at - (min_length - gram))
+                end = np.minimum(offsets[doc + 1], at + min_length)
+                c = _kernel.mix((sums[end] - sums[start]) * back[start] + _kernel.mix(((at - start) * 65536 + end - at).astype(_U)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[first[lo] : first[hi]]), pa.array(rid[lo:hi][doc]), pa.array(c.view(np.int64)), pa.array(start - offsets[doc]), pa.array(end - offsets[doc])], names=["h", "rid", "c", "s", "e"]
+                )
 
     return run
 
@@ -270,12 +300,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _candidates(source: DataFrame, min_length: int, gram: int) -> DataFrame:
-    """(``rid``, ``text``) of the rows with an anchor that occurs twice."""
-    found = keep(source.mapInArrow(_list_anchors(min_length, gram, False), "h long, rid long"), "anchors")
+def _candidates(source: DataFrame, min_length: int, gram: int) -> tuple[DataFrame, str]:
+    """(``rid``, ``text``, ``asked``) of the rows with anchors that occur twice, dealt by ``rid``; the table's name."""
+    found = keep(source.mapInArrow(_list_anchors(min_length, gram), "h long, rid long, at long"), "anchors")
     twice = keep(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    rids = keep(found.join(twice, "h").select("rid").distinct(), "rids")
-    return keep(source.join(rids.hint("shuffle_hash"), "rid"), "candidates")
+    asked = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+    return keep_dealt(source.join(keep(asked, "asked").hint("shuffle_hash"), "rid"), "rid")
 
 
 def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -283,8 +313,9 @@ def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int)
 
     All have (``group``, ``length``, ``rid``, ``s``).
     """
-    found = keep(candidates.mapInArrow(_list_anchors(min_length, gram, True), "h long, rid long, c long, at long, s long, e long"), "contexts")
-    classes = keep(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "s", "e")).alias("head")), "classes")
+    found = keep(candidates.select("rid", "text", "asked").mapInArrow(_list_contexts(min_length, gram), "h long, rid long, c long, s long, e long"), "contexts")
+    head = F.min(F.struct("rid", "s", "e"))
+    classes = keep(found.groupBy("h", "c").agg(F.count("*").alias("n"), head.alias("head")), "classes")
     per = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1")
     per = keep(per, "open")
 
@@ -293,7 +324,7 @@ def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int)
 
     heads = classes.join(per.select("h", (F.col("classes") > most).alias("crowded")), "h").select("h", "crowded", "head.rid", "head.s", "head.e")
     wanted = heads.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e")).alias("wanted"))
-    cut = candidates.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut_contexts, "h long, rid long, s long, ctx binary")
+    cut = candidates.select("rid", "text").join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted").mapInArrow(_cut_contexts, "h long, rid long, s long, ctx binary")
     crowded = per.where(F.col("classes") > most).select("h")
     if crowded.isEmpty():
         usual, windows = cut, None
@@ -318,12 +349,15 @@ def repeat_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows_with_id(documents, F.col(id_col).alias("id"))
-    equal, maximal, counted = _repeat_parts(_candidates(source, min_length, gram), min_length, gram, most)
-    return keep(equal.unionByName(maximal).unionByName(counted), "groups").join(ids, "rid").select("group", "length", "id", "rid", "s")
+    candidates, name = _candidates(source, min_length, gram)
+    equal, maximal, counted = _repeat_parts(candidates, min_length, gram, most)
+    groups = keep(equal.unionByName(maximal).unionByName(counted), "groups")
+    documents.sparkSession.sql(f"DROP TABLE {name}")
+    return groups.join(ids, "rid").select("group", "length", "id", "rid", "s")
 
 
-def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_CLASSES) -> DataFrame:
-    """For each row with a repeat: ``rid``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans``, ``kept_text``.
+def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_CLASSES, columns: tuple[str, ...] = ("n_removed", "n_spans", "kept_sha256", "spans", "kept_text")) -> DataFrame:
+    """For each row with a repeat: ``rid`` and the ``columns`` asked for.
 
     ``rid`` numbers the rows of ``documents`` as ``rows_with_id`` does.
     ``kept_text`` keeps a code point whole where a span begins or ends inside it;
@@ -331,17 +365,21 @@ def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int
     finds itself in the other.  Null and empty texts have no row here.
     """
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    candidates = _candidates(source, min_length, gram)
+    candidates, name = _candidates(source, min_length, gram)
     parts = _repeat_parts(candidates, min_length, gram, most)
     spans = [p.select("rid", F.struct("s", (F.col("s") + F.col("length")).alias("e")).alias("x")) for p in parts]
     covers = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("rid").agg(F.collect_set("x").alias("covers"))
     schema = "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>, kept_text string"
-    return candidates.join(covers, "rid").select("rid", "text", "covers").mapInArrow(_removed, schema)
+    covers = keep(covers, "covers")
+    found = candidates.select("rid", "text").join(covers.hint("shuffle_hash"), "rid").select("rid", "text", "covers").mapInArrow(_removed, schema)
+    found = keep(found.select("rid", *columns), "removed")
+    documents.sparkSession.sql(f"DROP TABLE {name}")
+    return found
 
 
 def without_repeats(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``documents`` with every repeated byte taken out of the text; all rows and columns stay."""
-    found = keep(repeated_bytes(documents, text_col, **options).select(F.col("rid").alias("_rid"), F.col("kept_text").alias("_kept")), "kept")
+    found = repeated_bytes(documents, text_col, columns=("kept_text",), **options).select(F.col("rid").alias("_rid"), F.col("kept_text").alias("_kept"))
     rows = documents.withColumn("_rid", F.monotonically_increasing_id())
     text = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text_col))
     return rows.join(found.hint("shuffle_hash"), "_rid", "left").withColumn(text_col, text).drop("_rid", "_kept")
@@ -350,7 +388,7 @@ def without_repeats(documents: DataFrame, text_col: str = "text", **options) ->
 def op6(spark, sf_dir: str) -> DataFrame:
     """What stays of every document without the strings of 200 bytes that occur twice."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = keep(repeated_bytes(documents).select("rid", "n_removed", "n_spans", "kept_sha256"), "removed")
+    found = repeated_bytes(documents, columns=("n_removed", "n_spans", "kept_sha256"))
     text = F.coalesce("text", F.lit(""))
     base = rows_with_id(documents, F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")
