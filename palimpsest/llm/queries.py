@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import minhash, quality, repeats
+from palimpsest.llm import minhash, mixing, packing, quality, repeats, toxicity
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.op3,
+    "op4_best_fit_packing": packing.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_suffix_array_dedup": repeats.op6,
     "op7_quality_rules": quality.op7,
+    "op8_mixing": mixing.op8,
 }
 
 ORACLES: dict[str, str] = {}
