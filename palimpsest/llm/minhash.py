@@ -159,7 +159,7 @@ def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> Dat
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``rid``, ``id``, ``n_shingles`` and ``component``.
+    """One row per input row: ``rid``, ``id``, ``n_shingles``, ``component`` and ``root`` (a rid of the component).
 
     ``component`` is the smallest id of the component; a row without words is
     alone in its own, and so is a row whose id is null and that has no links
@@ -220,7 +220,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = keep(grouped, "grouped")
     member = keep(signed.select("rid", "id", "n", "f1", "f2").join(grouped, ["n", "f1", "f2"], "left").select("rid", "id", "n", F.coalesce("root", "rid").alias("root")), "member")
     named = keep(member.groupBy("root").agg(F.min("id").alias("component")), "named")
-    return member.join(named, "root").select("rid", "id", F.col("n").alias("n_shingles"), "component")
+    return member.join(named, "root").select("rid", "id", F.col("n").alias("n_shingles"), "component", "root")
+
+
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_rid`` of the row that stands for each component: smallest id (null last), then first of its rows."""
+    found = near_duplicates(documents, id_col, text_col)
+    order = F.struct(F.col("id").isNull(), "id", "rid")
+    best = found.where(F.col("id").eqNullSafe(F.col("component"))).select("root", "rid", order.alias("o"))
+    return best.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("_rid"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from palimpsest.llm import _kernel
 
 GRAM, BUCKETS, SCALE = 4, 1 << 16, 1024
 #: A document passes if its mean log ratio is at least this.
-THRESHOLD = -0.08
+THRESHOLD = -0.4
 #: At most so many trusted documents (the smallest by hash of the id) make the target multinomial.
 TRUSTED = 20_000
 #: Base rules: too few words; words in repeated three-word windows, in percent.

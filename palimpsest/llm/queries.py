@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import minhash, mixing, packing, quality, repeats, toxicity
+from palimpsest.llm import chat, licenses, minhash, mixing, packing, quality, repeats, sharding, topk, toxicity
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1,
+    "op2_sharding": sharding.op2,
     "op3_minhash_near_dedup": minhash.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_toxicity": toxicity.op5,
     "op6_suffix_array_dedup": repeats.op6,
     "op7_quality_rules": quality.op7,
     "op8_mixing": mixing.op8,
+    "op9_license_scan": licenses.op9,
+    "op10_exact_top_k": topk.op10,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
+ORACLES = {
+    "op1_chat_formatting": chat.OP1_SQL,
+    "op10_exact_top_k": topk.OP10_SQL,
+}
