@@ -91,7 +91,7 @@ def capture_diff(spark, d):
     return history.changed_pages(snap(early), snap(~early), "url", "bytes")
 
 
-_RES = """, newest AS (SELECT url, started_at < TIMESTAMP '1995-07-01' AS early, arg_max(digest, (started_at, capture_id, line)) AS digest FROM capture_urls JOIN captures c ON c.id = capture_id GROUP BY ALL)"""
+_RES = """, newest AS (SELECT url, started_at < TIMESTAMP '1995-07-01' AS early, arg_max(digest, (started_at, capture_id, line, digest)) AS digest FROM capture_urls JOIN captures c ON c.id = capture_id GROUP BY ALL)"""
 
 
 @query("resource_diff", M.SQL + _RES + """ SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.digest = b.digest THEN 'unchanged' ELSE 'changed' END AS change
@@ -99,7 +99,7 @@ FROM (SELECT * FROM newest WHERE early) a FULL JOIN (SELECT * FROM newest WHERE
 def resource_diff(spark, d):
     rows = M.capture_urls(spark, d).join(M.captures(spark, d).select(F.col("id").alias("capture_id"), "started_at"), "capture_id")
     early = F.col("started_at") < F.lit("1995-07-01").cast("timestamp_ntz")
-    last = lambda c: rows.where(c).groupBy("url").agg(F.max_by("digest", F.struct("started_at", "capture_id", "line")).alias("digest"))
+    last = lambda c: rows.where(c).groupBy("url").agg(F.max_by("digest", F.struct("started_at", "capture_id", "line", "digest")).alias("digest"))
     return history.changed_pages(last(early), last(~early), "url", "digest")
 
 
@@ -122,11 +122,11 @@ def queue_claim(spark, d):
     return history.claimed(jobs, busy, 40).select("id", "host")
 
 
-@query("index_upsert", M.SQL + """, latest AS (SELECT site_id, url, u.bytes FROM capture_urls u JOIN captures c ON c.id = u.capture_id QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY started_at DESC, c.id DESC, line DESC) = 1)
+@query("index_upsert", M.SQL + """, latest AS (SELECT site_id, url, u.bytes FROM capture_urls u JOIN captures c ON c.id = u.capture_id QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY started_at DESC, c.id DESC, line DESC, u.bytes DESC) = 1)
 SELECT site_id, url, bytes FROM latest""")
 def index_upsert(spark, d):
     rows = M.capture_urls(spark, d).join(M.captures(spark, d).select(F.col("id").alias("capture_id"), "site_id", "started_at"), "capture_id")
-    newest = lambda r: history.newest_per(r, ["site_id", "url"], [F.desc("started_at"), F.desc("capture_id"), F.desc("line")])
+    newest = lambda r: history.newest_per(r, ["site_id", "url"], [F.desc("started_at"), F.desc("capture_id"), F.desc("line"), F.desc("bytes")])
     early = F.col("started_at") < F.lit("1996-01-01").cast("timestamp_ntz")
     out = history.upserted(newest(rows.where(early)), newest(rows.where(~early)), ["site_id", "url"])
     return out.select("site_id", "url", "bytes")
