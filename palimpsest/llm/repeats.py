@@ -199,8 +199,13 @@ def suffix_intervals(raw: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, sa
                 stack.append((now, bound))
 
 
-def _scan(min_length: int):
-    """Maximal repeats of each anchor: rows (group, length, rid, s)."""
+def _scan(min_length: int, as_groups: bool):
+    """Maximal repeats of each anchor: rows (group, length, rid, s).
+
+    Not ``as_groups``: only what they cover, joined where it overlaps within a
+    context (group null).  Nested repeats list their occurrences again and
+    again; the bytes that they cover are a span or two per context.
+    """
 
     def flush(h, rid, s, ctx) -> pa.RecordBatch:
         raw = np.frombuffer(b"".join(ctx), dtype=np.uint8)
@@ -219,7 +224,21 @@ def _scan(min_length: int):
         suffixes = starts[owner] + inner
         h = np.array(h, dtype=np.int64)
         groups, lengths, rids, places = [], [], [], []
-        for g, (length, at) in enumerate(suffix_intervals(raw, (starts + sizes)[owner], suffixes, _kernel.mix(h.view(_U))[owner], inner == 0, min_length)):
+        found = suffix_intervals(raw, (starts + sizes)[owner], suffixes, _kernel.mix(h.view(_U))[owner], inner == 0, min_length)
+        if not as_groups:
+            reach = np.zeros(len(raw) + 1, dtype=np.int64)
+            for length, at in found:
+                reach[at] = np.maximum(reach[at], length)
+            at = np.flatnonzero(reach)
+            who = np.searchsorted(starts, at, side="right") - 1
+            end = np.maximum.accumulate(at + reach[at]) if len(at) else at
+            new = np.flatnonzero(np.r_[True, (at[1:] > end[:-1]) | (who[1:] != who[:-1])]) if len(at) else at
+            last = np.r_[new[1:], len(at)] - 1 if len(at) else at
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(len(new), pa.string()), pa.array(end[last] - at[new]), pa.array(np.array(rid, dtype=np.int64)[who[new]]), pa.array(s[who[new]] + at[new] - starts[who[new]])],
+                names=["group", "length", "rid", "s"],
+            )
+        for g, (length, at) in enumerate(found):
             who = np.searchsorted(starts, at, side="right") - 1
             groups += [f"{int(h[who[0]]) & (2**64 - 1):016x}-{g}"] * len(at)
             lengths += [length] * len(at)
@@ -308,7 +327,7 @@ def _candidates(source: DataFrame, min_length: int, gram: int) -> tuple[DataFram
     return keep_dealt(source.join(keep(asked, "asked").hint("shuffle_hash"), "rid"), "rid")
 
 
-def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal contexts, maximal repeats among classes, repeated windows of crowded anchors.
 
     All have (``group``, ``length``, ``rid``, ``s``).
@@ -332,7 +351,7 @@ def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int)
         cut = keep(cut, "cut")
         usual = cut.join(crowded, "h", "left_anti")
         windows = keep(cut.join(crowded, "h").mapInArrow(_windows(min_length), "h long, rid long, s long, w long"), "windows")
-    maximal = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_scan(min_length), "group string, length long, rid long, s long")
+    maximal = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_scan(min_length, as_groups), "group string, length long, rid long, s long")
     if windows is None:
         return equal, maximal, maximal.limit(0)
     twice = keep(windows.groupBy("h", "w").agg(F.min(F.struct("rid", "s")).alias("x"), F.max(F.struct("rid", "s")).alias("y")).where("x <> y").select("h", "w"), "windows-twice")
@@ -350,7 +369,7 @@ def repeat_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows_with_id(documents, F.col(id_col).alias("id"))
     candidates, name = _candidates(source, min_length, gram)
-    equal, maximal, counted = _repeat_parts(candidates, min_length, gram, most)
+    equal, maximal, counted = _repeat_parts(candidates, min_length, gram, most, True)
     groups = keep(equal.unionByName(maximal).unionByName(counted), "groups")
     documents.sparkSession.sql(f"DROP TABLE {name}")
     return groups.join(ids, "rid").select("group", "length", "id", "rid", "s")
@@ -366,7 +385,7 @@ def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int
     """
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     candidates, name = _candidates(source, min_length, gram)
-    parts = _repeat_parts(candidates, min_length, gram, most)
+    parts = _repeat_parts(candidates, min_length, gram, most, False)
     spans = [p.select("rid", F.struct("s", (F.col("s") + F.col("length")).alias("e")).alias("x")) for p in parts]
     covers = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("rid").agg(F.collect_set("x").alias("covers"))
     schema = "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>, kept_text string"
