@@ -1 +1,145 @@
-"""incremental."""
+"""Incremental queries: folds of event streams, hysteresis, back-off, windows and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from palimpsest.functions import scalars
+from palimpsest.plans import model as M
+from palimpsest.plans.registry import query
+from palimpsest.streaming import machines
+
+
+def _seen(rows):
+    return rows.select("key", "id", "ts", F.when(F.col("kind") == "error", "gone").otherwise("live").alias("seen"))
+
+
+@query("event_fold", "SELECT user_id AS key, count(*) FILTER (event_type <> 'view') AS urls, count(*) FILTER (event_type = 'error') AS errors, CAST(coalesce(arg_max(CAST(value * 100 AS BIGINT), event_id) FILTER (event_type = 'view' AND CAST(value * 100 AS BIGINT) <> 0), 0) AS BIGINT) AS bytes FROM events GROUP BY user_id")
+def event_fold(spark, d):
+    rows = M.observations(spark, d)
+    is_url = F.col("kind") != "view"
+    typed = rows.select("key", "id", F.when(is_url, "url").otherwise("progress").alias("type"), F.when(F.col("kind") == "error", "timeout").alias("error"), F.lit(200).alias("status"), F.lit(False).alias("revisit"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
+    return machines.folded(typed).select("key", "urls", "errors", "bytes")
+
+
+@query("status_reconciled", M.SQL + """, j AS (SELECT id, CASE WHEN status = 'running' THEN NULL ELSE status END AS result, id % 3 AS code, id % 7 = 0 AS cancelled FROM captures)
+SELECT id, CASE WHEN cancelled THEN CASE WHEN result IS NULL THEN 'cancelled' ELSE 'partial' END WHEN result IS NULL THEN 'failed' WHEN code <> 0 AND result = 'ok' THEN 'partial' ELSE result END AS status FROM j""")
+def status_reconciled(spark, d):
+    result = F.when(F.col("status") != "running", F.col("status"))
+    return M.captures(spark, d).select("id", machines.final_status(result, F.col("id") % 3, F.col("id") % 7 == 0).alias("status"))
+
+
+@query("hysteresis", """WITH o AS (SELECT user_id AS key, event_id AS id, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'live' END AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT *, lag(seen) OVER (PARTITION BY key ORDER BY n) AS before FROM o),
+c AS (SELECT * FROM p WHERE n = 1 OR seen = before), d AS (SELECT *, lag(seen) OVER (PARTITION BY key ORDER BY n) AS was FROM c)
+SELECT key, id, seen AS changed_to FROM d WHERE was IS NOT NULL AND seen <> was""")
+def hysteresis(spark, d):
+    """Health changes that two observations in a row confirm (with two states, a repeated one is what counts)."""
+    return machines.health_changes(_seen(M.observations(spark, d)))
+
+
+@query("feed_states")
+def feed_states(spark, d):
+    return machines.feed_states(M.observations(spark, d).select("key", "id", "ts", (F.col("kind") == "view").alias("ok")))
+
+
+def _stream(spark, d, build, mode):
+    """Run a stream over the events file to its end and return what it wrote."""
+    path, _, _ = f"{d}/events.parquet".rpartition("/")
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    name = f"out_{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path)
+    typed = rows.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "value")
+    run = build(typed).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("stream_hysteresis")
+def stream_hysteresis(spark, d):
+    return _stream(spark, d, lambda rows: machines.health_stream(_seen(rows)), "append")
+
+
+@query("stream_feed_state")
+def stream_feed_state(spark, d):
+    return _stream(spark, d, lambda rows: machines.feed_stream(rows.select("key", "id", "ts", (F.col("kind") == "view").alias("ok"))), "update")
+
+
+@query("stream_windows")
+def stream_windows(spark, d):
+    """Counts per day and kind with a watermark: an addition, as the archive itself never drops late data."""
+    build = lambda rows: rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+    return _stream(spark, d, build, "complete")
+
+
+@query("sliding_failures", "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error'")
+def sliding_failures(spark, d):
+    rows = M.observations(spark, d).where("kind = 'error'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return rows.select("id", F.expr(f"count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN {6 * 3600 * 1_000_000} PRECEDING AND CURRENT ROW)").alias("n"))
+
+
+@query("backoff_state", "SELECT user_id AS key, failures, CAST(CASE WHEN failures > 0 THEN least(30 * pow(2, least(failures, 30)), 1440) ELSE 30 END AS BIGINT) AS poll_minutes, CAST(least(10 * pow(2, least(greatest(failures - 1, 0), 30)), 1440) AS BIGINT) AS retry_minutes FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY user_id)")
+def backoff_state(spark, d):
+    rows = M.observations(spark, d).groupBy("key").agg(F.count_if(F.col("kind") == "error").alias("failures"))
+    return rows.select("key", "failures", scalars.backoff_minutes(F.lit(30), F.col("failures")).alias("poll_minutes"), scalars.retry_minutes(F.col("failures")).alias("retry_minutes"))
+
+
+@query("ring_buffer", "SELECT user_id AS key, count(*) AS kept, min(event_id) AS oldest, min(event_id) > 501 AS gap FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 50) GROUP BY user_id")
+def ring_buffer(spark, d):
+    """The newest events of each job, and whether a reader who has seen up to 500 has missed some."""
+    from palimpsest.operators.history import newest_per
+
+    kept = newest_per(M.observations(spark, d), ["key"], [F.desc("id")], 50)
+    return kept.groupBy("key").agg(F.count("*").alias("kept"), F.min("id").alias("oldest")).withColumn("gap", F.col("oldest") > 501)
+
+
+@query("replay_after", "SELECT event_id AS id, user_id AS key FROM events WHERE event_id > 900")
+def replay_after(spark, d):
+    return M.observations(spark, d).where("id > 900").select("id", "key")
+
+
+@query("health_summary", """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id) SELECT v.state, count(l.user_id) AS n FROM (VALUES ('view'), ('click'), ('error'), ('purchase'), ('signup'), ('unknown')) v(state) LEFT JOIN l ON l.state = v.state GROUP BY v.state""")
+def health_summary(spark, d):
+    from palimpsest.operators.rollup import counted_by
+
+    last = M.observations(spark, d).groupBy("key").agg(F.max_by("kind", F.struct("ts", "id")).alias("state"))
+    return counted_by(last, "state", ["view", "click", "error", "purchase", "signup", "unknown"])
+
+
+@query("quiet_hours", "SELECT event_id AS id FROM events WHERE hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 390")
+def quiet_hours(spark, d):
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    return M.observations(spark, d).where(scalars.quiet(minute, 23 * 60, 6 * 60 + 30)).select("id")
+
+
+@query("scalar_times", """SELECT event_id AS id, strftime(ts, '%Y%m%dT%H%M%SZ') || '-full-wget' AS dir, strftime(ts, '%Y%m%d%H%M%S') AS cdx, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS micros FROM events""")
+def scalar_times(spark, d):
+    micros = scalars.iso_micros(F.col("ts"))
+    cdx = scalars.cdx_timestamp(micros)
+    return M.observations(spark, d).select("id", scalars.capture_dir(F.col("ts"), F.lit("full"), F.lit("wget")).alias("dir"), cdx.alias("cdx"), scalars.iso_of_cdx(cdx).alias("iso"), micros.alias("micros"))
+
+
+@query("feed_merge", """WITH known AS (SELECT event_id AS guid, 'u' || event_id AS canonical, CASE WHEN event_id % 2 = 0 THEN 'captured' ELSE 'skipped' END AS status, 'h' || event_id % 5 AS content_hash, ts AS updated FROM events WHERE event_type = 'view'),
+e AS (SELECT CASE WHEN event_id % 4 = 0 THEN -event_id ELSE event_id END AS guid, 'u' || event_id AS canonical, 'h' || event_id % 7 AS content_hash, ts + INTERVAL 1 HOUR AS updated FROM events WHERE event_type IN ('view', 'click'))
+SELECT k.guid, CASE WHEN e.content_hash <> k.content_hash THEN 'pending' ELSE status END AS status, coalesce(e.content_hash, k.content_hash) AS content_hash FROM known k LEFT JOIN e USING (canonical)
+UNION ALL SELECT guid, 'pending', content_hash FROM e WHERE canonical NOT IN (SELECT canonical FROM known)""")
+def feed_merge(spark, d):
+    rows = M.observations(spark, d)
+    named = F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical")
+    digest = lambda n: F.concat(F.lit("h"), (F.col("id") % n).cast("string")).alias("content_hash")
+    known = rows.where("kind = 'view'").select(F.col("id").alias("guid"), named, F.when(F.col("id") % 2 == 0, "captured").otherwise("skipped").alias("status"), digest(5), F.col("ts").alias("updated"))
+    entries = rows.where("kind IN ('view', 'click')").select(F.when(F.col("id") % 4 == 0, -F.col("id")).otherwise(F.col("id")).alias("guid"), named, digest(7), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("updated"), F.col("id").alias("place"))
+    return machines.merge_items(known, entries, False).select("guid", "status", "content_hash")
+
+
+@query("block_diff")
+def block_diff(spark, d):
+    """Each turn of a conversation against the one before it, sentence by sentence."""
+    from palimpsest.operators.difference import block_changes
+
+    rows = M.table(spark, d, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), r"(?<=\.)\s+").alias("after"))
+    rows = rows.withColumn("before", F.coalesce(F.expr("lag(after) OVER (PARTITION BY conv_id ORDER BY turn)"), F.array().cast("array<string>")))
+    out = block_changes(rows.withColumn("id", F.concat_ws(":", "conv_id", "turn")))
+    return out.select("id", F.size("changes").alias("n"), F.round("ratio", 6).alias("ratio"))
