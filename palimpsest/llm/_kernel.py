@@ -20,7 +20,15 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
-_tables: dict = {}
+
+class _Cache(dict):
+    """Tables made once in each process; an empty one travels to executors."""
+
+    def __reduce__(self):
+        return (_Cache, ())
+
+
+_tables = _Cache()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

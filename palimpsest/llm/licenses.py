@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +54,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-@lru_cache(maxsize=1)
-def _compressors():
-    import zstandard
-
-    alone = zstandard.ZstdCompressor(level=LEVEL)
-    out = {}
-    for name, text in TEMPLATES.items():
-        raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)
-    return alone, out
-
-
-def ranked(block: str) -> list[tuple[str, float]]:
-    """Templates by the share of the block's compressed size that they save, best first; ties by name."""
-    alone, by_name = _compressors()
-    raw = block.encode()
-    size = len(alone.compress(raw))
-    saved = [(name, (size - len(c.compress(raw))) / size) for name, c in by_name.items()]
-    return sorted(saved, key=lambda x: (-x[1], x[0]))
-
-
 def differences(template: str, block: str) -> list[str]:
     """Wording differences between a template and the part of the block that is aligned with it."""
     want, have = words(template), words(block)
@@ -91,42 +69,63 @@ def differences(template: str, block: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=4096)
-def identify(block: str) -> tuple[str, float, tuple[str, ...]] | None:
-    """(template, saving, differences) of the best-ranked template that the wording confirms."""
-    for name, saving in ranked(block):
-        if saving < LEAST_SAVING:
-            return None
-        found = differences(TEMPLATES[name], block)
-        if len(found) <= MOST_DIFFERENCES * len(words(TEMPLATES[name])):
-            return name, saving, tuple(found)
-    return None
-
-
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(first line, text) of the candidate blocks: runs of lines with a cue, or all of whose words are a template's."""
-    lines, out, now = text.split("\n"), [], []
-    vocabulary = _vocabulary()
-    for i, line in enumerate([*lines, ""]):
-        low = line.lower().encode()
-        if any(c in low for c in CUES) or (now and line.strip() and set(words(line)) <= vocabulary):
-            now.append(line)
-        elif now:
-            out.append((i - len(now), "\n".join(now)))
-            now = []
-    return out
-
-
-@lru_cache(maxsize=1)
-def _vocabulary() -> frozenset:
-    return frozenset(w for t in TEMPLATES.values() for w in words(t))
+class Matcher:
+    """Compressors for all templates, and what was found for blocks seen before (notices repeat)."""
+
+    REMEMBERED = 4096
+
+    def __init__(self, templates: dict[str, str] = TEMPLATES):
+        import zstandard
+
+        self.templates = templates
+        self.alone = zstandard.ZstdCompressor(level=LEVEL)
+        raw = lambda text: zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.by_name = {name: zstandard.ZstdCompressor(level=LEVEL, dict_data=raw(text)) for name, text in templates.items()}
+        self.vocabulary = {w for t in templates.values() for w in words(t)}
+        self.known: dict[str, tuple | None] = {}
+
+    def ranked(self, block: str) -> list[tuple[str, float]]:
+        """Templates by the share of the block's compressed size that they save, best first; ties by name."""
+        raw = block.encode()
+        size = len(self.alone.compress(raw))
+        saved = [(name, (size - len(c.compress(raw))) / size) for name, c in self.by_name.items()]
+        return sorted(saved, key=lambda x: (-x[1], x[0]))
+
+    def identify(self, block: str) -> tuple[str, float, tuple[str, ...]] | None:
+        """(template, saving, differences) of the best-ranked template that the wording confirms."""
+        if block not in self.known:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            self.known[block] = self._identified(block)
+        return self.known[block]
+
+    def _identified(self, block: str) -> tuple[str, float, tuple[str, ...]] | None:
+        for name, saving in self.ranked(block):
+            if saving < LEAST_SAVING:
+                return None
+            found = differences(self.templates[name], block)
+            if len(found) <= MOST_DIFFERENCES * len(words(self.templates[name])):
+                return name, saving, tuple(found)
+        return None
+
+    def blocks(self, text: str) -> list[tuple[int, str]]:
+        """(first line, text) of the candidate blocks: runs of lines with a cue, or all of whose words are a template's."""
+        lines, out, now = text.split("\n"), [], []
+        for i, line in enumerate([*lines, ""]):
+            low = line.lower().encode()
+            if any(c in low for c in CUES) or (now and line.strip() and set(words(line)) <= self.vocabulary):
+                now.append(line)
+            elif now:
+                out.append((i - len(now), "\n".join(now)))
+                now = []
+        return out
 
 
 _FOUND = pa.list_(pa.struct([("line", pa.int64()), ("template", pa.string()), ("saving", pa.float64()), ("differences", pa.list_(pa.string()))]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lower = _kernel.lookup("lower")
+    lower, matcher = _kernel.lookup("lower"), Matcher()
     for batch in batches:
         n, found = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
         for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
@@ -138,9 +137,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hits.add(int(np.searchsorted(offsets, at, side="right")) - 1)
                     at = low.find(cue, at + 1)
             for d in sorted(hits):
-                for line, block in blocks(raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")):
+                for line, block in matcher.blocks(raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")):
                     n[lo + d] += 1
-                    got = identify(block)
+                    got = matcher.identify(block)
                     if got:
                         found[lo + d].append({"line": line, "template": got[0], "saving": got[1], "differences": list(got[2])})
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, _FOUND)], names=["id", "n_blocks", "notices"])
