@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import minhash, mixing, packing, quality, repeats
-from palimpsest.llm._scratch import keep
+from palimpsest.llm._scratch import keep, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,7 +23,7 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest id (of repeated rows, one)."""
-    docs = docs.select(*COLUMNS)
+    docs = settled(docs.select(*COLUMNS))
     return docs.withColumn("_rid", F.monotonically_increasing_id()).join(minhash.representatives(docs).hint("shuffle_hash"), "_rid", "left_semi").drop("_rid")
 
 

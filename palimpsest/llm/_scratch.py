@@ -56,11 +56,32 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Plan nodes that leave rows in the order of the files, whichever columns are read.
+_IN_ORDER = {"Project", "Filter", "SubqueryAlias", "View", "LocalRelation"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if every scan of it gives the same rows in the same places, else a written copy of it.
+
+    Files that are only projected and filtered are as they should be; a shuffle
+    below would deal rows out anew depending on the columns that are asked for.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo, fine = [plan], bool(plan.deterministic())
+    while todo and fine:
+        node = todo.pop()
+        children = node.children()
+        name = node.nodeName()
+        fine = name in _IN_ORDER or (children.isEmpty() and "Relation" in name and "RDD" not in name)
+        todo += [children.apply(i) for i in range(children.size())]
+    return df if fine else keep(df, "settled")
+
+
 def rows_with_id(df: DataFrame, *columns: str) -> DataFrame:
     """``rid``, a number for each input row, and ``columns``.
 
-    The number comes from the partition and the place in it, so that every
-    scan of the same input gives the same row the same number.
+    The number comes from the partition and the place in it; of a ``settled``
+    input every scan gives the same row the same number.
     """
     from pyspark.sql import functions as F
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _kernel
-from palimpsest.llm._scratch import keep, rows_with_id
+from palimpsest.llm._scratch import keep, rows_with_id, settled
 from palimpsest.llm.components import connected_components
 
 COORDINATES, MATCHES = 48, 22
@@ -161,6 +161,8 @@ def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> Dat
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``rid``, ``id``, ``n_shingles``, ``component`` and ``root`` (a rid of the component).
 
+    ``rid`` numbers the rows of ``settled(documents)``.
+
     ``component`` is the smallest id of the component; a row without words is
     alone in its own, and so is a row whose id is null and that has no links
     (component null).  Repeated ids are separate rows; rows with equal sets are
@@ -168,6 +170,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ``documents`` are not read, so their names can't clash.  An empty table
     gives an empty result.
     """
+    documents = settled(documents)
     source = rows_with_id(documents, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = documents.sparkSession
     signed = keep(source.mapInArrow(_signed(), "rid long, id long, n long, f1 long, f2 long, sig array<int>"), "signed")
@@ -224,7 +227,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_rid`` of the row that stands for each component: smallest id (null last), then first of its rows."""
+    """``_rid`` of the row that stands for each component: smallest id (null last), then first of its rows.
+
+    ``_rid`` is ``monotonically_increasing_id`` on ``documents``, which must be ``settled``.
+    """
     found = near_duplicates(documents, id_col, text_col)
     order = F.struct(F.col("id").isNull(), "id", "rid")
     best = found.where(F.col("id").eqNullSafe(F.col("component"))).select("root", "rid", order.alias("o"))

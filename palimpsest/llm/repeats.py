@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _kernel
-from palimpsest.llm._scratch import keep, keep_dealt, rows_with_id
+from palimpsest.llm._scratch import keep, keep_dealt, rows_with_id, settled
 
 MIN_LENGTH, GRAM = 200, 32
 MOST_CLASSES = 20_000
@@ -366,6 +366,7 @@ def repeat_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     gram`` bytes); longer ones are listed as overlapping groups.  Empty and null
     texts have none.
     """
+    documents = settled(documents)
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows_with_id(documents, F.col(id_col).alias("id"))
     candidates, name = _candidates(source, min_length, gram)
@@ -378,7 +379,8 @@ def repeat_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_CLASSES, columns: tuple[str, ...] = ("n_removed", "n_spans", "kept_sha256", "spans", "kept_text")) -> DataFrame:
     """For each row with a repeat: ``rid`` and the ``columns`` asked for.
 
-    ``rid`` numbers the rows of ``documents`` as ``rows_with_id`` does.
+    ``rid`` numbers the rows of ``documents``, which must be ``settled``, as
+    ``rows_with_id`` does.
     ``kept_text`` keeps a code point whole where a span begins or ends inside it;
     the other columns go by bytes.  Repeated rows are separate texts, so each
     finds itself in the other.  Null and empty texts have no row here.
@@ -398,6 +400,7 @@ def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int
 
 def without_repeats(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``documents`` with every repeated byte taken out of the text; all rows and columns stay."""
+    documents = settled(documents)
     found = repeated_bytes(documents, text_col, columns=("kept_text",), **options).select(F.col("rid").alias("_rid"), F.col("kept_text").alias("_kept"))
     rows = documents.withColumn("_rid", F.monotonically_increasing_id())
     text = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text_col))
