@@ -105,7 +105,8 @@ def test_copies_of_a_voter_add_no_evidence():
     once = toxicity.label_model(np.stack([*good, other], axis=1), noisy)
     often = toxicity.label_model(np.stack([*good, *[other] * 8], axis=1), noisy)
     assert np.abs(once - often).max() < 0.02
-    assert np.abs(once - y).mean() < np.abs(noisy - y).mean() + 0.02
+    overruled = (np.sum(good, axis=0) >= 2) & (noisy == 0) & (y == 1)  # two voters against one wrong label
+    assert overruled.any() and (once[overruled] > 0.5).mean() > 0.9
 
 
 # packing
