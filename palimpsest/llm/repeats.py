@@ -38,6 +38,8 @@ MIN_LENGTH, GRAM = 200, 32
 MOST_CLASSES = 20_000
 #: Bytes of contexts that one suffix array takes, but for a single anchor's.
 CHUNK = 1 << 19
+#: Suffixes that are sorted at a time.
+SUFFIXES = 1 << 18
 
 _U = np.uint64
 
@@ -142,17 +144,15 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def suffix_intervals(raw: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, salt: np.ndarray, first: np.ndarray, min_length: int) -> Iterator[tuple[int, np.ndarray]]:
+def suffix_intervals(raw: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, key: np.ndarray, first: np.ndarray, min_length: int) -> Iterator[tuple[int, np.ndarray]]:
     """Maximal repeats (length, places) of at least ``min_length`` bytes among ``suffixes`` of ``raw``.
 
-    ``ends``: where each suffix's text ends.  ``salt``: suffixes with other salts
-    are never compared.  ``first``: the suffix begins its text, so that its left
-    neighbour differs from any other.  Suffixes are sorted by their first
-    ``min_length`` bytes (by hash, as their order among themselves says nothing
-    about repeats of that length), then by what follows.
+    ``ends``: where each suffix's text ends.  ``key``: a hash of its first
+    ``min_length`` bytes.  ``first``: the suffix begins its text, so that its left
+    neighbour differs from any other.  Suffixes are sorted by key, as the order
+    of their beginnings says nothing about repeats of that length, then by what
+    follows.
     """
-    sums, back = _running(raw)
-    key = _kernel.mix((sums[suffixes + min_length] - sums[suffixes]) * back[suffixes] + salt)
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -199,6 +199,35 @@ def suffix_intervals(raw: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, sa
                 stack.append((now, bound))
 
 
+def _intervals(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, windows: np.ndarray, salt: np.ndarray, min_length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``suffix_intervals`` over the first ``windows`` suffixes of each context.
+
+    Contexts of different ``salt`` are never compared.  Suffixes of one key stay
+    together, so many of them are sorted in several parts by key.
+    """
+    first = np.cumsum(windows) - windows
+    total = int(windows.sum())
+    sums, back = _running(raw)
+    keys = np.empty(total, dtype=_U)
+
+    def located(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.searchsorted(first, at, side="right") - 1
+        return owner, at - first[owner]
+
+    some = np.flatnonzero(windows)  # contexts without a suffix would hide the one they share a place with
+    first, starts, sizes, salt = first[some], starts[some], sizes[some], salt[some]
+    for lo in range(0, total, SUFFIXES):
+        owner, inner = located(np.arange(lo, min(lo + SUFFIXES, total)))
+        at = starts[owner] + inner
+        keys[lo : lo + len(at)] = _kernel.mix((sums[at + min_length] - sums[at]) * back[at] + salt[owner])
+    del sums
+    parts = -(-total // SUFFIXES) if total else 0
+    for part in range(parts):
+        chosen = np.flatnonzero(keys % _U(parts) == _U(part))
+        owner, inner = located(chosen)
+        yield from suffix_intervals(raw, (starts + sizes)[owner], starts[owner] + inner, keys[chosen], inner == 0, min_length)
+
+
 def _scan(min_length: int, as_groups: bool):
     """Maximal repeats of each anchor: rows (group, length, rid, s).
 
@@ -219,12 +248,9 @@ def _scan(min_length: int, as_groups: bool):
             one, two = by[:-1], by[1:]
             same = (np.array(h)[one] == np.array(h)[two]) & (np.array(rid)[one] == np.array(rid)[two])
             windows[one[same]] = np.minimum(windows[one[same]], s[two[same]] - s[one[same]])
-        owner = np.repeat(np.arange(len(ctx)), windows)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        suffixes = starts[owner] + inner
         h = np.array(h, dtype=np.int64)
         groups, lengths, rids, places = [], [], [], []
-        found = suffix_intervals(raw, (starts + sizes)[owner], suffixes, _kernel.mix(h.view(_U))[owner], inner == 0, min_length)
+        found = _intervals(raw, starts, sizes, windows, _kernel.mix(h.view(_U)), min_length)
         if not as_groups:
             reach = np.zeros(len(raw) + 1, dtype=np.int64)
             for length, at in found:
