@@ -17,13 +17,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str = "t") -> DataFrame:
+#: Input splits whose results go into one file, where a step makes little of much.
+SPLITS_PER_FILE = 4
+
+
+def fewer_files(df: DataFrame) -> DataFrame:
+    """``df`` with ``SPLITS_PER_FILE`` of its partitions in one task; for scans, whose partitions are known beforehand."""
+    return df.coalesce(max(1, df._jdf.queryExecution().toRdd().getNumPartitions() // SPLITS_PER_FILE))
+
+
+def keep(df: DataFrame, name: str = "t", scan: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the running stage only.  The
-    folder goes when the application ends.
+    folder goes when the application ends.  ``scan``: ``df`` has no shuffle and
+    its results are small next to its input, so that files are put together.
     """
     spark = df.sparkSession
+    df = fewer_files(df) if scan else df
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -173,7 +173,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     documents = settled(documents)
     source = rows_with_id(documents, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = documents.sparkSession
-    signed = keep(source.mapInArrow(_signed(), "rid long, id long, n long, f1 long, f2 long, sig array<int>"), "signed")
+    signed = keep(source.mapInArrow(_signed(), "rid long, id long, n long, f1 long, f2 long, sig array<int>"), "signed", scan=True)
 
     # Classes of equal sets; the member with the smallest rid speaks for each.
     classes = keep(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rep")), "classes")

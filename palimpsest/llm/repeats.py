@@ -347,7 +347,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(source: DataFrame, min_length: int, gram: int) -> tuple[DataFrame, str]:
     """(``rid``, ``text``, ``asked``) of the rows with anchors that occur twice, dealt by ``rid``; the table's name."""
-    found = keep(source.mapInArrow(_list_anchors(min_length, gram), "h long, rid long, at long"), "anchors")
+    found = keep(source.mapInArrow(_list_anchors(min_length, gram), "h long, rid long, at long"), "anchors", scan=True)
     twice = keep(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     asked = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
     return keep_dealt(source.join(keep(asked, "asked").hint("shuffle_hash"), "rid"), "rid")
@@ -358,7 +358,7 @@ def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int,
 
     All have (``group``, ``length``, ``rid``, ``s``).
     """
-    found = keep(candidates.select("rid", "text", "asked").mapInArrow(_list_contexts(min_length, gram), "h long, rid long, c long, s long, e long"), "contexts")
+    found = keep(candidates.select("rid", "text", "asked").mapInArrow(_list_contexts(min_length, gram), "h long, rid long, c long, s long, e long"), "contexts", scan=True)
     head = F.min(F.struct("rid", "s", "e"))
     classes = keep(found.groupBy("h", "c").agg(F.count("*").alias("n"), head.alias("head")), "classes")
     per = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1")
