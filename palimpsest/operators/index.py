@@ -53,9 +53,15 @@ def chunks(lines: DataFrame, key: str = "urlkey", then: str = "timestamp", size:
     The rank of a line comes from the range-partitioned sort: rows per partition
     are counted first, so no partition waits for another's rows.
     """
-    # zipWithIndex counts partitions, then numbers rows in place; only that call leaves the DataFrame API
-    ordered = lines.select(key, then).orderBy(key, then)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(f"{key} string, {then} string, n long")
+    ordered = lines.select(key, then).orderBy(key, then).persist()
+    # One count a partition comes to the driver; every row then knows its number without a further sort.
+    part = F.spark_partition_id()
+    counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, start = [0] * (max(counts, default=0) + 1), 0
+    for p in sorted(counts):
+        before[p], start = start, start + counts[p]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ordered.withColumn("n", F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), part + 1) + place)
     line = F.concat_ws(" ", key, then)
     rows = numbered.groupBy(F.expr(f"n div {size}").alias("chunk"))
     return rows.agg(F.min(F.struct(key, then)).alias("first"), F.count("*").alias("lines"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest")).select("chunk", f"first.{key}", f"first.{then}", "lines", "digest")

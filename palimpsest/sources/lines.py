@@ -42,12 +42,12 @@ def log_url(line: Column) -> Column:
     return F.when(found != "", found)
 
 
-def log_errors(lines: DataFrame, order: str = "line", column: str = "value") -> DataFrame:
-    """(``url``, ``reason``) of failures: the URL stands on the line before."""
+def log_errors(lines: DataFrame, order: str = "line", column: str = "value", file: str = "file") -> DataFrame:
+    """(``url``, ``reason``) of failures: the URL stands on the line before in the same ``file``."""
     text = F.trim(column)
     reason = F.when(F.contains(text, F.lit(" ERROR ")), F.trim(F.regexp_replace(text, "^.*? ERROR ", ""))).when(F.contains(text, F.lit(" failed: ")), F.trim(F.regexp_replace(text, "^.* failed: ", "")))
     reason = reason.when(F.contains(F.lower(text), F.lit("unable to resolve host address")), text)
-    rows = lines.withColumn("before", F.expr(f"lag({column}) OVER (ORDER BY {order})")).withColumn("reason", reason)
+    rows = lines.withColumn("before", F.expr(f"lag({column}) OVER (PARTITION BY {file} ORDER BY {order})")).withColumn("reason", reason)
     return rows.where("reason IS NOT NULL").select(F.regexp_replace(F.trim("before"), ":$", "").alias("url"), "reason")
 
 

@@ -145,7 +145,7 @@ def test_line_formats(spark):
     got = lines.cdxj(text(spark, good, "broken", "a b {broken", 'a b {"url": "u", "status": "-"}')).collect()
     assert [(r.urlkey, r.url, r.status, r.offset, r.length) for r in got] == [("com,x)/", "http://x.com/", 200, 7, 9), ("a", "u", None, 0, 0)]
     log = text(spark, "2026-08-11 16:58:27 URL:http://h/p [9/9] -> x", "http://h/missing:", "2026-08-09 14:25:35 ERROR 404: Not Found.", "http://h/z:", "connect failed: Connection refused.")
-    assert [tuple(r) for r in lines.log_errors(log).orderBy("url").collect()] == [("http://h/missing", "404: Not Found."), ("http://h/z", "Connection refused.")]
+    assert [tuple(r) for r in lines.log_errors(log.withColumn("file", F.lit("f"))).orderBy("url").collect()] == [("http://h/missing", "404: Not Found."), ("http://h/z", "Connection refused.")]
     assert [r.u for r in log.select(lines.log_url(F.col("value")).alias("u")).where("u IS NOT NULL").collect()] == ["http://h/p"]
     jar = text(spark, "# comment", "", ".x.com\tTRUE\t/\tFALSE\t0\ta\tb", "#HttpOnly_y.com\tTRUE\t/\tFALSE\t50\ta\tb", "y.com\tTRUE\t/\tFALSE\t500\ta\tb", "bad line")
     assert tuple(lines.cookies(jar, 100).first()) == (3, 1, 1, 1, 50, 2)
