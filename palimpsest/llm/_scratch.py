@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session; a temporary folder of this process only where it is unset (tests)."""
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return found.rstrip("/")
 
 
