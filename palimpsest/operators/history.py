@@ -22,19 +22,27 @@ def changed_pages(before: DataFrame, after: DataFrame, key: str, value: str) ->
     return x.join(y, key, "full_outer").select(key, change.alias("change"))
 
 
+def _numbered(captures: DataFrame) -> DataFrame:
+    """(``site_id``, ``capture_id``, ``nth``): captures of a site in order, so that facts can be compared by a number."""
+    nth = F.expr("row_number() OVER (PARTITION BY site_id ORDER BY started_at, id)")
+    return captures.select("site_id", F.col("id").alias("capture_id"), nth.cast("long").alias("nth"))
+
+
 def last_copies(captures: DataFrame, urls: DataFrame) -> DataFrame:
-    """(``site_id``, ``capture_id``, ``urls``): captures with URLs that no later capture of the site has.
+    """(``site_id``, ``capture_id``, ``urls``, ``example``): captures with URLs that no later capture of the site has.
 
     Only rows without an error count as held (whatever their status code).  The
     newest capture that holds anything never counts.  No row is compared with
-    another: the last holder of each URL is a maximum.
+    another: the last holder of each URL is a maximum of numbers, which is
+    summed up before and after the shuffle without a sort.
     """
-    at = F.struct("started_at", F.col("id").alias("capture_id"))
-    placed = captures.select("site_id", "id", at.alias("at")).join(urls.where(F.col("error").isNull()).select(F.col("capture_id").alias("id"), "url"), "id")
-    last = placed.groupBy("site_id", "url").agg(F.max("at").alias("at"))
-    newest = placed.groupBy("site_id").agg(F.max("at").alias("newest"))
-    rows = last.join(newest, "site_id").where(F.col("at") != F.col("newest"))
-    return rows.groupBy("site_id", F.col("at.capture_id").alias("capture_id")).agg(F.count("*").alias("urls"), F.min("url").alias("example"))
+    order = _numbered(captures)
+    placed = order.join(urls.where(F.col("error").isNull()).select("capture_id", "url"), "capture_id")
+    last = placed.groupBy("site_id", "url").agg(F.max("nth").alias("nth"))
+    newest = placed.groupBy("site_id").agg(F.max("nth").alias("newest"))
+    rows = last.join(newest, "site_id").where(F.col("nth") < F.col("newest"))
+    held = rows.groupBy("site_id", "nth").agg(F.count("*").alias("urls"), F.min("url").alias("example"))
+    return held.join(order, ["site_id", "nth"]).select("site_id", "capture_id", "urls", "example")
 
 
 def dedup_sources(captures: DataFrame, records: DataFrame) -> DataFrame:
@@ -44,11 +52,12 @@ def dedup_sources(captures: DataFrame, records: DataFrame) -> DataFrame:
     and digest the first capture that holds the payload is the source of all
     later revisits, so a minimum is enough and rows are not paired up.
     """
-    order = captures.select(F.col("id").alias("capture_id"), "site_id", F.struct("started_at", "id").alias("at"))
+    order = _numbered(captures)
     rows = records.join(order, "capture_id")
-    first = rows.where(~F.col("revisit")).groupBy("site_id", "url", "digest").agg(F.min("at").alias("first"))
-    hits = rows.where("revisit").join(first, ["site_id", "url", "digest"]).where(F.col("first") < F.col("at"))
-    return hits.groupBy(F.col("first.id").alias("capture_id")).agg(F.countDistinct(F.col("at.id")).alias("dependents"))
+    first = rows.where(~F.col("revisit")).groupBy("site_id", "url", "digest").agg(F.min("nth").alias("first"))
+    hits = rows.where("revisit").join(first, ["site_id", "url", "digest"]).where(F.col("first") < F.col("nth"))
+    used = hits.groupBy("site_id", F.col("first").alias("nth")).agg(F.countDistinct("capture_id").alias("dependents"))
+    return used.join(order, ["site_id", "nth"]).select("capture_id", "dependents")
 
 
 #: Reasons in order of precedence: the first that applies is the one given.
