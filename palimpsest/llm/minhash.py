@@ -4,7 +4,7 @@ Each document's set of 5-word shingles has a signature of ``COORDINATES``
 minima.  Documents are posted under each (coordinate, value) pair.  Of two
 documents with Jaccard similarity s a coordinate agrees with chance s, so that
 linked pairs (s >= 0.75) agree in at least ``MATCHES`` coordinates but for a
-chance of about one in a million.
+chance of four in a million at most.
 
 * Prefix merging: two signatures that agree in MATCHES coordinates share one
   of the ``COORDINATES - MATCHES + 1`` rarest pairs of either.  Only those are
