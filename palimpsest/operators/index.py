@@ -53,7 +53,8 @@ def chunks(lines: DataFrame, key: str = "urlkey", then: str = "timestamp", size:
     The rank of a line comes from the range-partitioned sort: rows per partition
     are counted first, so no partition waits for another's rows.
     """
-    ordered = lines.select(key, then).orderBy(key, then).persist()
+    # The keys are read twice, to find the ranges and to deal them out.
+    ordered = lines.select(key, then).persist().orderBy(key, then).persist()
     # One count a partition comes to the driver; every row then knows its number without a further sort.
     part = F.spark_partition_id()
     counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}

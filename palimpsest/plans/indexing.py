@@ -23,7 +23,7 @@ def surt_keys(spark, d):
 
 def _cdxj(spark, d):
     """Index lines of all captures, as text."""
-    rows = M.capture_urls(spark, d).join(M.captures(spark, d).select(F.col("id").alias("capture_id"), "started_at"), "capture_id")
+    rows = M.spread(M.capture_urls(spark, d)).join(M.captures(spark, d).select(F.col("id").alias("capture_id"), "started_at"), "capture_id")
     mime = F.when(F.col("line") >= 5, "warc/revisit").when(F.col("line") == 4, "image/png").otherwise("text/html")
     blob = F.to_json(F.struct("url", mime.alias("mime"), F.col("status_code").cast("string").alias("status"), "digest", F.concat(F.lit("captures/"), F.col("capture_id").cast("string"), F.lit("/a.warc.gz")).alias("filename"), F.col("line").cast("string").alias("offset")))
     return rows.select(F.concat_ws(" ", urls.surt(F.col("url")), F.date_format("started_at", "yyyyMMddHHmmss"), blob).alias("value"))

@@ -16,6 +16,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out evenly if a scan gives fewer partitions than there are cores, before costly work on each row.
+
+    A large table has more splits than that and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def folders(spark, d: str) -> DataFrame:
     """``id``, ``path``; regions are roots, nations lie below them."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")

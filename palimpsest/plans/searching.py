@@ -10,8 +10,9 @@ from palimpsest.plans.registry import query
 
 
 def _index(spark, d):
+    """Documents, postings and lengths.  An archive keeps its postings as a table; here they are kept for the query."""
     docs = M.table(spark, d, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("title"))
-    index = search.postings(docs, "doc_id", {"title": "title", "body": "text"})
+    index = search.postings(M.spread(docs), "doc_id", {"title": "title", "body": "text"}).persist()
     lengths = index.groupBy("doc_id").agg(F.sum(F.size("positions")).alias("dl"))
     return docs, index, lengths
 

@@ -11,7 +11,7 @@ from palimpsest.plans.registry import query
 
 
 def _pages(spark, d):
-    return M.table(spark, d, "pages")
+    return M.spread(M.table(spark, d, "pages"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
