@@ -107,10 +107,12 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def _count(trusted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         raw_counts, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             ids = batch.column(0)
-            known = pa.compute.is_in(ids, pa.array(trusted)).to_numpy(zero_copy_only=False)
+            known = pc.is_in(ids, pa.array(trusted)).to_numpy(zero_copy_only=False)
             for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
                 at, found = buckets(raw, offsets)
                 raw_counts += np.bincount(found, minlength=BUCKETS)
@@ -120,8 +122,6 @@ def _count(trusted: np.ndarray):
         some = np.flatnonzero(raw_counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw_counts[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    import pyarrow.compute  # noqa: F401
-
     return run
 
 
