@@ -153,6 +153,8 @@ def suffix_intervals(raw: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, ke
     of their beginnings says nothing about repeats of that length, then by what
     follows.
     """
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])

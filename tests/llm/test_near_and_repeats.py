@@ -158,3 +158,26 @@ def test_files_are_read_in_place_and_shuffles_are_written_first(spark, tmp_path)
     frame(spark, [(1, "a", "s")]).write.parquet(str(tmp_path / "d"))
     files = spark.read.parquet(str(tmp_path / "d"))
     assert settled(files) is files and settled(shuffled := files.repartition(2)) is not shuffled
+
+
+def test_lists_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = random.Random(9)
+    base = prose(rng, 100).split(" ")
+    rows = []
+    for i in range(90):  # near and not so near copies of one text, some of them linked to each other only
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(w), "s"))
+    got = minhash.near_duplicates(frame(spark, rows)).select("id", "n_shingles", "component").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows)
+
+
+def test_suffixes_are_sorted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SUFFIXES", 64)
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    rows = awkward(seed=21, n=25)
+    docs = settled(frame(spark, rows))
+    found = repeats.repeated_bytes(docs).join(repeats.rows_with_id(docs, "doc_id"), "rid").select("doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_removed(rows, 200)
