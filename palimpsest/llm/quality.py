@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm import _kernel
 
 GRAM, BUCKETS, SCALE = 4, 1 << 16, 1024
+#: Added to a bucket's count in the target and to what the raw corpus lets expect there.
+PSEUDO = 2.0
 #: A document passes if its mean log ratio is at least this.
 THRESHOLD = -0.4
 #: At most so many trusted documents (the smallest by hash of the id) make the target multinomial.
@@ -128,6 +130,8 @@ def _count(trusted: np.ndarray):
 def fit_ratio(documents: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
     """Count both multinomials and return their log ratio.
 
+    Both counts are on the scale of the target and get ``PSEUDO`` added, so that
+    what is too rare to judge by counts for nothing, in small corpora as in large.
     ``trusted`` has the ids (first column) of trusted documents.  The raw counts
     cover every document; the driver gets one row for each of ``BUCKETS``.
     """
@@ -140,8 +144,8 @@ def fit_ratio(documents: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.any():  # without trusted text nothing can be told apart
         return Ratio(np.zeros(BUCKETS, np.int64))
-    share = lambda x: (x + 1) / (x.sum() + BUCKETS)
-    return Ratio(np.round(SCALE * np.log(share(target) / share(raw))).astype(np.int64))
+    expected = raw * (target.sum() / raw.sum())
+    return Ratio(np.round(SCALE * np.log((target + PSEUDO) / (expected + PSEUDO))).astype(np.int64))
 
 
 def _judged(ratio: Ratio, threshold: float, keep_only: bool, text_col: str):

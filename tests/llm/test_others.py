@@ -56,8 +56,7 @@ def test_ratio_is_what_the_definition_says(spark):
     target = {k: v for k, v in raw.items() if k != "zzzz"}
     for gram in raw:
         _, b = quality.buckets(np.frombuffer(gram.encode(), dtype=np.uint8), np.array([0, 4]))
-        share = lambda x, n: (x + 1) / (n + quality.BUCKETS)
-        want = round(quality.SCALE * float(np.log(share(target.get(gram, 0), 5) / share(raw[gram], 6))))
+        want = round(quality.SCALE * float(np.log((target.get(gram, 0) + quality.PSEUDO) / (raw[gram] * 5 / 6 + quality.PSEUDO))))
         assert model.weights[b[0]] == want
 
 
