@@ -41,7 +41,7 @@ def crawlable_urls(spark, d):
     return M.capture_urls(spark, d).agg(F.count("*").alias("n"), F.count_if(scope.crawlable(F.col("url"))).alias("crawlable"))
 
 
-@query("gate_counts", "SELECT 0 AS gates, count(*) AS scanned, 0 AS overlaid, count(*) FILTER (strlen(html) <= 24000 AND regexp_matches(html, '(?i)content warning|may contain (adult|sensitive|mature) content|are you over 18|verify (your age|you are human)|access (denied|restricted)|sign in to continue')) AS blocked FROM pages")
+@query("gate_counts", "SELECT CAST(0 AS BIGINT) AS gates, count(*) AS scanned, CAST(0 AS BIGINT) AS overlaid, count(*) FILTER (strlen(html) <= 24000 AND regexp_matches(html, '(?i)content warning|may contain (adult|sensitive|mature) content|are you over 18|verify (your age|you are human)|access (denied|restricted)|sign in to continue')) AS blocked FROM pages")
 def gate_counts(spark, d):
     return audit.gate_counts(M.table(spark, d, "pages"))
 
@@ -78,7 +78,7 @@ def capture_projection(spark, d):
     return rows.select("capture_id", F.round(p["per_minute"], 4).alias("per_minute"), p["remaining"].alias("remaining"), F.round(p["eta_minutes"], 4).alias("eta_minutes"))
 
 
-@query("import_groups", f"SELECT array_to_string(string_split({_HOST}, '.')[-2:], '.') AS registrable, count(DISTINCT regexp_replace(url, '#.*$', '')) AS n, count(DISTINCT {_HOST}) AS hosts, CASE WHEN array_to_string(string_split({_HOST}, '.')[-2:], '.') = 'example.com' THEN 1 END AS site_id FROM pages GROUP BY ALL")
+@query("import_groups", f"SELECT array_to_string(string_split({_HOST}, '.')[-2:], '.') AS registrable, count(DISTINCT regexp_replace(url, '#.*$', '')) AS n, count(DISTINCT {_HOST}) AS hosts, CASE WHEN array_to_string(string_split({_HOST}, '.')[-2:], '.') = 'example.com' THEN CAST(1 AS BIGINT) END AS site_id FROM pages GROUP BY ALL")
 def import_groups(spark, d):
     """A pasted list of all page addresses, by the site that each would go to."""
     texts = M.table(spark, d, "pages").select(F.lit(1).alias("id"), F.concat(F.lit("see "), "url", F.lit(" !")).alias("text"))

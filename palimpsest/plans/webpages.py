@@ -161,4 +161,4 @@ def text_urls(spark, d):
 @query("scalar_text", """SELECT doc_id, length(trim(regexp_replace(text, '[\\s]+', ' ', 'g'))) AS tidy_chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM documents""")
 def scalar_text(spark, d):
     text = F.col("text")
-    return M.table(spark, d, "documents").select("doc_id", F.length(scalars.tidy(text)).alias("tidy_chars"), scalars.words(text).alias("words"))
+    return M.table(spark, d, "documents").select("doc_id", F.length(scalars.tidy(text)).cast("long").alias("tidy_chars"), scalars.words(text).cast("long").alias("words"))
