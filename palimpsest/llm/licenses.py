@@ -1,17 +1,21 @@
 """License notices by conditional compression.
 
-A candidate block is a run of lines that look like a notice.  It is compressed
-with zstandard alone and once more with each template as raw-content dictionary;
-what a template saves, as a share, ranks the templates.  A template is confirmed
-only by wording: its words are aligned with the block's, and the differences
-must be few.  The best-ranked template that is confirmed names the license.
+A candidate block is a run of lines that look like a notice.  Where it shares a
+run of words with a template, the window that the template would fill is
+compressed with zstandard alone and once more with the template as raw-content
+dictionary; the bytes saved rank the templates, however much text stands beside
+the notice.  A template is confirmed only by wording: its words are aligned with
+the window's, and the differences must be few and leave the license's name and
+version alone.  The best-ranked template that is confirmed names the license.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,9 @@ TEMPLATES = {
 }
 #: What a line of a notice contains, in lower case.
 CUES = (b"licens", b"copyright", b"rights reserved", b"permission", b"public domain", b"warrant", b"creative commons", b"mozilla public")
-LEVEL, LEAST_SAVING, MOST_DIFFERENCES = 6, 0.15, 0.1
+LEVEL, MOST_DIFFERENCES = 6, 0.1
+#: Words that tell licenses apart, and words whose follower does (a version, if it has a digit).
+TELLING, BEFORE_NAME, BEFORE_VERSION = {"gnu", "affero", "lesser"}, {"gnu", "affero", "lesser"}, {"version", "v"}
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 
@@ -54,58 +60,108 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def differences(template: str, block: str) -> list[str]:
-    """Wording differences between a template and the part of the block that is aligned with it."""
-    want, have = words(template), words(block)
-    steps = SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
-    out = []
-    for n, (kind, a, b, c, d) in enumerate(steps):
-        if kind == "equal" or (kind == "insert" and n in (0, len(steps) - 1)):
-            continue  # words before and after the notice are not part of it
-        if kind == "replace" and n in (0, len(steps) - 1):
-            out += [f"-{w}" for w in want[a:b]]
+def aligned(want: list[str], have: list[str | None]) -> list[tuple[int, int]]:
+    """Pairs of equal words in the alignment with the fewest differences of ``want`` with any part of ``have``."""
+    rows = [[0] * (len(have) + 1)]
+    for i, w in enumerate(want):
+        above, row = rows[-1], [i + 1]
+        for j, h in enumerate(have):
+            row.append(above[j] if w == h else 1 + min(above[j + 1], row[j]))
+        rows.append(row)
+    i, j, out = len(want), rows[-1].index(min(rows[-1])), []
+    while i and j:
+        if want[i - 1] == have[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i - 1][j] < rows[i][j - 1]:
+            i -= 1
         else:
-            out += [f"-{w}" for w in want[a:b]] + [f"+{w}" for w in have[c:d]]
+            j -= 1
+    return out[::-1]
+
+
+def differences(want: list[str], have: list[str], pairs: list[tuple[int, int]]) -> list[str] | None:
+    """Words missing (-) and put in (+) between the first and the last pair; None if they change which license it is."""
+    decides = lambda i: i > 0 and (want[i - 1] in BEFORE_NAME or want[i - 1] in BEFORE_VERSION and any(map(str.isdigit, want[i])))
+    out, a, c = [], 0, pairs[0][1] if pairs else 0
+    for b, d in [*pairs, (len(want), pairs[-1][1] + 1 if pairs else 0)]:
+        if any(want[i] in TELLING or decides(i) for i in range(a, b)) or (c < d and b < len(want) and decides(b)):
+            return None
+        out += [f"-{w}" for w in want[a:b]] + [f"+{w}" for w in have[c:d]]
+        a, c = b + 1, d + 1
     return out
 
 
+class Notice(NamedTuple):
+    """A confirmed template: its saving as a share of what a copy saves, and the place of its first word in the text."""
+
+    template: str
+    saving: float
+    differences: tuple[str, ...]
+    place: int
+
+
 class Matcher:
-    """Compressors for all templates, and what was found for blocks seen before (notices repeat)."""
+    """Compressors for all templates, and savings on windows seen before (notices repeat)."""
 
     REMEMBERED = 4096
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         import zstandard
 
-        self.templates = templates
+        self.words = {name: words(text) for name, text in templates.items()}
+        self.most = {name: int(MOST_DIFFERENCES * len(w)) for name, w in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         raw = lambda text: zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.by_name = {name: zstandard.ZstdCompressor(level=LEVEL, dict_data=raw(text)) for name, text in templates.items()}
-        self.vocabulary = {w for t in templates.values() for w in words(t)}
-        self.known: dict[str, tuple | None] = {}
-
-    def ranked(self, block: str) -> list[tuple[str, float]]:
-        """Templates by the share of the block's compressed size that they save, best first; ties by name."""
-        raw = block.encode()
-        size = len(self.alone.compress(raw))
-        saved = [(name, (size - len(c.compress(raw))) / size) for name, c in self.by_name.items()]
-        return sorted(saved, key=lambda x: (-x[1], x[0]))
-
-    def identify(self, block: str) -> tuple[str, float, tuple[str, ...]] | None:
-        """(template, saving, differences) of the best-ranked template that the wording confirms."""
-        if block not in self.known:
+        self.vocabulary = {w for ws in self.words.values() for w in ws}
+        self.known: dict[tuple[str, str], int] = {}
+        self.copy = {name: self.saved(name, text) for name, text in templates.items()}
+        # A template cut into one piece more than the differences it may have keeps a piece unharmed.
+        self.pieces: dict[tuple, list[tuple[str, int, list[str]]]] = {}
+        for name, ws in self.words.items():
+            cuts = [len(ws) * n // (self.most[name] + 1) for n in range(self.most[name] + 2)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                self.pieces.setdefault(tuple(ws[lo : lo + 2]), []).append((name, lo, ws[lo:hi]))
+
+    def saved(self, name: str, window: str) -> int:
+        """Bytes that a template saves on a window."""
+        key = name, window
+        if key not in self.known:
             if len(self.known) >= self.REMEMBERED:
                 self.known.clear()
-            self.known[block] = self._identified(block)
-        return self.known[block]
-
-    def _identified(self, block: str) -> tuple[str, float, tuple[str, ...]] | None:
-        for name, saving in self.ranked(block):
-            if saving < LEAST_SAVING:
-                return None
-            found = differences(self.templates[name], block)
-            if len(found) <= MOST_DIFFERENCES * len(words(self.templates[name])):
-                return name, saving, tuple(found)
+            raw = window.encode()
+            self.known[key] = len(self.alone.compress(raw)) - len(self.by_name[name].compress(raw))
+        return self.known[key]
+
+    def ranked(self, text: str, have: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
+        """(bytes saved, template, first word of the window) wherever a template may fit, best first; ties go to the longer one."""
+        at = {(name, i - lo) for i in range(len(have) - 1) for name, lo, piece in self.pieces.get((have[i], have[i + 1]), ()) if have[i : i + len(piece)] == piece}
+        out = []
+        for name, first in at:
+            lo, hi = self.window(name, first, len(have))
+            out.append((self.saved(name, text[spans[lo][0] : spans[hi - 1][1]]), name, first))
+        return sorted(out, key=lambda x: (-x[0], -len(self.words[x[1]]), x[1:]))
+
+    def window(self, name: str, first: int, n: int) -> tuple[int, int]:
+        """First and end word of where a template lies that begins near ``first``."""
+        return max(0, first - self.most[name]), min(n, first + len(self.words[name]) + self.most[name])
+
+    def identify(self, text: str) -> Notice | None:
+        """The best-ranked template that the wording confirms."""
+        have, spans = [], []
+        for m in _WORD.finditer(text):
+            have.append(sys.intern(m.group().lower()))
+            spans.append(m.span())
+        for saved, name, first in self.ranked(text, have, spans):
+            want = self.words[name]
+            lo, hi = self.window(name, first, len(have))
+            if sum((Counter(want) - Counter(have[lo:hi])).values()) > self.most[name]:
+                continue
+            pairs = [(i, first - lo + i) for i in range(len(want))] if first >= 0 and have[first : first + len(want)] == want else aligned(want, have[lo:hi])
+            found = differences(want, have[lo:hi], pairs)
+            if found is not None and len(found) <= self.most[name]:
+                return Notice(name, saved / self.copy[name], tuple(found), spans[lo + pairs[0][1]][0])
         return None
 
     def blocks(self, text: str) -> list[tuple[int, str]]:
@@ -141,7 +197,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n[lo + d] += 1
                     got = matcher.identify(block)
                     if got:
-                        found[lo + d].append({"line": line, "template": got[0], "saving": got[1], "differences": list(got[2])})
+                        found[lo + d].append({"line": line + block.count("\n", 0, got.place), "template": got.template, "saving": got.saving, "differences": list(got.differences)})
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, _FOUND)], names=["id", "n_blocks", "notices"])
 
 

@@ -304,6 +304,22 @@ def test_every_template_knows_itself():
         assert m.identify(text)[0] == name and m.identify(text)[2] == ()
 
 
+def test_notices_inside_long_lines_are_found(spark):
+    rng = random.Random(5)
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": licenses.TEMPLATES["GPL-3.0"]}
+    rows = [(100 * k + j, f"{prose(rng, n)}. {text} {prose(rng, n)}", "s") for k, text in enumerate(notices.values()) for j, n in enumerate([15, 60, 300, 5000])]
+    got = {r.id: [(n.template, list(n.differences)) for n in r.notices] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {100 * k + j: [(name, [])] for k, name in enumerate(notices) for j in range(4)}
+
+
+def test_wording_decides_alone():
+    m = licenses.Matcher()
+    assert m.identify("This work is licensed under the GNU Affero General Public License, version 3.") is None
+    assert m.identify("This work is licensed under the GNU General Public License, version 1.") is None
+    found = m.identify("see the files. " * 40 + "This work is now licensed under the GNU General Public License, version 3.")
+    assert found.template == "GPL-3.0" and found.differences == ("+now",)
+
+
 # search
 
 
