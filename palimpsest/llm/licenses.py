@@ -6,7 +6,8 @@ compressed with zstandard alone and once more with the template as raw-content
 dictionary; the bytes saved rank the templates, however much text stands beside
 the notice.  A template is confirmed only by wording: its words are aligned with
 the window's, and the differences must be few and leave the license's name and
-version alone.  The best-ranked template that is confirmed names the license.
+version alone.  The best-ranked template that is confirmed takes its words out of
+the block, and the others go on with what is left: a block yields all its notices.
 """
 
 from __future__ import annotations
@@ -147,22 +148,30 @@ class Matcher:
         """First and end word of where a template lies that begins near ``first``."""
         return max(0, first - self.most[name]), min(n, first + len(self.words[name]) + self.most[name])
 
-    def identify(self, text: str) -> Notice | None:
-        """The best-ranked template that the wording confirms."""
+    def notices(self, text: str) -> list[Notice]:
+        """All notices of a text in their order.  Words that one is aligned with are no part of another."""
         have, spans = [], []
         for m in _WORD.finditer(text):
             have.append(sys.intern(m.group().lower()))
             spans.append(m.span())
+        free: list[str | None] = list(have)  # None: taken
+        out = []
         for saved, name, first in self.ranked(text, have, spans):
-            want = self.words[name]
+            want, most = self.words[name], self.most[name]
             lo, hi = self.window(name, first, len(have))
-            if sum((Counter(want) - Counter(have[lo:hi])).values()) > self.most[name]:
+            if sum((Counter(want) - Counter(free[lo:hi])).values()) > most:
                 continue
-            pairs = [(i, first - lo + i) for i in range(len(want))] if first >= 0 and have[first : first + len(want)] == want else aligned(want, have[lo:hi])
+            pairs = [(i, first - lo + i) for i in range(len(want))] if first >= 0 and free[first : first + len(want)] == want else aligned(want, free[lo:hi])
             found = differences(want, have[lo:hi], pairs)
-            if found is not None and len(found) <= self.most[name]:
-                return Notice(name, saved / self.copy[name], tuple(found), spans[lo + pairs[0][1]][0])
-        return None
+            if found is not None and len(found) <= most:
+                out.append(Notice(name, saved / self.copy[name], tuple(found), spans[lo + pairs[0][1]][0]))
+                for _, j in pairs:
+                    free[lo + j] = None
+        return sorted(out, key=lambda x: x.place)
+
+    def identify(self, text: str) -> Notice | None:
+        """The notice that saves the most of those in a text."""
+        return max(self.notices(text), key=lambda x: x.saving * self.copy[x.template], default=None)
 
     def blocks(self, text: str) -> list[tuple[int, str]]:
         """(first line, text) of the candidate blocks: runs of lines with a cue, or all of whose words are a template's."""
@@ -195,8 +204,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in sorted(hits):
                 for line, block in matcher.blocks(raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")):
                     n[lo + d] += 1
-                    got = matcher.identify(block)
-                    if got:
+                    for got in matcher.notices(block):
                         found[lo + d].append({"line": line + block.count("\n", 0, got.place), "template": got.template, "saving": got.saving, "differences": list(got.differences)})
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, _FOUND)], names=["id", "n_blocks", "notices"])
 

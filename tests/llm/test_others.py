@@ -320,6 +320,16 @@ def test_wording_decides_alone():
     assert found.template == "GPL-3.0" and found.differences == ("+now",)
 
 
+def test_a_block_yields_all_its_notices(spark):
+    apache, mit, header = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-header"]
+    rows = [(1, f"{apache}\n{mit}", "s"), (2, f"Copyright 2020 Jane Doe. All rights reserved.\n{mit}", "s"), (3, f"{mit} {apache} {mit}\n{mit}", "s"), (4, f"{header}\n{apache} All rights reserved.", "s")]
+    got = {r.id: [(n.line, n.template) for n in r.notices] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[1] == [(0, "Apache-2.0"), (1, "MIT")]
+    assert got[2] == [(0, "all-rights-reserved"), (1, "MIT")]
+    assert got[3] == [(0, "MIT"), (0, "Apache-2.0"), (0, "MIT"), (1, "MIT")]
+    assert got[4] == [(0, "Apache-2.0-header"), (1, "Apache-2.0"), (1, "all-rights-reserved")]
+
+
 # search
 
 
