@@ -1,13 +1,14 @@
 """License notices by conditional compression.
 
-A candidate block is a run of lines that look like a notice.  Where it shares a
-run of words with a template, the window that the template would fill is
-compressed with zstandard alone and once more with the template as raw-content
+A text with a candidate block, a run of lines that look like a notice, is
+searched as a whole, as notices begin and go on in lines and paragraphs that
+don't.  Where it shares a run of words with a template, the window that the
+template would fill is compressed with zstandard alone and once more with the template as raw-content
 dictionary; the bytes saved rank the templates, however much text stands beside
 the notice.  A template is confirmed only by wording: its words are aligned with
 the window's, and the differences must be few and leave the license's name and
 version alone.  The best-ranked template that is confirmed takes its words out of
-the block, and the others go on with what is left: a block yields all its notices.
+the text, and the others go on with what is left: a text yields all its notices.
 """
 
 from __future__ import annotations
@@ -47,8 +48,28 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Full wordings.
+TEMPLATES |= {
+    "BSD-2-Clause-text": _BSD + _BSD_END,
+    "BSD-3-Clause-text": _BSD + _BSD_NAMES + _BSD_END,
+    "MIT-full-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+}
+#: The notice of the GNU licenses, and its first paragraph alone: the wording is theirs, the name and version differ.
+for _name, _what, _which, _version in (
+    ("AGPL-3.0", "program", "Affero General", "3"),
+    ("GPL-2.0", "program", "General", "2"),
+    ("GPL-3.0", "program", "General", "3"),
+    ("LGPL-2.0", "library", "Library General", "2"),
+    ("LGPL-2.1", "library", "Lesser General", "2.1"),
+    ("LGPL-3.0", "library", "Lesser General", "3"),
+):
+    TEMPLATES[f"{_name}-opening"] = f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the GNU {_which} Public License as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later version."
+    TEMPLATES[f"{_name}-notice"] = f"{TEMPLATES[f'{_name}-opening']} This {_what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {_which} Public License for more details. You should have received a copy of the GNU {_which} Public License along with this {_what}. If not, see <https://www.gnu.org/licenses/>."
 #: What a line of a notice contains, in lower case.
-CUES = (b"licens", b"copyright", b"rights reserved", b"permission", b"public domain", b"warrant", b"creative commons", b"mozilla public")
+CUES = (b"licens", b"copyright", b"rights reserved", b"permission", b"public domain", b"warrant", b"creative commons", b"mozilla public", b"redistribution")
 LEVEL, MOST_DIFFERENCES = 6, 0.1
 #: Words that tell licenses apart, and words whose follower does (a version, if it has a digit).
 TELLING, BEFORE_NAME, BEFORE_VERSION = {"gnu", "affero", "lesser"}, {"gnu", "affero", "lesser"}, {"version", "v"}
@@ -148,6 +169,15 @@ class Matcher:
         """First and end word of where a template lies that begins near ``first``."""
         return max(0, first - self.most[name]), min(n, first + len(self.words[name]) + self.most[name])
 
+    def fitted(self, name: str, first: int, free: list[str | None]) -> list[tuple[int, int]]:
+        """The alignment of a template with the window near ``first``; none if the window lacks too many of its words."""
+        want = self.words[name]
+        if first >= 0 and free[first : first + len(want)] == want:
+            return [(i, first + i) for i in range(len(want))]
+        lo, hi = self.window(name, first, len(free))
+        lacking = Counter(want) - Counter(free[lo:hi])
+        return [] if sum(lacking.values()) > self.most[name] else [(i, lo + j) for i, j in aligned(want, free[lo:hi])]
+
     def notices(self, text: str) -> list[Notice]:
         """All notices of a text in their order.  Words that one is aligned with are no part of another."""
         have, spans = [], []
@@ -157,16 +187,14 @@ class Matcher:
         free: list[str | None] = list(have)  # None: taken
         out = []
         for saved, name, first in self.ranked(text, have, spans):
-            want, most = self.words[name], self.most[name]
-            lo, hi = self.window(name, first, len(have))
-            if sum((Counter(want) - Counter(free[lo:hi])).values()) > most:
-                continue
-            pairs = [(i, first - lo + i) for i in range(len(want))] if first >= 0 and free[first : first + len(want)] == want else aligned(want, free[lo:hi])
-            found = differences(want, have[lo:hi], pairs)
-            if found is not None and len(found) <= most:
-                out.append(Notice(name, saved / self.copy[name], tuple(found), spans[lo + pairs[0][1]][0]))
+            pairs = self.fitted(name, first, free)
+            if pairs:  # a phrase that comes twice may have put the window beside the notice
+                pairs = max(pairs, self.fitted(name, pairs[0][1] - pairs[0][0], free), key=len)
+            found = differences(self.words[name], have, pairs)
+            if found is not None and len(found) <= self.most[name]:
+                out.append(Notice(name, saved / self.copy[name], tuple(found), spans[pairs[0][1]][0]))
                 for _, j in pairs:
-                    free[lo + j] = None
+                    free[j] = None
         return sorted(out, key=lambda x: x.place)
 
     def identify(self, text: str) -> Notice | None:
@@ -202,15 +230,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hits.add(int(np.searchsorted(offsets, at, side="right")) - 1)
                     at = low.find(cue, at + 1)
             for d in sorted(hits):
-                for line, block in matcher.blocks(raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")):
-                    n[lo + d] += 1
-                    for got in matcher.notices(block):
-                        found[lo + d].append({"line": line + block.count("\n", 0, got.place), "template": got.template, "saving": got.saving, "differences": list(got.differences)})
+                text = raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")
+                n[lo + d], line, at = len(matcher.blocks(text)), 0, 0
+                for got in matcher.notices(text):
+                    line, at = line + text.count("\n", at, got.place), got.place
+                    found[lo + d].append({"line": line, "template": got.template, "saving": got.saving, "differences": list(got.differences)})
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(found, _FOUND)], names=["id", "n_blocks", "notices"])
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_blocks`` (candidates) and ``notices`` (line from 0, template, saving, differences) of every row.
+    """``id``, ``n_blocks`` (runs of lines that look like a notice; a text with none is not searched) and ``notices`` (line from 0, template, saving, differences) of every row.
 
     Null and empty texts have no candidates; repeated rows give equal rows.
     """

@@ -330,6 +330,32 @@ def test_a_block_yields_all_its_notices(spark):
     assert got[4] == [(0, "Apache-2.0-header"), (1, "Apache-2.0"), (1, "all-rights-reserved")]
 
 
+def test_full_wordings_are_found_as_they_are_wrapped(spark):
+    import textwrap
+
+    def wrapped(name, width, mark=""):
+        text = licenses.TEMPLATES[name]
+        for start in ("The above copyright notice", "THE SOFTWARE IS", "THIS SOFTWARE IS", "1. ", "2. ", "3. N", "This program is distributed", "You should have"):
+            text = text.replace(" " + start, "\n\n" + start)
+        return "\n".join(mark + x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""])
+
+    full = ["MIT-full-text", "BSD-2-Clause-text", "BSD-3-Clause-text"] + [f"{x}-{y}" for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0") for y in ("notice", "opening")]
+    rows = [(10 * i + j, "Some prose.\n" + wrapped(name, width, mark) + "\nMore prose.", "s") for i, name in enumerate(full) for j, (width, mark) in enumerate([(40, ""), (70, " * "), (9999, "")])]
+    got = {r.id: [(n.line, n.template, list(n.differences)) for n in r.notices] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {10 * i + j: [(1, name, [])] for i, name in enumerate(full) for j in range(3)}
+
+
+def test_versions_and_names_within_full_wordings():
+    m = licenses.Matcher()
+    gpl = licenses.TEMPLATES["GPL-3.0-notice"]
+    assert m.notices(gpl.replace("version 3", "version 4")) == []
+    assert m.notices(gpl.replace("GNU General", "GNU Other General")) == []
+    assert [x.template for x in m.notices(gpl.replace("This program", "Frobnicate"))] == ["GPL-3.0-notice"]
+    assert [x.template for x in m.notices(gpl[: gpl.index("This program is distributed")])] == ["GPL-3.0-opening"]
+    mit = licenses.TEMPLATES["MIT-full-text"]
+    assert [x.template for x in m.notices(mit[: mit.index(", and to permit")])] == ["MIT-text"]
+
+
 # search
 
 
