@@ -25,8 +25,6 @@ GRAM, BUCKETS, SCALE = 4, 1 << 16, 1024
 PSEUDO = 2.0
 #: A document passes if its mean log ratio is at least this.
 THRESHOLD = -0.4
-#: At most so many trusted documents (the smallest by hash of the id) make the target multinomial.
-TRUSTED = 20_000
 #: Base rules: too few words; words in repeated three-word windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -107,24 +105,18 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _count(trusted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        raw_counts, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            ids = batch.column(0)
-            known = pc.is_in(ids, pa.array(trusted)).to_numpy(zero_copy_only=False)
-            for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
-                at, found = buckets(raw, offsets)
-                raw_counts += np.bincount(found, minlength=BUCKETS)
-                if known[lo:hi].any():
-                    doc = np.searchsorted(offsets, at, side="right") - 1
-                    target += np.bincount(found[known[lo:hi][doc]], minlength=BUCKETS)
-        some = np.flatnonzero(raw_counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw_counts[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw_counts, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        known = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
+            at, found = buckets(raw, offsets)
+            raw_counts += np.bincount(found, minlength=BUCKETS)
+            if known[lo:hi].any():
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                target += np.bincount(found[known[lo:hi][doc]], minlength=BUCKETS)
+    some = np.flatnonzero(raw_counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw_counts[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
 
 def fit_ratio(documents: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
@@ -133,12 +125,16 @@ def fit_ratio(documents: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     Both counts are on the scale of the target and get ``PSEUDO`` added, so that
     what is too rare to judge by counts for nothing, in small corpora as in large.
     ``trusted`` has the ids (first column) of trusted documents.  The raw counts
-    cover every document; the driver gets one row for each of ``BUCKETS``.
+    cover every document and the target's every trusted one, marked by a join on
+    the id and counted in the same pass; the driver gets one row for each of
+    ``BUCKETS``.
     """
-    key = trusted.columns[0]
-    ids = trusted.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).orderBy(F.xxhash64("id"), "id").limit(TRUSTED)
-    known = np.array([r[0] for r in ids.collect()], dtype=np.int64)
-    found = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_count(known), "bucket long, raw long, target long")
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Rows without an id are not dealt out: they would all go to one task.
+    marked = rows.where("id IS NOT NULL").join(ids.hint("shuffle_hash"), "id", "left").select(F.coalesce("known", F.lit(False)).alias("known"), "text")
+    marked = marked.unionByName(rows.where("id IS NULL").select(F.lit(False).alias("known"), "text"))
+    found = marked.mapInArrow(_count, "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target

@@ -47,6 +47,17 @@ def test_junk_falls_and_prose_stays(spark):
     assert quality.judge(empty(spark), quality.fit_ratio(empty(spark), nothing)).count() == 0
 
 
+def test_all_trusted_documents_are_counted(spark):
+    import numpy as np
+
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "if(id < 25000, 'abcd', 'zzzz') AS text").unionByName(spark.createDataFrame([(None, "zzzz"), (7, "abcd"), (7, None)], "doc_id long, text string"))
+    trusted = spark.range(25_000).unionByName(spark.createDataFrame([(None,), (7,), (99_999,)], "id long"))
+    model = quality.fit_ratio(docs, trusted)
+    for gram, target, raw in (("abcd", 25_001, 25_001), ("zzzz", 0, 5_001)):
+        _, b = quality.buckets(np.frombuffer(gram.encode(), dtype=np.uint8), np.array([0, 4]))
+        assert model.weights[b[0]] == round(quality.SCALE * float(np.log((target + quality.PSEUDO) / (raw * 25_001 / 30_002 + quality.PSEUDO))))
+
+
 def test_ratio_is_what_the_definition_says(spark):
     import numpy as np
 
