@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._scratch import keep
+from palimpsest.llm import minhash
+from palimpsest.llm._scratch import keep, settled
 from palimpsest.llm.mixing import word_count
 
 CAPACITY, PER_SOURCE, GROUP = 2048, 3, 8192
@@ -69,16 +70,22 @@ def _packed(capacity: int, per_source: int):
     return run
 
 
-def best_fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
+def best_fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: ``id``, ``piece``, ``start`` and ``length`` (words of the text), ``bin_id``, ``offset`` (words before it in the bin).
 
-    ``cluster`` tells duplicates; by default rows with equal texts are.  A null
-    source is a source.  A text without words has one row of length 0 and no bin.
+    ``cluster`` tells duplicates; by default rows with equal texts are.
+    ``clusters`` tells them instead by row: ``rid`` (``monotonically_increasing_id``
+    on ``documents``, which must be ``settled``) and ``cluster``.  A null source is a source.  A text without words has one row of length 0 and no bin.
     Repeated rows are packed one by one (and, being duplicates, apart).
     """
     text = F.col(text_col)
     cluster = F.xxhash64(text) if cluster is None else cluster
-    rows = keep(documents.select(F.col(id_col).cast("long").alias("id"), word_count(text).alias("n"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster")), "pieces")
+    columns = [F.col(id_col).cast("long").alias("id"), word_count(text).alias("n"), F.col(source_col).cast("string").alias("source")]
+    if clusters is None:
+        rows = documents.select(*columns, cluster.alias("cluster"))
+    else:
+        rows = documents.select(F.monotonically_increasing_id().alias("rid"), *columns).join(clusters, "rid").drop("rid")
+    rows = keep(rows, "pieces")
     pieces = F.expr(f"sequence(0L, greatest((n + {capacity - 1}) div {capacity} - 1, 0L))")
     rows = rows.withColumn("piece", F.explode(pieces)).withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(capacity)))
     whole = F.col("length") == capacity
@@ -93,7 +100,14 @@ def best_fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return packed.unionByName(full).unionByName(none)
 
 
+def near_copies_apart(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
+    """``best_fit`` with the near-duplicate components of ``minhash`` as clusters; equal texts are in one component."""
+    documents = settled(documents)
+    clusters = minhash.near_duplicates(documents).select("rid", F.col("root").alias("cluster"))
+    return best_fit(documents, capacity=capacity, per_source=per_source, clusters=clusters)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
-    found = best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every piece of every document with its place in a sequence; near copies are in different ones."""
+    found = near_copies_apart(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumnRenamed("id", "doc_id")

@@ -189,6 +189,16 @@ def test_every_word_is_packed_once(spark):
 # mixing
 
 
+def test_near_copies_are_packed_apart(spark, tmp_path):
+    rng = random.Random(4)
+    base = prose(rng, 100).split(" ")
+    rows = [(i, " ".join(["edit%d" % i, *base[1:]]), f"s{i}") for i in range(8)] + [(8, " ".join(base), "s8"), (9, " ".join(base), "s9")] + [(100 + i, prose(rng, 100), f"t{i}") for i in range(30)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op4(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    assert len({r.bin_id for r in got if r.doc_id < 10}) == 10
+
+
 def test_targets_by_hand():
     assert mixing.capped_targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
     assert mixing.capped_targets([300, 10, 10], [1, 2, 3]) == pytest.approx([260, 30, 30])
