@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._scratch import keep
+from palimpsest.llm._scratch import keep, shared_dir
 
 SLOTS, SHARDS = 4096, 8
 
@@ -116,12 +117,32 @@ def load_map(spark, path: str, version: int | None = None) -> SlotMap:
     return SlotMap(int(version), rows[0].shards, tuple(r.shard for r in rows), tuple(r.bytes for r in rows))
 
 
-def shard_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def stored_map(spark, path: str | None, sizes: list[int], shards: int) -> SlotMap:
+    """The map for ``sizes``, stored as a version and read back.
+
+    The latest version at ``path``, if there is one, is rebalanced; else version
+    1 is made.  Without a path the table is in the shared folder until the application ends.
+    """
+    kept, path = path is not None, path or f"{shared_dir(spark)}/palimpsest-maps-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not kept:
+        files.deleteOnExit(target)
+    old = load_map(spark, path) if files.exists(target) else None
+    if old and len(old.shard_of) != len(sizes):
+        raise ValueError(f"the stored map has {len(old.shard_of)} slots, not {len(sizes)}")
+    made = rebalanced(old, sizes, shards) if old else new_map(sizes, shards)
+    save_map(spark, path, made)
+    return load_map(spark, path, made.version)
+
+
+def shard_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """``id``, ``size``, ``text_crc32``, ``vslot``, ``shard`` and ``place`` (gapless from 0 in each shard) of every row.
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1).  The slot goes by id
     and text, so that a third of all rows with one text, or with one id and many
-    texts, still spreads; only rows that are alike in both stay together.
+    texts, still spreads; only rows that are alike in both stay together.  ``maps`` is the
+    table of map versions: its latest is rebalanced and the next one added.
     """
     text = F.col(text_col)
     rows = documents.select(
@@ -131,7 +152,7 @@ def shard_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
     rows = keep(rows.withColumn("vslot", slot(F.col("id"), F.col("text_crc32"), slots=slots)), "records")
     sizes, counts = slot_sizes(rows, slots)
-    made = new_map(sizes, shards)
+    made = stored_map(documents.sparkSession, maps, sizes, shards)
     before, start = [0] * shards, [0] * slots  # rows of the shard that lie in earlier slots
     for s, shard in enumerate(made.shard_of):
         start[s] = before[shard]

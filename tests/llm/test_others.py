@@ -274,6 +274,20 @@ def test_maps_are_edited_not_made_anew(spark, tmp_path):
     assert sharding.load_map(spark, str(tmp_path / "maps"), 1) == old
 
 
+def test_sharding_goes_by_the_stored_map(spark, tmp_path, monkeypatch):
+    saved = []
+    monkeypatch.setattr(sharding, "save_map", lambda *x, f=sharding.save_map: (saved.append(x[2].version), f(*x)))
+    frame(spark, awkward()).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sharding.op2(spark, str(tmp_path)).count() == len(awkward()) and saved == [1]
+    rng = random.Random(9)
+    maps = str(tmp_path / "maps")
+    rows = [(i, prose(rng, 20), "s") for i in range(400)]
+    one = {r.id: r.shard for r in sharding.shard_documents(frame(spark, rows), shards=4, slots=256, maps=maps).collect()}
+    two = {r.id: r.shard for r in sharding.shard_documents(frame(spark, rows), shards=5, slots=256, maps=maps).collect()}
+    assert saved == [1, 1, 2] and sharding.load_map(spark, maps).version == 2
+    assert 0 < sum(one[i] != two[i] for i in one) < 160 and set(two.values()) == set(range(5))
+
+
 # chat
 
 
