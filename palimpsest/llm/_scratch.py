@@ -12,21 +12,39 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of this process only where it is unset (tests)."""
-    app = spark.sparkContext.applicationId
+    """``spark.checkpoint.dir`` of the session, a folder that all machines share.
+
+    Where it is unset and the session is one process (tests), a temporary folder
+    of that process; on a cluster an error, as executors couldn't read each other's files.
+    """
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = _own[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return found.rstrip("/")
 
 
-#: Input splits whose results go into one file, where a step makes little of much.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Input splits whose results go into one file, where a step makes little of much and has splits for all cores.
 SPLITS_PER_FILE = 4
 
 
 def fewer_files(df: DataFrame) -> DataFrame:
-    """``df`` with ``SPLITS_PER_FILE`` of its partitions in one task; for scans, whose partitions are known beforehand."""
-    return df.coalesce(max(1, df._jdf.queryExecution().toRdd().getNumPartitions() // SPLITS_PER_FILE))
+    """``df`` with up to ``SPLITS_PER_FILE`` of its partitions in one task, as long as every core has four tasks; for scans."""
+    n, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, n // SPLITS_PER_FILE, min(n, 4 * cores)))
 
 
 def keep(df: DataFrame, name: str = "t", scan: bool = False) -> DataFrame:

@@ -1,23 +1,26 @@
 """Byte strings of ``MIN_LENGTH`` or more that occur twice: a suffix array over anchored contexts.
 
 A suffix array of the whole corpus would be one unbounded sort.  Anchors cut it
-into small ones without losing a repeat: every ``MIN_LENGTH``-byte window picks
-its smallest ``GRAM``-byte gram by hash, a choice that depends on the window's
-bytes alone, so that equal windows pick equal grams at equal places.  The
-picked grams (about one in 75 bytes) are the anchors.
-
-1. Anchors are counted over the whole corpus; texts without a repeated anchor
-   have no repeat and are not looked at again.
-2. Around each repeated anchor lies a context, the bytes that windows with this
-   anchor can reach.  Equal contexts are one class; a class with two members is
-   a repeat over its whole length.
-3. The classes of an anchor make an enhanced suffix array (suffixes by their
-   next bytes, with common-prefix lengths).  A stack scan lists the intervals of
-   its common-prefix tree; those whose left neighbours differ are the maximal
-   repeats, given with all their occurrences.
-4. An anchor with more than ``most`` classes would be too much for one task.
-   Its windows are counted by hash instead, with partial sums, which finds the
-   same bytes.
+into parts without losing a repeat: every ``MIN_LENGTH``-byte window picks its
+smallest ``GRAM``-byte gram by hash (of equal ones the leftmost), a choice that
+depends on the window's bytes alone.  So equal windows pick equal grams, every
+window belongs to one anchor, and all places of a repeat lie with the anchor of
+its first window.
+
+1. Each anchor has a context: the windows that picked it, and what follows the
+   gram up to ``MIN_LENGTH`` bytes from its start.  Anchors are counted over the
+   whole corpus; an anchor that occurs once has no repeat.
+2. Equal contexts are one class with many members.  The classes of an anchor,
+   each once, make an enhanced suffix array: suffixes in the order of their
+   bytes, with common-prefix lengths.  A stack scan lists the intervals of its
+   common-prefix tree, leaves of classes with several members included; those
+   whose left neighbours differ are the maximal repeats.
+3. Classes are expanded to their members, so that a repeat has all its places.
+4. An anchor with more than ``most`` suffixes would be too much for one task.
+   The upper part of its tree is made by aggregates instead: the least and the
+   greatest suffix of a node give the node's length, and its suffixes are split
+   by the byte that follows, until a node is small enough for a task.  The tree
+   is the same wherever the line is drawn.
 
 Matches never cross texts.  Lengths and places are in bytes of UTF-8.
 """
@@ -32,16 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _kernel
-from palimpsest.llm._scratch import keep, keep_dealt, rows_with_id, settled
+from palimpsest.llm._scratch import keep, keep_dealt, rows_with_id, settled, unused
 
 MIN_LENGTH, GRAM = 200, 32
-MOST_CLASSES = 20_000
-#: Bytes of contexts that one suffix array takes, but for a single anchor's.
+#: Suffixes of one anchor, or of one node of its tree, that a single task sorts.
+MOST_SUFFIXES = 1 << 17
+#: Bytes of contexts that are taken together, but for a single anchor's.
 CHUNK = 1 << 19
 #: Suffixes that are sorted at a time.
 SUFFIXES = 1 << 18
+#: Bytes of one text that are looked at together.
+SEGMENT = 1 << 19
 
 _U = np.uint64
+_FOUND = "group string, h long, c long, off long, length long"
 
 
 def _running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,79 +61,77 @@ def _running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, back
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a run of texts, and the running sums behind them."""
+def contexts(raw: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """The contexts of a run of texts: ``doc``, first byte ``s`` and end ``e`` (in ``raw``), ``w`` windows, anchor ``h``, class ``c``, unclipped end ``full``."""
+    n, sizes = len(raw) - gram + 1, np.diff(offsets)
+    big = sizes >= min_length
+    if not big.any():
+        return {k: np.zeros(0, _U if k in "hc" else np.int64) for k in ("doc", "s", "e", "w", "h", "c", "full")}
     sums, back = _running(raw)
-    n = len(raw) - gram + 1
-    sizes = np.diff(offsets)
-    if n <= 0 or not (sizes >= min_length).any():
-        return np.zeros(0, np.int64), np.zeros(0, _U), sums
     hashes = _kernel.mix((sums[gram:] - sums[:-gram]) * back[:n])
-    packed = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(n, dtype=_U)
-    width, reach, low = min_length - gram + 1, 1, packed
+    low = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(n, dtype=_U)
+    width, reach = min_length - gram + 1, 1
     while reach * 2 <= width:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
     if reach < width:
         low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
     change = np.zeros(len(raw) + 1, dtype=np.int32)
-    big = sizes >= min_length
     np.add.at(change, offsets[:-1][big], 1)
     np.add.at(change, offsets[1:][big] - min_length + 1, -1)
-    inside = np.cumsum(change[: len(low)]) > 0
-    picked = np.zeros(n, dtype=bool)
-    picked[(low[inside] & _U(0xFFFFFFFF)).astype(np.int64)] = True
-    places = np.flatnonzero(picked)
-    return (places := _thinned(places, hashes[places], width)), hashes[places], sums
-
-
-def _thinned(places: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
-    """Of equal neighbours only as many that every window of ``width`` grams that had one still has one."""
-    equal = np.flatnonzero(hashes[1:] == hashes[:-1])
-    if not len(equal):
-        return places
-    keep = np.ones(len(places), dtype=bool)
-    for run in np.split(equal, np.flatnonzero(np.diff(equal) > 1) + 1):
+    window = np.flatnonzero(np.cumsum(change[: len(low)]) > 0)
+    pick = (low[window] & _U(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])
+    place, first, last = pick[new], window[new], window[np.r_[new[1:], len(window)] - 1]
+    doc = np.searchsorted(offsets, first, side="right") - 1
+    opens = _opens(place, hashes[place], doc, width)
+    closes = np.r_[opens[1:], len(place)] - 1
+    s, w, full = first[opens], last[closes] - first[opens] + 1, place[closes] + min_length
+    e = np.minimum(full, offsets[doc[opens] + 1])
+    c = _kernel.mix((sums[e] - sums[s]) * back[s] + _kernel.mix((w * 65536 + e - s).astype(_U)))
+    return {"doc": doc[opens], "s": s, "e": e, "w": w, "h": hashes[place[opens]], "c": c, "full": full}
+
+
+def _opens(place: np.ndarray, hashes: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """Where contexts begin among the picked grams: equal ones close to each other share one."""
+    opens = np.ones(len(place), dtype=bool)
+    equal = np.flatnonzero((hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1]))
+    for run in np.split(equal, np.flatnonzero(np.diff(equal) > 1) + 1) if len(equal) else []:
         lo, hi = run[0], run[-1] + 2
-        own, i = places[lo:hi], 0
-        keep[lo:hi] = False
-        while i < len(own):
-            keep[lo + i] = True
-            i = max(i + 1, int(np.searchsorted(own, own[i] + width, side="right")) - 1)
-    return places[keep]
-
-
-def _list_anchors(min_length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
-                at, h, _ = anchors(raw, offsets, min_length, gram)
-                doc = np.searchsorted(offsets, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[lo:hi][doc]), pa.array(at - offsets[doc])], names=["h", "rid", "at"])
-
-    return run
+        opens[lo:hi] = False
+        while lo < hi:
+            opens[lo] = True
+            lo += int(np.searchsorted(place[lo:hi], place[lo] + width))
+    return np.flatnonzero(opens)
+
+
+def _of_long_text(raw: np.ndarray, min_length: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+    """``contexts`` of one text, a segment at a time; a context cut by a segment's end is left to the next one."""
+    at = 0
+    while True:
+        part = raw[at : at + SEGMENT]
+        found = contexts(part, np.array([0, len(part)]), min_length, gram)
+        final = at + len(part) == len(raw)
+        n = len(found["s"])
+        if not final:
+            n = min(n - 1, int(np.argmax(np.r_[found["full"] > len(part), True])))
+        yield {k: v[:n] + at if k in ("s", "e") else v[:n] for k, v in found.items()}
+        if final:
+            return
+        at += int(found["s"][n])
 
 
 def _list_contexts(min_length: int, gram: int):
-    """The context of each repeated anchor, with a hash of its bytes and of the anchor's place in it."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, asked = batch.column(0).to_numpy(), batch.column(2)
-            first = np.r_[0, np.cumsum(asked.value_lengths().to_numpy())]
-            flat = asked.flatten()
-            h, place = flat.field("h").to_numpy(), flat.field("at").to_numpy()
+            rid = batch.column(0).to_numpy()
             for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
-                sums, back = _running(raw)
-                doc = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
-                at = offsets[doc] + place[first[lo] : first[hi]]
-                start = np.maximum(offsets[doc], at - (min_length - gram))
-                end = np.minimum(offsets[doc + 1], at + min_length)
-                c = _kernel.mix((sums[end] - sums[start]) * back[start] + _kernel.mix(((at - start) * 65536 + end - at).astype(_U)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first[lo] : first[hi]]), pa.array(rid[lo:hi][doc]), pa.array(c.view(np.int64)), pa.array(start - offsets[doc]), pa.array(end - offsets[doc])], names=["h", "rid", "c", "s", "e"]
-                )
+                long = hi - lo == 1 and len(raw) > SEGMENT
+                for x in _of_long_text(raw, min_length, gram) if long else [contexts(raw, offsets, min_length, gram)]:
+                    s, e = x["s"] - offsets[x["doc"]], x["e"] - offsets[x["doc"]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x["h"].view(np.int64)), pa.array(x["c"].view(np.int64)), pa.array(rid[lo:hi][x["doc"]]), pa.array(s), pa.array((e - s).astype(np.int32)), pa.array(x["w"].astype(np.int32))], names=["h", "c", "rid", "s", "size", "w"]
+                    )
 
     return run
 
@@ -134,178 +139,269 @@ def _list_contexts(min_length: int, gram: int):
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted context of each text."""
     for batch in batches:
-        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        wanted, texts, rid = col["wanted"], col["text"].cast(pa.large_binary()), col["rid"].to_numpy()
+        texts, wanted = batch.column(0).cast(pa.large_binary()), batch.column(1)
         for i in range(batch.num_rows):
             raw, asked = texts[i].as_py(), wanted[i].values
-            h, s, e = (asked.field(n).to_numpy() for n in ("h", "s", "e"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(np.full(len(h), rid[i])), pa.array(s), pa.array([raw[x:y] for x, y in zip(s, e, strict=True)], pa.binary())], names=["h", "rid", "s", "ctx"]
-            )
+            s = asked.field("s").to_numpy()
+            body = [raw[x : x + y] for x, y in zip(s, asked.field("size").to_numpy(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(asked.field(x) for x in ("h", "c", "n", "w")), pa.array(body, pa.binary())], names=["h", "c", "n", "w", "body"])
 
 
-def suffix_intervals(raw: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, key: np.ndarray, first: np.ndarray, min_length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Maximal repeats (length, places) of at least ``min_length`` bytes among ``suffixes`` of ``raw``.
+def suffix_intervals(raw: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, left: np.ndarray, several: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Left-diverse intervals (bytes in common, suffixes) of the common-prefix tree of the suffixes of each ``key``.
 
-    ``ends``: where each suffix's text ends.  ``key``: a hash of its first
-    ``min_length`` bytes.  ``first``: the suffix begins its text, so that its left
-    neighbour differs from any other.  Suffixes are sorted by key, as the order
-    of their beginnings says nothing about repeats of that length, then by what
-    follows.
+    A suffix is ``raw[start:end]``; suffixes of different keys have nothing in
+    common.  ``left``: its left neighbour (a number that no other suffix has
+    where it differs from all).  ``several``: the suffix stands for occurrences
+    whose left neighbours differ, so that it is an interval by itself.
     """
-    if not len(key):
-        return
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    by_key = key[order]
+    new = np.flatnonzero(np.r_[True, by_key[1:] != by_key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[new, len(key)])
-    places = suffixes[order]
-    left = raw[np.maximum(places - 1, 0)].astype(np.int64)
-    starts_text = first[order]
-    left[starts_text] = 256 + np.flatnonzero(starts_text)
-    # A run of equal windows after one and the same byte is not left-diverse, nor is any interval in it.
-    diverse = (np.maximum.reduceat(left, new) != np.minimum.reduceat(left, new)) & (size > 1) if len(new) else np.zeros(0, bool)
+    lone = order[new[size == 1]]
+    for i in lone[several[lone]]:
+        yield int(end[i] - start[i]), np.array([i])
+    if not (size > 1).any():
+        return
+    neighbour = left[order]
+    # A run of equal keys after one and the same byte is not left-diverse, nor is any interval in it.
+    diverse = (size > 1) & ((np.maximum.reduceat(neighbour, new) != np.minimum.reduceat(neighbour, new)) | np.logical_or.reduceat(several[order], new))
     for run in np.flatnonzero(diverse):
-        lo, hi = new[run], new[run] + size[run]
-        here = order[lo:hi]
-        tails = [raw[suffixes[i] + min_length : ends[i]].tobytes() for i in here]
+        here = order[new[run] : new[run] + size[run]]
+        tails = [raw[start[i] : end[i]].tobytes() for i in here]
         rank = sorted(range(len(here)), key=tails.__getitem__)
-        lcp = [0] * len(rank)
-        for i in range(1, len(rank)):
-            x, y = tails[rank[i - 1]], tails[rank[i]]
-            n = min(len(x), len(y))
-            if x[:n] == y[:n]:
-                lcp[i] = min_length + n
-            else:
-                a, b = 0, n
-                while b - a > 1:  # the longest common prefix lies in [a, b)
-                    mid = (a + b) // 2
-                    if x[:mid] == y[:mid]:
-                        a = mid
-                    else:
-                        b = mid
-                lcp[i] = min_length + a
-        sorted_left = [left[lo + r] for r in rank]
-        changed = [0] * len(rank)  # the last place up to here where the left neighbour changes
-        for i in range(1, len(rank)):
-            changed[i] = i if sorted_left[i] != sorted_left[i - 1] else changed[i - 1]
-        at = suffixes[here[rank]]
-        stack: list[tuple[int, int]] = []  # (length, left bound) of the open intervals
-        for i in range(1, len(rank) + 1):
-            now, bound = lcp[i] if i < len(rank) else 0, i - 1
-            while stack and stack[-1][0] > now:
+        lcp = [-1, *(_common(tails[a], tails[b]) for a, b in zip(rank, rank[1:])), -1]
+        here = here[rank]
+        lefts, alone = left[here].tolist(), several[here]
+        changed = [0] * len(here)  # the last place up to here where the left neighbour changes
+        for i in range(1, len(here)):
+            changed[i] = i if lefts[i] != lefts[i - 1] else changed[i - 1]
+        stack: list[tuple[int, int]] = []  # (bytes in common, left bound) of the open intervals
+        for i in range(1, len(here) + 1):
+            if alone[i - 1] and len(tails[rank[i - 1]]) > max(lcp[i - 1], lcp[i]):
+                yield len(tails[rank[i - 1]]), here[i - 1 : i]
+            bound = i - 1
+            while stack and stack[-1][0] > lcp[i]:
                 length, bound = stack.pop()
                 if changed[i - 1] > bound:
-                    yield length, at[bound:i]
-            if now and (not stack or stack[-1][0] < now):
-                stack.append((now, bound))
-
-
-def _intervals(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, windows: np.ndarray, salt: np.ndarray, min_length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """``suffix_intervals`` over the first ``windows`` suffixes of each context.
-
-    Contexts of different ``salt`` are never compared.  Suffixes of one key stay
-    together, so many of them are sorted in several parts by key.
-    """
-    first = np.cumsum(windows) - windows
-    total = int(windows.sum())
-    sums, back = _running(raw)
-    keys = np.empty(total, dtype=_U)
-
-    def located(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        owner = np.searchsorted(first, at, side="right") - 1
-        return owner, at - first[owner]
-
-    some = np.flatnonzero(windows)  # contexts without a suffix would hide the one they share a place with
-    first, starts, sizes, salt = first[some], starts[some], sizes[some], salt[some]
-    for lo in range(0, total, SUFFIXES):
-        owner, inner = located(np.arange(lo, min(lo + SUFFIXES, total)))
-        at = starts[owner] + inner
-        keys[lo : lo + len(at)] = _kernel.mix((sums[at + min_length] - sums[at]) * back[at] + salt[owner])
-    del sums
-    parts = -(-total // SUFFIXES) if total else 0
-    for part in range(parts):
-        chosen = np.flatnonzero(keys % _U(parts) == _U(part))
-        owner, inner = located(chosen)
-        yield from suffix_intervals(raw, (starts + sizes)[owner], starts[owner] + inner, keys[chosen], inner == 0, min_length)
-
-
-def _scan(min_length: int, as_groups: bool):
-    """Maximal repeats of each anchor: rows (group, length, rid, s).
-
-    Not ``as_groups``: only what they cover, joined where it overlaps within a
-    context (group null).  Nested repeats list their occurrences again and
-    again; the bytes that they cover are a span or two per context.
-    """
-
-    def flush(h, rid, s, ctx) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(ctx), dtype=np.uint8)
-        sizes = np.array([len(x) for x in ctx], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        windows = np.maximum(sizes - min_length + 1, 0)
-        # Contexts of one text that overlap have a place in common: it counts in the later one, which reaches further.
-        s = np.array(s, dtype=np.int64)
-        by = np.lexsort((sizes, s, rid, h))
-        if len(by) > 1:
-            one, two = by[:-1], by[1:]
-            same = (np.array(h)[one] == np.array(h)[two]) & (np.array(rid)[one] == np.array(rid)[two])
-            windows[one[same]] = np.minimum(windows[one[same]], s[two[same]] - s[one[same]])
-        h = np.array(h, dtype=np.int64)
-        groups, lengths, rids, places = [], [], [], []
-        found = _intervals(raw, starts, sizes, windows, _kernel.mix(h.view(_U)), min_length)
-        if not as_groups:
-            reach = np.zeros(len(raw) + 1, dtype=np.int64)
-            for length, at in found:
-                reach[at] = np.maximum(reach[at], length)
-            at = np.flatnonzero(reach)
-            who = np.searchsorted(starts, at, side="right") - 1
-            end = np.maximum.accumulate(at + reach[at]) if len(at) else at
-            new = np.flatnonzero(np.r_[True, (at[1:] > end[:-1]) | (who[1:] != who[:-1])]) if len(at) else at
-            last = np.r_[new[1:], len(at)] - 1 if len(at) else at
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(new), pa.string()), pa.array(end[last] - at[new]), pa.array(np.array(rid, dtype=np.int64)[who[new]]), pa.array(s[who[new]] + at[new] - starts[who[new]])],
-                names=["group", "length", "rid", "s"],
-            )
-        for g, (length, at) in enumerate(found):
-            who = np.searchsorted(starts, at, side="right") - 1
-            groups += [f"{int(h[who[0]]) & (2**64 - 1):016x}-{g}"] * len(at)
-            lengths += [length] * len(at)
-            rids += [rid[i] for i in who]
-            places += [s[i] + p - starts[i] for i, p in zip(who, at, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(lengths, pa.int64()), pa.array(rids, pa.int64()), pa.array(places, pa.int64())], names=["group", "length", "rid", "s"])
+                    yield length, here[bound:i]
+            if lcp[i] >= 0 and (not stack or stack[-1][0] < lcp[i]):
+                stack.append((lcp[i], bound))
+
+
+def _common(x: bytes, y: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    low = 0
+    while n - low > 1:  # it lies in [low, n)
+        mid = (low + n) // 2
+        if x[:mid] == y[:mid]:
+            low = mid
+        else:
+            n = mid
+    return low
+
+
+class _Suffixes:
+    """The suffixes of some contexts, in places numbered one after the other."""
+
+    def __init__(self, h: np.ndarray, w: np.ndarray, body: list[bytes], min_length: int, gram: int):
+        self.raw = np.frombuffer(b"".join(body), dtype=np.uint8)
+        sizes = np.array([len(x) for x in body], dtype=np.int64)
+        self.start = np.cumsum(sizes) - sizes
+        self.end = self.start + sizes
+        self.first = np.cumsum(w) - w
+        self.total, self.min_length = int(w.sum()), min_length
+        sums, back = _running(self.raw)
+        n = len(self.raw) - gram + 1
+        hashes = _kernel.mix((sums[gram:] - sums[:-gram]) * back[:n])
+        at_gram = np.flatnonzero(hashes == np.repeat(h.view(_U), sizes)[:n])
+        self.grams = at_gram
+        self.key = np.empty(self.total, dtype=_U)
+        salt = _kernel.mix(h.view(_U))
+        for lo in range(0, self.total, SUFFIXES):
+            owner, off = self.located(np.arange(lo, min(lo + SUFFIXES, self.total)))
+            at = self.start[owner] + off
+            self.key[lo : lo + len(at)] = _kernel.mix((sums[at + min_length] - sums[at]) * back[at] + salt[owner])
+
+    def located(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and offset in it of the suffixes with these numbers."""
+        owner = np.searchsorted(self.first, which, side="right") - 1
+        return owner, which - self.first[owner]
+
+    def tails(self, owner: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, left neighbour) of what follows the first ``min_length`` bytes, to ``min_length`` bytes from the picked gram."""
+        at = self.start[owner] + off
+        picked = self.grams[np.searchsorted(self.grams, at)]
+        left = self.raw[np.maximum(at - 1, 0)].astype(np.int64)
+        # What lies before a context's first window is another anchor's: its left neighbour is taken to differ from any.
+        left[off == 0] = 256 + owner[off == 0]
+        return at + self.min_length, np.minimum(picked + self.min_length, self.end[owner]), left
+
+
+def _spans(found: Iterator[tuple[int, np.ndarray, np.ndarray]], size: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """What repeats (length, contexts, offsets below ``size``) cover in each context, joined where it overlaps."""
+    reach = np.zeros(len(h) * size, dtype=np.int32)
+    for length, owner, off in found:
+        at = owner * size + off
+        reach[at] = np.maximum(reach[at], length)
+    at = np.flatnonzero(reach)
+    owner, off = at // size, at % size
+    end = np.maximum.accumulate(owner * (size << 20) + off + reach[at]) if len(at) else at
+    begin = owner * (size << 20) + off
+    new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]]) if len(at) else at
+    last = np.r_[new[1:], len(at)] - 1 if len(at) else at
+    return pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.string()), pa.array(h[owner[new]]), pa.array(c[owner[new]]), pa.array(off[new]), pa.array(end[last] - begin[new])], names=["group", "h", "c", "off", "length"])
+
+
+def _places(found: Iterator[tuple[int, np.ndarray, np.ndarray]], name, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Every repeat with its places in contexts."""
+    made: list[list] = [[], [], [], [], []]
+    for g, (length, owner, off) in enumerate(found):
+        for to, x in zip(made, ([name(owner[0], g)] * len(owner), h[owner], c[owner], off, [length] * len(owner)), strict=True):
+            to += list(x)
+    return pa.RecordBatch.from_arrays([pa.array(made[0], pa.string()), *(pa.array(x, pa.int64()) for x in made[1:])], names=["group", "h", "c", "off", "length"])
+
+
+def _in_turns(same: int, size: int, flush):
+    """Arrow rows in runs of about ``CHUNK`` bytes (column ``size``); rows that agree in the first ``same`` columns stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[tuple] = []
         volume = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if volume > CHUNK and row[0] != held[0][-1]:
-                    yield flush(*held)
-                    held, volume = [[], [], [], []], 0
-                for to, x in zip(held, row, strict=True):
-                    to.append(x)
-                volume += len(row[3])
-        if held[0]:
-            yield flush(*held)
+            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if volume > CHUNK and row[:same] != held[-1][:same]:
+                    yield flush(*zip(*held, strict=True))
+                    held, volume = [], 0
+                held.append(row)
+                volume += len(row[size]) + 64
+        if held:
+            yield flush(*zip(*held, strict=True))
 
     return run
 
 
-def _windows(min_length: int):
-    """Hashes of all windows of each context."""
+def _scan(min_length: int, gram: int, as_groups: bool):
+    """The repeats of each anchor; not ``as_groups``: only what they cover, as nested ones list their places again and again."""
+
+    def flush(h, c, n, w, body) -> pa.RecordBatch:
+        h, c, n, w = (np.array(x, dtype=np.int64) for x in (h, c, n, w))
+        all_ = _Suffixes(h, w, body, min_length, gram)
+
+        def found():
+            parts = -(-all_.total // SUFFIXES)
+            for part in range(parts):  # suffixes of one key stay together
+                owner, off = all_.located(np.flatnonzero(all_.key % _U(parts) == _U(part)))
+                key = all_.key[all_.first[owner] + off]
+                start, end, left = all_.tails(owner, off)
+                for length, which in suffix_intervals(all_.raw, start, end, key, left, (off == 0) & (n[owner] > 1)):
+                    yield min_length + length, owner[which], off[which]
+
+        if as_groups:
+            return _places(found(), lambda owner, g: f"{int(h[owner]) & (2**64 - 1):016x}-{g}", h, c)
+        return _spans(found(), max(map(len, body)), h, c)
+
+    return _in_turns(1, 4, flush)
+
+
+def _list_suffixes(min_length: int, gram: int):
+    """Every suffix of the contexts of crowded anchors: ``k`` is the hash of its first window, ``tail`` what follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, rid, s, ctx = (batch.column(i).to_pylist() for i in range(4))
-            for i, x in enumerate(ctx):
-                n = len(x) - min_length + 1
-                sums, back = _running(np.frombuffer(x, dtype=np.uint8))
-                w = _kernel.mix((sums[min_length:] - sums[:-min_length]) * back[:n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h[i])), pa.array(np.full(n, rid[i])), pa.array(s[i] + np.arange(n)), pa.array(w.view(np.int64))], names=["h", "rid", "s", "w"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                h, c, n, w = (part.column(i).to_numpy().astype(np.int64) for i in range(4))
+                all_ = _Suffixes(h, w, part.column(4).to_pylist(), min_length, gram)
+                owner, off = all_.located(np.arange(all_.total))
+                start, end, left = all_.tails(owner, off)
+                left[off == 0] = 256 + (c[owner[off == 0]] & ((1 << 62) - 1))
+                tails = [all_.raw[x:y].tobytes() for x, y in zip(start, end, strict=True)]
+                columns = [h[owner], all_.key.view(np.int64), c[owner], off, left, (off == 0) & (n[owner] > 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(tails, pa.binary())], names=["h", "k", "c", "off", "left", "several", "tail"])
 
     return run
 
 
+def _scan_nodes(min_length: int, as_groups: bool):
+    """``_scan`` over the suffixes of nodes (``h``, ``k``) instead of whole anchors."""
+
+    def flush(h, k, c, off, left, several, tail) -> pa.RecordBatch:
+        h, k, c, off = (np.array(x, dtype=np.int64) for x in (h, k, c, off))
+        raw = np.frombuffer(b"".join(tail), dtype=np.uint8)
+        size = np.array([len(x) for x in tail], dtype=np.int64)
+        end = np.cumsum(size)
+        key = _kernel.mix(h.view(_U)) + _kernel.mix(k.view(_U) + _U(1))
+
+        def found():
+            for length, which in suffix_intervals(raw, end - size, end, key, np.array(left, dtype=np.int64), np.array(several)):
+                yield min_length + length, which, off[which]
+
+        if as_groups:
+            return _places(found(), lambda i, g: f"{int(h[i]) & (2**64 - 1):016x}-{int(k[i]) & (2**64 - 1):016x}-{g}", h, c)
+        return _spans(found(), int(off.max()) + 1, h, c)
+
+    return _in_turns(2, 6, flush)
+
+
+def _crowded(cut: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> DataFrame:
+    """The repeats of anchors whose suffixes are too many for one task."""
+    rows = keep(cut.mapInArrow(_list_suffixes(min_length, gram), "h long, k long, c long, off long, left long, several boolean, tail binary"), "suffixes")
+    common = "aggregate(IF(least(length(t0), length(t1)) > 0, sequence(1, least(length(t0), length(t1))), CAST(array() AS array<int>)), 0, (a, i) -> IF(a = i - 1 AND substring(t0, i, 1) = substring(t1, i, 1), i, a))"
+    upper, small = [], []
+    while True:
+        ends = [f("tail").alias(n) for f, n in ((F.min, "t0"), (F.max, "t1"))]
+        nodes = rows.groupBy("h", "k").agg(F.count("*").alias("m"), (F.min("left") != F.max("left")).alias("diverse"), F.max("several").alias("several"), *ends)
+        nodes = nodes.where("m > 1 OR several").select("h", "k", "m", "diverse", F.expr(common).alias("common"))
+        nodes = keep(nodes, "nodes")
+        small.append(rows.join(nodes.where(F.col("m") <= most).select("h", "k"), ["h", "k"]))
+        large = nodes.where(F.col("m") > most).select("h", "k", "diverse", "common")
+        n = large.count()
+        if not n:
+            break
+        inner = rows.join(F.broadcast(large) if n <= 10_000 else large, ["h", "k"])
+        name = F.concat_ws("-", F.lpad(F.lower(F.hex("h")), 16, "0"), F.lpad(F.lower(F.hex("k")), 16, "0"))
+        upper.append(inner.where("diverse").select(name.alias("group"), "h", "c", "off", (F.col("common") + min_length).cast("long").alias("length")))
+        deeper = inner.where("length(tail) > common").withColumn("k", F.expr("xxhash64(k, substring(tail, 1, common + 1))"))
+        rows = keep(deeper.select("h", "k", "c", "off", "left", "several", "tail"), "deeper")
+    below = small[0]
+    for x in small[1:]:
+        below = below.unionByName(x)
+    out = below.repartition("h", "k").sortWithinPartitions("h", "k").select("h", "k", "c", "off", "left", "several", "tail").mapInArrow(_scan_nodes(min_length, as_groups), _FOUND)
+    for x in upper:
+        out = out.unionByName(x)
+    return out
+
+
+def _repeats(source: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> tuple[DataFrame, DataFrame, str]:
+    """Repeats (``group``, ``length``, ``rid``, ``s``); the texts that may have some (``rid``, ``text``), dealt by ``rid``; their table's name."""
+    found = keep(source.mapInArrow(_list_contexts(min_length, gram), "h long, c long, rid long, s long, size int, w int"), "contexts", scan=True)
+    twice = keep(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    members = keep(found.join(twice, "h"), "members")
+    texts, name = keep_dealt(source.join(members.select("rid").distinct().hint("shuffle_hash"), "rid"), "rid")
+
+    head = F.min(F.struct("rid", "s", "size", "w")).alias("head")
+    classes = keep(members.groupBy("h", "c").agg(F.count("*").alias("n"), head).select("h", "c", "n", "head.*"), "classes")
+    crowded = classes.groupBy("h").agg(F.sum("w").alias("w")).where(F.col("w") > most).select("h")
+    n_crowded = (crowded := keep(crowded, "crowded")).count()
+    wanted = classes.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "n", "s", "size", "w")).alias("wanted"))
+    cut = texts.join(wanted.hint("shuffle_hash"), "rid").select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, n long, w int, body binary")
+    usual = cut
+    if n_crowded:
+        cut = keep(cut, "cut")
+        crowded = F.broadcast(crowded) if n_crowded <= 10_000 else crowded
+        usual = cut.join(crowded, "h", "left_anti")
+    repeats = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_scan(min_length, gram, as_groups), _FOUND)
+    if n_crowded:
+        repeats = repeats.unionByName(_crowded(cut.join(crowded, "h"), min_length, gram, most, as_groups))
+    repeats = repeats.join(members.select("h", "c", "rid", "s"), ["h", "c"]).select("group", "length", "rid", (F.col("s") + F.col("off")).alias("s"))
+    return repeats, texts, name
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text without its covered bytes."""
     import hashlib
@@ -347,64 +443,25 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _candidates(source: DataFrame, min_length: int, gram: int) -> tuple[DataFrame, str]:
-    """(``rid``, ``text``, ``asked``) of the rows with anchors that occur twice, dealt by ``rid``; the table's name."""
-    found = keep(source.mapInArrow(_list_anchors(min_length, gram), "h long, rid long, at long"), "anchors", scan=True)
-    twice = keep(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    asked = found.join(twice, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
-    return keep_dealt(source.join(keep(asked, "asked").hint("shuffle_hash"), "rid"), "rid")
-
-
-def _repeat_parts(candidates: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal contexts, maximal repeats among classes, repeated windows of crowded anchors.
-
-    All have (``group``, ``length``, ``rid``, ``s``).
-    """
-    found = keep(candidates.select("rid", "text", "asked").mapInArrow(_list_contexts(min_length, gram), "h long, rid long, c long, s long, e long"), "contexts", scan=True)
-    head = F.min(F.struct("rid", "s", "e"))
-    classes = keep(found.groupBy("h", "c").agg(F.count("*").alias("n"), head.alias("head")), "classes")
-    per = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1")
-    per = keep(per, "open")
-
-    large = classes.where("n > 1").select("h", "c")
-    equal = found.join(large, ["h", "c"]).select(F.concat_ws("-", F.lpad(F.lower(F.hex("h")), 16, "0"), F.lower(F.hex("c"))).alias("group"), (F.col("e") - F.col("s")).alias("length"), "rid", "s")
-
-    heads = classes.join(per.select("h", (F.col("classes") > most).alias("crowded")), "h").select("h", "crowded", "head.rid", "head.s", "head.e")
-    wanted = heads.groupBy("rid").agg(F.collect_list(F.struct("h", "s", "e")).alias("wanted"))
-    cut = candidates.select("rid", "text").join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted").mapInArrow(_cut_contexts, "h long, rid long, s long, ctx binary")
-    crowded = per.where(F.col("classes") > most).select("h")
-    if crowded.isEmpty():
-        usual, windows = cut, None
-    else:
-        cut = keep(cut, "cut")
-        usual = cut.join(crowded, "h", "left_anti")
-        windows = keep(cut.join(crowded, "h").mapInArrow(_windows(min_length), "h long, rid long, s long, w long"), "windows")
-    maximal = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_scan(min_length, as_groups), "group string, length long, rid long, s long")
-    if windows is None:
-        return equal, maximal, maximal.limit(0)
-    twice = keep(windows.groupBy("h", "w").agg(F.min(F.struct("rid", "s")).alias("x"), F.max(F.struct("rid", "s")).alias("y")).where("x <> y").select("h", "w"), "windows-twice")
-    counted = windows.join(twice, ["h", "w"]).select(F.concat_ws("-", F.lower(F.hex("h")), F.lower(F.hex("w"))).alias("group"), F.lit(min_length).cast("long").alias("length"), "rid", "s")
-    return equal, maximal, counted
-
-
-def repeat_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_CLASSES) -> DataFrame:
+def repeat_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_SUFFIXES) -> DataFrame:
     """Repeats and all their occurrences: ``group``, ``length``, ``id``, ``rid``, ``s`` (start byte).
 
-    A repeat is maximal within the context of its anchor (``2 * min_length -
-    gram`` bytes); longer ones are listed as overlapping groups.  Empty and null
-    texts have none.
+    Each group has every place of its string in all texts, rows with equal texts
+    included.  Groups are the maximal repeats; of one that goes on for more than
+    ``min_length`` bytes after the gram that its first window picked, the groups
+    are overlapping parts, one or more to each anchor in it.
+    Empty and null texts have none.
     """
     documents = settled(documents)
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows_with_id(documents, F.col(id_col).alias("id"))
-    candidates, name = _candidates(source, min_length, gram)
-    equal, maximal, counted = _repeat_parts(candidates, min_length, gram, most, True)
-    groups = keep(equal.unionByName(maximal).unionByName(counted), "groups")
+    repeats, _, name = _repeats(source, min_length, gram, most, True)
+    groups = keep(repeats, "groups")
     documents.sparkSession.sql(f"DROP TABLE {name}")
     return groups.join(ids, "rid").select("group", "length", "id", "rid", "s")
 
 
-def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_CLASSES, columns: tuple[str, ...] = ("n_removed", "n_spans", "kept_sha256", "spans", "kept_text")) -> DataFrame:
+def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, most: int = MOST_SUFFIXES, columns: tuple[str, ...] = ("n_removed", "n_spans", "kept_sha256", "spans", "kept_text")) -> DataFrame:
     """For each row with a repeat: ``rid`` and the ``columns`` asked for.
 
     ``rid`` numbers the rows of ``documents``, which must be ``settled``, as
@@ -414,13 +471,11 @@ def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int
     finds itself in the other.  Null and empty texts have no row here.
     """
     source = rows_with_id(documents, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    candidates, name = _candidates(source, min_length, gram)
-    parts = _repeat_parts(candidates, min_length, gram, most, False)
-    spans = [p.select("rid", F.struct("s", (F.col("s") + F.col("length")).alias("e")).alias("x")) for p in parts]
-    covers = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("rid").agg(F.collect_set("x").alias("covers"))
+    repeats, texts, name = _repeats(source, min_length, gram, most, False)
+    covers = repeats.groupBy("rid").agg(F.collect_set(F.struct("s", (F.col("s") + F.col("length")).alias("e"))).alias("covers"))
     schema = "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>, kept_text string"
     covers = keep(covers, "covers")
-    found = candidates.select("rid", "text").join(covers.hint("shuffle_hash"), "rid").select("rid", "text", "covers").mapInArrow(_removed, schema)
+    found = texts.join(covers.hint("shuffle_hash"), "rid").select("rid", "text", "covers").mapInArrow(_removed, schema)
     found = keep(found.select("rid", *columns), "removed")
     documents.sparkSession.sql(f"DROP TABLE {name}")
     return found
@@ -429,10 +484,11 @@ def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int
 def without_repeats(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``documents`` with every repeated byte taken out of the text; all rows and columns stay."""
     documents = settled(documents)
-    found = repeated_bytes(documents, text_col, columns=("kept_text",), **options).select(F.col("rid").alias("_rid"), F.col("kept_text").alias("_kept"))
-    rows = documents.withColumn("_rid", F.monotonically_increasing_id())
-    text = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text_col))
-    return rows.join(found.hint("shuffle_hash"), "_rid", "left").withColumn(text_col, text).drop("_rid", "_kept")
+    rid, kept = unused(documents, "rid", "kept")
+    found = repeated_bytes(documents, text_col, columns=("kept_text",), **options).select(F.col("rid").alias(rid), F.col("kept_text").alias(kept))
+    text = F.when(F.col(kept).isNotNull(), F.col(kept)).otherwise(F.col(text_col))
+    rows = documents.withColumn(rid, F.monotonically_increasing_id()).join(found.hint("shuffle_hash"), rid, "left")
+    return rows.withColumn(text_col, text).drop(rid, kept)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

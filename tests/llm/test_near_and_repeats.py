@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -113,23 +114,63 @@ def test_repeats_match_brute_force_on_both_ways(spark):
     docs = settled(frame(spark, rows))
     ids = repeats.rows_with_id(docs, "doc_id")
     expected = brute_removed(rows, 200)
-    for most in (repeats.MOST_CLASSES, 1):
+    for most in (repeats.MOST_SUFFIXES, 1):
         found = repeats.repeated_bytes(docs, most=most).join(ids, "rid").select("doc_id", "n_removed", "n_spans", "kept_sha256")
         assert sorted(map(tuple, found.collect()), key=repr) == expected
 
 
-def test_repeat_groups_name_all_places(spark):
-    rng = random.Random(5)
-    passage = prose(rng, 60)
-    rows = [(i, prose(rng, 20) + f" {i} " + passage + f" {i} " + prose(rng, 20), "s") for i in range(5)]
-    raw = {i: t.encode() for i, t, _ in rows}
-    groups = {}
-    for r in repeats.repeat_groups(frame(spark, rows)).collect():
-        groups.setdefault(r.group, []).append((r.id, raw[r.id][r.s : r.s + r.length]))
-    assert groups
-    for members in groups.values():
-        assert len(members) > 1 and len({b for _, b in members}) == 1
-    assert max(len({i for i, _ in m}) for m in groups.values()) == 5
+def all_places(raw, x):
+    return {(d, i) for d, b in enumerate(raw) for i in range(len(b) - len(x) + 1) if b.startswith(x, i)}
+
+
+def brute_maximal(raw, n):
+    """Strings of ``n`` bytes or more with two places whose neighbours differ on both sides; the ends of a text differ from all."""
+    out, todo = {}, {b[i : i + n] for b in raw for i in range(len(b) - n + 1)}
+    while todo:
+        x = todo.pop()
+        at = all_places(raw, x)
+        if len(at) < 2:
+            continue
+        after = {raw[d][i + len(x)] if i + len(x) < len(raw[d]) else (d,) for d, i in at}
+        before = {raw[d][i - 1] if i else (d,) for d, i in at}
+        if len(after) > 1 and len(before) > 1:
+            out[x] = at
+        todo |= {x + bytes([y]) for y in after if not isinstance(y, tuple)}
+    return out
+
+
+@pytest.mark.parametrize("case", ["XXYY", "XXY", "mixed"])
+def test_groups_are_the_maximal_repeats_with_all_their_places(spark, case):
+    n, gram, rng = 24, 6, random.Random(len(case))
+    letters = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage = letters(40)
+    x, y = letters(50) + passage + letters(30), letters(20) + passage + letters(60)
+    texts = {"XXYY": [x, x, y, y], "XXY": [x, x, y]}.get(case)
+    if texts is None:
+        texts = [x, y, x, letters(90), "ab" * 60, "q" + "ab" * 40, passage[:30] + letters(9), passage[5:] + passage[:35], "z" * 70 + passage, "", None, "short"]
+        texts += [letters(15) + passage[:28] + letters(15) for _ in range(4)]
+    raw = [(t or "").encode() for t in texts]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    seen = []
+    for most in (repeats.MOST_SUFFIXES, 2):
+        groups = {}
+        for r in repeats.repeat_groups(docs, min_length=n, gram=gram, most=most).collect():
+            groups.setdefault(r.group, []).append((r.length, r.id, r.s))
+        strings = {}
+        for members in groups.values():
+            assert len({length for length, _, _ in members}) == 1 and len(set(members)) == len(members)
+            string = {raw[d][s : s + length] for length, d, s in members}
+            assert len(string) == 1
+            strings[string.pop()] = {(d, s) for _, d, s in members}
+        assert len(strings) == len(groups)
+        for string, at in strings.items():
+            assert at == all_places(raw, string)
+        for string in brute_maximal(raw, n):
+            first = np.frombuffer(string[:n], dtype=np.uint8)
+            full = int(repeats.contexts(first, np.array([0, n]), n, gram)["full"][0])
+            assert string[:full] in strings
+        seen.append(strings)
+    assert seen[0] == seen[1] and len(seen[0]) > 1
 
 
 def test_text_without_repeats_is_valid_and_whole(spark):
@@ -139,19 +180,33 @@ def test_text_without_repeats_is_valid_and_whole(spark):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
-@given(st.lists(st.sampled_from([b"a", b"b", b"ab", b"abc", b"aab"]), min_size=1, max_size=60))
+@given(st.lists(st.sampled_from([b"a", b"b", b"ab", b"abc", b"aab"]), min_size=1, max_size=60), st.integers(1, 3))
 @settings(max_examples=60, deadline=None)
-def test_anchors_meet_every_window(parts):
-    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    offsets = np.array([0, len(raw)])
-    at, h, _ = repeats.anchors(raw, offsets, min_length=20, gram=5)
-    by_window = {}
-    for s in range(len(raw) - 19):
-        inside = {int(x) for p, x in zip(at, h) if s <= p <= s + 15}
-        assert inside
-        by_window.setdefault(raw[s : s + 20].tobytes(), []).append(inside)
-    for sets in by_window.values():  # equal windows have an anchor in common
-        assert set.intersection(*sets)
+def test_every_window_belongs_to_one_anchor(parts, copies):
+    one = b"".join(parts)
+    raw, offsets = np.frombuffer(one * copies, dtype=np.uint8), np.arange(copies + 1) * len(one)
+    found = repeats.contexts(raw, offsets, 20, 5)
+    owner = {}
+    for s, w, e, h, full in zip(*(found[x].tolist() for x in ("s", "w", "e", "h", "full"))):
+        assert e == min(full, next(o for o in offsets if o > s)) and e >= s + w - 1 + 20
+        for p in range(s, s + w):
+            assert p not in owner
+            owner[p] = h
+    assert sorted(owner) == [o + i for o in offsets[:-1] for i in range(len(one) - 19)]
+    of = {}
+    for p, h in owner.items():  # equal windows have one anchor
+        assert of.setdefault(raw[p : p + 20].tobytes(), h) == h
+
+
+def test_long_texts_are_cut_where_contexts_end(monkeypatch):
+    rng = random.Random(2)
+    raw = np.frombuffer((prose(rng, 900) + "ab" * 3000 + prose(rng, 900)).encode(), dtype=np.uint8)
+    whole = repeats.contexts(raw, np.array([0, len(raw)]))
+    monkeypatch.setattr(repeats, "SEGMENT", 1500)
+    parts = list(repeats._of_long_text(raw, 200, 32))
+    joined = {k: np.concatenate([x[k] for x in parts]) for k in whole}
+    covered = lambda x: [(p, h) for s, w, h in zip(x["s"], x["w"], x["h"]) for p in range(s, s + w)]
+    assert len(parts) > 5 and covered(whole) == covered(joined)
 
 
 def test_files_are_read_in_place_and_shuffles_are_written_first(spark, tmp_path):

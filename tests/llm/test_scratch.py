@@ -1,5 +1,7 @@
 """Where tables between steps go."""
 
+import pytest
+
 from palimpsest.llm import _scratch
 
 
@@ -10,13 +12,25 @@ class Session:
         get = staticmethod(lambda key, default=None: default)
 
     class sparkContext:
-        applicationId = "app-of-a-test"
+        applicationId, master = "app-of-a-test", "local[2]"
+
+
+class Cluster(Session):
+    class sparkContext:
+        applicationId, master = "app-of-a-cluster", "spark://host:7077"
 
 
-def test_a_folder_is_made_only_where_none_is_named(spark):
+def test_a_folder_is_made_only_in_one_process_where_none_is_named(spark):
     assert _scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     first = _scratch.shared_dir(Session)
     assert first.startswith("file://") and _scratch.shared_dir(Session) == first
+    with pytest.raises(ValueError):
+        _scratch.shared_dir(Cluster)
+
+
+def test_names_that_are_taken_are_not_used(spark):
+    df = spark.createDataFrame([(1, 2)], "RID int, rid_ int")
+    assert _scratch.unused(df, "rid", "kept") == ["rid__", "kept"]
 
 
 def test_kept_tables_lie_in_the_folder(spark):
