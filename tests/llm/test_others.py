@@ -394,11 +394,13 @@ def test_versions_and_names_within_full_wordings():
 # search
 
 
-def brute_top(rows, queries, k):
+def brute_top(rows, is_query, k):
+    """(query's place in ``rows``, rank, id, score)."""
     out = []
-    for q, x in queries:
-        best = sorted(((-sum(a * b for a, b in zip(x, v)), i) for i, v in rows if i != q and len(v) == len(x)))[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for at, (q, x) in enumerate(rows):
+        if is_query(q):
+            best = sorted((-sum(a * b for a, b in zip(x, v)), i) for n, (i, v) in enumerate(rows) if n != at and len(v) == len(x))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -411,15 +413,27 @@ def test_top_k_matches_brute_force(spark, monkeypatch, spread):
     centre = [rng.randrange(-50, 50) for _ in range(8)]
     rows = [(i, [c * (i % 5 + 1) + rng.randrange(-spread, spread + 1) for c in centre]) for i in range(300)]
     rows += [(1000 + i, centre) for i in range(120)] + [(2000, [0] * 8), (2001, [1, 2])]
-    queries = [r for r in rows if r[0] % 20 == 0]
-    table = spark.createDataFrame(rows + [(3000, None)], "id long, v array<bigint>")
-    got = topk.exact_top_k(table, table.where("id % 20 = 0"), k=9).collect()
-    assert sorted(map(tuple, got)) == brute_top(rows, queries, 9)
+    rows += [(20, [7] * 8), (20, [7] * 8), (40, centre), (41, centre), (41, centre)]  # repeated ids are rows, and queries, each
+    table = spark.createDataFrame(rows + [(3000, None), (None, centre)], "id long, v array<bigint>")
+    got = topk.exact_top_k(table, table.id % 20 == 0, k=9)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows, lambda i: i % 20 == 0, 9)
+    assert got.groupBy("query_row").count().where("count <> 9").count() == 0
 
 
 def test_top_k_of_nothing_and_of_bad_vectors(spark):
     table = spark.createDataFrame([(20, [1.0, 0.5]), (21, [1.0, None]), (22, [float("nan"), 1.0]), (23, None), (24, [float("inf"), 1.0]), (25, [-0.01, 0.0])], "vec_id long, embedding array<float>")
     rows = table.select(table.vec_id.alias("id"), topk.whole_numbers().alias("v"))
-    assert [tuple(r) for r in topk.exact_top_k(rows, rows.where("id % 20 = 0")).collect()] == [(20, 1, 25, -64)]
-    none = rows.limit(0)
-    assert topk.exact_top_k(none, none).count() == 0 and topk.exact_top_k(rows, none).count() == 0
+    best = lambda rows: [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(rows, rows.id % 20 == 0).collect()]
+    assert best(rows) == [(20, 1, 25, -64)]
+    assert best(rows.limit(0)) == [] and best(rows.where("id = 25")) == []
+
+
+def test_large_components_are_ranked_exactly(spark):
+    big = [1e9, 3.4e38, 1e25, 2.0**57]
+    rows = [(20 + i, [x, 1.0]) for i, x in enumerate(big)] + [(60, [1.0, 1.0]), (61, [1e9, -1.0]), (62, [-1e30, 0.0]), (63, [1e25, 1.0]), (64, [0.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table = table.select(table.vec_id.alias("id"), topk.whole_numbers().alias("v"))
+    whole = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(table, table.id % 20 == 0).collect())
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    assert got == [(q, n, i, clip(s)) for q, n, i, s in brute_top(whole, lambda i: i % 20 == 0, 20)]
