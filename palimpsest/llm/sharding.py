@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._scratch import keep, shared_dir
+from palimpsest.llm._scratch import keep, settled, shared_dir
 
 SLOTS, SHARDS = 4096, 8
 
@@ -136,21 +136,40 @@ def stored_map(spark, path: str | None, sizes: list[int], shards: int) -> SlotMa
     return load_map(spark, path, made.version)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (``row``, ``key``, ...) with ``nth``: the number of each among those of its key, from 0.
+
+    Keys are counted per partition of the scan and numbered within those, so that
+    a key that a third of all rows have is spread over the partitions that hold it.
+    """
+    several = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    several = F.broadcast(several) if several.count() <= 100_000 else several  # checked: a long each
+    alike = rows.join(several, "key").withColumn("part", F.shiftright("row", 33))
+    before = F.expr("sum(n) OVER (PARTITION BY key ORDER BY part) - n").alias("before")
+    per = keep(alike.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", before), "per")
+    inner = F.expr("row_number() OVER (PARTITION BY key, part ORDER BY row) - 1")
+    alike = alike.withColumn("inner", inner).join(per, ["key", "part"]).withColumn("nth", F.col("before") + F.col("inner")).drop("part", "inner", "before")
+    return rows.join(several, "key", "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(alike)
+
+
 def shard_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """``id``, ``size``, ``text_crc32``, ``vslot``, ``shard`` and ``place`` (gapless from 0 in each shard) of every row.
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1).  The slot goes by id
-    and text, so that a third of all rows with one text, or with one id and many
-    texts, still spreads; only rows that are alike in both stay together.  ``maps`` is the
-    table of map versions: its latest is rebalanced and the next one added.
+    and text, and by the number of the row among those alike in both, so that a
+    third of all rows spreads whether it has one text, one id (or none) or both.
+    ``maps`` is the table of map versions: its latest is rebalanced and the next
+    one added.  Other columns are not read; an empty table gives no rows.
     """
     text = F.col(text_col)
-    rows = documents.select(
+    rows = settled(documents).select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    rows = keep(rows.withColumn("vslot", slot(F.col("id"), F.col("text_crc32"), slots=slots)), "records")
+    rows = _numbered(keep(rows.withColumn("key", F.xxhash64("id", "text_crc32", "size")), "rows"))
+    rows = keep(rows.select("id", "size", "text_crc32", slot(F.col("key"), F.col("nth"), slots=slots).alias("vslot")), "records")
     sizes, counts = slot_sizes(rows, slots)
     made = stored_map(documents.sparkSession, maps, sizes, shards)
     before, start = [0] * shards, [0] * slots  # rows of the shard that lie in earlier slots
