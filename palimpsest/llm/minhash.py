@@ -11,9 +11,10 @@ chance of four in a million at most.
   posted; pairs that one document alone has take up places of the prefix but
   need no posting, so documents without relatives drop out here, and a passage
   that very many documents share is not in the prefix of any of them.
-* Skip merging: each posting list is first counted against its smallest
-  document alone.  Confirmed links make components; a list inside one
-  component is skipped, and only what crosses components is merged on.
+* Skip merging: each posting list is first counted against one document
+  alone.  Confirmed links make components; a list inside one component is
+  skipped.  Of the others the largest component is laid out in blocks, once,
+  and only what is not in it goes on to meet those blocks and each other.
 * Pairs above the match threshold are confirmed on the full shingle sets.
 
 Equal sets are one class from the start and are never paired with each other.
@@ -37,7 +38,7 @@ SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bits of a parity sketch; documents of a posting list that are compared in one step.
-SKETCH, BLOCK = 2048, 2048
+SKETCH, BLOCK = 2048, 512
 
 _U = np.uint64
 
@@ -116,14 +117,12 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def flush(rows: list) -> pa.RecordBatch:
-        own, rid, root, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (3, 4, 5, 6))
-        bits = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
-        within = rows[0][1] == rows[0][2]
-        values, counts = np.unique(root, return_counts=True)
-        main = values[counts.argmax()]
+        side, rid, root, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (4, 5, 6, 7))
+        bits = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+        one_block = not rows[0][1] and rows[0][2] == rows[0][3]
         out = []
-        for i in np.flatnonzero((root != main) if within else (own == rows[0][1])):
-            far = (root != root[i]) if within else ((root != root[i]) & (own != own[i]))
+        for i in np.flatnonzero(side == 0) if not one_block else range(len(rows)):
+            far = root != root[i] if one_block else (root != root[i]) & (side == 1)
             far &= (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n)
             at = np.flatnonzero(far)
             apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -134,8 +133,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list = []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-            if held and row[:3] != held[0][:3]:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if held and row[:4] != held[0][:4]:
                 yield flush(held)
                 held = []
             held.append(row)
@@ -158,6 +157,27 @@ def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> Dat
     return keep(both.mapInArrow(_confirm, "a long, b long"), "links")
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """The rows of lists (``token``, ``rid``, ``root``) in cells (``token``, ``main``, ``x``, ``y``) of at most about two blocks.
+
+    Each pair of a list that crosses components meets in one cell, on different
+    ``side``s unless the cell is of one block.  The largest component of a list
+    has one copy of each member for each block of the others (mostly one); the
+    others have a copy for each block of it and of their own.
+    """
+    of_root = lists.groupBy("token", "root").agg(F.count("*").alias("n"))
+    blocks = of_root.groupBy("token").agg(F.max(F.struct("n", -F.col("root"))).alias("top"), F.sum("n").alias("n"))
+    blocks = blocks.select("token", (-F.col("top.col2")).alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("of_main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("of_rest"))
+    rows = lists.join(keep(blocks, "blocks"), "token")
+    main = rows.where("root = top").withColumn("x", F.expr("CAST(pmod(xxhash64(rid), of_main) AS INT)")).withColumn("y", F.explode(F.expr("sequence(0, of_rest - 1)")))
+    rest = rows.where("root <> top").withColumn("own", F.expr("CAST(pmod(xxhash64(rid), of_rest) AS INT)"))
+    to_main = rest.withColumn("x", F.explode(F.expr("sequence(0, of_main - 1)"))).withColumn("y", F.col("own"))
+    to_rest = rest.withColumn("other", F.explode(F.expr("sequence(0, of_rest - 1)"))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    out = main.select("token", F.lit(True).alias("main"), "x", "y", F.lit(1).alias("side"), "rid", "root")
+    out = out.unionByName(to_main.select("token", F.lit(True).alias("main"), "x", "y", F.lit(0).alias("side"), "rid", "root"))
+    return out.unionByName(to_rest.select("token", F.lit(False).alias("main"), "x", "y", F.when(F.col("own") == F.col("x"), 0).otherwise(1).alias("side"), "rid", "root"))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``rid``, ``id``, ``n_shingles``, ``component`` and ``root`` (a rid of the component).
 
@@ -207,11 +227,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     open_lists = keep(placed.join(spread.select("token"), "token").select("token", "rid", "root"), "open")
     sketches = texts.join(open_lists.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", "text").mapInArrow(_sketched, "rid long, n long, bits binary")
     sketches = keep(sketches, "sketches")
-    blocks = keep(open_lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    dealt = open_lists.join(blocks, "token").withColumn("own", F.expr("pmod(xxhash64(rid), blocks)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(sketches, "rid")
-    dealt = dealt.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rid", "root", "n", "bits")
-    crossing = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_crossing, "a long, b long").distinct()
+    dealt = _dealt(open_lists).join(sketches, "rid").select("token", "main", "x", "y", "side", "rid", "root", "n", "bits")
+    crossing = dealt.repartition("token", "main", "x", "y").sortWithinPartitions("token", "main", "x", "y").mapInArrow(_crossing, "a long, b long").distinct()
     crossing = keep(crossing.join(first, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         more = _confirmed(crossing, signatures, texts)
@@ -227,14 +244,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_rid`` of the row that stands for each component: smallest id (null last), then first of its rows.
+    """``rid`` of the row that stands for each component: smallest id (null last), then first of its rows.
 
-    ``_rid`` is ``monotonically_increasing_id`` on ``documents``, which must be ``settled``.
+    ``rid`` is ``monotonically_increasing_id`` on ``documents``, which must be ``settled``.
     """
     found = near_duplicates(documents, id_col, text_col)
     order = F.struct(F.col("id").isNull(), "id", "rid")
     best = found.where(F.col("id").eqNullSafe(F.col("component"))).select("root", "rid", order.alias("o"))
-    return best.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("_rid"))
+    return best.groupBy("root").agg(F.min("o").alias("o")).select("o.rid")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def test_packing_finds_the_tightest_compatible_bin():
         n = rng.randrange(1, 80)
         sizes = [rng.randrange(1, 100) for _ in range(n)]
         sources, clusters = [rng.choice(["a", "b", None]) for _ in range(n)], [rng.randrange(max(1, n // 2)) for _ in range(n)]
-        bins, places = packing.pack(sizes, sources, clusters, 100, 2)
+        bins, places = packing.pack(sizes, sources, clusters, 100, dict.fromkeys(sources, 2))
         assert bins == plain_pack(sizes, sources, clusters, 100, 2)
         check_bins(list(zip(sizes, bins, places)), sources, clusters, 100, 2)
 
@@ -186,6 +186,16 @@ def test_every_word_is_packed_once(spark):
     assert packing.best_fit(empty(spark)).count() == 0
 
 
+def test_bins_fill_where_there_is_one_source(spark):
+    rng = random.Random(6)
+    for name in (lambda i: None, lambda i: "one", lambda i: f"s{i % 20}"):
+        rows = [(i, prose(rng, rng.randrange(20, 400)), name(i)) for i in range(400)]
+        got = packing.best_fit(frame(spark, rows)).collect()
+        assert sum(r.length for r in got) / (2048 * len({r.bin_id for r in got})) > 0.9
+    alike = packing.best_fit(frame(spark, [(1, "a b c", "s")] * 50)).collect()
+    assert len({r.bin_id for r in alike}) == 50
+
+
 # mixing
 
 
@@ -312,6 +322,20 @@ def test_shards_have_equal_bytes_and_gapless_places(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+def test_rows_alike_spread_over_shards(spark):
+    rng = random.Random(2)
+    for same in ((1, "t" * 999, "s"), (None, None, "s"), (None, "x" * 50, None)):
+        rows = [same] * 3000 + [(i, prose(rng, rng.randrange(1, 60)), "s") for i in range(2000)]
+        got = sharding.shard_documents(frame(spark, rows).repartition(7))
+        loads = [0] * 8
+        for r in got.collect():
+            loads[r.shard] += r["size"]
+        assert sorted((r.id is None, r.id or 0, r["size"]) for r in got.collect()) == sorted((i is None, i or 0, len((t or "").encode()) + 1) for i, t, _ in rows)
+        assert max(loads) - min(loads) <= 1000
+        again = sharding.shard_documents(frame(spark, rows).repartition(3))
+        assert sorted(map(str, again.select("id", "size", "vslot").collect())) == sorted(map(str, got.select("id", "size", "vslot").collect()))
+
+
 def test_maps_are_edited_not_made_anew(spark, tmp_path):
     rng = random.Random(3)
     old = sharding.new_map([rng.randrange(1, 100) for _ in range(500)], 5)
