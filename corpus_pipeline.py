@@ -24,7 +24,7 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest id (of repeated rows, one)."""
     docs = settled(docs.select(*COLUMNS))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(minhash.representatives(docs).hint("shuffle_hash"), "_rid", "left_semi").drop("_rid")
+    return docs.withColumn("rid", F.monotonically_increasing_id()).join(minhash.representatives(docs).hint("shuffle_hash"), "rid", "left_semi").drop("rid")
 
 
 def repeat_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,7 @@ def repeat_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    docs = docs.select(*COLUMNS)
-    sources = F.array("source")
-    return mixing.repeated(docs, sources, mixing.plan(docs, sources)).select(*COLUMNS)
+    return mixing.repeated(mixing.plan(docs.select(*COLUMNS), F.array("source"))).select(*COLUMNS)
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
