@@ -380,24 +380,24 @@ def _crowded(cut: DataFrame, min_length: int, gram: int, most: int, as_groups: b
 def _repeats(source: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> tuple[DataFrame, DataFrame, str]:
     """Repeats (``group``, ``length``, ``rid``, ``s``); the texts that may have some (``rid``, ``text``), dealt by ``rid``; their table's name."""
     found = keep(source.mapInArrow(_list_contexts(min_length, gram), "h long, c long, rid long, s long, size int, w int"), "contexts", scan=True)
-    twice = keep(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     members = keep(found.join(twice, "h"), "members")
     texts, name = keep_dealt(source.join(members.select("rid").distinct().hint("shuffle_hash"), "rid"), "rid")
 
     head = F.min(F.struct("rid", "s", "size", "w")).alias("head")
     classes = keep(members.groupBy("h", "c").agg(F.count("*").alias("n"), head).select("h", "c", "n", "head.*"), "classes")
     crowded = classes.groupBy("h").agg(F.sum("w").alias("w")).where(F.col("w") > most).select("h")
-    n_crowded = (crowded := keep(crowded, "crowded")).count()
-    wanted = classes.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "n", "s", "size", "w")).alias("wanted"))
-    cut = texts.join(wanted.hint("shuffle_hash"), "rid").select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, n long, w int, body binary")
-    usual = cut
-    if n_crowded:
-        cut = keep(cut, "cut")
-        crowded = F.broadcast(crowded) if n_crowded <= 10_000 else crowded
-        usual = cut.join(crowded, "h", "left_anti")
+    n_crowded = crowded.count()
+    crowded = F.broadcast(crowded) if n_crowded <= 10_000 else crowded
+
+    def cut(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "n", "s", "size", "w")).alias("wanted"))
+        return texts.join(wanted.hint("shuffle_hash"), "rid").select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, n long, w int, body binary")
+
+    usual = cut(classes.join(crowded, "h", "left_anti") if n_crowded else classes)
     repeats = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_scan(min_length, gram, as_groups), _FOUND)
     if n_crowded:
-        repeats = repeats.unionByName(_crowded(cut.join(crowded, "h"), min_length, gram, most, as_groups))
+        repeats = repeats.unionByName(_crowded(cut(classes.join(crowded, "h")), min_length, gram, most, as_groups))
     repeats = repeats.join(members.select("h", "c", "rid", "s"), ["h", "c"]).select("group", "length", "rid", (F.col("s") + F.col("off")).alias("s"))
     return repeats, texts, name
 
@@ -474,7 +474,6 @@ def repeated_bytes(documents: DataFrame, text_col: str = "text", min_length: int
     repeats, texts, name = _repeats(source, min_length, gram, most, False)
     covers = repeats.groupBy("rid").agg(F.collect_set(F.struct("s", (F.col("s") + F.col("length")).alias("e"))).alias("covers"))
     schema = "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>, kept_text string"
-    covers = keep(covers, "covers")
     found = texts.join(covers.hint("shuffle_hash"), "rid").select("rid", "text", "covers").mapInArrow(_removed, schema)
     found = keep(found.select("rid", *columns), "removed")
     documents.sparkSession.sql(f"DROP TABLE {name}")
