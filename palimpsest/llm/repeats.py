@@ -309,10 +309,10 @@ def _scan(min_length: int, gram: int, as_groups: bool):
 
 
 def _list_suffixes(min_length: int, gram: int):
-    """Every suffix of the contexts of crowded anchors: ``k`` is the hash of its first window, ``tail`` what follows it."""
+    """Every suffix of the contexts wanted of each text: ``k`` is the hash of its first window, ``tail`` what follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut_contexts(batches):  # in one Python worker, not two
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 h, c, n, w = (part.column(i).to_numpy().astype(np.int64) for i in range(4))
@@ -348,9 +348,9 @@ def _scan_nodes(min_length: int, as_groups: bool):
     return _in_turns(2, 6, flush)
 
 
-def _crowded(cut: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> DataFrame:
-    """The repeats of anchors whose suffixes are too many for one task."""
-    rows = keep(cut.mapInArrow(_list_suffixes(min_length, gram), "h long, k long, c long, off long, left long, several boolean, tail binary"), "suffixes")
+def _crowded(asked: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> DataFrame:
+    """The repeats of anchors whose suffixes are too many for one task; ``asked`` has texts and the contexts wanted of each."""
+    rows = keep(asked.mapInArrow(_list_suffixes(min_length, gram), "h long, k long, c long, off long, left long, several boolean, tail binary"), "suffixes")
     common = "aggregate(IF(least(length(t0), length(t1)) > 0, sequence(1, least(length(t0), length(t1))), CAST(array() AS array<int>)), 0, (a, i) -> IF(a = i - 1 AND substring(t0, i, 1) = substring(t1, i, 1), i, a))"
     upper, small = [], []
     while True:
@@ -390,14 +390,14 @@ def _repeats(source: DataFrame, min_length: int, gram: int, most: int, as_groups
     n_crowded = crowded.count()
     crowded = F.broadcast(crowded) if n_crowded <= 10_000 else crowded
 
-    def cut(some: DataFrame) -> DataFrame:
+    def asked(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "n", "s", "size", "w")).alias("wanted"))
-        return texts.join(wanted.hint("shuffle_hash"), "rid").select("text", "wanted").mapInArrow(_cut_contexts, "h long, c long, n long, w int, body binary")
+        return texts.join(wanted.hint("shuffle_hash"), "rid").select("text", "wanted")
 
-    usual = cut(classes.join(crowded, "h", "left_anti") if n_crowded else classes)
+    usual = asked(classes.join(crowded, "h", "left_anti") if n_crowded else classes).mapInArrow(_cut_contexts, "h long, c long, n long, w int, body binary")
     repeats = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_scan(min_length, gram, as_groups), _FOUND)
     if n_crowded:
-        repeats = repeats.unionByName(_crowded(cut(classes.join(crowded, "h")), min_length, gram, most, as_groups))
+        repeats = repeats.unionByName(_crowded(asked(classes.join(crowded, "h")), min_length, gram, most, as_groups))
     repeats = repeats.join(members.select("h", "c", "rid", "s"), ["h", "c"]).select("group", "length", "rid", (F.col("s") + F.col("off")).alias("s"))
     return repeats, texts, name
 
