@@ -37,25 +37,24 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Input splits whose results go into one file, where a step makes little of much and has splits for all cores.
-SPLITS_PER_FILE = 4
+#: Partitions that go into one file, as long as every core has some tasks.
+PER_FILE, TASKS_PER_CORE = 4, 4
 
 
-def fewer_files(df: DataFrame) -> DataFrame:
-    """``df`` with up to ``SPLITS_PER_FILE`` of its partitions in one task, as long as every core has four tasks; for scans."""
-    n, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, n // SPLITS_PER_FILE, min(n, 4 * cores)))
+def fewer_files(df: DataFrame, partitions: int) -> DataFrame:
+    """``df``, which has so many partitions or fewer, with up to ``PER_FILE`` of them in one task, one after the other."""
+    return df.coalesce(max(1, partitions // PER_FILE, TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def keep(df: DataFrame, name: str = "t", scan: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the running stage only.  The
-    folder goes when the application ends.  ``scan``: ``df`` has no shuffle and
-    its results are small next to its input, so that files are put together.
+    folder goes when the application ends.  ``scan``: ``df`` has no shuffle, so
+    that its partitions are those of its input.
     """
     spark = df.sparkSession
-    df = fewer_files(df) if scan else df
+    df = fewer_files(df, df._jdf.queryExecution().toRdd().getNumPartitions() if scan else int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

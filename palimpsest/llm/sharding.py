@@ -142,11 +142,11 @@ def _numbered(rows: DataFrame) -> DataFrame:
     Keys are counted per partition of the scan and numbered within those, so that
     a key that a third of all rows have is spread over the partitions that hold it.
     """
-    several = keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     several = F.broadcast(several) if several.count() <= 100_000 else several  # checked: a long each
     alike = rows.join(several, "key").withColumn("part", F.shiftright("row", 33))
     before = F.expr("sum(n) OVER (PARTITION BY key ORDER BY part) - n").alias("before")
-    per = keep(alike.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", before), "per")
+    per = alike.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", before)
     inner = F.expr("row_number() OVER (PARTITION BY key, part ORDER BY row) - 1")
     alike = alike.withColumn("inner", inner).join(per, ["key", "part"]).withColumn("nth", F.col("before") + F.col("inner")).drop("part", "inner", "before")
     return rows.join(several, "key", "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(alike)
@@ -168,8 +168,8 @@ def shard_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    rows = _numbered(keep(rows.withColumn("key", F.xxhash64("id", "text_crc32", "size")), "rows"))
-    rows = keep(rows.select("id", "size", "text_crc32", slot(F.col("key"), F.col("nth"), slots=slots).alias("vslot")), "records")
+    rows = _numbered(keep(rows.withColumn("key", F.xxhash64("id", "text_crc32", "size")), "records", scan=True))
+    rows = rows.select("id", "size", "text_crc32", slot(F.col("key"), F.col("nth"), slots=slots).alias("vslot"))
     sizes, counts = slot_sizes(rows, slots)
     made = stored_map(documents.sparkSession, maps, sizes, shards)
     before, start = [0] * shards, [0] * slots  # rows of the shard that lie in earlier slots
