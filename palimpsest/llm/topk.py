@@ -186,8 +186,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str =
     """
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     given = keep(given.where("id IS NOT NULL AND v IS NOT NULL"), "vectors")
-    most = "aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"
-    length = F.expr(f"{most} * sqrt(aggregate(v, 0D, (s, x) -> s + pow(x / greatest({most}, 1D), 2)))")
+    squares, most = "aggregate(v, 0D, (s, x) -> s + x * x)", "aggregate(v, 1D, (m, x) -> greatest(m, abs(x)))"
+    scaled = f"aggregate(transform(array({most}), m -> m * sqrt(aggregate(v, 0D, (s, x) -> s + x / m * x / m))), 0D, (a, x) -> a + x)"
+    length = F.expr(f"IF({squares} < 1e300, sqrt({squares}), {scaled})")
     rows = given.select(F.monotonically_increasing_id().alias("row"), "id", "asks", "v", F.size("v").alias("dim"))
     rows = keep(rows.withColumn("length", length), "numbered")
 
