@@ -1,13 +1,15 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 * Voters look for one word or one word beginning each.  Some are given
-  (``LEXICON``, ``PATTERNS``); the others are mined from labelled rows as the
-  words and beginnings that labelled toxic texts have far more often.
-* The label model takes the votes of the sample and estimates, by expectation
-  and maximisation, how often each voter fires on toxic and on clean texts.
-  Voters that fire together beyond what the label explains are correlated; the
-  evidence of each is divided by its correlated weight, so that ten spellings of
-  one sign don't count as ten signs.
+  (``LEXICON``, ``PATTERNS``); the others are signs that labelled toxic texts
+  have far more often.  Whether a voter is right is not taken from the labels.
+* The label model is generative: a hidden class decides which signs a text has,
+  and a sign makes each voter of its block fire or not.  Voters whose votes stay
+  correlated when the class is known are a block.  How often signs come with
+  either class, so how right their voters are, and the correlations are
+  estimated from how votes agree, by expectation and maximisation.  Whoever
+  labelled the sample is one more voter, right as often as agreement says;
+  labels also give the share of toxic texts.
 * Its posterior labels train a logistic regression over voters and further
   hashed features; the classifier alone scores texts, all of each text.
 
@@ -25,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _kernel
-from palimpsest.llm._scratch import small_batches
+from palimpsest.llm._scratch import keep, small_batches
 
 #: At most so many labelled texts, up to a third of them toxic, fit the models.
 SAMPLE = 6000
 MINED, FEATURES = 400, 3000
 #: A sign is mined if toxic texts have it so many standard deviations more often than chance would.
 CERTAIN = 4.5
-#: How often a person's label is taken to be right.
-LABEL_RIGHT = 0.95
+#: Correlation beside the class from which voters are taken to see one sign.
+CORRELATED = 0.5
 #: Beginnings of words, in bytes, that are looked at beside whole words.
 PREFIXES = (4, 5, 6)
 TABLE_BITS = 20
@@ -92,49 +94,96 @@ def _hash_of(text: str, prefix: bool = False) -> list[int]:
     return [int(h[len(known)])] if known else []
 
 
-def _sampled(ids: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute
+def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, distinct features) of every text of a column."""
+    for lo, hi, raw, offsets in _kernel.steps(batch.column(column)):
+        doc, h = features(raw, offsets)
+        order = np.argsort(doc, kind="stable")
+        first = np.searchsorted(doc[order], np.arange(hi - lo + 1))
+        for d in range(hi - lo):
+            yield lo + d, np.unique(h[order[first[d] : first[d + 1]]])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and in how many other texts each feature is."""
+    for batch in batches:
+        toxic = batch.column(0).to_numpy()
+        for part in (1, 0):
+            found = [h for row, h in _sets(batch, 1) if toxic[row] == part]
+            names, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, np.int64))
+            none = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n if part else none), pa.array(none if part else n)], names=["h", "f1", "f0"])
+
+
+def _chosen(wanted: np.ndarray):
+    """Which of the wanted features (sorted) each text has."""
 
-        wanted = pa.array(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pyarrow.compute.is_in(batch.column(0), wanted))
-            for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
-                doc, h = features(raw, offsets)
-                found = [np.unique(h[doc == d]).view(np.int64) for d in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.list_(pa.int64()))], names=["id", "h"])
+            found = [np.flatnonzero(np.isin(wanted, h, assume_unique=True)) for _, h in _sets(batch, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "has"])
 
     return run
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Posterior chance of toxic for each row of ``votes`` (rows x voters, 0 or 1).
+def blocks(votes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Block of each voter: those whose votes correlate by ``CORRELATED`` or more beside the class, and what is linked by such."""
+    v = votes.astype(np.float32)
+    on, off = (v.T @ y) / (y.sum() + 1e-9), (v.T @ (1 - y)) / ((1 - y).sum() + 1e-9)
+    rest = v - np.outer(y, on) - np.outer(1 - y, off)
+    spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+    linked = rest.T @ rest / len(v) / np.outer(spread, spread) >= CORRELATED
+    block = np.arange(len(on))
+    while True:
+        lowest = np.minimum(block, np.where(linked, block[None, :], len(block)).min(axis=1, initial=len(block)))
+        if (lowest == block).all():
+            return np.unique(block, return_inverse=True)[1]
+        block = lowest
+
+
+def _with_mean(z: np.ndarray, share: float) -> np.ndarray:
+    """Chances whose log odds differ from ``z`` by one number and whose mean is ``share``."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        y = 1 / (1 + np.exp(-np.clip(z + mid, -50, 50)))
+        low, high = (low, mid) if y.mean() > share else (mid, high)
+    return y
+
 
-    A person's label is one more voter, right with chance ``LABEL_RIGHT``; the
-    accuracies of the others are estimated.  A voter that doesn't fire abstains.
+def label_model(votes: np.ndarray, prior: float, labels: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+    """Posterior chance of the rarer class for each row of ``votes`` (rows x voters, 0 or 1).
+
+    A hidden class of share ``prior``; a row has the sign of a block with a
+    chance that depends on the class, and each voter of the block fires on the
+    sign with a chance of its own, which says nothing more about the class.  A
+    block that is silent abstains.  ``labels`` (0 or 1) are one more voter, which
+    never abstains.  The start is the labels, or else the number of votes on a
+    row; after that all chances, the labels' too, come from agreement.
     """
-    y = labels.astype(float)
     n, k = votes.shape
-    if k == 0 or n == 0:
-        return y
-    v = votes.astype(np.float32)
-    told = np.where(labels == 1, 1, -1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT))
-    for _ in range(rounds):
-        a, b = y.sum(), (1 - y).sum()
-        p1 = (v.T @ y + 0.5) / (a + 2)
-        p0 = (v.T @ (1 - y) + 0.05) / (b + 2)
-        # What is left of the votes after the label: correlated voters share their evidence.
-        rest = v - np.outer(y, p1) - np.outer(1 - y, p0)
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-        together = np.abs(rest.T @ rest / n / np.outer(spread, spread))
-        together[together < 0.3] = 0
-        np.fill_diagonal(together, 1)
-        fires = np.clip(np.log(p1 / p0), -8, 8) / together.sum(axis=1)
-        z = np.log((a + 1) / (b + 1)) + told + v @ fires
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(new - y).max() < 1e-4:
-            break
+    if n == 0 or (k == 0 and labels is None):
+        return np.full(n, prior)
+    y = np.clip(votes.sum(axis=1, dtype=np.float64) / 2, 0.02, 0.9) if labels is None else np.where(labels == 1, 0.9, 0.1)
+    signs = None
+    for round_ in range(rounds):
+        if round_ in (0, 3, 10):
+            block = blocks(votes, y)
+            signs = np.zeros((n, block.max(initial=-1) + 1))
+            for j in range(k):
+                signs[:, block[j]] = np.maximum(signs[:, block[j]], votes[:, j])
+        on = (signs.T @ y + 0.05) / (y.sum() + 1)
+        off = (signs.T @ (1 - y) + 0.05) / ((1 - y).sum() + 1)
+        z = signs @ np.clip(np.log(on / off), 0, 8)
+        if labels is not None:
+            right1 = np.clip((labels @ y + 1) / (y.sum() + 2), 0.5, 0.99)
+            right0 = np.clip(((1 - labels) @ (1 - y) + 1) / ((1 - y).sum() + 2), 0.5, 0.99)
+            z += np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
+        new = _with_mean(z, prior)
+        done = np.abs(new - y).max() < 1e-4
         y = new
+        if done and round_ > 10:
+            break
     return y
 
 
@@ -156,59 +205,53 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, y: np.ndarray,
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Fit voters, label model and classifier on labelled rows.
 
-    ``labels``: id and toxic (0 or 1) of the rows that may be learnt from.  The
-    sample is chosen by hash of the id; rows without a label are not used.
+    ``labels``: id and toxic (0 or 1) of the rows that may be learnt from; an id
+    with several labels is toxic if one of them says so, and of its texts the
+    smallest counts.  The sample is chosen by hash of the id; rows without a
+    label are not used.  Features are counted where the texts are; the driver
+    gets the ``FEATURES`` strongest, and for each sampled text which of them it
+    has.  Without labelled texts the given lexicon decides alone.
     """
-    small_batches(documents.sparkSession)
-    known = labels.select(F.col(labels.columns[0]).cast("long").alias("id"), F.col(labels.columns[1]).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    part = {t: known.where(F.col("toxic") == t) for t in (0, 1)}
-    size = {t: part[t].count() for t in part}
-    taken = {}
-    for t in part:
-        most = SAMPLE // 3 if t else SAMPLE - SAMPLE // 3
-        for r in part[t].orderBy(F.xxhash64("id"), "id").limit(most).collect():
-            taken[r.id] = t
+    spark = documents.sparkSession
+    small_batches(spark)
+    known = labels.select(F.col(labels.columns[0]).cast("long").alias("id"), F.col(labels.columns[1]).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    most = {1: SAMPLE // 3, 0: SAMPLE - SAMPLE // 3}
+    parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(most[t]) for t in (0, 1)]
+    taken = keep(parts[0].unionByName(parts[1]), "sampled")
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")  # SAMPLE rows
+    texts = keep(texts.groupBy("id", "toxic").agg(F.min("text").alias("text")), "texts")
+    got = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     lexicon = [h for x in LEXICON for h in _hash_of(x)] + [h for x in PATTERNS for h in _hash_of(x, prefix=True)]
     lexicon = np.unique(np.array(lexicon, dtype=_U))
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(_sampled(np.array(sorted(taken), dtype=np.int64)), "id long, h array<long>").toArrow() if taken else None
-    if rows is None or rows.num_rows == 0:  # nothing to learn from: the given lexicon alone
+    if not got:
         return Classifier(lexicon, np.full(len(lexicon), 3.0), -3.0)
-    rows = rows.sort_by("id")
-    ids, lists = rows.column("id").to_numpy(), rows.column("h").combine_chunks()
-    labels_of = np.array([taken[i] for i in ids])
-    counts = lists.value_lengths().to_numpy()
-    h = lists.flatten().to_numpy().view(_U)
-    doc = np.repeat(np.arange(len(ids)), counts)
-    names, col = np.unique(h, return_inverse=True)
-    n1, n0 = max(labels_of.sum(), 1), max((1 - labels_of).sum(), 1)
-    f1 = np.bincount(col, labels_of[doc], minlength=len(names))
-    f0 = np.bincount(col, 1 - labels_of[doc], minlength=len(names))
-    odds = np.log((f1 + 0.3) / (n1 + 1)) - np.log((f0 + 0.3) / (n0 + 1))
-    strength = odds * np.sqrt(f1 + f0)
-    expected = (f1 + f0) * n1 / (n1 + n0)
-    often = (f1 - expected) >= CERTAIN * np.sqrt(expected + 0.5)
-    given = np.isin(names, lexicon)
-    mined = np.argsort(np.where(often & (odds > 1.5), -strength, 0), kind="stable")[:MINED]
-    mined = mined[(often & (odds > 1.5))[mined]]
-    voters = np.unique(np.concatenate([np.flatnonzero(given), mined]))
-    votes = np.zeros((len(ids), len(voters)), dtype=np.uint8)
-    place = np.full(len(names), -1)
-    place[voters] = np.arange(len(voters))
-    hit = place[col] >= 0
-    votes[doc[hit], place[col[hit]]] = 1
-    posterior = label_model(votes, labels_of)
-
-    chosen = np.argsort(-np.abs(strength) * often, kind="stable")[:FEATURES]
-    chosen = np.union1d(chosen[often[chosen] & (odds[chosen] > 0.7)], voters)
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    hit = place[col] >= 0
-    share = {t: size[t] / max((labels_of == t).sum(), 1) for t in (0, 1)}
-    importance = np.where(labels_of == 1, share[1], share[0])
-    w, b = _logistic(doc[hit], place[col[hit]], len(ids), len(chosen), posterior, importance)
-    unseen = np.setdiff1d(lexicon, names[chosen])  # given words that the sample doesn't have
-    hashes = np.concatenate([names[chosen], unseen])
+
+    n1, n0 = max(got.get(1, 0), 1), max(got.get(0, 0), 1)
+    counts = texts.select("toxic", "text").mapInArrow(_counted, "h long, f1 long, f0 long").groupBy("h").agg(F.sum("f1").alias("f1"), F.sum("f0").alias("f0"))
+    counts = counts.withColumn("odds", F.log((F.col("f1") + 0.3) / (n1 + 1)) - F.log((F.col("f0") + 0.3) / (n0 + 1)))
+    counts = counts.withColumn("strength", F.col("odds") * F.sqrt(F.col("f1") + F.col("f0"))).withColumn("expected", (F.col("f1") + F.col("f0")) * F.lit(n1 / (n1 + n0)))
+    often = F.col("f1") - F.col("expected") >= CERTAIN * F.sqrt(F.col("expected") + 0.5)
+    counts = keep(counts.where(often & (F.col("odds") > 0.7) | F.col("h").isin(lexicon.view(np.int64).tolist())).withColumn("often", often), "features")
+    ranked = counts.where("often").orderBy(F.desc("strength"), "h")
+    mined = np.array([r.h for r in ranked.where("odds > 1.5").limit(MINED).collect()], dtype=np.int64).view(_U)
+    strong = np.array([r.h for r in ranked.limit(FEATURES).collect()], dtype=np.int64).view(_U)
+    given = np.array([r.h for r in counts.where(F.col("h").isin(lexicon.view(np.int64).tolist())).collect()], dtype=np.int64).view(_U)
+    voters = np.union1d(given, mined)
+    chosen = np.union1d(strong, voters)
+
+    rows = texts.select("id", "toxic", "text").mapInArrow(_chosen(chosen), "id long, toxic int, has array<int>").toArrow().sort_by("id")
+    labels_of, has = rows.column("toxic").to_numpy(), rows.column("has").combine_chunks()
+    doc, col = np.repeat(np.arange(len(labels_of)), has.value_lengths().to_numpy()), has.flatten().to_numpy()
+    votes = np.zeros((len(labels_of), len(chosen)), dtype=np.uint8)
+    votes[doc, col] = 1
+    posterior = label_model(votes[:, np.isin(chosen, voters)], float(np.clip(labels_of.mean(), 0.01, 0.5)), labels=labels_of)
+
+    share = {t: size.get(t, 0) / max(got.get(t, 0), 1) for t in (0, 1)}
+    w, b = _logistic(doc, col, len(labels_of), len(chosen), posterior, np.where(labels_of == 1, share[1], share[0]))
+    unseen = np.setdiff1d(lexicon, chosen)  # given words that the sample doesn't have
+    hashes = np.concatenate([chosen, unseen])
     weights = np.concatenate([w, np.full(len(unseen), np.median(w[w > 0]) if (w > 0).any() else 1.0)])
     order = np.argsort(hashes)
     return Classifier(hashes[order], weights[order], float(b))
