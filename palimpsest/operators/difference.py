@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,28 +14,33 @@ MOST_WORD_CHARS = 20_000
 CHANGE = "struct<kind: string, before: string, after: string, words: array<struct<op: string, before: string, after: string>>>"
 
 
-def word_changes(before: str, after: str) -> list[dict]:
-    """Edits of words between two blocks; none for very long ones."""
-    if max(len(before), len(after)) > MOST_WORD_CHARS:
-        return []
-    x, y = before.split(), after.split()
-    return [{"op": op, "before": " ".join(x[a:b]), "after": " ".join(y[c:d])} for op, a, b, c, d in SequenceMatcher(None, x, y, False).get_opcodes() if op != "equal"]
+def gaps(before: list[str], after: list[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """What lies on either side between the runs that two lists have in common."""
+    at = to = 0
+    for run in SequenceMatcher(None, before, after, False).get_matching_blocks():
+        if at < run.a or to < run.b:
+            yield before[at : run.a], after[to : run.b]
+        at, to = run.a + run.size, run.b + run.size
+
+
+def _edit(x: list[str], y: list[str]) -> dict:
+    return {"op": "replace" if x and y else "delete" if x else "insert", "before": " ".join(x), "after": " ".join(y)}
 
 
 def changes(before: list[str], after: list[str]) -> tuple[list[dict], float]:
-    """Changed blocks in order and the share that changed; blocks replaced in one place are paired by position."""
-    out, same = [], 0
-    for op, a, b, c, d in SequenceMatcher(None, before, after, False).get_opcodes():
-        if op == "equal":
-            same += b - a
-            continue
-        for i in range(max(b - a, d - c)):
-            x = before[a + i] if a + i < b else ""
-            y = after[c + i] if c + i < d else ""
+    """Changed blocks in order and the share that changed; blocks replaced in one place are paired by position.
+
+    Pairs say which words changed, unless one of them has more than ``MOST_WORD_CHARS``.
+    """
+    out, gone = [], 0
+    for left, right in gaps(before, after):
+        gone += len(left)
+        for x, y in zip_longest(left, right, fillvalue=""):
             kind = "changed" if x and y else "removed" if x else "added"
-            out.append({"kind": kind, "before": x, "after": y, "words": word_changes(x, y) if kind == "changed" else []})
-    longest = max(len(before), len(after), 1)
-    return out, (longest - same) / longest if (before or after) else 1.0
+            words = [_edit(*g) for g in gaps(x.split(), y.split())] if kind == "changed" and len(x) <= MOST_WORD_CHARS >= len(y) else []
+            out.append({"kind": kind, "before": x, "after": y, "words": words})
+    longest = max(len(before), len(after))
+    return out, (longest - len(before) + gone) / longest if longest else 1.0
 
 
 def block_changes(rows: DataFrame, key: str = "id", before: str = "before", after: str = "after") -> DataFrame:

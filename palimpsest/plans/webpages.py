@@ -146,7 +146,7 @@ def gate_verdicts(spark, d):
     return _pages(spark, d).select("page_id", gates.verdict(F.col("html"), F.col("url")).alias("verdict"))
 
 
-@query("asset_links", f"SELECT count(*) AS n, count(*) FILTER (regexp_matches(lower({_PATH}), '[.](css|gif|ico|jpeg|jpg|js|mp3|mp4|pdf|png|svg|webp|woff|woff2|zip)$')) AS assets FROM pages")
+@query("asset_links", f"SELECT count(*) AS n, count(*) FILTER (regexp_matches(lower({_PATH}), '[.](jpe?g|png|gif|webp|avif|svg|ico|bmp|tiff?|css|js|mjs|cjs|map|woff2?|ttf|otf|eot|mp4|webm|ogg|ogv|mp3|wav|m4a|flac|pdf|zip|gz)$')) AS assets FROM pages")
 def asset_links(spark, d):
     return _pages(spark, d).agg(F.count("*").alias("n"), F.count_if(gates.is_asset(F.col("url"))).alias("assets"))
 

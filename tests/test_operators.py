@@ -88,6 +88,10 @@ def test_text_of_a_page():
     assert title == "A title"
     assert list(zip(kinds, found)) == [("h1", "The heading of it"), ("p", "First paragraph & more"), ("p", "second line of it"), ("li", "An item of the list"), ("quote", "Quoted words here")]
     assert extract.blocks_of(None) == ("", [], [])
+    odd = """</div><div id=Main_Sidebar><p>Left out, twice over</div><p>Still inside of it</p></div><p>Text after the side</p><form>Not this one at all<br/></form>
+      <td role="x content y" class="nav">Kept for its content word<br/>And after an empty break <svg><title>T</title>gone</svg></td><header>Header elements are kept"""
+    assert extract.blocks_of(odd) == ("T", ["Text after the side", "Kept for its content word", "And after an empty break", "Header elements are kept"], ["p"] * 4)
+    assert extract.blocks_of("<p>" + "a" * 119_999 + "<p>" + "b" * 20 + "<p>" + "c" * 20)[1][1:] == ["b" * 20]
 
 
 def test_charsets():
@@ -197,11 +201,14 @@ def test_the_query_language():
     assert [(t.tokens, t.prefix, n) for t, n in q.groups][:4] == [(("and",), False, False), (("two", "words"), False, False), (("pre",), True, False), (("not",), False, True)]
 
 
-def test_excerpts():
+def test_excerpts(spark):
     body = "x" * 200 + " needle " + "y" * 300 + " other " + "z" * 300
-    got = search.excerpt(body, ["needle", "OTHER", "absent"])
+    of = lambda b, terms: one(spark, search.excerpt(F.col("b"), terms), b=b)
+    got = of(body, ["needle", "OTHER", "absent"])
     assert len(got) == 2 and all(g.startswith("…") and g.endswith("…") for g in got)
-    assert search.excerpt("short text", ["none"]) == ["short text"] and search.excerpt("", ["a"]) == []
+    assert of("short text", ["none"]) == ["short text"] and of("", ["a"]) == [] and of("a  b", []) == ["a b"]
+    assert of("one  two three", ["two", "ONE"]) == ["one two three"]
+    assert [len(x) for x in of(("k" + "." * 400).join("abcdef"), ["bk", "ck", "dk", "ek"])] == [184] * 3
 
 
 # history, filters, machines

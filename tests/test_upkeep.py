@@ -106,6 +106,7 @@ def test_patterns(spark):
     assert run("http://a.org/x") and run("http://b.a.org/x", match=["*://*.a.org/*"]) and run("http://a.org/x", match=["http://*.a.org/*"])
     assert not run("https://a.org/x", match=["http://a.org/*"]) and not run("http://ba.org/x", match=["*://*.a.org/*"])
     assert run("http://a.org:8080/x", match=["*://a.org:8080/*"]) and not run("http://a.org/x", match=["*://a.org:8080/*"]) and run("http://a.org:9/x", match=["*://a.org/*"])
+    assert run("https://a.org/p%25_q", match=["https:a.org/p%25_*"]) and not run("https://a.org/px25yq", match=["https://a.org/p%25_*"]) and not run("gopher://a/", match=["*://a/*"])
     assert not run("http://a.org/no", match=["<all_urls>"], exclude=["*/no"]) and run("http://a.org/[x]", include=["*[x]"])
     assert one(spark, matching.disallowed(F.col("p"), F.array(F.lit(""), F.lit("/s"))), p="/search") and not one(spark, matching.disallowed(F.col("p"), F.array(F.lit(""))), p="/search")
     assert one(spark, matching.comment_feed(F.col("u")), u="http://a/comments/feed") and not one(spark, matching.comment_feed(F.col("u")), u="http://a/feed")
@@ -117,6 +118,7 @@ def test_names_and_reports(spark):
     for bad in ("", "ftp://a.org", "nodots"):
         with pytest.raises(ValueError):
             matching.seed_text(bad)
+    assert matching.directory_text("Con" + "x" * 200) == "Con" + "x" * 93 and matching.directory_text(" ..") == ""
     assert matching.directory_text("Blogs: Ph*to  é. ") == "Blogs Ph to é" and matching.directory_text("CON.txt", "x") == "x"
     day = lambda n: datetime(2024, 1, n)
     assert matching.report_due(day(1), day(8), 7) and not matching.report_due(None, day(8), 7) and not matching.report_due(day(1), day(8), 0)
