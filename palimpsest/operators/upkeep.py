@@ -96,7 +96,15 @@ def scaled(pages: DataFrame, found: int, matches) -> DataFrame:
     return pages.agg(F.count("*").alias("sample"), F.count_if(matches).alias("hits")).select("sample", F.when(F.col("sample") > 0, F.floor(F.col("hits") * F.lit(float(found)) / F.col("sample"))).otherwise(0).cast("long").alias("estimate"))
 
 
+def report_line(*counts: str):
+    """Columns of counts as words; one is singular, and nothing is said of zeros."""
+    words = {c: c.replace("_", " ") for c in counts}
+    one = lambda w: w[:-1] if w.endswith("s") else w
+    said = [F.when(F.col(c) == 1, f"1 {one(w)}").when(F.col(c) != 0, F.concat(F.col(c).cast("string"), F.lit(f" {w}"))) for c, w in words.items()]
+    return F.concat_ws("; ", *said)
+
+
 def report_text(report: DataFrame) -> list[str]:
-    """The lines of a one-row report; counts of one are singular, nothing is said of zeros."""
-    row = report.first().asDict()
-    return [f"{value} {name[:-1] if value == 1 and name.endswith('s') else name}".replace("_", " ") for name, value in row.items() if value]
+    """The lines of a one-row report."""
+    text = report.select(report_line(*report.columns)).first()[0]
+    return text.split("; ") if text else []

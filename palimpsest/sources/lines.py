@@ -83,3 +83,14 @@ def cookies(lines: DataFrame, now: int, column: str = "value") -> DataFrame:
         F.min(F.when(good & (expires > 0), expires)).alias("earliest"),
         F.countDistinct(F.when(good, host)).alias("hosts"),
     )
+
+
+def cookie_warnings(cookies_: Column, bad_lines: Column, expired: Column) -> Column:
+    """What is to be said of a jar, from its counts."""
+    return F.concat_ws(", ", F.when(bad_lines > 0, "bad lines"), F.when(cookies_ == 0, "no cookies"), F.when(expired > 0, "expired cookies"))
+
+
+def document(text: Column, schema: str) -> Column:
+    """A JSON document by a schema; null where it can't be read."""
+    parsed = F.from_json(text, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return F.when(parsed["_corrupt"].isNull(), parsed)

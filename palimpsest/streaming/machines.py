@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from palimpsest.functions import matching
+
 #: Observations in a row that must agree before a state changes; failures in a row before a feed is disabled.
 CONFIRMATIONS, MOST_FAILURES = 2, 10
 
@@ -152,3 +154,9 @@ def folded(events: DataFrame, key: str = "key", order: str = "id") -> DataFrame:
 def final_status(result, returncode, cancelled):
     """The status of a finished job, as a column: what the engine says and how it ended must agree."""
     return F.when(cancelled, F.when(result.isNull(), "cancelled").otherwise("partial")).when(result.isNull(), "failed").when((returncode != 0) & (result == "ok"), "partial").otherwise(result)
+
+
+def new_feeds(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct found feeds (``url``) that are not ``known``, with ``enabled``: those of comments arrive switched off."""
+    rows = found.dropDuplicates(["url"]).join(known.select("url"), "url", "left_anti")
+    return rows.withColumn("enabled", ~matching.comment_feed(F.col("url")))
