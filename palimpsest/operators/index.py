@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest import storage
+
 CHUNK = 3000
 
 
@@ -50,19 +52,20 @@ def replayable():
 def chunks(lines: DataFrame, key: str = "urlkey", then: str = "timestamp", size: int = CHUNK) -> DataFrame:
     """The directory of chunks of ``size`` lines of the sorted index: ``chunk``, first key, lines and a digest.
 
-    The rank of a line comes from the range-partitioned sort: rows per partition
-    are counted first, so no partition waits for another's rows.
+    The index is sorted by ranges and written once, a file a range.  A line's
+    number is its place in its file, after all lines of the files before: no
+    partition waits for another's rows and nothing is sorted twice.
     """
-    # The keys are read twice, to find the ranges and to deal them out.
-    ordered = lines.select(key, then).persist().orderBy(key, then).persist()
-    # One count a partition comes to the driver; every row then knows its number without a further sort.
-    part = F.spark_partition_id()
-    counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, start = [0] * (max(counts, default=0) + 1), 0
-    for p in sorted(counts):
-        before[p], start = start, start + counts[p]
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = ordered.withColumn("n", F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), part + 1) + place)
+    ordered = storage.written(lines.select(key, then).orderBy(key, then), "index")
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    placed = ordered.select(key, then, file.alias("file"), F.col("_metadata.row_index").alias("place"))
+    # One count a file comes to the driver.
+    counts = {r.file: r["count"] for r in placed.groupBy("file").count().collect()}
+    before, start = {}, 0
+    for f in sorted(counts):
+        before[f], start = start, start + counts[f]
+    first = F.element_at(F.create_map(*[F.lit(x) for f, n in before.items() for x in (f, n)]), F.col("file")) if before else F.lit(0)
+    rows = placed.groupBy(((first + F.col("place")) / size).cast("long").alias("chunk"))
     line = F.concat_ws(" ", key, then)
-    rows = numbered.groupBy(F.expr(f"n div {size}").alias("chunk"))
-    return rows.agg(F.min(F.struct(key, then)).alias("first"), F.count("*").alias("lines"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest")).select("chunk", f"first.{key}", f"first.{then}", "lines", "digest")
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
+    return rows.agg(F.min(F.struct(key, then)).alias("first"), F.count("*").alias("lines"), digest.alias("digest")).select("chunk", f"first.{key}", f"first.{then}", "lines", "digest")

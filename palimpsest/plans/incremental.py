@@ -40,7 +40,10 @@ def hysteresis(spark, d):
     return machines.health_changes(_seen(M.observations(spark, d)))
 
 
-@query("feed_states")
+@query("feed_states", """WITH o AS (SELECT user_id AS key, event_type = 'view' AS ok, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+r AS (SELECT key, run, count(*) FILTER (NOT ok) AS failures, count(*) AS n FROM o GROUP BY key, run)
+SELECT key, CAST(sum(n) AS BIGINT) AS polls, CASE WHEN max(failures) < 10 THEN arg_max(failures, run) ELSE 10 END AS failures, max(failures) < 10 AS enabled,
+CASE WHEN max(failures) >= 10 THEN 'disabled' WHEN arg_max(failures, run) > 0 THEN 'failed' WHEN max(run) = 1 THEN 'baseline' ELSE 'polled' END AS last_action FROM r GROUP BY key""")
 def feed_states(spark, d):
     return machines.feed_states(M.observations(spark, d).select("key", "id", "ts", (F.col("kind") == "view").alias("ok")))
 

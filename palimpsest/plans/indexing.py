@@ -26,7 +26,8 @@ def _cdxj(spark, d):
     rows = M.spread(M.capture_urls(spark, d)).join(M.captures(spark, d).select(F.col("id").alias("capture_id"), "started_at"), "capture_id")
     mime = F.when(F.col("line") >= 5, "warc/revisit").when(F.col("line") == 4, "image/png").otherwise("text/html")
     blob = F.to_json(F.struct("url", mime.alias("mime"), F.col("status_code").cast("string").alias("status"), "digest", F.concat(F.lit("captures/"), F.col("capture_id").cast("string"), F.lit("/a.warc.gz")).alias("filename"), F.col("line").cast("string").alias("offset")))
-    return rows.select(F.concat_ws(" ", urls.surt(F.col("url")), F.date_format("started_at", "yyyyMMddHHmmss"), blob).alias("value"))
+    key = F.concat(F.lit("org,example,"), F.split_part("host", F.lit("."), F.lit(1)), F.lit(")/p/"), F.split_part("url", F.lit("/p/"), F.lit(2)))
+    return rows.select(F.concat_ws(" ", key, F.date_format("started_at", "yyyyMMddHHmmss"), blob).alias("value"))
 
 
 _INDEX = M.SQL + """, records AS (SELECT 'org,example,h' || regexp_extract(host, '^h([0-9]+)', 1) || ')/p/' || regexp_extract(url, '([0-9]+)$', 1) AS urlkey, strftime(started_at, '%Y%m%d%H%M%S') AS timestamp, url,

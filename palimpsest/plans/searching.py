@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.operators import search
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
 def _index(spark, d):
-    """Documents, postings and lengths.  An archive keeps its postings as a table; here they are kept for the query."""
+    """Documents, postings and lengths.  As in an archive, postings are a table by term: written by the first query over a folder, read by all."""
     docs = M.table(spark, d, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("title"))
-    index = search.postings(M.spread(docs), "doc_id", {"title": "title", "body": "text"}).persist()
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        _stored[key] = storage.bucketed(search.postings(M.spread(docs), "doc_id", {"title": "title", "body": "text"}), "postings", "term")
+    index = _stored[key]
     lengths = index.groupBy("doc_id").agg(F.sum(F.size("positions")).alias("dl"))
     return docs, index, lengths
 

@@ -60,13 +60,16 @@ def _health_rows(key, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tup
 
 
 def health_changes(observations: DataFrame) -> DataFrame:
-    """State changes of each key, in batch.  ``observations``: ``key``, ``id``, ``ts``, ``seen``."""
+    """State changes of each key, in batch.  ``observations``: ``key``, ``id``, ``ts``, ``seen``.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _health_rows(key[0], rows.sort_values(["ts", "id"]), None)
-        return pd.DataFrame(out, columns=["key", "id", "changed_to"])
-
-    return observations.groupBy("key").applyInPandas(run, HEALTH)
+    A state holds from its ``CONFIRMATIONS``-th observation in a row, the first
+    of all from the start; a change is where what holds differs from what held.
+    """
+    order = "OVER (PARTITION BY key ORDER BY ts, id)"
+    agrees = " AND ".join(f"seen = lag(seen, {n}) {order}" for n in range(1, CONFIRMATIONS)) or "true"
+    rows = observations.withColumn("holds", F.expr(f"coalesce({agrees}, false) OR row_number() {order} = 1")).where("holds")
+    rows = rows.withColumn("held", F.expr(f"lag(seen) {order}"))
+    return rows.where("held IS NOT NULL AND held <> seen").select(F.col("key").cast("long").alias("key"), F.col("id").cast("long").alias("id"), F.col("seen").alias("changed_to"))
 
 
 def health_stream(observations: DataFrame) -> DataFrame:
@@ -86,15 +89,16 @@ def health_stream(observations: DataFrame) -> DataFrame:
 
 
 def feed_states(polls: DataFrame) -> DataFrame:
-    """Where each feed stands after its polls.  ``polls``: ``key``, ``id``, ``ts``, ``ok``."""
+    """Where each feed stands after its polls.  ``polls``: ``key``, ``id``, ``ts``, ``ok``.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, did = None, ""
-        for ok in rows.sort_values(["ts", "id"])["ok"]:
-            state, did = feed_step(state, bool(ok))
-        return pd.DataFrame([(key[0], len(rows), state[0], state[1], did)], columns=["key", "polls", "failures", "enabled", "last_action"])
-
-    return polls.groupBy("key").applyInPandas(run, FEED)
+    Failures since the same success are a run; a run of ``MOST_FAILURES`` disables for good.
+    """
+    run = F.expr("count_if(ok) OVER (PARTITION BY key ORDER BY ts, id)")
+    runs = polls.withColumn("run", run).groupBy("key", "run").agg(F.count_if(~F.col("ok")).alias("failures"), F.count("*").alias("n"))
+    per = runs.groupBy("key").agg(F.sum("n").alias("polls"), F.max("failures").alias("worst"), F.max_by("failures", "run").alias("last"), F.max("run").alias("successes"))
+    enabled = F.col("worst") < MOST_FAILURES
+    did = F.when(~enabled, "disabled").when(F.col("last") > 0, "failed").when(F.col("successes") == 1, "baseline").otherwise("polled")
+    return per.select(F.col("key").cast("long").alias("key"), "polls", F.when(enabled, F.col("last")).otherwise(F.lit(MOST_FAILURES)).cast("long").alias("failures"), enabled.alias("enabled"), did.alias("last_action"))
 
 
 def feed_stream(polls: DataFrame) -> DataFrame:
