@@ -62,11 +62,16 @@ def _literal(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def _state(roles: Column, template: Template) -> Column:
-    """The machine's last state; null once a turn is out of order."""
+def _walk(roles: Column, template: Template) -> Column:
+    """Where the machine is after all turns (empty once one is out of order), and how many it took: one step a turn."""
     moves = [F.lit(x) for s, row in template.moves.items() for r, t in row.items() for x in (f"{s}>{r}", t)]
     table = F.create_map(*moves)
-    return F.aggregate(roles, F.lit("start"), lambda s, r: F.try_element_at(table, F.concat(s, F.lit(">"), r)))
+
+    def step(at: Column, role: Column) -> Column:
+        to = F.coalesce(F.try_element_at(table, F.concat(at["state"], F.lit(">"), role)), F.lit(""))
+        return F.struct(to.alias("state"), (at["good"] + F.when(to != "", 1).otherwise(0)).alias("good"))
+
+    return F.aggregate(roles, F.struct(F.lit("start").alias("state"), F.lit(0).alias("good")), step)
 
 
 def format_chats(turns: DataFrame, template: Template = Template(), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -90,8 +95,7 @@ def format_chats(turns: DataFrame, template: Template = Template(), id_col: str
         return F.array(F.struct(head.alias("text"), F.lit(False).alias("loss")), body, mark(template.close))
 
     segments = F.concat(F.array(mark(template.begin)), F.flatten(F.transform("turns", of_turn)), F.array(mark(template.end)))
-    good_until = F.size(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: _state(F.slice(roles, F.lit(1), i), template).isNotNull()))
-    out = grouped.select("id", F.size("turns").cast("long").alias("n_turns"), _state(roles, template).alias("state"), segments.alias("segments"), good_until.alias("good"))
+    out = grouped.select("id", F.size("turns").cast("long").alias("n_turns"), _walk(roles, template).alias("at"), segments.alias("segments")).select("id", "n_turns", "at.state", "at.good", "segments")
     return out.select("id", "n_turns", F.coalesce(F.col("state").isin(*template.final), F.lit(False)).alias("valid"), F.when(F.col("good") < F.col("n_turns"), F.col("good")).alias("first_bad"), "segments")
 
 
