@@ -28,6 +28,9 @@ THRESHOLD = -0.4
 #: Base rules: too few words; words in repeated three-word windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
+#: Ids (a long each) that are sent to all executors; beyond it the join is a shuffle, with the same result.
+SENT = 1_000_000
+
 _U = np.uint64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -130,9 +133,11 @@ def fit_ratio(documents: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     ``BUCKETS``.
     """
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    # Texts are only shuffled where the ids are too many to be sent along.
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("shuffle_hash")
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Rows without an id are not dealt out: they would all go to one task.
-    marked = rows.where("id IS NOT NULL").join(ids.hint("shuffle_hash"), "id", "left").select(F.coalesce("known", F.lit(False)).alias("known"), "text")
+    marked = rows.where("id IS NOT NULL").join(ids, "id", "left").select(F.coalesce("known", F.lit(False)).alias("known"), "text")
     marked = marked.unionByName(rows.where("id IS NULL").select(F.lit(False).alias("known"), "text"))
     found = marked.mapInArrow(_count, "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
