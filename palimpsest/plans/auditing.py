@@ -173,3 +173,13 @@ def mangled_requests(spark, d):
 def judged_pages(spark, d):
     out = gates.judged(F.col("html"), F.col("url"), F.contains("html", F.lit("<article>")), F.contains("html", F.lit('class="paywall"')))
     return M.table(spark, d, "pages").select("page_id", F.when(out.isin("selector", "clear"), out).otherwise("other").alias("verdict"))
+
+
+@query("registrable_by_list", M.SQL + "SELECT host, CASE host WHEN 'h3.example.org' THEN 'h3.example.org' ELSE CASE WHEN host = 'h4.example.org' THEN '' ELSE 'a.' || host END END AS registrable, count(*) AS n FROM capture_urls GROUP BY host")
+def registrable_by_list(spark, d):
+    """Owners by a suffix list: each host of the domain gives names below it, but for an exception."""
+    rules = spark.createDataFrame([("org",), ("example.org",), ("*.example.org",), ("!h3.example.org",), ("com",)], "rule string")
+    rows = M.capture_urls(spark, d)
+    named = rows.select("host", F.when(F.col("host") == "h4.example.org", F.col("host")).otherwise(F.concat(F.lit("a."), "host")).alias("name"))
+    owners = hosts.registrable_by(named, rules, "name")
+    return owners.groupBy("host", "registrable").agg(F.count("*").alias("n"))

@@ -127,3 +127,11 @@ def test_names_and_reports(spark):
     states = [one(spark, matching.observed(F.col("s").cast("int"), F.lit(None).cast("string"), F.lit("http://a.org"), F.lit("http://www.a.org")), s=s) for s in ("200", "403", "410", "500", "418")]
     assert states == ["live", "blocked", "gone", "unreachable", "unreachable"]
     assert one(spark, matching.described(F.lit("gone"), F.lit(410), F.lit(None)), s="").startswith("The live site answers 410")
+
+
+def test_owners_by_a_suffix_list(spark):
+    rules = spark.createDataFrame([("com",), ("co.uk",), ("uk",), ("*.ck",), ("!www.ck",), ("github.io",)], "rule string")
+    want = {"a.b.com": "b.com", "com": "", "x.y.co.uk": "y.co.uk", "co.uk": "", "q.uk": "q.uk", "a.b.c.ck": "b.c.ck", "c.ck": "", "www.ck": "www.ck", "a.www.ck": "www.ck", "me.github.io": "me.github.io", "a.unknown": "a.unknown", "unknown": ""}
+    names = spark.createDataFrame([(n,) for n in [*want, "a.b.com"]], "host string")
+    got = hosts.registrable_by(names, rules).collect()
+    assert len(got) == len(want) + 1 and {r.host: r.registrable for r in got} == want
