@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that one vectorised step takes (a longer text is taken alone).
 STEP_BYTES = 1 << 19
+#: From here on a text is cut into segments, so that what is made of its bytes stays small.
+LONG = 1 << 21
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -90,6 +92,27 @@ def steps(column: pa.Array | pa.ChunkedArray, limit: int = STEP_BYTES) -> Iterat
         lo = hi
 
 
+def is_long(raw: np.ndarray, offsets: np.ndarray) -> bool:
+    """A step that is one text of more than a few steps' bytes: it is to be looked at in ``segments``."""
+    return len(offsets) == 2 and len(raw) > LONG
+
+
+def segments(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of parts of a long text, of about ``STEP_BYTES``; each but the first begins with a separator, so that no word is in two."""
+    space, at = lookup("space"), 0
+    while at < len(raw):
+        end = at + STEP_BYTES
+        while end < len(raw):
+            found = np.flatnonzero(space[raw[end : end + STEP_BYTES]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += STEP_BYTES
+        end = min(end, len(raw))
+        yield at, end
+        at = end
+
+
 class Words:
     """The words of a run of texts: ``start`` and ``end`` (bytes), ``doc`` and ``first`` (words before each text)."""
 
@@ -159,9 +182,33 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), bounds
 
 
+def long_hashes(raw: np.ndarray, lower: bool) -> np.ndarray:
+    """``Words.hashes`` of one long text."""
+    return np.concatenate([np.zeros(0, U64), *(Words(raw[a:b], np.array([0, b - a])).hashes(lower) for a, b in segments(raw))])
+
+
+def _long_shingle_set(raw: np.ndarray, size: int) -> np.ndarray:
+    """The distinct shingle hashes of one long text, a part of its words at a time."""
+    h = long_hashes(raw, lower=True)
+    place = np.array([pow(int(PLACES[0]), j + 1, 1 << 64) for j in range(size)], dtype=U64)
+    if len(h) < size:
+        return mix((h * place[: len(h)]).sum(keepdims=True, dtype=U64) + U64(len(h))) if len(h) else h
+    found = []
+    for lo in range(0, len(h) - size + 1, STEP_BYTES):
+        hi = min(lo + STEP_BYTES, len(h) - size + 1)
+        part = np.zeros(hi - lo, dtype=U64)
+        for j in range(size):
+            part += h[lo + j : hi + j] * place[j]
+        found.append(np.unique(mix(part)))
+    return np.unique(np.concatenate(found))
+
+
 def shingle_sets(column, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text of an Arrow column."""
     for lo, hi, raw, offsets in steps(column):
+        if is_long(raw, offsets):
+            yield lo, _long_shingle_set(raw, size)
+            continue
         h, bounds = shingles(Words(raw, offsets), size)
         for d in range(hi - lo):
             yield lo + d, np.unique(h[bounds[d] : bounds[d + 1]])

@@ -94,18 +94,70 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             lines = (sums[end[own]] - sums[start[own]]) * back[start[own]] + (end[own] - start[own]).astype(_U)
             out["n_dup_lines"][d] = len(lines) - len(np.unique(lines))
 
-    h = words.hashes(lower=False, sums=sums)
+    repeated = _repeated(words.hashes(lower=False, sums=sums), words.doc)
+    out["n_repeat_words"] = np.bincount(words.doc[repeated], minlength=docs).astype(np.int64)
+    return out
+
+
+def _long_counts(raw: np.ndarray) -> dict[str, np.ndarray]:
+    """``base_counts`` of one long text, from its segments; what is kept of all of it is a hash per word and per line."""
+    total = dict.fromkeys(("n_words", "word_chars", "n_symbols"), 0)
+    hashes, lines = [], []
+    held, length, solid = 0, 0, 0  # of the line that is not at its end: hash, bytes, bytes of words
+    for a, b in _kernel.segments(raw):
+        part = raw[a:b]
+        words = _kernel.Words(part, np.array([0, len(part)]))
+        sums, back = words.sums(lower=False), _kernel.powers(len(part) + 1)[1]
+        hashes.append(words.hashes(lower=False, sums=sums))
+        total["n_words"] += len(words.start)
+        total["word_chars"] += int((words.solid & _kernel.lookup("head")[part]).sum())
+        total["n_symbols"] += int(_kernel.lookup("symbol")[part].sum())
+        newline = np.flatnonzero(part == 10)
+        start, end = np.r_[0, newline + 1], np.r_[newline, len(part)]
+        counts = np.r_[0, np.cumsum(words.solid)]
+        filled = counts[end] - counts[start]
+        line = (sums[end] - sums[start]) * back[start]
+        # The first line goes on from the segment before, the last one into the next.
+        line[0] = _U((held + int(line[0]) * pow(_kernel.BASE, length, 1 << 64)) & (2**64 - 1))
+        size = end - start
+        size[0] += length
+        filled[0] += solid
+        held, length, solid = int(line[-1]), int(size[-1]), int(filled[-1])
+        lines.append((line + size.astype(_U))[:-1][filled[:-1] > 0])
+    if solid:
+        lines.append(np.array([(held + length) & (2**64 - 1)], dtype=_U))
+    lines = np.concatenate([np.zeros(0, _U), *lines])
+    h = np.concatenate([np.zeros(0, _U), *hashes])
+    return {k: np.array([v]) for k, v in total.items()} | {"n_dup_lines": np.array([len(lines) - len(np.unique(lines))]), "n_repeat_words": np.array([_repeated(h, np.zeros(len(h), np.int64)).sum()])}
+
+
+def _repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which words (hashes, with their texts) lie in a three-word window that their text has twice."""
     repeated = np.zeros(len(h), dtype=bool)
     if len(h) >= 3:
-        at = np.flatnonzero(words.doc[:-2] == words.doc[2:])
-        key = _kernel.mix(h[at] * _kernel.PLACES[0] + h[at + 1] * _kernel.PLACES[1] + h[at + 2] * _kernel.PLACES[2] + _kernel.mix(words.doc[at].astype(_U)))
+        at = np.flatnonzero(doc[:-2] == doc[2:])
+        key = _kernel.mix(h[at] * _kernel.PLACES[0] + h[at + 1] * _kernel.PLACES[1] + h[at + 2] * _kernel.PLACES[2] + _kernel.mix(doc[at].astype(_U)))
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         twice = at[np.concatenate([order[1:][same], order[:-1][same]])]
         for j in range(3):
             repeated[twice + j] = True
-    out["n_repeat_words"] = np.bincount(words.doc[repeated], minlength=docs).astype(np.int64)
-    return out
+    return repeated
+
+
+def _ratio_of(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the weights of each text's grams, and their number."""
+    at, bucket = buckets(raw, offsets)
+    sums = np.zeros(len(at) + 1, dtype=np.int64)
+    np.cumsum(weights[bucket], out=sums[1:])
+    bounds = np.searchsorted(at, offsets)
+    return np.diff(sums[bounds]), np.diff(bounds)
+
+
+def _gram_parts(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a long text that have each of its grams once."""
+    for lo in range(0, max(len(raw) - GRAM + 1, 0), _kernel.STEP_BYTES):
+        yield raw[lo : lo + _kernel.STEP_BYTES + GRAM - 1]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +210,13 @@ def _judged(ratio: Ratio, threshold: float, keep_only: bool, text_col: str):
             found = {k: np.zeros(n, np.int64) for k in COUNTS}
             total, grams = np.zeros(n, np.int64), np.zeros(n, np.int64)
             for lo, hi, raw, offsets in _kernel.steps(batch.column(batch.schema.get_field_index(text_col))):
-                for k, v in base_counts(raw, offsets).items():
+                long = _kernel.is_long(raw, offsets)
+                for k, v in (_long_counts(raw) if long else base_counts(raw, offsets)).items():
                     found[k][lo:hi] = v
-                at, bucket = buckets(raw, offsets)
-                sums = np.zeros(len(at) + 1, dtype=np.int64)
-                np.cumsum(ratio.weights[bucket], out=sums[1:])
-                bounds = np.searchsorted(at, offsets)
-                total[lo:hi], grams[lo:hi] = np.diff(sums[bounds]), np.diff(bounds)
+                for part in _gram_parts(raw) if long else [raw]:
+                    score, n_grams = _ratio_of(part, np.array([0, len(part)]) if long else offsets, ratio.weights)
+                    total[lo:hi] += score
+                    grams[lo:hi] += n_grams
             failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED * found["n_words"])
             kept = ~failed & (total >= cut * grams)
             if keep_only:

@@ -85,6 +85,16 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(out)
 
 
+def _features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``features`` of a step, those of a long text by segments and without repeats in one."""
+    if not _kernel.is_long(raw, offsets):
+        yield features(raw, offsets)
+        return
+    for a, b in _kernel.segments(raw):
+        found = np.unique(features(raw[a:b], np.array([0, b - a]))[1])
+        yield np.zeros(len(found), np.int64), found
+
+
 def _hash_of(text: str, prefix: bool = False) -> list[int]:
     raw = np.frombuffer(text.lower().encode(), dtype=np.uint8)
     _, h = features(raw, np.array([0, len(raw)]))
@@ -97,7 +107,7 @@ def _hash_of(text: str, prefix: bool = False) -> list[int]:
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, distinct features) of every text of a column."""
     for lo, hi, raw, offsets in _kernel.steps(batch.column(column)):
-        doc, h = features(raw, offsets)
+        doc, h = (np.concatenate(x) for x in zip(*_features(raw, offsets), strict=True))
         order = np.argsort(doc, kind="stable")
         first = np.searchsorted(doc[order], np.arange(hi - lo + 1))
         for d in range(hi - lo):
@@ -265,11 +275,13 @@ def _scored(model: Classifier):
         for batch in batches:
             z = np.full(batch.num_rows, model.intercept)
             for lo, hi, raw, offsets in _kernel.steps(batch.column(1)):
-                doc, h = features(raw, offsets)
-                maybe = np.flatnonzero(table[(h >> _U(64 - TABLE_BITS)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(model.hashes, h[maybe]), len(model.hashes) - 1)
-                sure = model.hashes[at] == h[maybe]
-                pairs = np.unique(doc[maybe[sure]].astype(np.int64) * len(model.hashes) + at[sure])
+                pairs = []
+                for doc, h in _features(raw, offsets):
+                    maybe = np.flatnonzero(table[(h >> _U(64 - TABLE_BITS)).astype(np.int64)])
+                    at = np.minimum(np.searchsorted(model.hashes, h[maybe]), len(model.hashes) - 1)
+                    sure = model.hashes[at] == h[maybe]
+                    pairs.append(doc[maybe[sure]].astype(np.int64) * len(model.hashes) + at[sure])
+                pairs = np.unique(np.concatenate(pairs))
                 z[lo:hi] += np.bincount(pairs // len(model.hashes), model.weights[pairs % len(model.hashes)], minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
 

@@ -35,6 +35,32 @@ def test_counts_match_plain_versions(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_long_texts_are_looked_at_in_segments(monkeypatch, seed):
+    import numpy as np
+    import pyarrow as pa
+
+    from palimpsest.llm import _kernel
+
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(["a b c\n", "x ", "\n", "w" * 90 + " ", "|$ ", "é", "\n\n", "idiot ", "scum "]) for _ in range(rng.randrange(400))), "a b c d e f\n" * 40, "q" * 999, "one two", ""]
+    table = np.zeros(quality.BUCKETS, np.int64) + np.arange(quality.BUCKETS) % 7
+    model = toxicity.Classifier(np.sort(np.array(toxicity._hash_of("idiot") + toxicity._hash_of("scum"), dtype=np.uint64)), np.array([1.0, 2.0]), -1.0)
+
+    def seen():
+        batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["id", "text"])
+        known = pa.RecordBatch.from_arrays([pa.array([i % 2 == 0 for i in range(5)]), pa.array(texts)], names=["known", "text"])
+        out = [x.to_pylist() for x in quality._judged(quality.Ratio(table), 0.0, False, "text")(iter([batch]))]
+        out += [x.to_pylist() for x in quality._count(iter([known]))] + [x.to_pylist() for x in toxicity._scored(model)(iter([batch]))]
+        return out, [(i, x.tolist()) for i, x in _kernel.shingle_sets(batch.column(1))]
+
+    whole = seen()
+    monkeypatch.setattr(_kernel, "LONG", 40)
+    monkeypatch.setattr(_kernel, "STEP_BYTES", 25)
+    monkeypatch.setattr(_kernel.steps, "__defaults__", (25,))
+    assert seen() == whole
+
+
 def test_junk_falls_and_prose_stays(spark):
     rng = random.Random(2)
     good = [(i, prose(rng, 120), "s") for i in range(60)]
