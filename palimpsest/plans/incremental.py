@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.functions import scalars
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
-from palimpsest.streaming import machines
+from palimpsest.streaming import machines, tails
 
 
 def _seen(rows):
@@ -77,6 +78,37 @@ def stream_windows(spark, d):
     return _stream(spark, d, build, "complete")
 
 
+@query("stream_batches", "SELECT event_type AS kind, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
+def stream_batches(spark, d):
+    """Rows of a stream appended batch by batch: all of them, none twice."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = f"{storage.shared_folder(spark)}/palimpsest-batches-{uuid.uuid4().hex}"
+    tails.append_batches(rows.select("event_id", "event_type"), f"{out}/rows", f"{out}/checkpoint", None).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+_CHUNK = "CASE WHEN event_id % 3 = 0 THEN 'a' || event_id ELSE 'b' || event_id || chr(10) || 'c' END"
+
+
+@query("stream_whole_lines", f"WITH f AS (SELECT CAST(user_id AS VARCHAR) AS file, string_split(string_agg({_CHUNK}, '' ORDER BY event_id), chr(10)) AS parts FROM events GROUP BY user_id) SELECT file, CAST(unnest(range(len(parts) - 1)) AS BIGINT) AS place, unnest(parts[:-2]) AS line FROM f WHERE len(parts) > 1")
+def stream_whole_lines(spark, d):
+    """Lines of growing files; the last one is left out until it ends."""
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("a"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("b"), F.col("id").cast("string"), F.lit("\nc")))
+    return _stream(spark, d, lambda rows: tails.whole_lines(rows.select(F.col("key").cast("string").alias("file"), F.col("id").alias("at"), text.alias("text"))), "append")
+
+
+@query("log_drain", M.SQL + "SELECT CASE WHEN EXISTS (SELECT 1 FROM capture_urls i WHERE i.url = u.url AND i.error IS NULL) THEN 'written' ELSE 'waiting' END AS state, count(*) AS n FROM capture_urls u GROUP BY 1")
+def log_drain(spark, d):
+    """Logged rows in two steps: those with an index line are written, the others are carried on."""
+    rows = M.capture_urls(spark, d).select("url", "line", "error")
+    index = rows.where("error IS NULL")
+    first, waiting = tails.drained(index.where("line <= 3"), rows.where("line <= 3").limit(0), rows.where("line <= 3"))
+    second, waiting = tails.drained(index, waiting, rows.where("line > 3"))
+    state = lambda x, s: x.agg(F.count("*").alias("n")).select(F.lit(s).alias("state"), "n")
+    return state(first.unionByName(second), "written").unionByName(state(waiting, "waiting"))
+
+
 @query("sliding_failures", "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error'")
 def sliding_failures(spark, d):
     rows = M.observations(spark, d).where("kind = 'error'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
