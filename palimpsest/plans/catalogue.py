@@ -81,8 +81,9 @@ def tag_most_used(spark, d):
 
 @query("tag_missing_pairs", M.SQL + f"SELECT s.id AS site_id, t.slug FROM sites s CROSS JOIN (SELECT slug FROM tags ORDER BY slug LIMIT 5) t WHERE NOT EXISTS (SELECT 1 FROM site_tags x WHERE x.site_id = s.id AND x.slug = t.slug)")
 def tag_missing_pairs(spark, d):
-    wanted = F.explode(F.array(*[F.lit(r.slug) for r in M.tags(spark, d).orderBy("slug").limit(5).collect()])).alias("slug")
-    return M.sites(spark, d).select(F.col("id").alias("site_id"), wanted).join(M.site_tags(spark, d), ["site_id", "slug"], "left_anti")
+    picked = M.tags(spark, d).orderBy("slug").limit(5).agg(F.collect_list("slug").alias("slugs"))
+    wanted = M.sites(spark, d).crossJoin(F.broadcast(picked)).select(F.col("id").alias("site_id"), F.explode("slugs").alias("slug"))  # one row of five names
+    return wanted.join(M.site_tags(spark, d), ["site_id", "slug"], "left_anti")
 
 
 @query("symlink_names", M.SQL + """, named AS (SELECT id, slug, lower(substr(title, 1, 17)) AS name FROM site_tags JOIN sites ON site_id = id WHERE NOT deleted)

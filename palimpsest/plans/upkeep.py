@@ -43,8 +43,8 @@ def clearable_jobs(spark, d):
 
 @query("tag_pairs_removed", M.SQL + "SELECT slug, count(*) AS n FROM site_tags WHERE NOT (site_id <= 100 AND slug IN (SELECT slug FROM tags ORDER BY slug LIMIT 2)) GROUP BY slug")
 def tag_pairs_removed(spark, d):
-    two = [r.slug for r in M.tags(spark, d).orderBy("slug").limit(2).collect()]
-    gone = M.sites(spark, d).where("id <= 100").select(F.col("id").alias("site_id"), F.explode(F.array(*[F.lit(s) for s in two])).alias("slug"))
+    two = M.tags(spark, d).orderBy("slug").limit(2).agg(F.collect_list("slug").alias("slugs"))
+    gone = M.sites(spark, d).where("id <= 100").crossJoin(F.broadcast(two)).select(F.col("id").alias("site_id"), F.explode("slugs").alias("slug"))  # one row of two names
     return M.site_tags(spark, d).join(gone, ["site_id", "slug"], "left_anti").groupBy("slug").agg(F.count("*").alias("n"))
 
 

@@ -46,7 +46,7 @@ def url_shapes(spark, d):
     return shapes.shaped(_pages(spark, d), key="page_id")
 
 
-@query("capture_url_shapes", M.SQL + "SELECT '/p/#' AS shape, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM capture_urls")
+@query("capture_url_shapes", M.SQL + "SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '/[0-9]+', '/#', 'g') AS shape, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM capture_urls GROUP BY 1")
 def capture_url_shapes(spark, d):
     rows = M.capture_urls(spark, d).select(F.monotonically_increasing_id().alias("id"), "url", "bytes")
     out = shapes.shaped(rows).join(rows.select("id", "bytes"), "id")
