@@ -37,13 +37,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Partitions that go into one file, as long as every core has some tasks.
-PER_FILE, TASKS_PER_CORE = 4, 4
+#: Shuffled partitions that go into one file, one task reading them one after the other; more of them where every core has so many tasks anyway.
+PER_FILE, MOST_PER_FILE, TASKS_PER_CORE = 2, 4, 8
 
 
-def fewer_files(df: DataFrame, partitions: int) -> DataFrame:
-    """``df``, which has so many partitions or fewer, with up to ``PER_FILE`` of them in one task, one after the other."""
-    return df.coalesce(max(1, partitions // PER_FILE, TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+def fewer_files(df: DataFrame, partitions: int, per_file: int) -> DataFrame:
+    """``df``, which has so many partitions or fewer, with up to ``per_file`` of them in one task, or up to ``MOST_PER_FILE`` where there are many for each core."""
+    many = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, min(partitions // per_file, max(many, partitions // MOST_PER_FILE))))
 
 
 def keep(df: DataFrame, name: str = "t", scan: bool = False) -> DataFrame:
@@ -51,10 +52,13 @@ def keep(df: DataFrame, name: str = "t", scan: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the running stage only.  The
     folder goes when the application ends.  ``scan``: ``df`` has no shuffle, so
-    that its partitions are those of its input.
+    that its partitions are those of its input, each of them costly.
     """
     spark = df.sparkSession
-    df = fewer_files(df, df._jdf.queryExecution().toRdd().getNumPartitions() if scan else int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if scan:
+        df = fewer_files(df, df._jdf.queryExecution().toRdd().getNumPartitions(), 1)
+    else:
+        df = fewer_files(df, int(spark.conf.get("spark.sql.shuffle.partitions")), PER_FILE)
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
