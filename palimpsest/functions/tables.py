@@ -33,3 +33,40 @@ ANALYTICS_WORDS = "analytics telemetry tracking metrics pixel beacon".split()
 RESERVED_NAMES = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
 NOT_IN_NAMES = '<>:"/\\|?*' + "".join(map(chr, range(32)))
 LONGEST_NAME = 96
+
+#: Query parameters that say where a visitor came from, or which variant of a page was asked for.
+TRACKING = "fbclid gclid dclid msclkid yclid igshid mc_cid mc_eid _ga _gl m".split()
+#: Parts of a path that mark a feed of comments.
+COMMENT_MARKERS = ["/comments/", "/comments", "comments/feed", "/feeds/comments"]
+#: Types of feeds, and attributes that hold what a page loads later.
+FEED_TYPES = ["application/atom+xml", "application/rss+xml", "application/feed+json"]
+LAZY_ATTRIBUTES = "data-src data-srcset data-original data-lazy-src data-bg".split()
+
+#: Parts of the address of a gate, and what a gate says (patterns, whatever their case).
+GATE_MARKERS = ["/interstitial/", "/content-warning", "blogger.com/blogin.g", "/b/blogger-warning"]
+GATE_PHRASES = [
+    r"I understand and wish to continue",
+    r"content\s+warning",
+    r"blog\s+contains\s+content\s+.{0,40}adult",
+    r"viewer\s+discretion",
+    r"you\s+must\s+be\s+(?:18|21|of\s+legal\s+age)",
+]
+
+#: How platforms give themselves away: as a word in the generator, by their domains, by their markup (patterns).
+GENERATOR_WORDS = "blogger wordpress ghost squarespace mediawiki discourse".split()
+PLATFORM_DOMAINS = {
+    "substack": ["substack.com"],
+    "wordpress": ["wordpress.com"],
+    "ghost": ["ghost.io"],
+    "squarespace": ["squarespace.com"],
+    "mediawiki": "wikipedia.org wikimedia.org wiktionary.org wikibooks.org wikinews.org wikiquote.org wikisource.org wikiversity.org wikivoyage.org fandom.com miraheze.org wiki.gg".split(),
+}
+PLATFORM_MARKUP = {
+    "blogger": r"blogger\.com/(?:static|dyn-css)|blogblog\.com|_WidgetManager",
+    "wordpress": r"/wp-content/|/wp-includes/",
+    "ghost": r"ghost-sdk|/ghost/api/",
+    "substack": r"substackcdn\.com|substack\.com/api",
+    "squarespace": r"SQUARESPACE_CONTEXT|squarespace-cdn\.com|squarespace\.com/",
+    "mediawiki": r"wgPageName|mw-content-text|/load\.php\?",
+    "discourse": r"discourse-cdn\.com|/message-bus/|discourse_theme_id",
+}

@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Query parameters that say where a visitor came from.
-TRACKING = ("_ga", "_gl", "dclid", "fbclid", "gclid", "igshid", "m", "mc_cid", "mc_eid", "msclkid", "yclid")
+from palimpsest.functions.tables import TRACKING
+
 #: Suffixes under which names are registered one label deeper.
 DEEP_SUFFIXES = ("ac.uk", "blogspot.com", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "github.io", "gov.uk", "org.au", "org.uk", "wordpress.com")
 

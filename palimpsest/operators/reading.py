@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,32 +38,23 @@ def page_list(records: DataFrame, titles: DataFrame) -> DataFrame:
     return first.join(named, "url", "left").select("url", "timestamp", F.coalesce("title", "url").alias("title"))
 
 
-def locate(blocks: list[str], quote: str, place: int, prefix: str = "", suffix: str = "") -> tuple[int, int]:
-    """(block, start) of a quote: in its own block, else where the context agrees, else anywhere; (-1, 0) if it is lost."""
-    if 0 <= place < len(blocks) and quote in blocks[place]:
-        return place, blocks[place].index(quote)
-    anywhere = None
-    for i, text in enumerate(blocks):
-        at = text.find(quote)
-        while at >= 0:
-            anywhere = (i, at) if anywhere is None else anywhere
-            end = at + len(quote)
-            if (prefix or suffix) and text[max(0, at - CONTEXT) : at].endswith(prefix) and text[end : end + CONTEXT].startswith(suffix):
-                return i, at
-            at = text.find(quote, at + 1)
-    return anywhere or (-1, 0)
-
-
 def placed(notes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(``id``, ``block``, ``start``, ``found``) of notes (``url``, ``quote``, ``place``, ``prefix``, ``suffix``) in pages (``url``, ``blocks``)."""
+    """(``id``, ``block``, ``start``, ``found``) of notes in pages (``url``, ``blocks``); a lost one has block -1.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            at = [locate(list(b) if b is not None else [], q, p, x or "", y or "") for b, q, p, x, y in zip(rows["blocks"], rows["quote"], rows["place"], rows["prefix"], rows["suffix"], strict=True)]
-            yield pd.DataFrame({"id": rows["id"], "block": [a[0] for a in at], "start": [a[1] for a in at], "found": [a[0] >= 0 for a in at]})
-
-    both = notes.join(pages.select("url", "blocks"), "url", "left").select("id", "blocks", "quote", F.col("place").cast("int").alias("place"), "prefix", "suffix")
-    return both.mapInPandas(run, "id long, block int, start int, found boolean")
+    ``notes``: ``id`` (one each), ``url``, ``quote``, ``place``, ``prefix``, ``suffix``.  The quote's
+    first place in its own block is best, then the first whose context agrees
+    (for notes that have some), then the first of all.
+    """
+    rows = notes.join(pages.select("url", "blocks"), "url", "left").select("id", "quote", F.col("place").cast("int").alias("place"), F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("suffix", F.lit("")).alias("suffix"), F.posexplode_outer("blocks").alias("block", "text"))
+    size, text = F.length("quote"), F.col("text")
+    last = F.length(text) - size + 1
+    starts = F.when(last > 0, F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: F.substring(text, at, size) == F.col("quote")))
+    hits = rows.withColumn("at", F.explode_outer(starts))
+    before = F.substring(text, F.greatest(F.col("at") - CONTEXT, F.lit(1)), F.least(F.col("at") - 1, F.lit(CONTEXT)))
+    agrees = ((F.col("prefix") != "") | (F.col("suffix") != "")) & F.endswith(before, F.col("prefix")) & F.startswith(F.substring(text, F.col("at") + size, F.lit(CONTEXT)), F.col("suffix"))
+    rank = F.when(F.col("block") == F.col("place"), 0).when(agrees, 1).otherwise(2)
+    best = hits.groupBy("id").agg(F.min(F.when(F.col("at").isNotNull(), F.struct(rank.alias("rank"), "block", "at"))).alias("best"))
+    return best.select("id", F.coalesce("best.block", F.lit(-1)).alias("block"), F.coalesce(F.col("best.at") - 1, F.lit(0)).alias("start"), F.col("best").isNotNull().alias("found"))
 
 
 def compare_pages(before: DataFrame, after: DataFrame) -> DataFrame:

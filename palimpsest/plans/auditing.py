@@ -41,12 +41,13 @@ def crawlable_urls(spark, d):
     return M.capture_urls(spark, d).agg(F.count("*").alias("n"), F.count_if(scope.crawlable(F.col("url"))).alias("crawlable"))
 
 
-@query("gate_counts", "SELECT CAST(0 AS BIGINT) AS gates, count(*) AS scanned, CAST(0 AS BIGINT) AS overlaid, count(*) FILTER (strlen(html) <= 24000 AND regexp_matches(html, '(?i)content warning|may contain (adult|sensitive|mature) content|are you over 18|verify (your age|you are human)|access (denied|restricted)|sign in to continue')) AS blocked FROM pages")
+@query("gate_counts", "SELECT CAST(0 AS BIGINT) AS gates, count(*) AS scanned, CAST(0 AS BIGINT) AS overlaid, count(*) FILTER (strlen(html) <= 24000 AND regexp_matches(html, '(?i)I understand and wish to continue|content\\s+warning|blog\\s+contains\\s+content\\s+.{0,40}adult|viewer\\s+discretion|you\\s+must\\s+be\\s+(?:18|21|of\\s+legal\\s+age)')) AS blocked FROM pages")
 def gate_counts(spark, d):
     return audit.gate_counts(M.table(spark, d, "pages"))
 
 
-@query("platform_votes", """WITH v AS (SELECT CASE WHEN regexp_matches(html, 'blogger[.]com/static|www[.]blogger[.]com') THEN 'blogger' WHEN contains(html, '/wp-content/') OR contains(html, '/wp-includes/') THEN 'wordpress'
+@query("platform_votes", """WITH v AS (SELECT CASE WHEN regexp_matches(html, 'blogger[.]com/(static|dyn-css)|blogblog[.]com|_WidgetManager') THEN 'blogger' WHEN contains(html, '/wp-content/') OR contains(html, '/wp-includes/') THEN 'wordpress'
+WHEN regexp_matches(html, 'ghost-sdk|/ghost/api/') THEN 'ghost' WHEN regexp_matches(html, 'substackcdn[.]com|substack[.]com/api') THEN 'substack' WHEN regexp_matches(html, 'SQUARESPACE_CONTEXT|squarespace-cdn[.]com|squarespace[.]com/') THEN 'squarespace'
 WHEN regexp_matches(html, 'wgPageName|mw-content-text|/load[.]php[?]') THEN 'mediawiki' WHEN regexp_matches(html, 'discourse-cdn[.]com|/message-bus/|discourse_theme_id') THEN 'discourse' ELSE 'none' END AS platform FROM pages) SELECT platform, count(*) AS n FROM v GROUP BY 1""")
 def platform_votes(spark, d):
     none = F.lit(None).cast("string")

@@ -140,8 +140,8 @@ def repeated_blocks(spark, d):
 
 
 @query("gate_verdicts", """SELECT page_id, CASE WHEN contains(lower(url), '/interstitial/') OR contains(lower(url), '/content-warning') OR contains(lower(url), 'blogger.com/blogin.g') OR contains(lower(url), '/b/blogger-warning') THEN 'url'
-WHEN regexp_matches(html, '(?i)body\\s*\\*\\s*\\{[^}]{0,200}visibility\\s*:\\s*hidden') AND regexp_matches(html, '(?i)<iframe[^>]*src=["''][^"'']*(/interstitial/|/content-warning|blogger[.]com/blogin[.]g|/b/blogger-warning)') THEN 'overlay'
-WHEN strlen(html) > 24000 THEN 'clear' WHEN regexp_matches(html, '(?i)content warning|may contain (adult|sensitive|mature) content|are you over 18|verify (your age|you are human)|access (denied|restricted)|sign in to continue') THEN 'phrase' ELSE 'clear' END AS verdict FROM pages""")
+WHEN regexp_matches(html, '(?i)body\\s*\\*\\s*\\{[^}]{0,200}visibility\\s*:\\s*hidden') AND regexp_matches(html, '(?i)<iframe[^>]{0,400}src=["''][^"'']{0,600}(/interstitial/|/content-warning|blogger[.]com/blogin[.]g|/b/blogger-warning)') THEN 'overlay'
+WHEN strlen(html) > 24000 THEN 'clear' WHEN regexp_matches(html, '(?i)I understand and wish to continue|content\\s+warning|blog\\s+contains\\s+content\\s+.{0,40}adult|viewer\\s+discretion|you\\s+must\\s+be\\s+(?:18|21|of\\s+legal\\s+age)') THEN 'phrase' ELSE 'clear' END AS verdict FROM pages""")
 def gate_verdicts(spark, d):
     return _pages(spark, d).select("page_id", gates.verdict(F.col("html"), F.col("url")).alias("verdict"))
 

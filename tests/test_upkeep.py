@@ -37,7 +37,7 @@ def test_scope(spark):
 
 def test_platforms(spark):
     ask = lambda g="", u="http://x.org/", p="", h="": one(spark, hosts.platform(F.col("g"), F.col("u"), F.col("p"), F.col("h")), g=g, u=u, p=p, h=h)
-    assert tuple(ask(g="WordPress 6")) == ("wordpress", "strong") and tuple(ask(u="http://a.blogspot.com/")) == ("blogger", "strong")
+    assert tuple(ask(g="WordPress 6")) == ("wordpress", "strong") and tuple(ask(u="http://a.blogspot.co.uk/")) == ("blogger", "strong") and tuple(ask(u="https://en.wikipedia.org/x")) == ("mediawiki", "strong") and ask(g="bloggers") is None
     assert tuple(ask(p="WordPress.com")) == ("wordpress", "weak") and tuple(ask(h="<a href='/wp-content/x'>")) == ("wordpress", "weak") and ask() is None
 
 
@@ -66,11 +66,10 @@ def test_exports(spark):
 
 
 def test_quotes_are_found_again(spark):
-    blocks = ["first and then", "and then second", "and then third"]
-    assert reading.locate(blocks, "and then", 0) == (0, 6)
-    assert reading.locate(blocks, "and then", 9, suffix=" third") == (2, 0)
-    assert reading.locate(blocks, "and then", 9, prefix="nothing") == (0, 6)
-    assert reading.locate(blocks, "gone", 0) == (-1, 0)
+    pages = spark.createDataFrame([("u", ["first and then and then", "and then second", "and then third", None])], "url string, blocks array<string>")
+    notes = [(1, "u", "and then", 0, None, None), (2, "u", "and then", 9, "", " third"), (3, "u", "and then", 9, "nothing", ""), (4, "u", "gone", 0, "", ""), (5, "v", "and then", 0, "", ""), (6, "u", "and then", 9, "and then ", ""), (7, "u", "second", 1, "x", "")]
+    got = reading.placed(spark.createDataFrame(notes, "id long, url string, quote string, place int, prefix string, suffix string"), pages)
+    assert {r.id: (r.block, r.start, r.found) for r in got.collect()} == {1: (0, 6, True), 2: (2, 0, True), 3: (0, 6, True), 4: (-1, 0, False), 5: (-1, 0, False), 6: (0, 15, True), 7: (1, 9, True)}
 
 
 def test_pages_are_compared(spark):
