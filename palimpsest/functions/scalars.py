@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import tables
+
 
 def tidy(text: Column) -> Column:
     """White space collapsed and trimmed."""
@@ -38,9 +40,15 @@ def iso_of_cdx(digits: Column) -> Column:
     return F.concat(s(1, 4), F.lit("-"), s(5, 2), F.lit("-"), s(7, 2), F.lit("T"), s(9, 2), F.lit(":"), s(11, 2), F.lit(":"), s(13, 2), F.lit("Z"))
 
 
+def _ascii_slug(value: Column, fallback: str) -> Column:
+    """``slug_text`` of plain words, in the JVM."""
+    words = F.filter(F.split(F.lower(value), "[^a-z0-9]+"), lambda w: w != "")
+    return F.coalesce(F.nullif(F.concat_ws("-", words), F.lit("")), F.lit(fallback))
+
+
 def capture_dir(started: Column, kind: Column, engine: Column) -> Column:
-    """Directory name of a capture: time, kind and engine."""
-    return F.concat_ws("-", F.date_format(started, "yyyyMMdd'T'HHmmss'Z'"), kind, engine)
+    """Directory name of a capture: time, kind, and the engine's name up to its first hyphen."""
+    return F.concat_ws("-", F.date_format(started, "yyyyMMdd'T'HHmmss'Z'"), _ascii_slug(kind, "run"), _ascii_slug(F.split_part(engine, F.lit("-"), F.lit(1)), "engine"))
 
 
 def iso_micros(moment: Column) -> Column:
@@ -82,10 +90,11 @@ def elapsed(now: Column, last: Column, days: int) -> Column:
     return F.coalesce(F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp")) >= F.lit(days * 86_400_000_000), F.lit(True))
 
 
-def slug_text(value: str | None, fallback: str = "untitled") -> str:
-    """ASCII letters and digits in runs joined by hyphens, 64 characters at most."""
+def slug_text(value: str | None, fallback: str = "site") -> str:
+    """ASCII letters and digits in runs joined by hyphens, 64 characters at most; a device's name gets an ending."""
     plain = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode()
-    return "-".join(re.findall("[a-z0-9]+", plain.lower()))[:64].strip("-") or fallback
+    name = "-".join(re.findall("[a-z0-9]+", plain.lower()))[:64].strip("-")
+    return f"{name}-x" if name in tables.RESERVED_NAMES else name or fallback
 
 
 @F.pandas_udf(T.StringType())

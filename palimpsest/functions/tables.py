@@ -70,3 +70,12 @@ PLATFORM_MARKUP = {
     "mediawiki": r"wgPageName|mw-content-text|/load\.php\?",
     "discourse": r"discourse-cdn\.com|/message-bus/|discourse_theme_id",
 }
+
+#: What is said of a site's state; ``{}`` is the answer's code or the address it leads to.
+STATE_SENTENCES = {
+    "gone": "The live site returns {}. These pages are now only in your archive.",
+    "moved": "The live site now redirects to {}. Add it as a second seed to keep archiving it.",
+    "blocked": "The live site answered {}. That is about us, not about whether it exists — an access profile may be needed.",
+    "unreachable": "The live site could not be reached. That is as likely to be this end as theirs.",
+    "live": "The live site answers normally.",
+}

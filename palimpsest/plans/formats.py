@@ -265,9 +265,17 @@ def directory_names(spark, d):
     return M.table(spark, d, "part").select(F.col("p_partkey").alias("id"), matching.directory_name(raw, F.lit("x")).alias("name"))
 
 
-@query("capture_dirs", M.SQL + "SELECT id, strftime(started_at, '%Y%m%dT%H%M%SZ') || '-full-wget' AS name FROM captures")
+@query("capture_dirs", M.SQL + "SELECT id, strftime(started_at, '%Y%m%dT%H%M%SZ') || CASE WHEN id % 2 = 0 THEN '-full-wget' ELSE '-run-engine' END AS name FROM captures")
 def capture_dirs(spark, d):
-    return M.captures(spark, d).select("id", scalars.capture_dir(F.col("started_at"), F.lit("full"), F.lit("wget")).alias("name"))
+    even = F.col("id") % 2 == 0
+    return M.captures(spark, d).select("id", scalars.capture_dir(F.col("started_at"), F.when(even, "Full!").otherwise("?"), F.when(even, "wget-warc").otherwise("-")).alias("name"))
+
+
+@query("state_sentences", M.SQL + "SELECT id, CASE status WHEN 'ok' THEN 'The live site answers normally.' WHEN 'partial' THEN CASE WHEN id % 2 = 0 THEN 'The live site returns 410. These pages are now only in your archive.' ELSE 'The live site returns 404. These pages are now only in your archive.' END ELSE 'The live site now redirects to http://b.org/. Add it as a second seed to keep archiving it.' END AS text FROM captures")
+def state_sentences(spark, d):
+    status = F.col("status")
+    state = F.when(status == "ok", "live").when(status == "partial", "gone").otherwise("moved")
+    return M.captures(spark, d).select("id", matching.described(state, F.when(F.col("id") % 2 == 0, 410), F.lit("http://b.org/")).alias("text"))
 
 
 @query("names_and_slugs", f"SELECT c_custkey AS id, c_name AS display, {_SLUG} AS slug FROM customer")

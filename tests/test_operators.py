@@ -72,7 +72,7 @@ def test_scalars(spark):
     assert [one(spark, scalars.backoff_minutes(F.lit(30), F.col("t").cast("int")), t=t) for t in "0129"] == [30, 60, 120, 1440]
     assert [one(spark, scalars.retry_minutes(F.col("t").cast("int")), t=t) for t in ("1", "3", "20")] == [10, 40, 1440]
     assert [one(spark, scalars.lockout_seconds(F.col("t").cast("int")), t=t) for t in ("4", "5", "7", "30")] == [0, 60, 240, 3600]
-    assert scalars.slug_text("Héllo,  Wörld!") == "hello-world" and scalars.slug_text("???") == "untitled"
+    assert scalars.slug_text("Héllo,  Wörld!") == "hello-world" and scalars.slug_text("???") == "site" and scalars.slug_text("Con") == "con-x"
     assert [one(spark, scalars.quiet(F.col("t").cast("int"), 1380, 390), t=t) for t in ("1400", "10", "390")] == [True, True, False]
 
 

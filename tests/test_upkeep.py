@@ -125,7 +125,7 @@ def test_names_and_reports(spark):
     assert upkeep.report_text(spark.createDataFrame([(1, 0, 3)], "new_items int, failures int, captures int")) == ["1 new item", "3 captures"]
     states = [one(spark, matching.observed(F.col("s").cast("int"), F.lit(None).cast("string"), F.lit("http://a.org"), F.lit("http://www.a.org")), s=s) for s in ("200", "403", "410", "500", "418")]
     assert states == ["live", "blocked", "gone", "unreachable", "unreachable"]
-    assert one(spark, matching.described(F.lit("gone"), F.lit(410), F.lit(None)), s="").startswith("The live site answers 410")
+    assert one(spark, matching.described(F.lit("gone"), F.lit(410), F.lit(None)), s="").startswith("The live site returns 410. ")
 
 
 def test_owners_by_a_suffix_list(spark):
