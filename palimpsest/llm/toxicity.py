@@ -186,8 +186,8 @@ def label_model(votes: np.ndarray, prior: float, labels: np.ndarray | None = Non
         off = (signs.T @ (1 - y) + 0.05) / ((1 - y).sum() + 1)
         z = signs @ np.clip(np.log(on / off), 0, 8)
         if labels is not None:
-            right1 = np.clip((labels @ y + 1) / (y.sum() + 2), 0.5, 0.99)
-            right0 = np.clip(((1 - labels) @ (1 - y) + 1) / ((1 - y).sum() + 2), 0.5, 0.99)
+            right1 = np.clip((labels @ y + 1) / (y.sum() + 2), 0.5, 0.999)
+            right0 = np.clip(((1 - labels) @ (1 - y) + 1) / ((1 - y).sum() + 2), 0.5, 0.999)
             z += np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         new = _with_mean(z, prior)
         done = np.abs(new - y).max() < 1e-4
