@@ -103,6 +103,11 @@ def apply_plan(asked: DataFrame, plan: DataFrame) -> DataFrame:
     return asked.join(allowed, "capture_id", "left").select("capture_id", F.col("_ok").isNotNull().alias("deleted"))
 
 
+def due_sites(plan: DataFrame, policies: DataFrame) -> DataFrame:
+    """Sites (``site_id``) whose policy is ``on`` and that the plan has something to prune for."""
+    return policies.where("on").join(plan.where(~F.col("keep")), "site_id", "left_semi").select("site_id")
+
+
 def drift(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys of one run that the other lacks, with ``change``."""
     x, y = before.select(key).distinct(), after.select(key).distinct()

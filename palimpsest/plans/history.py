@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import matching
 from palimpsest.operators import history
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
@@ -66,20 +67,46 @@ def dedup_first_seen(spark, d):
     return history.newest_per(rows, ["url", "digest"], [F.desc("started_at"), F.desc("capture_id"), F.col("line")]).select("url", "digest", "capture_id")
 
 
-@query("retention_plan", M.SQL + _LAST + _SOURCES + f""", ranked AS (
+_RETENTION = M.SQL + _LAST + _SOURCES + f""", ranked AS (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY started_at, id) AS nth, row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC, id DESC) AS age_rank FROM captures),
 monthly AS (SELECT id FROM (SELECT *, dense_rank() OVER (PARTITION BY site_id ORDER BY m DESC) AS mr, row_number() OVER (PARTITION BY site_id, m ORDER BY age_rank) AS im
   FROM (SELECT *, strftime(started_at, '%Y-%m') AS m FROM ranked WHERE age_rank > 3)) WHERE im = 1 AND mr <= 6),
 reasoned AS (SELECT r.site_id, r.id AS capture_id, CASE WHEN nth = 1 THEN 'first' WHEN status NOT IN ('ok', 'partial') THEN 'running' WHEN age_rank <= 3 THEN 'newest'
   WHEN r.id IN (SELECT id FROM monthly) THEN 'monthly' WHEN floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(r.started_at)) / 86400000000) < 400 THEN 'min-age'
-  WHEN r.id IN (SELECT capture_id FROM held) THEN 'last-copy' WHEN r.id IN (SELECT capture_id FROM sources) THEN 'dedup-source' END AS why FROM ranked r)
-SELECT site_id, capture_id, why IS NOT NULL AS keep, coalesce(why, 'prunable') AS reason FROM reasoned""")
+  WHEN r.id IN (SELECT capture_id FROM held) THEN 'last-copy' WHEN r.id IN (SELECT capture_id FROM sources) THEN 'dedup-source' END AS why FROM ranked r)"""
+
+
+@query("retention_plan", _RETENTION + " SELECT site_id, capture_id, why IS NOT NULL AS keep, coalesce(why, 'prunable') AS reason FROM reasoned")
 def retention_plan(spark, d):
     captures = M.captures(spark, d)
     held = history.last_copies(captures, M.capture_urls(spark, d))
     return history.retention_plan(captures, held, history.dedup_sources(captures, _records(spark, d)), NOW, min_age_days=400)
 
 
+@query("retention_applied", _RETENTION + " SELECT capture_id, why IS NULL AS deleted FROM reasoned WHERE capture_id % 3 = 0")
+def retention_applied(spark, d):
+    """Of the captures asked for, those that a plan made anew lets go."""
+    asked = M.captures(spark, d).where("id % 3 = 0").select(F.col("id").alias("capture_id"))
+    return history.apply_plan(asked, retention_plan(spark, d))
+
+
+@query("retention_due_sites", _RETENTION + " SELECT DISTINCT site_id FROM reasoned WHERE why IS NULL AND site_id % 2 = 0")
+def retention_due_sites(spark, d):
+    """Sites whose policy is on and that have a capture to prune."""
+    policies = M.sites(spark, d).select(F.col("id").alias("site_id"), (F.col("id") % 2 == 0).alias("on"))
+    return history.due_sites(retention_plan(spark, d), policies)
+
+
+@query("retention_settings", M.SQL + "SELECT id, '{\"keep_last\": ' || CASE WHEN id % 3 = 0 THEN id ELSE 5 END || ', \"keep_monthly\": 6}' AS policy FROM sites")
+def retention_settings(spark, d):
+    """Settings in layers: the default, the instance's, and the site's where it has some."""
+    site = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("keep_last"), F.col("id")))
+    layers = [F.create_map(F.lit("keep_last"), F.lit(3).cast("long"), F.lit("keep_monthly"), F.lit(6).cast("long")), F.create_map(F.lit("keep_last"), F.lit(5).cast("long")), site]
+    policy = F.array_sort(F.map_entries(matching.overlaid(*layers)))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(policy, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"].cast("string"))), ", "), F.lit("}"))
+    return M.sites(spark, d).select("id", text.alias("policy"))
+
+
 _SNAP = """, snap AS (SELECT url, max(capture_urls.bytes) FILTER (started_at < TIMESTAMP '1995-07-01') AS x, max(capture_urls.bytes) FILTER (started_at >= TIMESTAMP '1995-07-01') AS y FROM capture_urls JOIN captures c ON c.id = capture_id GROUP BY url)"""
 
 
