@@ -39,7 +39,7 @@ from palimpsest.llm._scratch import keep, keep_dealt, rows_with_id, settled, unu
 
 MIN_LENGTH, GRAM = 200, 32
 #: Suffixes of one anchor, or of one node of its tree, that a single task sorts.
-MOST_SUFFIXES = 1 << 15
+MOST_SUFFIXES = 1 << 18
 #: Bytes of contexts that are taken together, but for a single anchor's.
 CHUNK = 1 << 19
 #: Suffixes that are sorted at a time.
