@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import alignment, chat, laws, licenses, minhash, mixing, packing, periods, quality, repeats, sharding, topk, toxicity
+from palimpsest.llm import alignment, chat, languages, laws, licenses, minhash, mixing, packing, periods, quality, repeats, sharding, topk, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9,
     "op10_exact_top_k": topk.op10,
     "op11_token_alignment": alignment.op11,
+    "op12_language_id": languages.op12,
     "op13_periodic_runs": periods.op13,
     "quality_counts": laws.quality_counts,
     "mix_targets": laws.mix_targets,
