@@ -7,8 +7,14 @@ where tokens of both sides end.  The members of a component expand to links,
 pairs of tokens.  How often each pair of ids is linked is counted over all
 texts, and every text's links are looked up in those counts.
 
-* Encoding, graph and links are made a run of texts at a time where the texts
-  are, and written once: per text its numbers and its distinct linked pairs.
+* Texts are cut before each single space between two words.  Neither tokenizer
+  has a token across such a cut (no piece goes on with a space, and both start a
+  word with the space before it), so no component crosses it either.  Each
+  distinct word is encoded and aligned once in a task, and a text is put
+  together from its words.  A text that has a word which one side does not give
+  back is encoded as a whole.
+* This is done where the texts are and written once: per text its numbers and its
+  distinct linked pairs.
 * Pairs are counted with partial sums before the shuffle.
 * Counts come back to the texts in two ways that give the same: pairs that are
   ``FREQUENT``-th of all links or more (so at most ``FREQUENT`` of them, whatever
@@ -23,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +41,12 @@ from palimpsest.llm._scratch import keep, small_batches
 
 #: Pairs with this share of all links, so at most so many, are broadcast.
 FREQUENT = 50_000
-#: Texts above so many characters are encoded in parts, and so many texts' bytes are aligned together.
-LONG_TEXT = 1 << 20
+#: A task forgets the words that it knows when they have so many characters together.
+KNOWN_CHARS = 1 << 24
 #: Pairs of members expanded at a time.
 STEP_LINKS = 1 << 20
-#: Fixed value: where a text can be cut so that neither tokenizer has a token across: before the only space between two words.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The only space between two words.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
 
 TOKENIZERS = "/opt/tokenizers"
 SCHEMA = "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
@@ -82,11 +89,9 @@ class Encoders:
             self.bytes_a[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
         self.bytes_b = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b))
-        # what is written before and with each id in the listing of groups, by kind of place
-        ids = [*map(str, range(len(self.bytes_a)))], [*map(str, range(len(self.bytes_b)))]
-        self.first_a, self.next_a = [";" + x for x in ids[0]], ["," + x for x in ids[0]]
-        self.first_b, self.next_b = ["|" + x for x in ids[1]], ["," + x for x in ids[1]]
-        self.written = self.first_a + self.next_a + self.first_b + self.next_b
+        # ids as they stand in the listing of groups: first of a text, first of a group, and further ones of A; first and further ones of B
+        a, b = [*map(str, range(len(self.bytes_a)))], [*map(str, range(len(self.bytes_b)))]
+        self.written = [mark + x for mark, ids in (("\n", a), (";", a), (",", a), ("|", b), (",", b)) for x in ids]
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -94,28 +99,20 @@ class Encoders:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for each text, no special tokens; A sees a space before the text, B adds it."""
-        parts, of = [], []
-        for i, text in enumerate(texts):
-            cut = [0]
-            if len(text) > LONG_TEXT:
-                while len(text) - cut[-1] > LONG_TEXT and (at := _CUT.search(text, cut[-1] + LONG_TEXT)):
-                    cut.append(at.start())
-            for lo, hi in zip(cut, [*cut[1:], len(text)], strict=True):
-                parts.append(text[lo:hi] if lo else " " + text[:hi])
-                of.append(i)
-        found: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
-        coded = self.a.encode_batch_fast(parts, add_special_tokens=False), self.b.encode([p[1:] for p in parts], num_threads=1)
-        for i, x, y in zip(of, *coded, strict=True):
-            found[i][0].extend(x.ids)
-            found[i][1].extend(y)
-        for i, text in enumerate(texts):
-            whole = (" " + text).encode()
-            a, b = found[i]
-            if not text or b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                found[i] = [], []
-        return found
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of A and of B for each text, no special tokens, and whether both sides give the text back.  A sees a space before the text, B adds it."""
+        spaced = [" " + t for t in texts]
+        a, b = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        whole = [t.encode() for t in spaced]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        fine = size > 1
+        for ids, table, length in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = list(chain.from_iterable(ids))
+            fine &= np.bincount(np.repeat(np.arange(len(ids)), count), length[flat], minlength=len(ids)) == size
+            if b"".join(map(table.__getitem__, flat)) != b"".join(whole):
+                fine &= np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(ids, whole, strict=True)], dtype=bool)
+        return a, b, fine
 
 
 def components(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -166,44 +163,111 @@ def links(end_a: np.ndarray, end_b: np.ndarray, group_a: np.ndarray, group_b: np
         at = to
 
 
-def _aligned(coders: Encoders, coded: list[tuple[list[int], list[int]]], kind: str) -> Iterator[tuple]:
-    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text of a run.
-
-    Every text's tokens end at its end on both sides, so that no component crosses texts laid one after the other.
-    """
-    n_a, n_b = (np.array([len(c[side]) for c in coded], dtype=np.int64) for side in (0, 1))
-    ids_a, ids_b = (np.fromiter((t for c in coded for t in c[side]), np.int64, int(n.sum())) for side, n in ((0, n_a), (1, n_b)))
-    of_a = np.repeat(np.arange(len(coded)), n_a)
+@dataclass(frozen=True)
+class _Aligned:
+    """Texts of a run: ``numbers`` (tokens of A and B, groups, links), listings, and the distinct ``pairs`` with their ``times``, those of text i from ``first[i]`` on."""
+
+    numbers: np.ndarray
+    listed: list[str]
+    pairs: np.ndarray
+    times: np.ndarray
+    first: np.ndarray
+
+
+def _aligned(coders: Encoders, a: list[list[int]], b: list[list[int]], kind: str) -> _Aligned:
+    """Every text's tokens end at its end on both sides, so that no component crosses texts laid one after the other."""
+    n = len(a)
+    n_a, n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (a, b))
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(k.sum())) for ids, k in ((a, n_a), (b, n_b)))
+    of_a = np.repeat(np.arange(n), n_a)
     end_a, end_b = np.cumsum(coders.length_a[ids_a]), np.cumsum(coders.length_b[ids_b])
     group_a, group_b = groups(end_a, end_b)
     # the listing: tokens by group, those of A first
     first_a, first_b = (np.append(True, g[1:] != g[:-1])[: len(g)] for g in (group_a, group_b))
+    begins = np.append(True, of_a[1:] != of_a[:-1])[: len(of_a)]
     place_a = np.arange(len(group_a)) + np.searchsorted(group_b, group_a)
     place_b = np.arange(len(group_b)) + np.searchsorted(group_a, group_b, side="right")
     size_a, size_b = len(coders.bytes_a), len(coders.bytes_b)
     word = np.empty(len(group_a) + len(group_b), dtype=np.int64)
-    word[place_a] = ids_a + np.where(first_a, 0, size_a)
-    word[place_b] = ids_b + np.where(first_b, 2 * size_a, 2 * size_a + size_b)
-    n_groups = np.bincount(of_a[first_a], minlength=len(coded)) if len(of_a) else np.zeros(len(coded), np.int64)
-    # distinct pairs of each text
-    n_links, pair, times = np.zeros(len(coded), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in links(end_a, end_b, group_a, group_b, kind):
-        n_links += np.bincount(of_a[a], minlength=len(coded))
-        found, n = np.unique((of_a[a] * size_a + ids_a[a]) * size_b + ids_b[b], return_counts=True)
+    word[place_a] = ids_a + np.where(begins, 0, np.where(first_a, size_a, 2 * size_a))
+    word[place_b] = ids_b + 3 * size_a + np.where(first_b, 0, size_b)
+    parts = "".join(map(coders.written.__getitem__, word.tolist())).split("\n")[1:]
+    listed = [""] * n
+    for i, part in zip(np.flatnonzero(n_a).tolist(), parts, strict=True):
+        listed[i] = part
+    n_links, pair, times = np.zeros(n, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in links(end_a, end_b, group_a, group_b, kind):
+        n_links += np.bincount(of_a[x], minlength=n)
+        found, many = np.unique((of_a[x] * size_a + ids_a[x]) * size_b + ids_b[y], return_counts=True)
         pair.append(found)
-        times.append(n)
-    pair, times = np.concatenate(pair), np.concatenate(times)
-    if kind != "ends":
-        pair, back = np.unique(pair, return_inverse=True)
-        times = np.bincount(back, times, minlength=len(pair)).astype(np.int64)
-    bound = np.searchsorted(pair, np.arange(len(coded) + 1) * size_a * size_b)
-    pair %= size_a * size_b
-    at = np.append(0, np.cumsum(n_a + n_b))
-    for i in range(len(coded)):
-        listed = "".join(map(coders.written.__getitem__, word[at[i] : at[i + 1]].tolist()))[1:]
-        name = hashlib.sha256(listed.encode()).hexdigest() if listed else ""
-        lo, hi = bound[i], bound[i + 1]
-        yield int(n_a[i]), int(n_b[i]), int(n_groups[i]), int(n_links[i]), name, pair[lo:hi], times[lo:hi]
+        times.append(many)
+    pair, back = np.unique(np.concatenate(pair), return_inverse=True)
+    times = np.bincount(back, np.concatenate(times), minlength=len(pair)).astype(np.int64)
+    first = np.searchsorted(pair, np.arange(n + 1) * size_a * size_b)
+    numbers = np.stack([n_a, n_b, np.bincount(of_a[first_a], minlength=n), n_links], axis=1)
+    return _Aligned(numbers, listed, pair % (size_a * size_b), times, first)
+
+
+class _Words:
+    """The distinct words of a task, each encoded and aligned once."""
+
+    def __init__(self, coders: Encoders, kind: str):
+        self.coders, self.kind = coders, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.listed: list[str] = []
+        self.chars = 0
+        self.numbers = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
+        self.sound = np.zeros(0, bool)
+        self.pairs, self.times, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        new = sorted(words - self.place.keys())
+        if not new:
+            return
+        a, b, fine = self.coders.encode(new)
+        for i in np.flatnonzero(~fine).tolist():
+            a[i], b[i] = [], []
+        found = _aligned(self.coders, a, b, self.kind)
+        self.place.update(zip(new, range(len(self.listed), len(self.listed) + len(new)), strict=True))
+        self.listed += found.listed
+        self.chars += sum(map(len, new))
+        self.numbers, self.sound = np.concatenate([self.numbers, found.numbers]), np.append(self.sound, fine)
+        self.first = np.append(self.first, len(self.pairs) + found.first[1:])
+        self.pairs, self.times = np.append(self.pairs, found.pairs), np.append(self.times, found.times)
+
+    def texts(self, texts: list[str]) -> Iterator[tuple]:
+        """(n_a, n_b, n_groups, n_links, hash of the listing, pairs, times) of each text, by its words."""
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        self.learn({w for words in cut for w in words})
+        place = self.place.__getitem__
+        words = [list(map(place, c)) for c in cut]
+        count = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter(chain.from_iterable(words), np.int64, int(count.sum()))
+        of = np.repeat(np.arange(len(texts)), count)
+        unsound = np.bincount(of[~self.sound[flat]], minlength=len(texts)) > 0
+        numbers = [np.bincount(of, self.numbers[flat, k], minlength=len(texts)).astype(np.int64) for k in range(4)]
+        # the pairs of all words of a text, each once
+        size = len(self.coders.bytes_a) * len(self.coders.bytes_b)
+        many = self.first[flat + 1] - self.first[flat]
+        at = np.repeat(self.first[flat] - np.append(0, np.cumsum(many))[:-1], many) + np.arange(many.sum())
+        pair, back = np.unique(np.repeat(of, many) * size + self.pairs[at], return_inverse=True)
+        times = np.bincount(back, self.times[at], minlength=len(pair)).astype(np.int64)
+        bound = np.searchsorted(pair, np.arange(len(texts) + 1) * size)
+        pair %= size
+        for i in range(len(texts)):
+            if unsound[i]:
+                x, y, fine = self.coders.encode([texts[i]])
+                whole = _aligned(self.coders, x if fine[0] else [[]], y if fine[0] else [[]], self.kind)
+                n, listed, p, t = whole.numbers[0].tolist(), whole.listed[0], whole.pairs, whole.times
+            else:
+                n, listed = [int(x[i]) for x in numbers], ";".join(map(self.listed.__getitem__, words[i]))
+                p, t = pair[bound[i] : bound[i + 1]], times[bound[i] : bound[i + 1]]
+            yield *n, hashlib.sha256(listed.encode()).hexdigest() if listed else "", p, t
+        if self.chars > KNOWN_CHARS:
+            self.forget()
 
 
 def _encoded(files, kind: str):
@@ -211,12 +275,12 @@ def _encoded(files, kind: str):
     types = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = None
+        known = None
         for batch in batches:
-            coders = coders or Encoders(files.value)
+            known = known or _Words(Encoders(files.value), kind)
             texts = batch.column(1)
             for lo, hi, _, _ in _kernel.steps(texts):
-                rows = list(_aligned(coders, coders.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), kind))
+                rows = list(known.texts([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]))
                 columns = [batch.column(0).slice(lo, hi - lo), *zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -236,9 +300,8 @@ def align(documents: DataFrame, files: Vocabularies, kind: str = "ends", id_col:
     Null and empty texts, and those that one side does not give back byte for
     byte, have no tokens: zeros and ''.  Every row counts for itself: repeated
     rows and ids give a row each, null ids too.  Other columns are not looked at.
-    Empty tables give empty results.  Texts above ``LONG_TEXT`` characters are
-    encoded in parts, cut at a space where neither side has a token across, and
-    aligned as a whole by one task.
+    Empty tables give empty results.  A text of any length is aligned as a whole
+    by one task, word by word.
     """
     spark = documents.sparkSession
     small_batches(spark)

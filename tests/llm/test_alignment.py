@@ -21,6 +21,9 @@ ODD = [
     (3005, "=" * 3000 + "-" * 77, "s"),
     (3006, " 　x\r\n", "s"),
     (3007, "the the the the", "s"),
+    (3008, "x▁ y a▁ ▁b fine words", "s"),
+    (3009, "a\u00a0 b \u2003c\u180e d\x1c e \x85 f\u200b g don't I'll 've 12 345 'll", "s"),
+    (3010, "日本 語 の 文 です 。 12 ３ é́ e\u0301 x", "s"),
 ]
 
 
@@ -74,11 +77,12 @@ def _ends(parts):
     return out
 
 
-@pytest.mark.parametrize("kind,frequent,long,step", [("ends", 50_000, 1 << 20, 1 << 20), ("ends", 20, 100, 1 << 20), ("members", 20, 1 << 20, 7)])
-def test_alignment_is_what_the_definition_says(spark, monkeypatch, kind, frequent, long, step):
+@pytest.mark.parametrize("kind,frequent,known,step", [("ends", 50_000, 1 << 20, 1 << 20), ("ends", 20, 10, 1 << 20), ("members", 20, 1 << 20, 7)])
+def test_alignment_is_what_the_definition_says(spark, monkeypatch, kind, frequent, known, step):
     rows = awkward() + ODD
     monkeypatch.setattr(alignment, "FREQUENT", frequent)
-    monkeypatch.setattr(alignment, "LONG_TEXT", long)
+    monkeypatch.setattr(alignment, "KNOWN_CHARS", known)
+    monkeypatch.setattr(alignment._kernel.steps, "__defaults__", (1 << 19 if known > 10 else 900,))
     monkeypatch.setattr(alignment, "STEP_LINKS", step)
     texts, pairs = alignment.align(frame(spark, rows), alignment.Vocabularies.read(*FILES), kind)
     key = lambda r: tuple((x is not None, x) for x in r)
