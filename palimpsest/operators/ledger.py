@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars, urls
-from palimpsest.sources import warc
 
 #: Keys that an audit entry's detail may not have.
 FORBIDDEN = "password token secret cookies totp_secret recovery_codes session".split()
@@ -35,31 +29,6 @@ def verification_due(last: Column, now: Column, days: int) -> Column:
     return scalars.elapsed(now, last, days) if days > 0 else F.lit(False)
 
 
-def _damage(name: str, content: bytes) -> str | None:
-    """What is wrong with a WARC file, though its checksum be right."""
-    if name.endswith(".gz"):
-        try:
-            with gzip.open(io.BytesIO(content)) as stream:
-                while stream.read(1 << 20):
-                    pass
-        except (OSError, EOFError):
-            return "compressed stream does not end properly"
-    plain, end = warc.plain(content), 0
-    for record in warc.records(content):
-        end = record["end"]
-    return None if end <= len(plain) and not plain[end:].strip(b"\r\n") else "stops parsing partway"
-
-
-def unreadable(files: DataFrame) -> DataFrame:
-    """(``path``, ``problem``) of the WARC files (``path``, ``content``) that can't be read to the end."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"path": rows["path"], "problem": [_damage(p, c) for p, c in zip(rows["path"], rows["content"], strict=True)]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, problem string").where("problem IS NOT NULL")
-
-
 def expired_trash(sites: DataFrame, now: str, days: int) -> DataFrame:
     """Deleted rows whose time in the trash is over."""
     return sites.where(F.col("deleted_at") <= F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL '{max(int(days), 0)}' DAY"))

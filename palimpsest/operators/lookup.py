@@ -28,14 +28,6 @@ def first_at_or_after(lines: DataFrame, prefix: str, key: str = "urlkey", then:
     return lines.where(F.col(key) >= prefix).agg(F.min(F.struct(key, then)).alias("line")).where("line IS NOT NULL").select("line.*")
 
 
-def record_at(index: DataFrame, records: DataFrame) -> DataFrame:
-    """The records that index lines point to by ``filename`` and ``offset``; ``problem`` says which can't be had."""
-    files = records.select(F.col("filename").alias("_file")).distinct()
-    rows = index.join(records.withColumn("_there", F.lit(True)), ["filename", "offset"], "left").join(files, F.col("filename") == F.col("_file"), "left")
-    problem = F.when(F.col("_there"), F.lit(None)).when(F.col("_file").isNull(), "in the index but not on disk").otherwise("no record at this offset")
-    return rows.withColumn("problem", problem).drop("_there", "_file")
-
-
 def from_capture(filename: Column, capture_dir: Column) -> Column:
     """The file was written by the capture of that directory."""
     return F.startswith(F.translate(filename, "\\", "/"), F.concat(F.lit("captures/"), capture_dir, F.lit("/")))

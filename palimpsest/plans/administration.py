@@ -99,15 +99,6 @@ def index_first_at(spark, d):
     return lookup.first_at_or_after(_lines(spark, d), "000000077x")
 
 
-@query("record_at", M.SQL + "SELECT CASE WHEN capture_id % 2 = 0 AND line <= 3 THEN 'found' WHEN capture_id % 2 = 0 AND capture_id IN (SELECT capture_id FROM capture_urls WHERE line <= 3) THEN 'no record at this offset' ELSE 'in the index but not on disk' END AS problem, count(*) AS n FROM (SELECT DISTINCT capture_id, line FROM capture_urls WHERE capture_id % 2 = 0 OR line > 3) GROUP BY 1")
-def record_at(spark, d):
-    """Lines of odd captures point to files that are gone; of the others only the first three records are there."""
-    rows = M.capture_urls(spark, d).select(F.concat(F.lit("c"), F.col("capture_id").cast("string")).alias("filename"), F.col("line").alias("offset"), "capture_id").distinct()
-    index = rows.where("capture_id % 2 = 0 OR offset > 3").select("filename", "offset")
-    found = lookup.record_at(index, rows.where("capture_id % 2 = 0 AND offset <= 3").select("filename", "offset"))
-    return found.groupBy(F.coalesce("problem", F.lit("found")).alias("problem")).agg(F.count("*").alias("n"))
-
-
 @query("records_from_capture", M.SQL + _LINES + " SELECT count(*) AS n FROM lines WHERE filename LIKE 'captures/1/%'")
 def records_from_capture(spark, d):
     backslashed = F.translate("filename", "/", "\\")

@@ -1,4 +1,4 @@
-"""Queries about formats and names, one for each reader and scalar: lines, feeds, WARC, robots, cookies, patterns and slugs.
+"""Queries about formats and names, one for each reader and scalar: lines, feeds, robots, cookies, patterns and slugs.
 
 The driver's tables have no such files; rows are rendered as what an archive
 would hold and read back by the library's readers.
@@ -6,17 +6,13 @@ would hold and read back by the library's readers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.functions import matching, scalars
 from palimpsest.operators import hosts, index
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
-from palimpsest.sources import feeds, lines, warc
+from palimpsest.sources import feeds, lines
 from palimpsest.streaming import machines
 
 
@@ -24,24 +20,6 @@ def _number(column: str):
     return F.col(column).cast("string")
 
 
-@query("json_page_lines", "WITH l AS (SELECT doc_id, doc_id % 7 AS file, CASE WHEN doc_id % 5 = 0 THEN '{broken ' || doc_id ELSE '{\"url\":\"http://a/' || doc_id || '\",\"title\":\"T\"}' END AS value FROM documents), o AS (SELECT *, CAST(coalesce(sum(strlen(value) + 1) OVER (PARTITION BY file ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM l) SELECT CAST(file AS BIGINT) AS file, \"offset\", CAST(strlen(value) + 1 AS BIGINT) AS length, 'http://a/' || doc_id AS url FROM o WHERE doc_id % 5 <> 0")
-def json_page_lines(spark, d):
-    """Byte places of extracted pages; broken lines are dropped and take up room."""
-    value = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("{broken "), _number("doc_id"))).otherwise(F.concat(F.lit('{"url":"http://a/'), _number("doc_id"), F.lit('","title":"T"}')))
-    rows = M.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7).alias("file"), value.alias("value"))
-    out = lines.json_pages(rows, "doc_id")
-    return out.select("file", "offset", F.col("length").cast("long").alias("length"), "url")
-
-
-@query("json_page_at", "WITH l AS (SELECT doc_id, '{\"url\":\"http://a/' || doc_id || '\"}' AS value FROM documents), o AS (SELECT *, coalesce(sum(strlen(value) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\" FROM l) SELECT 'http://a/' || doc_id AS url FROM o WHERE \"offset\" = (SELECT \"offset\" FROM o WHERE doc_id = 17)")
-def json_page_at(spark, d):
-    """A point read: the page at one byte offset of one file."""
-    rows = M.table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.lit("f").alias("file"), F.concat(F.lit('{"url":"http://a/'), _number("doc_id"), F.lit('"}')).alias("value"))
-    pages = lines.json_pages(rows, "doc_id")
-    offset = pages.where("url = 'http://a/17'").select("file", "offset")
-    return pages.join(F.broadcast(offset), ["file", "offset"], "left_semi").select("url")  # one row
-
-
 _LOG = """, log AS (SELECT capture_id, url, row_number() OVER (PARTITION BY capture_id ORDER BY line, url) AS n, error FROM capture_urls)"""
 
 
@@ -81,7 +59,7 @@ _FEED_SQL = M.SQL + "SELECT 'http://f/' || capture_id AS url, CASE capture_id %
 
 
 def _feeds(spark, d):
-    rows = M.capture_urls(spark, d).where("capture_id % 4 = 1")
+    rows = M.capture_urls(spark, d)
     link, text = F.col("url"), _number("line")
     rss = F.concat(F.lit("<item><title>T"), text, F.lit("</title><link>"), link, F.lit("</link>"), F.when(F.col("line") > 1, F.concat(F.lit("<guid>g"), text, F.lit("</guid>"))).otherwise(""), F.lit("<pubDate>Mon, 01 Jan 2024 10:00:00 +0100</pubDate></item>"))
     atom = F.concat(F.lit("<entry><title>T"), text, F.lit('</title><link rel="self" href="http://no/"/><link href="'), link, F.lit('"/>'), F.when(F.col("line") > 1, F.concat(F.lit("<id>g"), text, F.lit("</id>"))).otherwise(""), F.lit("<published>2024-01-01T10:00:00+01:00</published></entry>"))
@@ -94,69 +72,23 @@ def _feeds(spark, d):
     return feeds.read_feeds(bodies)
 
 
-@query("feed_links", _FEED_SQL + "url AS entry_url FROM capture_urls WHERE capture_id % 4 = 1")
+@query("feed_links", _FEED_SQL + "url AS entry_url FROM capture_urls")
 def feed_links(spark, d):
     """The links of entries of three kinds of feeds."""
     return _feeds(spark, d).select("url", "kind", "entry_url")
 
 
-@query("feed_entries", _FEED_SQL + "CASE WHEN line > 1 THEN 'g' || line ELSE url END AS guid, url AS canonical, 'T' || line AS title, '2024-01-01T09:00:00Z' AS published FROM capture_urls WHERE capture_id % 4 = 1")
+@query("feed_entries", _FEED_SQL + "CASE WHEN line > 1 THEN 'g' || line ELSE url END AS guid, url AS canonical, 'T' || line AS title, '2024-01-01T09:00:00Z' AS published FROM capture_urls")
 def feed_entries(spark, d):
     """Typed entries: an entry without id goes by its canonical URL, and moments are in UTC."""
     return _feeds(spark, d).select("url", "kind", "guid", "canonical", "title", "published")
 
 
-@query("feed_kinds", M.SQL + "SELECT CASE capture_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'json' END AS kind, count(*) AS n FROM capture_urls WHERE capture_id % 4 = 1 GROUP BY 1")
+@query("feed_kinds", M.SQL + "SELECT CASE capture_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'json' END AS kind, count(*) AS n FROM capture_urls GROUP BY 1")
 def feed_kinds(spark, d):
     return _feeds(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_WARC_BODY = "'<p>' || line || '</p>'"
-
-
-def _warcs(spark, d):
-    """A WARC file per capture, in memory: an HTML response per URL, one in four an image, and a record about the file."""
-    rows = M.capture_urls(spark, d).where("capture_id % 8 = 1")
-    files = rows.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("line", "url", "status_code"))).alias("rows"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            made = []
-            for rows in part["rows"]:
-                out = [{"rec_type": "warcinfo", "url": "", "body": b"software: x"}]
-                for r in rows:
-                    kind = "image/png" if r["line"] % 4 == 0 else "text/html; charset=utf-8"
-                    out.append({"url": r["url"], "status": r["status_code"], "headers": {"Content-Type": kind}, "warc_date": "2024-01-01T00:00:00Z", "body": f"<p>{r['line']}</p>".encode()})
-                made.append(warc.encode(out))
-            name = part["capture_id"].map(lambda i: f"captures/{i}/warc/a.warc.gz")
-            # One file in five lacks the end of its last compressed member.
-            cut = [m[:-7] if i % 5 == 0 else m for i, m in zip(part["capture_id"], made, strict=True)]
-            yield pd.DataFrame({"path": name, "content": cut})
-
-    return files.mapInPandas(run, "path string, content binary")
-
-
-@query("warc_records", M.SQL + "SELECT 'captures/' || capture_id || '/warc/a.warc.gz' AS path, count(*) AS responses, CAST(1 AS BIGINT) AS others FROM capture_urls WHERE capture_id % 8 = 1 GROUP BY capture_id")
-def warc_records(spark, d):
-    """Records of WARC files; a compressed stream that doesn't end properly still gives what can be read of it."""
-    rows = warc.cut(_warcs(spark, d))
-    return rows.groupBy("path").agg(F.count_if(F.col("rec_type") == "response").alias("responses"), F.count_if(F.col("rec_type") != "response").alias("others"))
-
-
-@query("warc_pages", M.SQL + f"SELECT url, max({_WARC_BODY}) AS body FROM (SELECT url, line, row_number() OVER (PARTITION BY url ORDER BY 'captures/' || capture_id || '/warc/a.warc.gz' DESC, line DESC) AS r FROM (SELECT *, max(line) OVER (PARTITION BY capture_id) AS last FROM capture_urls) WHERE capture_id % 40 <> 25 AND capture_id % 8 = 1 AND line % 4 <> 0 AND status_code = 200) WHERE r = 1 GROUP BY url")
-def warc_pages(spark, d):
-    """The last good HTML page of each URL, of the files that are whole."""
-    files = _warcs(spark, d).where("CAST(split(path, '/')[1] AS LONG) % 5 <> 0")
-    return warc.pages(warc.cut(files)).select("url", F.col("body").cast("string").alias("body"))
-
-
-@query("warc_damage", M.SQL + "SELECT DISTINCT 'captures/' || capture_id || '/warc/a.warc.gz' AS path, 'compressed stream does not end properly' AS problem FROM capture_urls WHERE capture_id % 8 = 1 AND capture_id % 5 = 0")
-def warc_damage(spark, d):
-    from palimpsest.operators import ledger
-
-    return ledger.unreadable(_warcs(spark, d))
-
-
 @query("robots_rules", "SELECT p_partkey AS id, 'http://s/' || p_size || '.xml' AS sitemaps, CASE WHEN p_size % 2 = 0 THEN '/a' || p_size || ' /b' ELSE '/b' END AS disallowed FROM part")
 def robots_rules(spark, d):
     """Sitemaps, and what everyone or nobody named may not fetch."""

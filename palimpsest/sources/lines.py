@@ -30,12 +30,15 @@ def cdx(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.get(parts, 0).alias("url"), field(3).alias("mime"), field(4).try_cast("int").alias("status"), field(5).alias("digest"), field(6).alias("redirect"), field(8).alias("offset"))
 
 
-def json_pages(lines: DataFrame, order: str, file: str = "file", column: str = "value") -> DataFrame:
-    """Extracted pages with each line's byte ``offset`` and ``length``; bad lines are dropped but still take up room."""
-    size = F.octet_length(column) + 1
-    before = F.expr(f"sum(octet_length({column}) + 1) OVER (PARTITION BY {file} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    rows = lines.select(file, F.coalesce(before, F.lit(0)).alias("offset"), size.alias("length"), F.from_json(column, PAGE).alias("p"))
-    return rows.where("p.url IS NOT NULL").select(file, "offset", "length", "p.*")
+def page(text: Column) -> Column:
+    """An extracted page out of its JSON; a struct of nulls where it can't be read."""
+    return F.from_json(text, PAGE)
+
+
+def pages(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Extracted pages out of lines that have their places (``ranges.read_lines``); bad lines are dropped, and took up their room."""
+    rows = lines.withColumn("p", page(F.col(column))).where("p.url IS NOT NULL")
+    return rows.select(*[c for c in lines.columns if c != column], "p.*")
 
 
 def log_url(line: Column) -> Column:

@@ -29,6 +29,11 @@ def _own_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that tasks write themselves; it goes when the application ends."""
+    return _own_path(spark, name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet, written once and read back."""
     path = _own_path(df.sparkSession, name)

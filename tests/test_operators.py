@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars, urls
 from palimpsest.operators import difference, extract, filters, gates, history, index, rollup, search, shapes
-from palimpsest.sources import feeds, lines, warc
+from palimpsest.sources import feeds, lines, ranges, records, warc
 from palimpsest.streaming import machines
 
 
@@ -134,7 +134,7 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(first)
     (tmp_path / "y.warc").write_bytes(second)
     (tmp_path / "z.warc.gz").write_bytes(first[:60] + b"broken")
-    rows = warc.read_warc(spark, str(tmp_path))
+    rows = records.read(spark, str(tmp_path))
     assert rows.count() == 6
     got = {r.url: bytes(r.body) for r in warc.pages(rows).collect()}
     assert got == {"http://a/": b"<p>new", "http://b/": b"\r\n\r\ntwo"}
@@ -144,7 +144,7 @@ def text(spark, *values):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "line long, value string")
 
 
-def test_line_formats(spark):
+def test_line_formats(spark, tmp_path):
     good = 'com,x)/ 2024 {"url": "http://x.com/", "mime": "text/html", "status": "200", "offset": "7", "length": 9}'
     got = lines.cdxj(text(spark, good, "broken", "a b {broken", 'a b {"url": "u", "status": "-"}')).collect()
     assert [(r.urlkey, r.url, r.status, r.offset, r.length) for r in got] == [("com,x)/", "http://x.com/", 200, 7, 9), ("a", "u", None, 0, 0)]
@@ -153,8 +153,9 @@ def test_line_formats(spark):
     assert [r.u for r in log.select(lines.log_url(F.col("value")).alias("u")).where("u IS NOT NULL").collect()] == ["http://h/p"]
     jar = text(spark, "# comment", "", ".x.com\tTRUE\t/\tFALSE\t0\ta\tb", "#HttpOnly_y.com\tTRUE\t/\tFALSE\t50\ta\tb", "y.com\tTRUE\t/\tFALSE\t500\ta\tb", "bad line")
     assert tuple(lines.cookies(jar, 100).first()) == (3, 1, 1, 1, 50, 2)
-    pages = spark.createDataFrame([("f", 0, '{"url": "a", "blocks": ["é"]}'), ("f", 1, "{broken"), ("f", 2, '{"url": "b"}')], "file string, n long, value string")
-    assert [(r.url, r.offset, r.length) for r in lines.json_pages(pages, "n").orderBy("offset").collect()] == [("a", 0, 31), ("b", 39, 13)]
+    (tmp_path / "f").write_text('{"url": "a", "blocks": ["é"]}\n{broken\n{"url": "b"}\n')
+    pages = lines.pages(ranges.read_lines(spark, f"file://{tmp_path}"))
+    assert [(r.url, r.offset, r.length) for r in pages.orderBy("offset").collect()] == [("a", 0, 31), ("b", 39, 13)]
 
 
 def test_robots(spark):
