@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import storage
-from palimpsest.operators import search
+from palimpsest.operators import ranking, search
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple, ranking.Index] = {}
 
 
 def _index(spark, d):
-    """Documents, postings and lengths.  As in an archive, postings are a table by term: written by the first query over a folder, read by all."""
+    """Documents, their index, and its postings and lengths.  As in an archive, the index is a stored table: written by the first query over these files, read by all until they change."""
     docs = M.table(spark, d, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("title"))
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, *storage.files_of(docs))
     if key not in _stored:
-        _stored[key] = storage.bucketed(search.postings(M.spread(docs), "doc_id", {"title": "title", "body": "text"}), "postings", "term")
+        _stored[key] = ranking.build(M.spread(docs), "doc_id", {"title": "title", "body": "text"})
     index = _stored[key]
-    lengths = index.groupBy("doc_id").agg(F.sum(F.size("positions")).alias("dl"))
-    return docs, index, lengths
+    return docs, index, index.lengths
 
 
 _TOKENS = """WITH t AS (SELECT doc_id, 10.0 AS w, regexp_extract_all(lower(strip_accents(source || ' ' || lang)), '[\\p{L}\\p{N}]+') AS tok FROM documents
@@ -40,36 +38,48 @@ _SCORE = "(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n -
 @query("bm25_single", _TOKENS + ", " + _bm25("term = 'license'") + f" SELECT doc_id, CAST(round({_SCORE} * 10000) AS BIGINT) AS score FROM f JOIN len USING (doc_id), st, df")
 def bm25_single(spark, d):
     _, index, lengths = _index(spark, d)
-    out = search.scored(index, lengths, search.parsed("license"), "doc_id")
+    out = search.scored(index.postings, lengths, search.parsed("license"), "doc_id")
     return out.select("doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
 @query("bm25_prefix", _TOKENS + ", " + _bm25("starts_with(term, 'licen')") + f" SELECT doc_id, CAST(round({_SCORE} * 10000) AS BIGINT) AS score FROM f JOIN len USING (doc_id), st, df")
 def bm25_prefix(spark, d):
     _, index, lengths = _index(spark, d)
-    out = search.scored(index, lengths, search.parsed("licen*"), "doc_id")
+    asked = search.parsed("licen*")
+    out = search.scored(ranking.expanded(index, asked), lengths, asked, "doc_id")
     return out.select("doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
 @query("search_title", _TOKENS + ", " + _bm25("term = 'src7'") + f" SELECT doc_id, CAST(round({_SCORE} * 10000) AS BIGINT) AS score FROM f JOIN len USING (doc_id), st, df")
 def search_title(spark, d):
     _, index, lengths = _index(spark, d)
-    out = search.candidates(search.scored(index, lengths, search.parsed("src7"), "doc_id"), "doc_id", None)
+    out = search.candidates(search.scored(index.postings, lengths, search.parsed("src7"), "doc_id"), "doc_id", None)
     return out.select("doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
 
 
+_TOP = _TOKENS + """, f AS (SELECT term, doc_id, sum(w) AS f FROM e WHERE term IN ('the', 'of') GROUP BY term, doc_id), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+s AS (SELECT term, doc_id, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM f JOIN df USING (term) JOIN len USING (doc_id), st)"""
+
+
+@query("search_top", _TOP + " SELECT doc_id, CAST(round(sum(s) * 10000) AS BIGINT) AS score FROM s GROUP BY doc_id HAVING count(*) = 2 ORDER BY sum(s) DESC, doc_id LIMIT 100")
+def search_top(spark, d):
+    """The hundred best for two words, found by blocks with the highest bounds."""
+    _, index, _ = _index(spark, d)
+    return ranking.candidates(index, search.parsed("of the"), 100).select("doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
+
+
 @query("search_excluding", _TOKENS + " SELECT DISTINCT doc_id FROM e WHERE term = 'license' AND doc_id NOT IN (SELECT doc_id FROM e WHERE term = 'mit')")
 def search_excluding(spark, d):
     _, index, lengths = _index(spark, d)
-    return search.scored(index, lengths, search.parsed("license -mit"), "doc_id").select("doc_id")
+    return search.scored(index.postings, lengths, search.parsed("license -mit"), "doc_id").select("doc_id")
 
 
 @query("search_box")
 def search_box(spark, d):
     """A page of hits for a phrase and a word, filtered by language after the candidate cut, with excerpts."""
-    docs, index, lengths = _index(spark, d)
+    docs, index, _ = _index(spark, d)
     asked = search.parsed('"apache license" the')
-    best = search.candidates(search.scored(index, lengths, asked, "doc_id"), "doc_id")
+    best = ranking.candidates(index, asked)
     rows = best.join(docs.where(F.endswith("title", F.lit(" en"))), "doc_id").orderBy(F.desc("score"), "doc_id").limit(25)
     return search.with_excerpts(rows.select("doc_id", "title", F.round("score", 4).alias("score"), "text"), asked.terms, "text").drop("text")
 
@@ -77,11 +87,11 @@ def search_box(spark, d):
 @query("index_stats", _TOKENS + " SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT term) AS terms, count(*) AS tokens FROM e")
 def index_stats(spark, d):
     _, index, _ = _index(spark, d)
-    return index.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("term").alias("terms"), F.sum(F.size("positions")).alias("tokens"))
+    return index.postings.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("term").alias("terms"), F.sum(F.size("positions")).alias("tokens"))
 
 
 @query("index_vocabulary", _TOKENS + ", d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM e GROUP BY term) SELECT term, df, tf FROM d ORDER BY df DESC, term LIMIT 50")
 def index_vocabulary(spark, d):
     _, index, _ = _index(spark, d)
-    per = index.groupBy("term", "doc_id").agg(F.sum(F.size("positions")).alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    per = index.postings.groupBy("term", "doc_id").agg(F.sum(F.size("positions")).alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
     return per.orderBy(F.desc("df"), "term").limit(50)

@@ -47,3 +47,13 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     table, n = f"palimpsest_{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, column).write.option("path", _own_path(spark, name)).bucketBy(n, column).sortBy(column).saveAsTable(table)
     return spark.table(table)
+
+
+def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, size, time of change) of the files that ``df`` reads: what is kept of them is outdated when this differs."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
