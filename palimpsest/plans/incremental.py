@@ -10,7 +10,7 @@ from palimpsest import storage
 from palimpsest.functions import scalars
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
-from palimpsest.streaming import machines, tails
+from palimpsest.streaming import keyed, machines, tails
 
 
 def _seen(rows):
@@ -61,6 +61,18 @@ def _stream(spark, d, build, mode):
     return spark.table(name)
 
 
+def _replayed(spark, rows, part, parts, build):
+    """Run a stream over ``rows`` in ``parts`` micro-batches, by the column ``part`` (from 0), and return what it wrote."""
+    source, out, files = storage.folder(spark, "replayed"), storage.folder(spark, "streamed"), spark.sparkContext.defaultParallelism
+    rows = storage.written(rows.withColumn("_part", part), "parts")
+    for i in range(parts):
+        rows.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", files).parquet(source)
+    run = build(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 @query("stream_hysteresis")
 def stream_hysteresis(spark, d):
     return _stream(spark, d, lambda rows: machines.health_stream(_seen(rows)), "append")
@@ -156,17 +168,68 @@ def scalar_times(spark, d):
     return M.observations(spark, d).select("id", scalars.capture_dir(F.col("ts"), F.lit("full"), F.lit("wget")).alias("dir"), cdx.alias("cdx"), scalars.iso_of_cdx(cdx).alias("iso"), micros.alias("micros"))
 
 
-@query("feed_merge", """WITH known AS (SELECT event_id AS guid, 'u' || event_id AS canonical, CASE WHEN event_id % 2 = 0 THEN 'captured' ELSE 'skipped' END AS status, 'h' || event_id % 5 AS content_hash, ts AS updated FROM events WHERE event_type = 'view'),
+_MERGE_SQL = """WITH known AS (SELECT event_id AS guid, 'u' || event_id AS canonical, CASE WHEN event_id % 2 = 0 THEN 'captured' ELSE 'skipped' END AS status, 'h' || event_id % 5 AS content_hash, ts AS updated FROM events WHERE event_type = 'view'),
 e AS (SELECT CASE WHEN event_id % 4 = 0 THEN -event_id ELSE event_id END AS guid, 'u' || event_id AS canonical, 'h' || event_id % 7 AS content_hash, ts + INTERVAL 1 HOUR AS updated FROM events WHERE event_type IN ('view', 'click'))
 SELECT k.guid, CASE WHEN e.content_hash <> k.content_hash THEN 'pending' ELSE status END AS status, coalesce(e.content_hash, k.content_hash) AS content_hash FROM known k LEFT JOIN e USING (canonical)
-UNION ALL SELECT guid, 'pending', content_hash FROM e WHERE canonical NOT IN (SELECT canonical FROM known)""")
-def feed_merge(spark, d):
+UNION ALL SELECT guid, 'pending', content_hash FROM e WHERE canonical NOT IN (SELECT canonical FROM known)"""
+
+
+def _items(spark, d):
+    """Known items and the entries of a poll; one guid in four is new for a known address."""
     rows = M.observations(spark, d)
     named = F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical")
     digest = lambda n: F.concat(F.lit("h"), (F.col("id") % n).cast("string")).alias("content_hash")
-    known = rows.where("kind = 'view'").select(F.col("id").alias("guid"), named, F.when(F.col("id") % 2 == 0, "captured").otherwise("skipped").alias("status"), digest(5), F.col("ts").alias("updated"))
-    entries = rows.where("kind IN ('view', 'click')").select(F.when(F.col("id") % 4 == 0, -F.col("id")).otherwise(F.col("id")).alias("guid"), named, digest(7), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("updated"), F.col("id").alias("place"))
-    return machines.merge_items(known, entries, False).select("guid", "status", "content_hash")
+    known = rows.where("kind = 'view'").select("key", F.col("id").alias("guid"), named, F.when(F.col("id") % 2 == 0, "captured").otherwise("skipped").alias("status"), digest(5), F.col("ts").alias("updated"))
+    entries = rows.where("kind IN ('view', 'click')").select("key", F.when(F.col("id") % 4 == 0, -F.col("id")).otherwise(F.col("id")).alias("guid"), named, digest(7), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("updated"), F.col("id").alias("place"))
+    return known, entries
+
+
+@query("feed_merge", _MERGE_SQL)
+def feed_merge(spark, d):
+    known, entries = _items(spark, d)
+    return machines.merge_items(known.drop("key"), entries.drop("key"), False).select("guid", "status", "content_hash")
+
+
+@query("stream_feed_merge", _MERGE_SQL)
+def stream_feed_merge(spark, d):
+    """The same merge as entries come in, in several micro-batches; a feed is what events have the key of."""
+    known, entries = _items(spark, d)
+    feed, text, micros = F.col("key").cast("string").alias("feed"), F.col("guid").cast("string").alias("guid"), F.unix_micros(F.col("updated").cast("timestamp")).alias("updated")
+    known = storage.written(known.select(feed, text, "canonical", "status", "content_hash", micros), "known")
+    polled = entries.select(feed, F.lit(1).alias("poll"), "place", text, "canonical", "content_hash", micros, F.lit(False).alias("baseline"))
+    got = _replayed(spark, polled, F.pmod(F.xxhash64("place"), F.lit(3)), 3, lambda rows: keyed.merged_items(rows, known))
+    last = got.groupBy("guid").agg(F.max_by(F.struct("status", "content_hash"), F.struct("poll", "place")).alias("i")).select("guid", "i.*")
+    untouched = known.join(last, "guid", "left_anti").select("guid", "status", "content_hash")
+    return last.unionByName(untouched).select(F.col("guid").cast("long").alias("guid"), "status", "content_hash")
+
+
+@query("stream_buffer", """WITH k AS (SELECT event_id AS id, event_type AS job FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 500), o AS (SELECT job, min(id) AS oldest FROM k GROUP BY job),
+r AS (SELECT job, min(id) AS seen, 'late' AS reader FROM (SELECT event_type AS job, event_id AS id FROM events) GROUP BY job UNION ALL SELECT job, max(id) - 10, 'soon' FROM k GROUP BY job UNION ALL SELECT job, max(id), 'now' FROM k GROUP BY job)
+SELECT r.job, reader, k.id, oldest, oldest > seen + 1 AS gap FROM r JOIN o USING (job) LEFT JOIN k ON k.job = r.job AND k.id > seen""")
+def stream_buffer(spark, d):
+    """The newest 500 events of each job as three readers get them: one who has only seen the first, one who lacks a few, one who has all."""
+    rows = M.observations(spark, d).select(F.col("kind").alias("job"), "id")
+    events = rows.select("job", F.col("id").alias("at"), F.lit("event").alias("kind"), "id", F.lit(None).cast("string").alias("data"))
+    ends = rows.groupBy("job").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+    read = lambda seen, name: ends.select("job", (F.col("z") + 1).alias("at"), F.lit("read").alias("kind"), seen.alias("id"), F.lit(name).alias("data"))
+    reads = read(F.col("a"), "late").unionByName(read(F.col("z") - 10, "soon")).unionByName(read(F.col("z"), "now"))
+    third = rows.agg((F.max("id") / 3 + 1).cast("long").alias("third"))
+    part = F.when(F.col("kind") == "read", 2).otherwise(F.least(F.expr("at div third"), F.lit(2))).cast("int")
+    timed = events.unionByName(reads).join(F.broadcast(third))  # one row
+    got = _replayed(spark, timed.withColumn("p", part).drop("third"), F.col("p"), 3, lambda rows: keyed.buffered(rows.withColumn("ts", F.timestamp_seconds(F.col("at") + 1_000_000))))
+    return got.select("job", "reader", "id", "oldest", "gap")
+
+
+@query("stream_log_drain", M.SQL + "SELECT CASE WHEN EXISTS (SELECT 1 FROM capture_urls i WHERE i.url = u.url AND i.error IS NULL) THEN 'written' ELSE 'lost' END AS state, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM capture_urls u GROUP BY 1")
+def stream_log_drain(spark, d):
+    """Every logged line against the index, both as they come in; the last rows say that time has gone on."""
+    rows = M.capture_urls(spark, d).select("url", "line", "error", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("line")).alias("ts"))
+    log = rows.select(F.lit("log").alias("kind"), "url", "line", "ts")
+    index = rows.where("error IS NULL").select(F.lit("index").alias("kind"), "url", "line", "ts")
+    later = spark.range(1).select(F.lit("index").alias("kind"), F.lit("").alias("url"), F.lit(0).cast("long").alias("line"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"))
+    part = F.when(F.col("url") == "", 3).otherwise(F.pmod(F.xxhash64("kind", "url", "line"), F.lit(3))).cast("int")
+    got = _replayed(spark, log.unionByName(index).unionByName(later), part, 4, lambda rows: keyed.drained(rows))
+    return got.groupBy("state").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
 @query("block_diff")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-#: A batch is written at least so often.
-SECONDS = 2
+#: A batch is written at least so often, and in files of so many rows at most.
+SECONDS, ROWS = 2, 500
 
 
 def whole_lines(chunks: DataFrame) -> DataFrame:
@@ -32,14 +32,18 @@ def whole_lines(chunks: DataFrame) -> DataFrame:
     return chunks.select("file", "at", "text").groupBy("file").applyInPandasWithState(run, "file string, place long, line string", "rest string, place long", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_batches(rows: DataFrame, path: str, checkpoint: str, seconds: int | None = SECONDS) -> StreamingQuery:
+def append_batches(rows: DataFrame, path: str, checkpoint: str, seconds: int | None = SECONDS, most: int = ROWS) -> StreamingQuery:
     """Start to append a stream to the Parquet table at ``path``, a folder per batch; None: to the end of what is there.
 
-    A batch that is run again after a failure takes the place of what it wrote before, so that no row is there twice.
+    Rows wait no longer than ``seconds`` for their batch; what has come by then
+    is written in groups of ``most`` rows at most, a file each.  A batch that is
+    run again after a failure takes the place of what it wrote before, so that no
+    row is there twice.  Batches count from the checkpoint: with a new one, give
+    a new path too, as folders of the same numbers would be replaced.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(f"{path}/batch={number}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
