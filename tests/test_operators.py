@@ -63,6 +63,38 @@ def test_shapes_of_a_blog(spark):
     assert got == {"/": 1, "/#/#/*.html": 40, "/img/*.jpg": 40, "/search/label/*?max&updated-max": 480}
 
 
+def plain_shapes(rows, most_values, most_nodes):
+    """The shapes of (id, path segments) by a plain loop over a tree."""
+    tree = {}
+    for _, segments in rows:
+        for i, s in enumerate(segments):
+            at = tuple(segments[:i])
+            if at not in tree:
+                if len(tree) >= most_nodes:
+                    break
+                tree[at] = [0, set()]
+            tree[at][0] += 1
+            tree[at][1].add(s)
+    out = {}
+    for k, segments in rows:
+        parts = []
+        for i, s in enumerate(segments):
+            uses, values = tree.get(tuple(segments[:i]), (0, None))
+            parts.append("*" if values is None or len(values) >= most_values or len(values) > 8 and len(values) > uses * 0.05 else s)
+        out[k] = "/" + "/".join(parts)
+    return out
+
+
+@pytest.mark.parametrize("most_values, most_nodes", [(2000, 50_000), (30, 50_000), (2000, 25), (30, 12), (1, 1)])
+def test_shapes_above_the_bounds(spark, most_values, most_nodes):
+    rng = random.Random(most_nodes)
+    rows = [(i, [rng.choice("abc") + "x", f"w{rng.choice('pqrstuv')}v{rng.choice(['', 'y', 'z'])}", f"page{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(4))}q"][: rng.randrange(1, 4)]) for i in range(3000)]
+    table = spark.createDataFrame([(k, "http://b.c/" + "/".join(s)) for k, s in rows], "id long, url string").repartition(5)
+    got = {r.id: r["shape"] for r in shapes.shaped(table, most_values=most_values, most_nodes=most_nodes).collect()}
+    assert got == plain_shapes(rows, most_values, most_nodes)
+    assert shapes.shaped(table.limit(0)).count() == 0
+
+
 def test_scalars(spark):
     assert one(spark, scalars.words(F.col("t")), t="  a b c \n") == 3 and one(spark, scalars.words(F.col("t")), t="  ") == 0
     assert one(spark, scalars.iso_of_cdx(F.col("t")), t="202401") == "2024-01-00T00:00:00Z"
@@ -122,6 +154,10 @@ def test_gates(spark):
     cases = {"overlay": (overlay, "http://a.b/"), "url": ("", "http://a.b/interstitial/x"), "phrase": ("Content Warning", "http://a.b/"), "clear": ("Content Warning" + "x" * 30000, "http://a.b/")}
     for want, (html, url) in cases.items():
         assert one(spark, gates.verdict(F.col("h"), F.col("u")), h=html, u=url) == want
+    frame, hidden = '<IFRAME id="a"\n src = \'http://x/blogger.com/interstitial/\'>', "<style>p { color: red }\nBODY  *\n{ margin: 0; Visibility :\nhidden; }</style>"
+    both = {frame + hidden: True, frame: False, hidden: False, frame.replace("interstitial", "x").replace("blogger.com", "b") + hidden: False, frame + "<style>body { visibility: hidden }</style>": False, frame + "<style>body * { color: red } p { visibility: hidden }</style>": False}
+    for html, want in both.items():
+        assert one(spark, gates.overlaid(F.col("h")), h=html) == want
 
 
 # sources
