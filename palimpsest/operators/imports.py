@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import urls
+from palimpsest.operators.hosts import with_owner
 
 MOST_URLS = 5000
 
@@ -26,14 +27,14 @@ def listed(texts: DataFrame, text: str = "text", key: str = "id", cap: int | Non
     return first.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY place)")).where(F.col("_n") <= cap).drop("_n")
 
 
-def grouped(found: DataFrame, sites: DataFrame) -> DataFrame:
+def grouped(found: DataFrame, sites: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(``registrable``, ``n``, ``hosts``, ``site_id``): URLs by registered domain, with the site that has it already.
 
-    ``sites``: ``id``, ``host``.
+    ``sites``: ``id``, ``host``; ``suffixes``: a public suffix list.
     """
-    rows = found.select("url", urls.host(F.col("url")).alias("host")).withColumn("registrable", urls.registrable(F.col("host")))
+    rows = with_owner(found.select("url", urls.host(F.col("url")).alias("host")), "host", suffixes)
     per = rows.groupBy("registrable").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"))
-    known = sites.groupBy(urls.registrable(F.lower("host")).alias("registrable")).agg(F.min("id").alias("site_id"))
+    known = with_owner(sites.select("id", F.lower("host").alias("host")), "host", suffixes).groupBy("registrable").agg(F.min("id").alias("site_id"))
     return per.join(known, "registrable", "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars, urls
+from palimpsest.operators.hosts import with_owner
 
 #: Keys that an audit entry's detail may not have.
 FORBIDDEN = "password token secret cookies totp_secret recovery_codes session".split()
@@ -66,17 +67,17 @@ def health(captures: DataFrame, findings: DataFrame, now: str, days: int) -> Dat
     return one.crossJoin(many).withColumn("due", verification_due(F.col("last_run"), F.lit(now).cast("timestamp_ntz"), days))  # one row each
 
 
-def import_plan(found: DataFrame, sites: DataFrame, crawl: bool = False) -> DataFrame:
+def import_plan(found: DataFrame, sites: DataFrame, crawl: bool = False, suffixes: DataFrame | None = None) -> DataFrame:
     """One row per group of an import: ``registrable``, ``site_id``, ``action`` (create, update or error), ``kind``, ``only_listed`` and ``urls``.
 
-    ``found``: ``url``, ``place``; ``sites``: ``id``, ``host``.  A group without a
+    ``found``: ``url``, ``place``; ``sites``: ``id``, ``host``; ``suffixes``: a public suffix list.  A group without a
     domain that can be registered is an error of its own and stops no other.  A
     listed page is captured alone unless ``crawl`` asks for its site.
     """
-    rows = found.withColumn("registrable", urls.registrable(urls.host(F.col("url"))))
+    rows = with_owner(found.withColumn("_host", urls.host(F.col("url"))), "_host", suffixes)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda r: r["url"])
     per = rows.groupBy("registrable").agg(listed.alias("urls"))
-    known = sites.groupBy(urls.registrable(F.lower("host")).alias("registrable")).agg(F.min("id").alias("site_id"))
+    known = with_owner(sites.select("id", F.lower("host").alias("host")), "host", suffixes).groupBy("registrable").agg(F.min("id").alias("site_id"))
     action = F.when(~F.contains("registrable", F.lit(".")), "error").when(F.col("site_id").isNotNull(), "update").otherwise("create")
     rows = per.join(known, "registrable", "left").withColumn("action", action)
     queued = F.col("action") != "error"

@@ -7,32 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.functions import urls
 
 DEPTH, DOCUMENTS, URLS = 4, 60, 100_000
 
 
-def walk_sitemaps(roots: DataFrame, fetched: Callable[[DataFrame], DataFrame], depth: int = DEPTH, documents: int | None = DOCUMENTS) -> DataFrame:
+def walk_sitemaps(roots: DataFrame, fetched: Callable[[DataFrame], DataFrame], depth: int = DEPTH, documents: int | None = DOCUMENTS, most_urls: int | None = URLS) -> DataFrame:
     """Distinct (``loc``, ``lastmod``) of all sitemaps that ``roots`` (``url``) lead to, level by level.
 
-    ``fetched`` turns a level's URLs into (``url``, ``loc``, ``lastmod``, ``child``)
-    rows, as ``read_sitemaps`` gives them.  A sitemap is read once, whatever its
-    spelling; at most ``documents`` are read, as the walk is polite (None: all).
+    ``fetched`` turns a level's URLs into (``url``, ``loc``, ``lastmod``, ``child``,
+    ``place``) rows, as ``read_sitemaps`` gives them.  A sitemap is read once,
+    whatever its spelling.  Sitemaps come in the order in which a walk meets
+    them: roots by URL, then by the document that names them and the place in
+    it.  At most ``documents`` are asked for, and none once ``most_urls`` URLs
+    are found, as the walk is polite (None: no bound).
     """
-    level = roots.select("url", urls.visited_key(F.col("url")).alias("key")).dropDuplicates(["key"])
-    seen, pages, read = level.select("key"), None, 0
+    first = lambda rows: rows.groupBy("key").agg(F.min_by("url", F.struct("at", "url")).alias("url"), F.min("at").alias("at"))
+    level = first(roots.select("url", urls.visited_key(F.col("url")).alias("key"), F.col("url").alias("at")))
+    seen, pages, read, count = level.select("key"), None, 0, 0
     for _ in range(depth + 1):
         if documents is not None:
-            level = level.orderBy("key").limit(max(0, documents - read))
+            level = level.orderBy("at", "url").limit(max(0, documents - read))
+        if most_urls is not None and count >= most_urls:
+            break
+        level = storage.written(level, "level")
         n = level.count()
         if n == 0:
             break
         read += n
         rows = fetched(level.select("url"))
+        if most_urls is not None:
+            rows = storage.written(rows, "sitemaps")
+            # of the documents with URLs no more than that many are needed
+            sizes = rows.groupBy("url").agg(F.count_if(~F.col("child")).alias("n")).join(level, "url")
+            some = sizes.where("n > 0").orderBy("at", "url").limit(most_urls - count)
+            late = some.withColumn("before", F.expr("sum(n) OVER (ORDER BY at, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")).where(F.col("before") >= most_urls - count)
+            cut = late.agg(F.min(F.struct("at", "url")).alias("cut")).first().cut
+            total = sizes.agg(F.sum("n")).first()[0] or 0
+            if cut is not None or total >= most_urls - count:
+                kept = level if cut is None else level.where(F.struct("at", "url") < F.struct(F.lit(cut["at"]).alias("at"), F.lit(cut["url"]).alias("url")))
+                rows, count = rows.join(kept.select("url"), "url", "left_semi"), most_urls
+            else:
+                count += total
         found = rows.where(~F.col("child")).select("loc", "lastmod")
         pages = found if pages is None else pages.unionByName(found)
-        level = rows.where("child").select(F.col("loc").alias("url"), urls.visited_key(F.col("loc")).alias("key")).dropDuplicates(["key"]).join(seen, "key", "left_anti")
-        seen = seen.unionByName(level.select("key"))
+        named = rows.where("child").join(level.select("url", "at"), "url")
+        named = named.select(F.col("loc").alias("url"), urls.visited_key(F.col("loc")).alias("key"), F.concat_ws(" ", "at", F.lpad(F.col("place").cast("string"), 10, "0")).alias("at"))
+        level = first(named.join(seen, "key", "left_anti"))
+        seen = storage.written(seen.unionByName(level.select("key")), "seen")
     if pages is None:
         return roots.limit(0).select(F.col("url").alias("loc"), F.lit(None).cast("string").alias("lastmod"))
     return pages.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import urls
 from palimpsest.operators import audit, export, extract, gates, hosts, imports, reading
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
@@ -87,6 +88,33 @@ def import_groups(spark, d):
     return imports.grouped(found, spark.sql("SELECT CAST(1 AS BIGINT) AS id, 'www.example.com' AS host")).select("registrable", "n", "hosts", "site_id")
 
 
+_OWNERS = f"""WITH h AS (SELECT url, {_HOST} AS host, string_split({_HOST}, '.') AS l FROM pages), r AS (SELECT DISTINCT array_to_string(l[-2:], '.') AS rule FROM h WHERE len(l) >= 3),
+o AS (SELECT url, host, CASE WHEN array_to_string(l[-2:], '.') NOT IN (SELECT rule FROM r) THEN array_to_string(l[-2:], '.') WHEN len(l) >= 3 THEN array_to_string(l[-3:], '.') ELSE '' END AS registrable FROM h)"""
+
+
+def _suffixes(spark, d):
+    """A suffix list that the pages' hosts make: their last labels, and the last two of those with three or more."""
+    labels = F.split(urls.host(F.col("url")), "[.]")
+    rows = M.table(spark, d, "pages").select(labels.alias("l")).distinct()
+    last = lambda n: F.array_join(F.slice("l", F.size("l") - (n - 1), F.lit(n)), ".").alias("rule")
+    return rows.select(F.element_at("l", -1).alias("rule")).unionByName(rows.where(F.size("l") >= 3).select(last(2))).distinct()
+
+
+@query("import_groups_by_list", _OWNERS + " SELECT registrable, count(DISTINCT regexp_replace(url, '#.*$', '')) AS n, count(DISTINCT host) AS hosts FROM o GROUP BY registrable")
+def import_groups_by_list(spark, d):
+    """The groups of a pasted list by a suffix list."""
+    texts = M.table(spark, d, "pages").select(F.lit(1).alias("id"), F.concat(F.lit("see "), "url", F.lit(" !")).alias("text"))
+    found = imports.listed(texts, cap=None).select("url").distinct()
+    return imports.grouped(found, found.limit(0).select(F.lit(1).alias("id"), F.col("url").alias("host")), _suffixes(spark, d)).select("registrable", "n", "hosts")
+
+
+@query("host_owners", _OWNERS + " SELECT host, registrable, count(*) AS link_refs FROM o GROUP BY host, registrable")
+def host_owners(spark, d):
+    """Hosts of pages with their owners by a suffix list."""
+    refs = M.table(spark, d, "pages").select("url", F.lit("link").alias("kind"), F.lit(None).cast("string").alias("mime"))
+    return hosts.statistics(refs, "none", _suffixes(spark, d)).select("host", "registrable", "link_refs")
+
+
 @query("import_snapshots", M.SQL + "SELECT s.id, coalesce(string_agg(st.slug, ',' ORDER BY st.slug), '') AS tags FROM sites s LEFT JOIN site_tags st ON st.site_id = s.id WHERE s.id % 10 <> 0 GROUP BY s.id")
 def import_snapshots(spark, d):
     rows = M.sites(spark, d).select("id", F.when(F.col("id") % 10 != 0, F.concat(F.lit("http://x/"), F.col("id").cast("string"))).alias("url"), F.lit("1700000000.0").alias("timestamp"))

@@ -107,14 +107,15 @@ def read_feeds(bodies: DataFrame, key: str = "url", body: str = "body") -> DataF
 
 
 def read_sitemaps(bodies: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
-    """One row per page or child sitemap: ``key``, ``loc``, ``lastmod``, ``child``."""
+    """One row per page or child sitemap: ``key``, ``loc``, ``lastmod``, ``child`` and ``place`` (in its document, pages first)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for k, b in zip(rows["k"], rows["b"], strict=True):
                 s = sitemap(b)
-                out += [(k, u, m, False) for u, m in s["pages"]] + [(k, u, None, True) for u in s["children"]]
-            yield pd.DataFrame(out, columns=[key, "loc", "lastmod", "child"])
+                found = [(k, u, m, False) for u, m in s["pages"]] + [(k, u, None, True) for u in s["children"]]
+                out += [(*row, i) for i, row in enumerate(found)]
+            yield pd.DataFrame(out, columns=[key, "loc", "lastmod", "child", "place"])
 
-    return bodies.select(F.col(key).alias("k"), F.col(body).cast("binary").alias("b")).mapInPandas(run, f"{key} string, loc string, lastmod string, child boolean")
+    return bodies.select(F.col(key).alias("k"), F.col(body).cast("binary").alias("b")).mapInPandas(run, f"{key} string, loc string, lastmod string, child boolean, place long")

@@ -87,6 +87,34 @@ def test_sitemaps_are_walked_once(spark):
     assert upkeep.walk_sitemaps(spark.createDataFrame([], "url string"), lambda level: None).count() == 0
 
 
+def plain_walk(web, roots, depth, documents, most_urls):
+    queue, seen, out, asked = [(u, 0) for u in sorted(roots)], set(), [], 0
+    while queue and asked < documents and len(out) < most_urls:
+        url, at = queue.pop(0)
+        if url in seen or at > depth:
+            continue
+        seen.add(url)
+        asked += 1
+        kind, locs = web.get(url, ("urls", []))
+        if kind == "urls":
+            out += locs
+        else:
+            queue += [(u, at + 1) for u in locs]
+    return set(out)
+
+
+@pytest.mark.parametrize("depth, documents, most_urls", [(4, 60, 100_000), (1, 60, 100_000), (4, 7, 100_000), (4, 60, 12), (4, 9, 25), (4, 60, 1)])
+def test_walks_end_at_their_bounds(spark, depth, documents, most_urls):
+    web = {"http://a/r": ("index", [f"http://a/i{n}" for n in (3, 1, 2)] + ["http://a/u9"])}
+    web |= {f"http://a/i{n}": ("index", [f"http://a/u{n}{m}" for m in range(4)] + ["http://a/i1", "http://a/deep"]) for n in (1, 2, 3)}
+    web |= {f"http://a/u{n}{m}": ("urls", [f"http://p/{n}{m}{j}" for j in range(m + 1)]) for n in (1, 2, 3) for m in range(4)}
+    web |= {"http://a/deep": ("index", ["http://a/deeper"]), "http://a/deeper": ("urls", ["http://p/deep", "http://p/110"]), "http://a/u9": ("urls", ["http://p/9"])}
+    rows = [(u, loc, None, kind == "index", i) for u, (kind, locs) in web.items() for i, loc in enumerate(locs)]
+    table = spark.createDataFrame(rows, "url string, loc string, lastmod string, child boolean, place long")
+    got = upkeep.walk_sitemaps(spark.createDataFrame([("http://a/r",)], "url string"), lambda level: table.join(level, "url", "left_semi"), depth, documents, most_urls)
+    assert {r["loc"] for r in got.collect()} == plain_walk(web, ["http://a/r"], depth, documents, most_urls)
+
+
 def test_folders(spark):
     folders = spark.createDataFrame([(1, "a"), (2, "a/b"), (3, "c")], "id long, path string")
     assert sorted(r.path for r in upkeep.renamed(folders, "a", "z").collect()) == ["c", "z", "z/b"]
