@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.functions import matching, scalars
-from palimpsest.operators import hosts, index
+from palimpsest.operators import hosts, index, upkeep
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
 from palimpsest.sources import feeds, lines
@@ -55,6 +56,33 @@ def sitemap_entries(spark, d):
     return rows.groupBy("url").agg(F.count_if(~F.col("child")).alias("pages"), F.count_if("child").alias("children"), F.min("loc").alias("first"))
 
 
+def _walk(spark, d, **bounds):
+    """Pages that a root sitemap leads to: it lists indexes of captures, which list a sitemap for each of them."""
+    place = lambda n: F.concat(F.lit("http://s/"), F.lpad(n.cast("string"), 12, "0"))
+    group = F.expr("capture_id div 2000")
+    item = lambda kind, loc: F.concat(F.lit(f"<{kind}><loc>"), loc, F.lit(f"</loc></{kind}>"))
+    body = lambda root, items: F.concat(F.lit(f"<{root}>"), F.concat_ws("", F.array_sort(F.collect_list(items))), F.lit(f"</{root}>")).alias("body")
+    rows = M.capture_urls(spark, d).select("capture_id", "url", group.alias("g"))
+    index = F.concat(F.lit("http://s/i"), F.lpad(F.col("g").cast("string"), 12, "0"))
+    sites = rows.groupBy(place(F.col("capture_id")).alias("url")).agg(body("urlset", item("url", F.col("url"))))
+    indexes = rows.select("g", "capture_id").distinct().groupBy(index.alias("url")).agg(body("sitemapindex", item("sitemap", place(F.col("capture_id")))))
+    root = rows.select("g").distinct().groupBy(F.lit("http://s/root").alias("url")).agg(body("sitemapindex", item("sitemap", index)))
+    bodies = storage.written(sites.unionByName(indexes).unionByName(root), "bodies")
+    return upkeep.walk_sitemaps(root.select("url"), lambda level: feeds.read_sitemaps(bodies.join(level, "url", "left_semi")), **bounds).select("loc")
+
+
+@query("sitemap_walk", M.SQL + "SELECT DISTINCT url AS loc FROM capture_urls")
+def sitemap_walk(spark, d):
+    """All pages below a root sitemap, without a bound."""
+    return _walk(spark, d, documents=None, most_urls=None)
+
+
+@query("sitemap_walk_bounded", M.SQL + ", c AS (SELECT DISTINCT capture_id FROM capture_urls), n AS (SELECT capture_id FROM c QUALIFY row_number() OVER (ORDER BY capture_id) <= 59 - (SELECT count(DISTINCT capture_id // 2000) FROM c)) SELECT DISTINCT url AS loc FROM capture_urls WHERE capture_id IN (SELECT capture_id FROM n)")
+def sitemap_walk_bounded(spark, d):
+    """The same up to sixty sitemaps, as a polite walk goes: the root, the indexes, and the first captures that they list."""
+    return _walk(spark, d)
+
+
 _FEED_SQL = M.SQL + "SELECT 'http://f/' || capture_id AS url, CASE capture_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'json' END AS kind, "
 
 
