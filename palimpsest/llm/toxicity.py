@@ -1,15 +1,15 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-* Voters look for one word or one word beginning each.  Some are given
-  (``LEXICON``, ``PATTERNS``); the others are signs that labelled toxic texts
-  have far more often.  Whether a voter is right is not taken from the labels.
-* The label model is generative: a hidden class decides which signs a text has,
-  and a sign makes each voter of its block fire or not.  Voters whose votes stay
-  correlated when the class is known are a block.  How often signs come with
-  either class, so how right their voters are, and the correlations are
-  estimated from how votes agree, by expectation and maximisation.  Whoever
-  labelled the sample is one more voter, right as often as agreement says;
-  labels also give the share of toxic texts.
+* Voters look for one word or one word beginning each.  A voter that fires says
+  toxic, one that is silent says not toxic.  Some are given (``LEXICON``,
+  ``PATTERNS``); the others are signs that labelled toxic texts have far more
+  often.  Whether a voter is right is not taken from the labels.
+* The label model is generative: a hidden class, and for toxic texts one of
+  ``KINDS`` hidden kinds, decide how likely each voter fires.  How right voters
+  are comes from these chances; that they correlate comes from the kinds, as
+  voters of a kind fire together, and from voters that nearly always fire
+  together, which count as one.  All of it is estimated from how votes agree, by
+  expectation and maximisation.  Labels give the share of toxic texts and nothing else.
 * Its posterior labels train a logistic regression over voters and further
   hashed features; the classifier alone scores texts, all of each text.
 
@@ -35,7 +35,9 @@ MINED, FEATURES = 400, 3000
 #: A sign is mined if toxic texts have it so many standard deviations more often than chance would.
 CERTAIN = 4.5
 #: Correlation beside the class from which voters are taken to see one sign.
-CORRELATED = 0.5
+CORRELATED = 0.9
+#: Kinds of toxic texts (languages, topics), each with words of its own.
+KINDS = 4
 #: Beginnings of words, in bytes, that are looked at beside whole words.
 PREFIXES = (4, 5, 6)
 TABLE_BITS = 20
@@ -161,40 +163,65 @@ def _with_mean(z: np.ndarray, share: float) -> np.ndarray:
     return y
 
 
-def label_model(votes: np.ndarray, prior: float, labels: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+def _kinds_at_first(signs: np.ndarray, prior: float, kinds: int) -> np.ndarray:
+    """Chances of (not toxic, each kind) for each row, to begin with: the rows with most signs are toxic, and of the kind whose first row is most like them.
+
+    The first rows of the kinds are those that are least like each other.
+    """
+    total = signs.sum(axis=1)
+    most = np.argsort(-total, kind="stable")[: max(1, int(len(signs) * prior))]
+    unit = signs / np.maximum(np.sqrt(total), 1e-9)[:, None]
+    first = [most[0]]
+    like = unit[most] @ unit[first[0]]
+    for _ in range(kinds - 1):
+        first.append(most[int(np.argmin(like))])
+        like = np.maximum(like, unit[most] @ unit[first[-1]])
+    toxic = np.zeros(len(signs), dtype=bool)
+    toxic[most] = total[most] > 0
+    out = np.zeros((len(signs), kinds + 1))
+    out[np.arange(len(signs)), np.where(toxic, (unit @ unit[first].T).argmax(axis=1) + 1, 0)] = 1
+    return 0.9 * out + 0.1 * np.r_[1 - prior, np.full(kinds, prior / kinds)]
+
+
+def _signs(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Rows by blocks of voters: whether one of the block fires."""
+    block = blocks(votes, toxic)
+    out = np.zeros((len(votes), block.max(initial=-1) + 1))
+    for j in range(votes.shape[1]):
+        out[:, block[j]] = np.maximum(out[:, block[j]], votes[:, j])
+    return out
+
+
+def label_model(votes: np.ndarray, prior: float, kinds: int = KINDS, rounds: int = 100) -> np.ndarray:
     """Posterior chance of the rarer class for each row of ``votes`` (rows x voters, 0 or 1).
 
-    A hidden class of share ``prior``; a row has the sign of a block with a
-    chance that depends on the class, and each voter of the block fires on the
-    sign with a chance of its own, which says nothing more about the class.  A
-    block that is silent abstains.  ``labels`` (0 or 1) are one more voter, which
-    never abstains.  The start is the labels, or else the number of votes on a
-    row; after that all chances, the labels' too, come from agreement.
+    The class has the share ``prior`` and ``kinds`` kinds; each voter fires with a
+    chance that depends on the kind, or on the row's not being of the class.
+    Voters that fire together beside the class (``blocks``) are one.  A silent
+    voter is evidence too.  Which class is which follows from votes being signs
+    of the rarer one: the start takes the rows with most of them.
     """
     n, k = votes.shape
-    if n == 0 or (k == 0 and labels is None):
+    if n == 0 or k == 0:
         return np.full(n, prior)
-    y = np.clip(votes.sum(axis=1, dtype=np.float64) / 2, 0.02, 0.9) if labels is None else np.where(labels == 1, 0.9, 0.1)
-    signs = None
+    signs = votes.astype(np.float64)
+    chance = _kinds_at_first(signs, prior, kinds)
     for round_ in range(rounds):
-        if round_ in (0, 3, 10):
-            block = blocks(votes, y)
-            signs = np.zeros((n, block.max(initial=-1) + 1))
-            for j in range(k):
-                signs[:, block[j]] = np.maximum(signs[:, block[j]], votes[:, j])
-        on = (signs.T @ y + 0.05) / (y.sum() + 1)
-        off = (signs.T @ (1 - y) + 0.05) / ((1 - y).sum() + 1)
-        z = signs @ np.clip(np.log(on / off), 0, 8)
-        if labels is not None:
-            right1 = np.clip((labels @ y + 1) / (y.sum() + 2), 0.5, 0.999)
-            right0 = np.clip(((1 - labels) @ (1 - y) + 1) / ((1 - y).sum() + 2), 0.5, 0.999)
-            z += np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
-        new = _with_mean(z, prior)
-        done = np.abs(new - y).max() < 1e-4
-        y = new
+        if round_ in (0, 10):
+            signs = _signs(votes, 1 - chance[:, 0])
+        weight = chance.sum(axis=0)
+        fires = np.clip((chance.T @ signs + 2 * signs.mean(axis=0)) / (weight[:, None] + 2), 1e-4, 1 - 1e-4)
+        log = signs @ np.log(fires.T) + (1 - signs) @ np.log(1 - fires.T)
+        of_kind = log[:, 1:] + np.log((weight[1:] + 1) / (weight[1:].sum() + kinds))
+        top = of_kind.max(axis=1, keepdims=True)
+        part = np.exp(of_kind - top)
+        toxic = _with_mean(np.clip(top[:, 0] + np.log(part.sum(axis=1)) - log[:, 0], -60, 60), prior)
+        new = np.concatenate([1 - toxic[:, None], toxic[:, None] * part / part.sum(axis=1, keepdims=True)], axis=1)
+        done = np.abs(new - chance).max() < 1e-4
+        chance = new
         if done and round_ > 10:
             break
-    return y
+    return 1 - chance[:, 0]
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, k: int, y: np.ndarray, importance: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -256,7 +283,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     doc, col = np.repeat(np.arange(len(labels_of)), has.value_lengths().to_numpy()), has.flatten().to_numpy()
     votes = np.zeros((len(labels_of), len(chosen)), dtype=np.uint8)
     votes[doc, col] = 1
-    posterior = label_model(votes[:, np.isin(chosen, voters)], float(np.clip(labels_of.mean(), 0.01, 0.5)), labels=labels_of)
+    posterior = label_model(votes[:, np.isin(chosen, voters)], float(np.clip(labels_of.mean(), 0.01, 0.5)))
 
     share = {t: size.get(t, 0) / max(got.get(t, 0), 1) for t in (0, 1)}
     w, b = _logistic(doc, col, len(labels_of), len(chosen), posterior, np.where(labels_of == 1, share[1], share[0]))

@@ -146,11 +146,41 @@ def test_accuracies_come_from_agreement():
     got = toxicity.label_model(np.stack([*good, poor], axis=1), 0.2)
     sure = np.sum(good, axis=0) >= 2
     assert ((got > 0.5) == (y == 1))[sure].mean() > 0.98 and ((got > 0.5) == (y == 1)).mean() > 0.95
-    told = np.where(np.random.default_rng(1).random(len(y)) < 0.05, 1 - y, y)  # labels that are wrong now and then
-    got = toxicity.label_model(np.stack([*good, poor], axis=1), 0.2, told)
-    assert ((got > 0.5) == (y == 1)).mean() > (told == y).mean()
-    overruled = (np.sum(good, axis=0) >= 2) & (told == 0) & (y == 1)  # two voters against one wrong label
-    assert overruled.any() and (got[overruled] > 0.5).mean() > 0.7
+
+
+def test_one_step_of_estimation_is_what_the_definition_says(monkeypatch):
+    """A round on few rows, by the formulas alone: chances of firing by class, then the class by all votes, silent ones too."""
+    import math
+
+    import numpy as np
+
+    votes = np.array([[1, 1, 0], [1, 0, 1], [0, 1, 1], [0, 0, 0], [0, 0, 1], [0, 0, 0], [0, 0, 0], [1, 0, 0]], dtype=np.uint8)
+    prior, n, k = 0.25, 8, 3
+    order = sorted(range(n), key=lambda i: (-int(votes[i].sum()), i))[:2]
+    q = [0.9 * (i in order) + 0.1 * prior for i in range(n)]
+    fires = {c: [(sum((q[i] if c else 1 - q[i]) * votes[i, j] for i in range(n)) + 2 * votes[:, j].mean()) / (sum(q[i] if c else 1 - q[i] for i in range(n)) + 2) for j in range(k)] for c in (0, 1)}
+    odds = [sum(math.log((fires[1][j] if votes[i, j] else 1 - fires[1][j]) / (fires[0][j] if votes[i, j] else 1 - fires[0][j])) for j in range(k)) for i in range(n)]
+    low, high = -50.0, 50.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        mean = sum(1 / (1 + math.exp(-(o + mid))) for o in odds) / n
+        low, high = (low, mid) if mean > prior else (mid, high)
+    want = [1 / (1 + math.exp(-(o + low))) for o in odds]
+    assert np.allclose(toxicity.label_model(votes, prior, kinds=1, rounds=1), want, atol=1e-6)
+
+
+def test_kinds_of_toxic_texts_are_found_without_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, kinds, each = 5000, 4, 12
+    kind = np.where(rng.random(n) < 0.15, rng.integers(1, kinds + 1, n), 0)
+    chance = np.full((kinds + 1, kinds * each), 0.005)
+    for c in range(kinds):
+        chance[c + 1, c * each : (c + 1) * each] = 0.5
+    votes = (rng.random((n, kinds * each)) < chance[kind]).astype(np.uint8)
+    got = toxicity.label_model(votes, 0.15) > 0.5
+    assert got[kind > 0].mean() > 0.95 and got[kind == 0].mean() < 0.01
 
 
 def test_copies_of_a_voter_add_no_evidence():
