@@ -32,19 +32,25 @@ def status_reconciled(spark, d):
     return M.captures(spark, d).select("id", machines.final_status(result, F.col("id") % 3, F.col("id") % 7 == 0).alias("status"))
 
 
-@query("hysteresis", """WITH o AS (SELECT user_id AS key, event_id AS id, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'live' END AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+_HYSTERESIS = """WITH o AS (SELECT user_id AS key, event_id AS id, CASE WHEN event_type = 'error' THEN 'gone' ELSE 'live' END AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 p AS (SELECT *, lag(seen) OVER (PARTITION BY key ORDER BY n) AS before FROM o),
 c AS (SELECT * FROM p WHERE n = 1 OR seen = before), d AS (SELECT *, lag(seen) OVER (PARTITION BY key ORDER BY n) AS was FROM c)
-SELECT key, id, seen AS changed_to FROM d WHERE was IS NOT NULL AND seen <> was""")
+SELECT key, id, seen AS changed_to FROM d WHERE was IS NOT NULL AND seen <> was"""
+
+
+@query("hysteresis", _HYSTERESIS)
 def hysteresis(spark, d):
     """Health changes that two observations in a row confirm (with two states, a repeated one is what counts)."""
     return machines.health_changes(_seen(M.observations(spark, d)))
 
 
-@query("feed_states", """WITH o AS (SELECT user_id AS key, event_type = 'view' AS ok, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+_FEED_STATES = """WITH o AS (SELECT user_id AS key, event_type = 'view' AS ok, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
 r AS (SELECT key, run, count(*) FILTER (NOT ok) AS failures, count(*) AS n FROM o GROUP BY key, run)
 SELECT key, CAST(sum(n) AS BIGINT) AS polls, CASE WHEN max(failures) < 10 THEN arg_max(failures, run) ELSE 10 END AS failures, max(failures) < 10 AS enabled,
-CASE WHEN max(failures) >= 10 THEN 'disabled' WHEN arg_max(failures, run) > 0 THEN 'failed' WHEN max(run) = 1 THEN 'baseline' ELSE 'polled' END AS last_action FROM r GROUP BY key""")
+CASE WHEN max(failures) >= 10 THEN 'disabled' WHEN arg_max(failures, run) > 0 THEN 'failed' WHEN max(run) = 1 THEN 'baseline' ELSE 'polled' END AS last_action FROM r GROUP BY key"""
+
+
+@query("feed_states", _FEED_STATES)
 def feed_states(spark, d):
     return machines.feed_states(M.observations(spark, d).select("key", "id", "ts", (F.col("kind") == "view").alias("ok")))
 
@@ -73,17 +79,17 @@ def _replayed(spark, rows, part, parts, build):
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("stream_hysteresis")
+@query("stream_hysteresis", _HYSTERESIS)
 def stream_hysteresis(spark, d):
     return _stream(spark, d, lambda rows: machines.health_stream(_seen(rows)), "append")
 
 
-@query("stream_feed_state")
+@query("stream_feed_state", _FEED_STATES)
 def stream_feed_state(spark, d):
     return _stream(spark, d, lambda rows: machines.feed_stream(rows.select("key", "id", "ts", (F.col("kind") == "view").alias("ok"))), "update")
 
 
-@query("stream_windows")
+@query("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     """Counts per day and kind with a watermark: an addition, as the archive itself never drops late data."""
     build = lambda rows: rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
