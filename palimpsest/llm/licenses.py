@@ -9,6 +9,10 @@ the notice.  A template is confirmed only by wording: its words are aligned with
 the window's, and the differences must be few and leave the license's name and
 version alone.  The best-ranked template that is confirmed takes its words out of
 the text, and the others go on with what is left: a text yields all its notices.
+
+Short notices ("SPDX-License-Identifier: MIT", "released under the GPLv3") are
+names of licenses in frames, too short to differ: of what the templates left they
+are taken word by word, with one dictionary of all wordings a license.
 """
 
 from __future__ import annotations
@@ -68,11 +72,33 @@ for _name, _what, _which, _version in (
 ):
     TEMPLATES[f"{_name}-opening"] = f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the GNU {_which} Public License as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later version."
     TEMPLATES[f"{_name}-notice"] = f"{TEMPLATES[f'{_name}-opening']} This {_what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {_which} Public License for more details. You should have received a copy of the GNU {_which} Public License along with this {_what}. If not, see <https://www.gnu.org/licenses/>."
-#: What a line of a notice contains, in lower case.
-CUES = (b"licens", b"copyright", b"rights reserved", b"permission", b"public domain", b"warrant", b"creative commons", b"mozilla public", b"redistribution")
-LEVEL, MOST_DIFFERENCES = 6, 0.1
-#: Words that tell licenses apart, and words whose follower does (a version, if it has a digit).
-TELLING, BEFORE_NAME, BEFORE_VERSION = {"gnu", "affero", "lesser"}, {"gnu", "affero", "lesser"}, {"version", "v"}
+#: Identifiers and names of licenses, as short notices have them.
+NAMES = {
+    "MIT": ("MIT", ["MIT License", "MIT Licence", "Expat License", "X11 License"]),
+    "Apache-2.0": ("Apache-2.0", ["Apache License 2.0", "Apache License v2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache License version 2", "Apache Software License 2.0"]),
+    "BSD-2-Clause": ("BSD-2-Clause", ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"]),
+    "BSD-3-Clause": ("BSD-3-Clause", ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License"]),
+    "ISC": ("ISC", ["ISC License"]),
+    "MPL-2.0": ("MPL-2.0", ["Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License, version 2.0", "MPL 2.0"]),
+    "EPL-1.0": ("EPL-1.0", ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "Eclipse Public License - v 1.0", "Eclipse Public License, Version 1.0"]),
+    "EPL-2.0": ("EPL-2.0", ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License v. 2.0", "Eclipse Public License - v 2.0", "Eclipse Public License, Version 2.0"]),
+    "Unlicense": ("Unlicense", ["The Unlicense"]),
+    "BSL-1.0": ("BSL-1.0", ["Boost Software License 1.0", "Boost Software License, Version 1.0", "Boost Software License - Version 1.0"]),
+    "Zlib": ("Zlib", ["zlib License", "zlib/libpng License"]),
+    "CC0-1.0": ("CC0-1.0", ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"]),
+}
+for _id, _short, _long in (("GPL", "GPL", "General"), ("LGPL", "LGPL", "Lesser General"), ("AGPL", "AGPL", "Affero General")):
+    for _v in {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}[_id]:
+        _full = _v if "." in _v else f"{_v}.0"
+        _as = [f"{g}{_short}{v}" for g in ("", "GNU ") for v in (f"v{_v}", f" v{_v}", f" {_v}", f"-{_full}", f" {_full}", f" version {_v}", f"v{_full}")]
+        _as += [f"GNU {_long} Public License{v}" for v in (f" v{_v}", f" v{_full}", f", version {_v}", f" version {_full}", f" {_v}", f" {_full}")]
+        NAMES[f"{_id}-{_full}"] = (f"{_id}-{_full}", list(dict.fromkeys(_as)))
+for _id, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _v in ("3.0", "4.0"):
+        NAMES[f"CC-{_id}-{_v}"] = (f"CC-{_id}-{_v}", [f"CC {_id} {_v}", f"CC-{_id} {_v}", f"Creative Commons {_long} {_v}", f"a Creative Commons {_long} {_v} International License", f"a Creative Commons {_long} {_v} Unported License", f"a Creative Commons {_long} {_v} License"])
+#: What stands around a name ({}) or identifier ([]) in a short notice.
+FRAMES = ("SPDX-License-Identifier: []", "SPDX-License-Identifier: []-only", "SPDX-License-Identifier: []-or-later", "licensed under the {}", "licensed under {}", "released under the {}", "released under {}", "distributed under the {}", "available under the {}", "published under the {}", "provided under the {}", "covered by the {}", "under the terms of the {}", "terms of the {}", "license: []", "license: {}", "the {} (see", "{} Copyright (c)", "{} license", "licensed under the [] license", "licensed under [] license", "licensed under []", "licence: []", "[] licensed")
+
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 
@@ -82,6 +108,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def phrases(names: dict[str, tuple[str, list[str]]] = NAMES) -> dict[str, list[list[str]]]:
+    """Words of the short notices of each license, all in frames; those that are a full template already are left out."""
+    known = {tuple(words(t)) for t in TEMPLATES.values()}
+    out = {}
+    for license_, (identifier, called) in names.items():
+        made = [frame.replace("[]", identifier) if "[]" in frame else frame.replace("{}", name) for frame in FRAMES for name in (called if "{}" in frame else called[:1])]
+        out[license_] = [list(w) for w in dict.fromkeys(tuple(words(m)) for m in made) if w not in known and len(w) > 1]
+    return out
+
+
+#: What a line of a notice contains, in lower case.
+CUES = (b"licens", b"licence", b"copyright", b"rights reserved", b"permission", b"public domain", b"warrant", b"creative commons", b"mozilla public", b"redistribution")
+LEVEL, MOST_DIFFERENCES = 6, 0.1
+#: Words that tell licenses apart, and words whose follower does (a version, if it has a digit).
+TELLING, BEFORE_NAME, BEFORE_VERSION = {"gnu", "affero", "lesser"}, {"gnu", "affero", "lesser"}, {"version", "v"}
+
 def aligned(want: list[str], have: list[str | None]) -> list[tuple[int, int]]:
     """Pairs of equal words in the alignment with the fewest differences of ``want`` with any part of ``have``."""
     rows = [[0] * (len(have) + 1)]
@@ -115,7 +157,7 @@ def differences(want: list[str], have: list[str], pairs: list[tuple[int, int]])
 
 
 class Notice(NamedTuple):
-    """A confirmed template: its saving as a share of what a copy saves, and the place of its first word in the text."""
+    """A confirmed template (``<license>-phrase`` for the short notices of a license): its saving as a share of what a copy saves, and the place of its first word in the text."""
 
     template: str
     saving: float
@@ -139,6 +181,13 @@ class Matcher:
         self.vocabulary = {w for ws in self.words.values() for w in ws}
         self.known: dict[tuple[str, str], int] = {}
         self.copy = {name: self.saved(name, text) for name, text in templates.items()}
+        # short notices: one dictionary a license, all of its wordings; each is only taken word by word
+        for license_, wordings in phrases().items() if templates is TEMPLATES else ():
+            self.by_name[f"{license_}-phrase"] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw("\n".join(map(" ".join, wordings))))
+            for i, w in enumerate(wordings):
+                name = f"{license_}-phrase#{i}"
+                self.words[name], self.most[name] = w, 0
+                self.copy[name] = self.saved(name, " ".join(w))
         # A template cut into one piece more than the differences it may have keeps a piece unharmed.
         self.pieces: dict[tuple, list[tuple[str, int, list[str]]]] = {}
         for name, ws in self.words.items():
@@ -153,17 +202,17 @@ class Matcher:
             if len(self.known) >= self.REMEMBERED:
                 self.known.clear()
             raw = window.encode()
-            self.known[key] = len(self.alone.compress(raw)) - len(self.by_name[name].compress(raw))
+            self.known[key] = len(self.alone.compress(raw)) - len(self.by_name[name.partition("#")[0]].compress(raw))
         return self.known[key]
 
     def ranked(self, text: str, have: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
-        """(bytes saved, template, first word of the window) wherever a template may fit, best first; ties go to the longer one."""
+        """(bytes saved, template, first word of the window) wherever a template may fit, best first; ties go to the longer one, and short notices come after full templates."""
         at = {(name, i - lo) for i in range(len(have) - 1) for name, lo, piece in self.pieces.get((have[i], have[i + 1]), ()) if have[i : i + len(piece)] == piece}
         out = []
         for name, first in at:
             lo, hi = self.window(name, first, len(have))
             out.append((self.saved(name, text[spans[lo][0] : spans[hi - 1][1]]), name, first))
-        return sorted(out, key=lambda x: (-x[0], -len(self.words[x[1]]), x[1:]))
+        return sorted(out, key=lambda x: ("#" in x[1], -x[0], -len(self.words[x[1]]), x[1:]))
 
     def window(self, name: str, first: int, n: int) -> tuple[int, int]:
         """First and end word of where a template lies that begins near ``first``."""
@@ -192,14 +241,14 @@ class Matcher:
                 pairs = max(pairs, self.fitted(name, pairs[0][1] - pairs[0][0], free), key=len)
             found = differences(self.words[name], have, pairs)
             if found is not None and len(found) <= self.most[name]:
-                out.append(Notice(name, saved / self.copy[name], tuple(found), spans[pairs[0][1]][0]))
+                out.append(Notice(name.partition("#")[0], saved / max(self.copy[name], 1), tuple(found), spans[pairs[0][1]][0]))
                 for _, j in pairs:
                     free[j] = None
         return sorted(out, key=lambda x: x.place)
 
     def identify(self, text: str) -> Notice | None:
         """The notice that saves the most of those in a text."""
-        return max(self.notices(text), key=lambda x: x.saving * self.copy[x.template], default=None)
+        return max(self.notices(text), key=lambda x: x.saving * self.copy.get(x.template, 1), default=None)
 
     def blocks(self, text: str) -> list[tuple[int, str]]:
         """(first line, text) of the candidate blocks: runs of lines with a cue, or all of whose words are a template's."""

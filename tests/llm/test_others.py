@@ -477,6 +477,91 @@ def test_the_machine_checks_turn_order(spark):
 
 # licenses
 
+#: Notices as projects have them, with the license that each names.
+NOTICES = [line.rsplit(" => ", 1) for line in """
+This project is licensed under the MIT License. => MIT
+This project is licensed under the MIT License - see the LICENSE file for details. => MIT
+MIT License Copyright (c) 2020 Jane Doe => MIT
+MIT License\\n\\nCopyright (c) 2021 Some Company, Inc. => MIT
+// SPDX-License-Identifier: MIT => MIT
+Released under the MIT Licence. => MIT
+license: MIT => MIT
+Distributed under the MIT License. See LICENSE for more information. => MIT
+The code is available under the MIT license. => MIT
+The software is MIT licensed. => MIT
+# SPDX-License-Identifier: Apache-2.0 => Apache-2.0
+Licensed under the Apache License 2.0 => Apache-2.0
+Licensed under the Apache License, Version 2.0. => Apache-2.0
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 => Apache-2.0
+This library is released under the Apache 2.0 License. => Apache-2.0
+Code is distributed under the Apache License v2.0 => Apache-2.0
+License: Apache-2.0 => Apache-2.0
+available under the terms of the Apache License, Version 2.0 => Apache-2.0
+/* SPDX-License-Identifier: GPL-2.0-only */ => GPL-2.0
+SPDX-License-Identifier: GPL-3.0-or-later => GPL-3.0
+This software is released under the GPLv3 license. => GPL-3.0
+Licensed under GPLv3 => GPL-3.0
+Licensed under the GNU GPL v3 => GPL-3.0
+This work is licensed under the GNU General Public License v3.0 => GPL-3.0
+This program is released under the GNU General Public License, version 2. => GPL-2.0
+distributed under the terms of the GNU General Public License version 2.0 => GPL-2.0
+Licensed under the GPL-3.0 license. => GPL-3.0
+License: GPL v2 => GPL-2.0
+This library is licensed under the LGPLv3 => LGPL-3.0
+Licensed under the GNU Lesser General Public License v2.1 => LGPL-2.1
+SPDX-License-Identifier: LGPL-2.1-or-later => LGPL-2.1
+Licensed under the GNU Affero General Public License v3.0 => AGPL-3.0
+Our server is licensed under the AGPLv3. => AGPL-3.0
+SPDX-License-Identifier: AGPL-3.0-only => AGPL-3.0
+Licensed under CC-BY-SA 4.0 => CC-BY-SA-4.0
+This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. => CC-BY-SA-4.0
+This work is licensed under a Creative Commons Attribution 4.0 International License. => CC-BY-4.0
+This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License. => CC-BY-NC-ND-4.0
+This article is licensed under a Creative Commons Attribution 3.0 Unported License. => CC-BY-3.0
+Text is available under the Creative Commons Attribution-ShareAlike 3.0 License => CC-BY-SA-3.0
+Content on this site is licensed under CC BY 4.0 => CC-BY-4.0
+Pictures: licensed under CC BY-NC-SA 4.0. => CC-BY-NC-SA-4.0
+License: CC-BY-4.0 => CC-BY-4.0
+To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. => CC0-1.0
+Data is released under CC0 1.0 Universal => CC0-1.0
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. => MPL-2.0
+Licensed under the Mozilla Public License 2.0 => MPL-2.0
+SPDX-License-Identifier: MPL-2.0 => MPL-2.0
+This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 => EPL-2.0
+Eclipse Public License - v 2.0 license => EPL-2.0
+made available under the terms of the Eclipse Public License v1.0 => EPL-1.0
+Distributed under the Boost Software License, Version 1.0. => BSL-1.0
+This is free and unencumbered software released into the public domain. => Unlicense
+SPDX-License-Identifier: Unlicense => Unlicense
+Licensed under the BSD 3-Clause License => BSD-3-Clause
+Released under the New BSD License => BSD-3-Clause
+This code is distributed under the 2-Clause BSD License. => BSD-2-Clause
+SPDX-License-Identifier: BSD-3-Clause => BSD-3-Clause
+Released under the ISC License => ISC
+SPDX-License-Identifier: ISC => ISC
+SPDX-License-Identifier: Zlib => Zlib
+Licensed under the zlib License. => Zlib
+Everything here is in the public domain, do what you like. => none
+See the file COPYING for the license terms of this package. => none
+Dual licensed: the terms are in LICENSE.txt => none
+""".strip().splitlines()]
+
+
+def license_of(template):
+    for end in ("-phrase", "-header", "-text", "-full-text", "-opening", "-notice"):
+        template = template.removesuffix(end)
+    return template.removesuffix("-full")
+
+
+def test_ordinary_notices_are_named(spark):
+    rows = [(i, text.replace("\\n", "\n"), "s") for i, (text, _) in enumerate(NOTICES)]
+    got = {r.id: {license_of(n.template) for n in r.notices} for r in licenses.scan(frame(spark, rows)).collect()}
+    want = {i: set() if name == "none" else {name} for i, (_, name) in enumerate(NOTICES)}
+    wrong = [(NOTICES[i], got[i]) for i in want if got[i] - want[i]]
+    missed = [NOTICES[i] for i in want if want[i] - got[i]]
+    assert not wrong and len(missed) <= 0.1 * len(NOTICES), (wrong, missed)
+    assert {r.id: len(r.notices) for r in licenses.scan(frame(spark, [(1, "The GNU General Public License is a license.", "s"), (2, "They license music under terms that the MIT Press likes.", "s"), (3, "GPL or not, that license fits.", "s")])).collect()} == {1: 0, 2: 0, 3: 0}
+
 
 def test_notices_are_named_and_differences_shown(spark):
     mit = licenses.TEMPLATES["MIT-text"]
@@ -508,7 +593,8 @@ def test_notices_inside_long_lines_are_found(spark):
 
 def test_wording_decides_alone():
     m = licenses.Matcher()
-    assert m.identify("This work is licensed under the GNU Affero General Public License, version 3.") is None
+    assert m.identify("This work is licensed under the GNU Affero General Public License, version 3.").template == "AGPL-3.0-phrase"
+    assert licenses.Matcher(dict(licenses.TEMPLATES)).identify("This work is licensed under the GNU Affero General Public License, version 3.") is None  # not GPL, where short notices aren't known
     assert m.identify("This work is licensed under the GNU General Public License, version 1.") is None
     found = m.identify("see the files. " * 40 + "This work is now licensed under the GNU General Public License, version 3.")
     assert found.template == "GPL-3.0" and found.differences == ("+now",)
