@@ -105,9 +105,9 @@ def records_from_capture(spark, d):
     return _lines(spark, d).agg(F.count_if(lookup.from_capture(backslashed, F.lit("1"))).alias("n"))
 
 
-@query("feed_candidates", M.SQL + "SELECT 'https://f' || capture_id || '.example.org/feed' AS url, count(*) AS entries, count(*) FILTER (host < 'h5') AS in_scope, CAST(least(count(*) FILTER (host >= 'h5'), 5) AS BIGINT) AS listed, array_to_string(list_slice(list('t' || line ORDER BY line, url), 1, 3), ' ') AS titles FROM capture_urls WHERE capture_id % 10 = 1 GROUP BY capture_id")
+@query("feed_candidates", M.SQL + "SELECT 'https://f' || capture_id || '.example.org/feed' AS url, count(*) AS entries, count(*) FILTER (host < 'h5') AS in_scope, CAST(least(count(*) FILTER (host >= 'h5'), 5) AS BIGINT) AS listed, array_to_string(list_slice(list('t' || line ORDER BY line, url), 1, 3), ' ') AS titles FROM capture_urls GROUP BY capture_id")
 def feed_candidates(spark, d):
-    rows = M.capture_urls(spark, d).where("capture_id % 10 = 1").withColumn("feed", F.concat(F.lit("https://f"), F.col("capture_id").cast("string"), F.lit(".example.org/feed")))
+    rows = M.capture_urls(spark, d).withColumn("feed", F.concat(F.lit("https://f"), F.col("capture_id").cast("string"), F.lit(".example.org/feed")))
     entries = rows.select(F.col("feed").alias("url"), F.col("line").alias("place"), F.col("url").alias("entry_url"), F.concat(F.lit("t"), F.col("line").cast("string")).alias("title"))
     found = lookup.feed_candidates(rows.select(F.col("feed").alias("url")).distinct(), entries, F.col("entry_url") < "https://h5")
     return found.select("url", "entries", "in_scope", F.size("out_of_scope").cast("long").alias("listed"), F.array_join("titles", " ").alias("titles"))

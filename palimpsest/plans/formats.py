@@ -197,10 +197,13 @@ def patterns_combined(spark, d):
     return M.capture_urls(spark, d).agg(F.count_if(F.col("url").rlike(index.combined(["^https://h1", "/p/9$|/p/8$"]))).alias("hits"), F.count("*").alias("n"))
 
 
-@query("patterns_usable", "SELECT unnest(['/a', '/b']) AS pattern, unnest([0, 1]) AS place")
+@query("patterns_usable", "WITH b AS (SELECT DISTINCT p_brand AS brand FROM part) SELECT brand AS pattern, CAST(row_number() OVER (ORDER BY brand) - 1 AS INT) AS place FROM b WHERE NOT ends_with(brand, '1')")
 def patterns_usable(spark, d):
-    """Trimmed, distinct, readable, in order."""
-    return spark.createDataFrame(list(enumerate(index.usable([" /a ", "", "/b", "/a", "("]))), "place int, pattern string").select("pattern", "place")
+    """Brands as patterns, with room around them and twice each, some of them broken: trimmed, distinct, readable, in order."""
+    brand = F.col("p_brand")
+    raw = F.when(F.endswith(brand, F.lit("1")), F.concat(brand, F.lit("("))).otherwise(F.concat(F.lit(" "), brand, F.lit(" ")))
+    brands = [r.raw for r in M.table(spark, d, "part").select(brand.alias("b"), raw.alias("raw")).distinct().orderBy("b").collect()]  # a site's patterns: some dozens
+    return spark.createDataFrame(list(enumerate(index.usable([*brands, "", *brands]))), "place int, pattern string").select("pattern", "place")
 
 
 _SLUG = "nullif(trim(left(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-'), 64), '-'), '')"
