@@ -123,6 +123,7 @@ def test_text_of_a_page():
     odd = """</div><div id=Main_Sidebar><p>Left out, twice over</div><p>Still inside of it</p></div><p>Text after the side</p><form>Not this one at all<br/></form>
       <td role="x content y" class="nav">Kept for its content word<br/>And after an empty break <svg><title>T</title>gone</svg></td><header>Header elements are kept"""
     assert extract.blocks_of(odd) == ("T", ["Text after the side", "Kept for its content word", "And after an empty break", "Header elements are kept"], ["p"] * 4)
+    assert extract.blocks_of("<p>" + "a" * 119_999 + "<p>" + "b" * 20 + "<p>" + "c" * 20, None)[1][1:] == ["b" * 20, "c" * 20]
     assert extract.blocks_of("<p>" + "a" * 119_999 + "<p>" + "b" * 20 + "<p>" + "c" * 20)[1][1:] == ["b" * 20]
 
 
@@ -302,6 +303,7 @@ def test_feeds_are_disabled_after_ten_failures():
 
 
 def test_differences():
+    assert [c["words"] for n in (3, None, 9) for c in difference.changes(["a b c d"], ["a b c e"], n)[0]] == [[], *[[{"op": "replace", "before": "d", "after": "e"}]] * 2]
     made, ratio = difference.changes(["a b", "same", "gone"], ["a c", "same", "new one", "two"])
     assert [(m["kind"], m["before"], m["after"]) for m in made] == [("changed", "a b", "a c"), ("changed", "gone", "new one"), ("added", "", "two")]
     assert made[0]["words"] == [{"op": "replace", "before": "b", "after": "c"}] and ratio == 0.75
