@@ -22,7 +22,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def with_state_maps(spark) -> None:
-    """State maps need RocksDB; a provider that the session has chosen itself stays."""
+    """State maps need RocksDB: from here on the session's new streams use it (a stream goes on with what its checkpoint was made with)."""
     key = "spark.sql.streaming.stateStore.providerClass"
     with suppress(Exception):
         if "RocksDB" in (spark.conf.get(key) or ""):
