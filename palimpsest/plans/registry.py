@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("catalogue", "history", "webpages", "searching", "indexing", "incremental", "auditing", "upkeep", "administration", "formats", "archives"):
+for _module in ("catalogue", "history", "webpages", "searching", "indexing", "incremental", "auditing", "upkeep", "administration", "formats", "archives", "listings"):
     importlib.import_module(f"palimpsest.plans.{_module}")
