@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sqlite3
+
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.functions import urls
 from palimpsest.operators import audit, export, extract, gates, hosts, imports, reading
 from palimpsest.plans import model as M
 from palimpsest.plans.registry import query
+from palimpsest.sources import ranges, sqlite
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
 
@@ -124,6 +128,32 @@ def import_snapshots(spark, d):
     return imports.snapshots(rows, bridge, ids).select("id", F.array_join("tags", ",").alias("tags"))
 
 
+def _foreign_index(packed: dict) -> bytes:
+    """A SQLite file of snapshots (id, url, title, tags) as a foreign archive keeps them."""
+    rows = packed["rows"]
+    db = sqlite3.connect(":memory:")
+    db.executescript("CREATE TABLE core_snapshot (id TEXT, timestamp TEXT, url TEXT, title TEXT, added TEXT); CREATE TABLE core_tag (id INTEGER, name TEXT); CREATE TABLE core_snapshot_tags (snapshot_id TEXT, tag_id INTEGER)")
+    names = sorted({t for r in rows for t in r["tags"]})
+    db.executemany("INSERT INTO core_tag VALUES (?, ?)", enumerate(names))
+    db.executemany("INSERT INTO core_snapshot VALUES (?, '1700000000.0', ?, ?, '2024-01-01')", [(str(r["id"]), r["url"], r["title"]) for r in rows])
+    db.executemany("INSERT INTO core_snapshot_tags VALUES (?, ?)", [(str(r["id"]), names.index(t)) for r in rows for t in r["tags"]])
+    db.commit()
+    return db.serialize()
+
+
+@query("foreign_snapshots", M.SQL + "SELECT s.id, s.title, coalesce(string_agg(st.slug, ',' ORDER BY st.slug), '') AS tags FROM sites s LEFT JOIN site_tags st ON st.site_id = s.id WHERE s.id % 10 <> 0 GROUP BY s.id, s.title")
+def foreign_snapshots(spark, d):
+    """Snapshots and tags of all sites out of SQLite files, five hundred sites in each; one in ten has no address."""
+    url = F.when(F.col("id") % 10 != 0, F.concat(F.lit("http://x/"), F.col("id").cast("string")))
+    tags = M.site_tags(spark, d).groupBy(F.col("site_id").alias("id")).agg(F.collect_list("slug").alias("tags"))
+    rows = M.sites(spark, d).join(tags, "id", "left").select(F.concat(F.lit("index"), F.expr("id div 500").cast("string"), F.lit(".sqlite3")).alias("file"), "id", url.alias("url"), "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    packed = rows.groupBy("file").agg(F.collect_list(F.struct("id", "url", "title", "tags")).alias("rows"))
+    folder = storage.folder(spark, "foreign")
+    storage.written(ranges.write_files(packed, folder, "file", [], _foreign_index, []), "files")
+    found = sqlite.read_snapshots(spark, folder)
+    return found.select(F.col("id").cast("long").alias("id"), "title", F.array_join("tags", ",").alias("tags"))
+
+
 @query("import_seeds", f"SELECT {_HOST} AS host, arg_min(url, (length(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), url)) AS seed, count(*) AS n FROM pages GROUP BY 1")
 def import_seeds(spark, d):
     return imports.seeds(M.table(spark, d, "pages"))
