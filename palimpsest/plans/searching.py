@@ -74,6 +74,30 @@ def search_excluding(spark, d):
     return search.scored(index.postings, lengths, search.parsed("license -mit"), "doc_id").select("doc_id")
 
 
+_PHRASE = _TOKENS + """, p AS (SELECT doc_id, 'phrase' AS part, sum(w) AS f FROM (SELECT doc_id, w, tok, unnest(range(1, len(tok))) AS i FROM t) WHERE tok[i] = 'apache' AND tok[i + 1] = 'license' GROUP BY doc_id UNION ALL SELECT doc_id, 'word', sum(w) FROM e WHERE term = 'the' GROUP BY doc_id),
+df AS (SELECT part, count(*) AS df FROM p GROUP BY part), s AS (SELECT doc_id, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)) AS s FROM p JOIN df USING (part) JOIN len USING (doc_id), st),
+hits AS (SELECT doc_id, sum(s) AS score FROM s GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 2000)"""
+
+
+@query("search_page", _PHRASE + " SELECT doc_id, CAST(round(score * 10000) AS BIGINT) AS score FROM hits JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY hits.score DESC, doc_id LIMIT 25")
+def search_page(spark, d):
+    """A page of hits for a phrase and a word, filtered by language after the candidate cut."""
+    docs, index, _ = _index(spark, d)
+    best = ranking.candidates(index, search.parsed('"apache license" the'))
+    rows = best.join(docs.where(F.endswith("title", F.lit(" en"))), "doc_id").orderBy(F.desc("score"), "doc_id").limit(25)
+    return rows.select("doc_id", F.round(F.col("score") * 10000).cast("long").alias("score"))
+
+
+@query("search_excerpts", _TOKENS + """, h AS (SELECT DISTINCT doc_id FROM e WHERE term = 'license'), x AS (SELECT doc_id, text, strpos(lower(text), 'license') - 1 AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM h)),
+w AS (SELECT *, greatest(p - 90, 0) AS a, least(p + 97, length(text)) AS b FROM x) SELECT doc_id, CASE WHEN a > 0 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '\\s+', ' ', 'g')) || CASE WHEN b < length(text) THEN '…' ELSE '' END AS snippet FROM w""")
+def search_excerpts(spark, d):
+    """The place of a word in each document that has it."""
+    docs, index, lengths = _index(spark, d)
+    asked = search.parsed("license")
+    hits = search.scored(index.postings, lengths, asked, "doc_id").join(docs, "doc_id")
+    return search.with_excerpts(hits, asked.terms, "text").select("doc_id", F.array_join("snippets", " | ").alias("snippet"))
+
+
 @query("search_box")
 def search_box(spark, d):
     """A page of hits for a phrase and a word, filtered by language after the candidate cut, with excerpts."""
