@@ -8,8 +8,9 @@ window belongs to one anchor, and all places of a repeat lie with the anchor of
 its first window.
 
 1. Each anchor has a context: the windows that picked it, and what follows the
-   gram up to ``MIN_LENGTH`` bytes from its start.  Anchors are counted over the
-   whole corpus; an anchor that occurs once has no repeat.
+   gram up to ``MIN_LENGTH`` bytes from its start; equal grams close to each other
+   share one.  Anchors are counted over the whole corpus; an anchor that occurs
+   once, with one gram, has no repeat.
 2. Equal contexts are one class with many members.  The classes of an anchor,
    each once, make an enhanced suffix array: suffixes in the order of their
    bytes, with common-prefix lengths.  A stack scan lists the intervals of its
@@ -62,11 +63,11 @@ def _running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(raw: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """The contexts of a run of texts: ``doc``, first byte ``s`` and end ``e`` (in ``raw``), ``w`` windows, anchor ``h``, class ``c``, unclipped end ``full``."""
+    """The contexts of a run of texts: ``doc``, first byte ``s`` and end ``e`` (in ``raw``), ``w`` windows, anchor ``h``, class ``c``, unclipped end ``full``, ``again`` if it has several grams."""
     n, sizes = len(raw) - gram + 1, np.diff(offsets)
     big = sizes >= min_length
     if not big.any():
-        return {k: np.zeros(0, _U if k in "hc" else np.int64) for k in ("doc", "s", "e", "w", "h", "c", "full")}
+        return {k: np.zeros(0, _U if k in "hc" else bool if k == "again" else np.int64) for k in ("doc", "s", "e", "w", "h", "c", "full", "again")}
     sums, back = _running(raw)
     hashes = _kernel.mix((sums[gram:] - sums[:-gram]) * back[:n])
     low = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(n, dtype=_U)
@@ -89,7 +90,7 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH,
     s, w, full = first[opens], last[closes] - first[opens] + 1, place[closes] + min_length
     e = np.minimum(full, offsets[doc[opens] + 1])
     c = _kernel.mix((sums[e] - sums[s]) * back[s] + _kernel.mix((w * 65536 + e - s).astype(_U)))
-    return {"doc": doc[opens], "s": s, "e": e, "w": w, "h": hashes[place[opens]], "c": c, "full": full}
+    return {"doc": doc[opens], "s": s, "e": e, "w": w, "h": hashes[place[opens]], "c": c, "full": full, "again": closes > opens}
 
 
 def _opens(place: np.ndarray, hashes: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
@@ -130,7 +131,7 @@ def _list_contexts(min_length: int, gram: int):
                 for x in _of_long_text(raw, min_length, gram) if long else [contexts(raw, offsets, min_length, gram)]:
                     s, e = x["s"] - offsets[x["doc"]], x["e"] - offsets[x["doc"]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x["h"].view(np.int64)), pa.array(x["c"].view(np.int64)), pa.array(rid[lo:hi][x["doc"]]), pa.array(s), pa.array((e - s).astype(np.int32)), pa.array(x["w"].astype(np.int32))], names=["h", "c", "rid", "s", "size", "w"]
+                        [pa.array(x["h"].view(np.int64)), pa.array(x["c"].view(np.int64)), pa.array(rid[lo:hi][x["doc"]]), pa.array(s), pa.array((e - s).astype(np.int32)), pa.array(x["w"].astype(np.int32)), pa.array(x["again"])], names=["h", "c", "rid", "s", "size", "w", "again"]
                     )
 
     return run
@@ -232,14 +233,16 @@ class _Suffixes:
         owner = np.searchsorted(self.first, which, side="right") - 1
         return owner, which - self.first[owner]
 
-    def tails(self, owner: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, end, left neighbour) of what follows the first ``min_length`` bytes, to ``min_length`` bytes from the picked gram."""
+    def tails(self, owner: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, left neighbour, whether it is the first to pick its gram) of what follows the first ``min_length`` bytes, to ``min_length`` bytes from the picked gram."""
         at = self.start[owner] + off
         picked = self.grams[np.searchsorted(self.grams, at)]
         left = self.raw[np.maximum(at - 1, 0)].astype(np.int64)
-        # What lies before a context's first window is another anchor's: its left neighbour is taken to differ from any.
-        left[off == 0] = 256 + owner[off == 0]
-        return at + self.min_length, np.minimum(picked + self.min_length, self.end[owner]), left
+        # The window before picked another gram, in another context or nearer, so that its tail ends before this one's:
+        # the left neighbour is taken to differ from any.
+        new = (off == 0) | (picked != self.grams[np.searchsorted(self.grams, np.maximum(at - 1, 0))])
+        left[new] = 256 + at[new]
+        return at + self.min_length, np.minimum(picked + self.min_length, self.end[owner]), left, new
 
 
 def _spans(found: Iterator[tuple[int, np.ndarray, np.ndarray]], size: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -297,8 +300,8 @@ def _scan(min_length: int, gram: int, as_groups: bool):
             for part in range(parts):  # suffixes of one key stay together
                 owner, off = all_.located(np.flatnonzero(all_.key % _U(parts) == _U(part)))
                 key = all_.key[all_.first[owner] + off]
-                start, end, left = all_.tails(owner, off)
-                for length, which in suffix_intervals(all_.raw, start, end, key, left, (off == 0) & (n[owner] > 1)):
+                start, end, left, new = all_.tails(owner, off)
+                for length, which in suffix_intervals(all_.raw, start, end, key, left, new & (n[owner] > 1)):
                     yield min_length + length, owner[which], off[which]
 
         if as_groups:
@@ -318,10 +321,11 @@ def _list_suffixes(min_length: int, gram: int):
                 h, c, n, w = (part.column(i).to_numpy().astype(np.int64) for i in range(4))
                 all_ = _Suffixes(h, w, part.column(4).to_pylist(), min_length, gram)
                 owner, off = all_.located(np.arange(all_.total))
-                start, end, left = all_.tails(owner, off)
-                left[off == 0] = 256 + (c[owner[off == 0]] & ((1 << 62) - 1))
+                start, end, left, new = all_.tails(owner, off)
+                spread = _kernel.mix(c[owner[new]].view(_U) + _kernel.mix(off[new].astype(_U)))
+                left[new] = 256 + (spread & _U((1 << 62) - 1)).astype(np.int64)
                 tails = [all_.raw[x:y].tobytes() for x, y in zip(start, end, strict=True)]
-                columns = [h[owner], all_.key.view(np.int64), c[owner], off, left, (off == 0) & (n[owner] > 1)]
+                columns = [h[owner], all_.key.view(np.int64), c[owner], off, left, new & (n[owner] > 1)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(tails, pa.binary())], names=["h", "k", "c", "off", "left", "several", "tail"])
 
     return run
@@ -379,9 +383,9 @@ def _crowded(asked: DataFrame, min_length: int, gram: int, most: int, as_groups:
 
 def _repeats(source: DataFrame, min_length: int, gram: int, most: int, as_groups: bool) -> tuple[DataFrame, DataFrame, str]:
     """Repeats (``group``, ``length``, ``rid``, ``s``); the texts that may have some (``rid``, ``text``), dealt by ``rid``; their table's name."""
-    found = keep(source.mapInArrow(_list_contexts(min_length, gram), "h long, c long, rid long, s long, size int, w int"), "contexts", scan=True)
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    members = keep(found.join(twice, "h"), "members")
+    found = keep(source.mapInArrow(_list_contexts(min_length, gram), "h long, c long, rid long, s long, size int, w int, again boolean"), "contexts", scan=True)
+    twice = found.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("h")
+    members = keep(found.drop("again").join(twice, "h"), "members")
     texts, name = keep_dealt(source.join(members.select("rid").distinct().hint("shuffle_hash"), "rid"), "rid")
 
     head = F.min(F.struct("rid", "s", "size", "w")).alias("head")

@@ -119,6 +119,29 @@ def test_repeats_match_brute_force_on_both_ways(spark):
         assert sorted(map(tuple, found.collect()), key=repr) == expected
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_repeats_of_periodic_texts_match_brute_force_on_both_ways(spark, alone):
+    """Grams of one hash close to each other share a context: alone in it, and with tails of their own."""
+    rng = random.Random(31)
+    texts = ["b" * 201]
+    if not alone:
+        for _ in range(60):
+            parts = [""]
+            for _ in range(rng.randrange(1, 5)):
+                period = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 240)))
+                old = rng.choice(texts)
+                at = rng.randrange(len(old) + 1)
+                parts.append(rng.choice([(period * 600)[: rng.randrange(1, 600)], old[at : at + rng.randrange(1, 800)], period]))
+            texts.append("".join(parts))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs = settled(frame(spark, rows))
+    ids = repeats.rows_with_id(docs, "doc_id")
+    expected = brute_removed(rows, 200)
+    for most in (repeats.MOST_SUFFIXES, 1):
+        found = repeats.repeated_bytes(docs, most=most).join(ids, "rid").select("doc_id", "n_removed", "n_spans", "kept_sha256")
+        assert sorted(map(tuple, found.collect()), key=repr) == expected
+
+
 def all_places(raw, x):
     return {(d, i) for d, b in enumerate(raw) for i in range(len(b) - len(x) + 1) if b.startswith(x, i)}
 
