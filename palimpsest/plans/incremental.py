@@ -56,15 +56,20 @@ def feed_states(spark, d):
 
 
 def _stream(spark, d, build, mode):
-    """Run a stream over the events file to its end and return what it wrote."""
+    """Run a stream over the events file to its end and return what it wrote, as files: none of it goes through the driver."""
     path, _, _ = f"{d}/events.parquet".rpartition("/")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    name = f"out_{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path)
     typed = rows.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "value")
-    run = build(typed).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    out = storage.folder(spark, "streamed")
+    built = build(typed)
+    writer = built.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        run = writer.format("parquet").start(f"{out}/rows")
+    else:  # what a batch changes is a folder of its own; a complete table takes the last one's place
+        run = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={n}")).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(built.schema).parquet(f"{out}/rows").select(*built.columns)
 
 
 def _replayed(spark, rows, part, parts, build):

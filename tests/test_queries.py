@@ -65,3 +65,8 @@ def test_the_entry_points():
 
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["stream_whole_lines", "stream_hysteresis", "stream_feed_state", "stream_windows"])
+def test_what_streams_write_is_in_files_and_not_with_the_driver(spark, name):
+    assert registry.QUERIES[name](spark, DATA).inputFiles()
