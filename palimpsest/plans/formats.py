@@ -25,8 +25,11 @@ _LOG = """, log AS (SELECT capture_id, url, row_number() OVER (PARTITION BY capt
 
 
 def _log(spark, d):
-    """Two lines a URL: its address, then what came of it; the second is a whole fetch line in good cases."""
-    rows = M.capture_urls(spark, d).withColumn("n", F.expr("row_number() OVER (PARTITION BY capture_id ORDER BY line, url)"))
+    """Two lines a URL: its address, then what came of it; the second is a whole fetch line in good cases.
+
+    Of one URL twice in a line, failures come first; rows that agree in that too are alike here.
+    """
+    rows = M.capture_urls(spark, d).withColumn("n", F.expr("row_number() OVER (PARTITION BY capture_id ORDER BY line, url, error NULLS LAST)"))
     first = rows.select("capture_id", (F.col("n") * 2).alias("line"), F.concat("url", F.lit(":")).alias("value"))
     good = F.concat(F.lit("2024-01-01 00:00:00 URL:"), F.col("url"), F.lit(" [12/12] -> x"))
     bad = F.when(F.col("n") % 2 == 0, "2024-01-01 00:00:00 ERROR 404: Not Found. ").otherwise("Connecting failed: Connection refused.")

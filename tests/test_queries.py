@@ -70,3 +70,12 @@ def test_the_entry_points():
 @pytest.mark.parametrize("name", ["stream_whole_lines", "stream_hysteresis", "stream_feed_state", "stream_windows"])
 def test_what_streams_write_is_in_files_and_not_with_the_driver(spark, name):
     assert registry.QUERIES[name](spark, DATA).inputFiles()
+
+
+@pytest.mark.parametrize("flags", ["RA", "AR"])
+def test_failures_do_not_depend_on_the_order_of_equal_lines(spark, tmp_path, flags):
+    rows = [(1, 2, 3, 4, 1.0, 1.0, flag, "O") for flag in flags]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = registry.QUERIES["log_failures"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("https://h3.example.org/p/2", "Connection refused.", 1)]
