@@ -169,44 +169,91 @@ def buffered(rows: DataFrame, most: int = BUFFER, linger: str = LINGER) -> DataF
 DRAINED = "url string, line long, state string"
 
 
+#: URLs are dealt to so many keys of state with so many cells each; a cell is read and written as one entry.
+BUCKETS, CELLS = 1024, 8
+#: Waiting lines of a URL beyond this go to entries of their own, which nothing touches until the lines are given.
+MOST_WAITING = 256
+
+
 class _Log(StatefulProcessor):
-    """Logged lines of a URL that wait for its index line, each with its number of times, and whether the index has the URL."""
+    """URLs in cells: whether the index has them, until when they are kept, and the logged lines that wait for their index line.
+
+    ``more`` counts the full pieces of waiting lines that lie in ``waiting``; ``alarm`` is the key's timer, not later than the first URL that ends.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "line long", "n long")
-        self.known = handle.getValueState("known", "indexed boolean, waiting boolean, until long")
-
-    def _given(self, url, state) -> list[tuple]:
-        found = sorted((line, n) for (line,), (n,) in self.waiting.iterator())
-        self.waiting.clear()
-        return [(url, line, state) for line, n in found for _ in range(n)]
+        self.cells = handle.getMapState("cells", "cell int", "url array<string>, indexed array<boolean>, until array<long>, lines array<array<long>>, more array<int>")
+        self.waiting = handle.getMapState("waiting", "url string, piece int", "lines array<long>")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def _put(self, cell, urls: dict) -> None:
+        if urls:
+            self.cells.updateValue((cell,), ([*urls], *map(list, zip(*urls.values(), strict=True))))
+        else:
+            self.cells.removeKey((cell,))
+
+    def _taken(self, url, known: list) -> list[int]:
+        """The lines that waited for ``url``, in order; none wait from here on."""
+        found = list(known[2])
+        for piece in range(known[3]):
+            found += self.waiting.getValue((url, piece))[0]
+            self.waiting.removeKey((url, piece))
+        known[2:] = [], 0
+        return sorted(found)
+
+    def _wake(self, at: int | None) -> None:
+        """See to it that the key's timer is not later than ``at``, if anything is left to end."""
+        old = self.alarm.get()[0] if self.alarm.exists() else None
+        if at is not None and (old is None or at < old):
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        indexed, waiting, until = self.known.get() if self.known.exists() else (False, False, -1)
-        part = pd.concat(list(rows))
-        later = int(part["until"].max())
-        if later > until:
-            if until >= 0:
-                self.handle.deleteTimer(until)
-            until = later
-            self.handle.registerTimer(until)
-        indexed |= bool((part["kind"] == "index").any())
-        out, logged = [], part.loc[part["kind"] == "log", "line"].tolist()
-        if indexed:
-            out = (self._given(key[0], "written") if waiting else []) + [(key[0], line, "written") for line in logged]
-            waiting = False
-        for line in [] if indexed else logged:
-            n = self.waiting.getValue((line,))[0] if waiting and self.waiting.containsKey((line,)) else 0
-            self.waiting.updateValue((line,), (n + 1,))
-            waiting = True
-        self.known.update((indexed, waiting, until))
-        yield pd.DataFrame(out, columns=["url", "line", "state"])
+        read: dict[int, dict] = {}
+        out, first = [], None
+        for part in rows:
+            for cell, kind, url, line, until in zip(*(part[c].tolist() for c in ("cell", "kind", "url", "line", "until")), strict=True):
+                if cell not in read:
+                    held = self.cells.getValue((cell,))
+                    read[cell] = {u: [i, t, list(lines), m] for u, i, t, lines, m in zip(*held, strict=True)} if held else {}
+                url = _some(url)
+                known = read[cell].setdefault(url, [False, until, [], 0])
+                known[1] = max(known[1], until)
+                first = until if first is None else min(first, until)
+                if kind == "index" and not known[0]:
+                    known[0] = True
+                    out += [(url, x, "written") for x in self._taken(url, known)]
+                elif kind == "log" and known[0]:
+                    out.append((url, line, "written"))
+                elif kind == "log":
+                    known[2].append(line)
+                    if len(known[2]) >= MOST_WAITING:
+                        self.waiting.updateValue((url, known[3]), (known[2],))
+                        known[2:] = [], known[3] + 1
+        for cell, urls in read.items():
+            self._put(cell, urls)
+        self._wake(first)
+        yield pd.DataFrame(out, columns=["url", "line", "state"]).astype({"line": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        out = self._given(key[0], "lost")
-        self.known.clear()
-        yield pd.DataFrame(out, columns=["url", "line", "state"])
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.alarm.clear()
+        out, first = [], None
+        for (cell,), held in list(self.cells.iterator()):
+            urls, kept = {u: [i, t, list(lines), m] for u, i, t, lines, m in zip(*held, strict=True)}, {}
+            for url, known in urls.items():
+                if known[1] <= now:
+                    out += [(url, x, "lost") for x in self._taken(url, known)]
+                else:
+                    kept[url] = known
+                    first = known[1] if first is None else min(first, known[1])
+            if len(kept) < len(urls):
+                self._put(cell, kept)
+        self._wake(first)
+        yield pd.DataFrame(out, columns=["url", "line", "state"]).astype({"line": "Int64"})
 
     def close(self) -> None:
         pass
@@ -218,8 +265,10 @@ def drained(rows: DataFrame, patience: str = "10 minutes") -> DataFrame:
     ``rows``: a stream of ``kind`` (``log`` or ``index``), ``url``, ``line`` and
     ``ts``, in any order as long as none is later than ``patience`` of event
     time.  Lines that wait are state; when the stream is ``patience`` past what
-    was last heard of a URL, its lines are given up and its state goes.
+    was last heard of a URL, its lines are given up and its state goes.  A key of
+    state is many URLs, as a key costs Python more than its rows do.
     """
     with_state_maps(rows.sparkSession)
-    timed = rows.withWatermark("ts", patience).select("kind", "url", F.col("line").cast("long").alias("line"), "ts", F.unix_millis("ts").alias("until"))
-    return timed.groupBy("url").transformWithStateInPandas(_Log(), DRAINED, "Append", "EventTime")
+    place = F.pmod(F.xxhash64("url"), F.lit(BUCKETS * CELLS)).cast("int")
+    timed = rows.withWatermark("ts", patience).select((place % BUCKETS).alias("bucket"), "kind", "url", F.col("line").cast("long").alias("line"), "ts", F.unix_millis("ts").alias("until"), F.floor(place / BUCKETS).cast("int").alias("cell"))
+    return timed.groupBy("bucket").transformWithStateInPandas(_Log(), DRAINED, "Append", "EventTime")

@@ -128,3 +128,20 @@ def test_batches_are_of_some_rows_and_some_seconds(spark, tmp_path):
     assert run.exception() is None and len(run.recentProgress) >= 3
     waits = [p["durationMs"]["triggerExecution"] for p in run.recentProgress if p["numInputRows"]]
     assert waits and sorted(waits)[len(waits) // 2] < 2000
+
+
+def test_a_key_of_the_log_has_many_urls(spark, tmp_path):
+    """More lines wait for a URL than its cell holds, and there are fewer entries of state than URLs."""
+    many = [("log", f"v{n}", 1, 1000) for n in range(20000)]
+    rows = [*many, *(("log", u, n, 1000) for u in ("a", "b") for n in range(700)), ("log", None, 3, 1000), ("log", "a", 5, 1000)]
+    schema = "kind string, url string, line long, at long"
+    for n, part in enumerate([rows, [("index", "a", 0, 1001), *(("index", f"v{n}", 0, 1001) for n in range(0, 20000, 2))], [("index", "", 0, 10**6)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = keyed.drained(files.withColumn("ts", F.timestamp_seconds("at")), "5 minutes")
+    run = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start(f"file://{tmp_path}/out")
+    run.awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out").groupBy("url", "line", "state").count().collect()
+    want = {(f"v{n}", 1): ("lost" if n % 2 else "written", 1) for n in range(20000)} | {("b", n): ("lost", 1) for n in range(700)} | {("a", n): ("written", 1 + (n == 5)) for n in range(700)} | {(None, 3): ("lost", 1)}
+    assert {(r.url, r.line): (r.state, r["count"]) for r in got} == want and len(got) == len(want)
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress) < 20000
