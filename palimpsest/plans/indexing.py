@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.functions import scalars, urls
 from palimpsest.operators import index
 from palimpsest.plans import model as M
@@ -22,12 +23,12 @@ def surt_keys(spark, d):
 
 
 def _cdxj(spark, d):
-    """Index lines of all captures, as text."""
+    """Index lines of all captures, as text.  They are written once: each look at an expression's text would render it again."""
     rows = M.spread(M.capture_urls(spark, d)).join(M.captures(spark, d).select(F.col("id").alias("capture_id"), "started_at"), "capture_id")
     mime = F.when(F.col("line") >= 5, "warc/revisit").when(F.col("line") == 4, "image/png").otherwise("text/html")
     blob = F.to_json(F.struct("url", mime.alias("mime"), F.col("status_code").cast("string").alias("status"), "digest", F.concat(F.lit("captures/"), F.col("capture_id").cast("string"), F.lit("/a.warc.gz")).alias("filename"), F.col("line").cast("string").alias("offset")))
     key = F.concat(F.lit("org,example,"), F.split_part("host", F.lit("."), F.lit(1)), F.lit(")/p/"), F.split_part("url", F.lit("/p/"), F.lit(2)))
-    return rows.select(F.concat_ws(" ", key, F.date_format("started_at", "yyyyMMddHHmmss"), blob).alias("value"))
+    return storage.written(rows.select(F.concat_ws(" ", key, F.date_format("started_at", "yyyyMMddHHmmss"), blob).alias("value")), "cdxj")
 
 
 _INDEX = M.SQL + """, records AS (SELECT 'org,example,h' || regexp_extract(host, '^h([0-9]+)', 1) || ')/p/' || regexp_extract(url, '([0-9]+)$', 1) AS urlkey, strftime(started_at, '%Y%m%d%H%M%S') AS timestamp, url,
@@ -53,9 +54,10 @@ def index_withheld(spark, d):
 
 @query("key_versions", _INDEX + " SELECT timestamp, status FROM records WHERE urlkey = (SELECT min(urlkey) FROM records) ORDER BY timestamp")
 def key_versions(spark, d):
-    rows = lines.cdxj(_cdxj(spark, d))
-    first = rows.agg(F.min("urlkey").alias("urlkey"))
-    return rows.join(F.broadcast(first), "urlkey", "left_semi").select("timestamp", "status")  # one row
+    text = _cdxj(spark, d)
+    first = lines.cdxj(text).agg(F.min("urlkey").alias("urlkey"))
+    its = text.join(F.broadcast(first), F.substring_index("value", " ", 1) == F.col("urlkey"), "left_semi")  # one row
+    return lines.cdxj(its).select("timestamp", "status")
 
 
 @query("newest_page_per_url", _INDEX + " SELECT url, max(timestamp) AS timestamp FROM records WHERE status BETWEEN 200 AND 299 AND contains(mime, 'html') GROUP BY url")

@@ -79,3 +79,12 @@ def test_failures_do_not_depend_on_the_order_of_equal_lines(spark, tmp_path, fla
     spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     found = registry.QUERIES["log_failures"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in found] == [("https://h3.example.org/p/2", "Connection refused.", 1)]
+
+
+def test_index_lines_are_rendered_once(spark):
+    """What reads the lines reads their text; a filter on it does not make the JSON again."""
+    from palimpsest.plans import indexing
+    from palimpsest.sources import lines
+
+    plan = lines.cdxj(indexing._cdxj(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructsToJson" not in plan
