@@ -8,6 +8,7 @@ way a stream is cut into micro-batches, the state after them is the same.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -107,9 +108,24 @@ def merged_items(entries: DataFrame, known: DataFrame | None = None) -> DataFram
 READS = "job string, reader string, id long, data string, oldest long, gap boolean"
 
 
+def _readable(rows: Iterator[pd.DataFrame], most: int) -> Iterator[tuple]:
+    """Rows in the order of ``at``, without the events that ``most`` others follow before anything is read or the rows end."""
+    parts = list(rows)
+    if not parts:
+        return iter(())
+    rows = pd.concat(parts).sort_values("at", kind="stable")
+    event = rows["kind"] == "event"
+    number = event.cumsum()
+    until = number.where(rows["kind"] == "read").bfill().fillna(number.iloc[-1])
+    return rows[~event | (until - number < most)].itertuples(index=False)
+
+
 def _buffer(most: int) -> StatefulProcessor:
     class Buffer(StatefulProcessor):
-        """Events by their running number in the job; ``ends`` are the numbers of the oldest and of the next one."""
+        """Events by their running number in the job; ``ends`` are the numbers of the oldest and of the next one.
+
+        Events that go before anyone could read them get no number and never are state.
+        """
 
         def init(self, handle) -> None:
             self.handle = handle
@@ -118,23 +134,27 @@ def _buffer(most: int) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
             first, nxt = self.ends.get() if self.ends.exists() else (0, 0)
-            out = []
-            for r in _ordered(rows, ["at"]):
+            old, new, end, out = None, deque(maxlen=most), nxt, []
+            for r in _readable(rows, most):
                 if r.kind == "event":
-                    self.events.updateValue((nxt,), (int(r.id), _some(r.data)))
-                    nxt += 1
-                    if nxt - first > most:
-                        self.events.removeKey((first,))
-                        first += 1
+                    new.append((int(r.id), _some(r.data)))
+                    end += 1
                 elif r.kind == "finished":
                     self.handle.registerTimer(int(r.until))
                 elif r.kind == "read":
-                    held = [self.events.getValue((n,)) for n in range(first, nxt)]
+                    if old is None:
+                        old = [self.events.getValue((n,)) for n in range(first, nxt)]
+                    held = [*old[max(0, end - most - first) :], *new]
                     oldest = held[0][0] if held else None
                     gap = bool(held) and oldest > int(r.id) + 1
                     later = [e for e in held if e[0] > int(r.id)] or [(None, None)]
                     out += [(key[0], _some(r.data), i, data, oldest, gap) for i, data in later]
-            self.ends.update((first, nxt))
+            start = max(first, end - most)
+            for n in range(first, min(start, nxt)):
+                self.events.removeKey((n,))
+            for n, e in zip(range(end - len(new), end), new, strict=True):
+                self.events.updateValue((n,), e)
+            self.ends.update((start, end))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in READS.split(", ")]).astype({"id": "Int64", "oldest": "Int64"})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802

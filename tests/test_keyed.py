@@ -96,6 +96,19 @@ def test_readers_get_what_is_kept(spark, tmp_path, parts):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and any(w[5] for w in want)
 
 
+def test_events_that_nobody_can_read_are_no_state(spark, tmp_path):
+    schema = "job string, at long, kind string, id long, data string"
+    rows = [*(("x", n, "event", n, None) for n in range(1, 20001)), ("x", 9000, "read", 8990, "early"), ("x", 20001, "read", 0, "late")]
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    out = keyed.buffered(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in").withColumn("ts", F.timestamp_seconds("at")), 7)
+    run = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start(f"file://{tmp_path}/out")
+    run.awaitTermination()
+    got = sorted((r.reader, r.id, r.oldest) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    early = 9000 if any(g[1] == 9000 for g in got) else 8999  # an event and a read at one place come as they come
+    assert got == [*(("early", n, early - 6) for n in range(early - 6, early + 1)), *(("late", n, 19994) for n in range(19994, 20001))]
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress) < 20
+
+
 def test_a_finished_job_is_forgotten(spark, tmp_path):
     rows = [[("x", 1, "event", 1, "a"), ("x", 2, "finished", 0, None)], [("x", 3, "read", 0, "q")], [("y", 300, "event", 2, "b")], [("y", 301, "event", 3, "b")], [("x", 302, "read", 0, "r")]]
     got = streamed(spark, tmp_path, rows, "job string, at long, kind string, id long, data string", lambda s: keyed.buffered(s.withColumn("ts", F.timestamp_seconds("at")), 7))
