@@ -25,7 +25,7 @@ def walk_sitemaps(roots: DataFrame, fetched: Callable[[DataFrame], DataFrame], d
     """
     first = lambda rows: rows.groupBy("key").agg(F.min_by("url", F.struct("at", "url")).alias("url"), F.min("at").alias("at"))
     level = first(roots.select("url", urls.visited_key(F.col("url")).alias("key"), F.col("url").alias("at")))
-    seen, pages, read, count = level.select("key"), None, 0, 0
+    seen, pages, read, count = None, None, 0, 0
     for _ in range(depth + 1):
         if documents is not None:
             level = level.orderBy("at", "url").limit(max(0, documents - read))
@@ -36,9 +36,9 @@ def walk_sitemaps(roots: DataFrame, fetched: Callable[[DataFrame], DataFrame], d
         if n == 0:
             break
         read += n
-        rows = fetched(level.select("url"))
+        seen = level.select("key") if seen is None else seen.unionByName(level.select("key"))
+        rows = storage.written(fetched(level.select("url")), "sitemaps")  # each is asked for once
         if most_urls is not None:
-            rows = storage.written(rows, "sitemaps")
             # of the documents with URLs no more than that many are needed
             sizes = rows.groupBy("url").agg(F.count_if(~F.col("child")).alias("n")).join(level, "url")
             some = sizes.where("n > 0").orderBy("at", "url").limit(most_urls - count)
@@ -55,7 +55,6 @@ def walk_sitemaps(roots: DataFrame, fetched: Callable[[DataFrame], DataFrame], d
         named = rows.where("child").join(level.select("url", "at"), "url")
         named = named.select(F.col("loc").alias("url"), urls.visited_key(F.col("loc")).alias("key"), F.concat_ws(" ", "at", F.lpad(F.col("place").cast("string"), 10, "0")).alias("at"))
         level = first(named.join(seen, "key", "left_anti"))
-        seen = storage.written(seen.unionByName(level.select("key")), "seen")
     if pages is None:
         return roots.limit(0).select(F.col("url").alias("loc"), F.lit(None).cast("string").alias("lastmod"))
     return pages.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))

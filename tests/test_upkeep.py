@@ -87,6 +87,20 @@ def test_sitemaps_are_walked_once(spark):
     assert upkeep.walk_sitemaps(spark.createDataFrame([], "url string"), lambda level: None).count() == 0
 
 
+def test_a_sitemap_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    web = [("http://a/r", "http://a/s", True), ("http://a/s", "http://p/1", False), ("http://a/s", "http://p/2", False)]
+    table = spark.createDataFrame([(u, x, None, child, 0) for u, x, child in web], "url string, loc string, lastmod string, child boolean, place long")
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = upkeep.walk_sitemaps(spark.createDataFrame([("http://a/r",)], "url string"), lambda level: table.join(level, "url", "left_semi").mapInArrow(counted, table.schema), documents=None, most_urls=None)
+    assert sorted(r["loc"] for r in rows.collect()) == ["http://p/1", "http://p/2"] and read.value == 3
+
+
 def plain_walk(web, roots, depth, documents, most_urls):
     queue, seen, out, asked = [(u, 0) for u in sorted(roots)], set(), [], 0
     while queue and asked < documents and len(out) < most_urls:
