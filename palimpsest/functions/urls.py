@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -59,11 +60,17 @@ def canonical(url: Column) -> Column:
     return F.when(scheme.isNotNull() & name.isNotNull(), out).otherwise(u)
 
 
+#: An address that has nothing to be changed but slashes at its end: what most are.
+_PLAIN = re.compile(r"(https?://[a-z0-9][a-z0-9.-]*)((?:/[A-Za-z0-9_.~%+-]*)*)", re.ASCII)
+
+
 def canonical_text(url: str | None) -> str | None:
     """``canonical`` with percent escapes decoded and encoded again."""
     if url is None:
         return None
     url = url.strip()
+    if plain := _PLAIN.fullmatch(url):
+        return plain[1] + (plain[2].rstrip("/") if len(plain[2]) > 1 else plain[2])
     try:
         p = urlsplit(url)
         port = p.port

@@ -95,10 +95,10 @@ def _feeds(spark, d):
     rss = F.concat(F.lit("<item><title>T"), text, F.lit("</title><link>"), link, F.lit("</link>"), F.when(F.col("line") > 1, F.concat(F.lit("<guid>g"), text, F.lit("</guid>"))).otherwise(""), F.lit("<pubDate>Mon, 01 Jan 2024 10:00:00 +0100</pubDate></item>"))
     atom = F.concat(F.lit("<entry><title>T"), text, F.lit('</title><link rel="self" href="http://no/"/><link href="'), link, F.lit('"/>'), F.when(F.col("line") > 1, F.concat(F.lit("<id>g"), text, F.lit("</id>"))).otherwise(""), F.lit("<published>2024-01-01T10:00:00+01:00</published></entry>"))
     item = F.concat(F.lit('{"url": "'), link, F.lit('", "title": "T'), text, F.lit('", "date_published": "2024-01-01T09:00:00Z"'), F.when(F.col("line") > 1, F.concat(F.lit(', "id": "g'), text, F.lit('"'))).otherwise(""), F.lit("}"))
-    joined = lambda x, sep="": F.concat_ws(sep, F.collect_list(x))
     key = F.col("capture_id")
-    body = F.when(key % 3 == 0, F.concat(F.lit("<rss version='2.0'><channel><title>F</title>"), joined(rss), F.lit("</channel></rss>")))
-    body = body.when(key % 3 == 1, F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><title>F</title>"), joined(atom), F.lit("</feed>"))).otherwise(F.concat(F.lit('{"title": "F", "items": ['), joined(item, ", "), F.lit("]}")))
+    items = F.collect_list(F.when(key % 3 == 0, rss).when(key % 3 == 1, atom).otherwise(item))  # a row is in one kind of feed
+    body = F.when(key % 3 == 0, F.concat(F.lit("<rss version='2.0'><channel><title>F</title>"), F.concat_ws("", items), F.lit("</channel></rss>")))
+    body = body.when(key % 3 == 1, F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><title>F</title>"), F.concat_ws("", items), F.lit("</feed>"))).otherwise(F.concat(F.lit('{"title": "F", "items": ['), F.concat_ws(", ", items), F.lit("]}")))
     bodies = rows.groupBy("capture_id").agg(body.alias("body")).select(F.concat(F.lit("http://f/"), _number("capture_id")).alias("url"), "body")
     return feeds.read_feeds(bodies)
 

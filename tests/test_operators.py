@@ -211,6 +211,22 @@ def test_feeds_and_sitemaps(spark):
     assert sorted(map(tuple, feeds.read_sitemaps(maps).drop("place").collect())) == [("i", "http://a/c.xml", None, True), ("m", "http://a/1", "2024", False)]
 
 
+def test_entries_leave_python_in_parts(spark):
+    items = lambda n: "".join(f"<item><link>http://a/{i}/</link></item>" for i in range(n))
+    bodies = spark.createDataFrame([(str(k), f"<rss>{items(3000)}</rss>".encode()) for k in range(8)], "url string, body binary").coalesce(1)
+
+    rows = feeds.read_feeds(bodies)
+    assert rows.where("canonical = guid AND NOT endswith(canonical, '/')").count() == 24000
+    assert "pandas" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_row_is_rendered_for_one_kind_of_feed(spark):
+    from palimpsest.plans import formats
+
+    plan = formats._feeds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_collect_list(") == 1
+
+
 # search
 
 
