@@ -8,6 +8,7 @@ way a stream is cut into micro-batches, the state after them is the same.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from contextlib import suppress
@@ -19,6 +20,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 #: Newest events of a job that are kept; for how long those of a finished job are kept on.
 BUFFER, LINGER = 500, "1 minute"
+#: Feeds and URLs are dealt to so many keys of state, with so many cells each; a cell is read and written as one entry.
+BUCKETS, CELLS = 1024, 8
+#: Cells of the items of a key's feeds, and as many of their addresses.
+ITEM_CELLS = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,39 +51,71 @@ def _some(value):
 ITEMS = "feed string, poll long, place long, guid string, canonical string, status string, content_hash string, updated long, action string"
 
 
+class _Cells:
+    """A state map of cells, each with the values of many (feed, name); those of a micro-batch are read and written once."""
+
+    def __init__(self, state):
+        self.state, self.read, self.changed = state, {}, set()
+
+    def _at(self, name: tuple) -> int:
+        at = zlib.crc32(f"{name[0]}\0{name[1]}".encode("utf-8", "surrogatepass")) % ITEM_CELLS
+        if at not in self.read:
+            held = self.state.getValue((at,))
+            self.read[at] = {(f, n): tuple(rest) for f, n, *rest in zip(*held, strict=True)} if held else {}
+        return at
+
+    def get(self, name: tuple) -> tuple | None:
+        return self.read[self._at(name)].get(name)
+
+    def put(self, name: tuple, value: tuple) -> None:
+        at = self._at(name)
+        self.read[at][name] = value
+        self.changed.add(at)
+
+    def write(self) -> None:
+        for at in self.changed:
+            self.state.updateValue((at,), tuple(map(list, zip(*((*name, *value) for name, value in self.read[at].items()), strict=True))))
+
+
 class _Items(StatefulProcessor):
-    """Two maps a feed: its items by guid, and the guid by canonical URL."""
+    """Two maps a key, which is many feeds: items by feed and guid, and the guid by feed and canonical URL."""
 
     def init(self, handle) -> None:
-        self.items = handle.getMapState("items", "guid string", "canonical string, status string, content_hash string, updated long")
-        self.by_url = handle.getMapState("by_url", "canonical string", "guid string")
-
-    def _put(self, guid, canonical, status, content_hash, updated) -> None:
-        self.items.updateValue((guid,), (canonical, status, content_hash, updated))
+        self.items = handle.getMapState("items", "cell int", "feed array<string>, guid array<string>, canonical array<string>, status array<string>, content_hash array<string>, updated array<long>")
+        self.by_url = handle.getMapState("by_url", "cell int", "feed array<string>, canonical array<string>, guid array<string>")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802
+        items, by_url = _Cells(self.items), _Cells(self.by_url)
         for r in initialState.sort_values("guid", ascending=False).itertuples(index=False):
-            self._put(r.guid, _some(r.canonical), r.status, _some(r.content_hash), None if _some(r.updated) is None else int(r.updated))
-            if _some(r.canonical) is not None:
-                self.by_url.updateValue((r.canonical,), (r.guid,))
+            feed, canonical = _some(r.feed), _some(r.canonical)
+            items.put((feed, r.guid), (canonical, r.status, _some(r.content_hash), None if _some(r.updated) is None else int(r.updated)))
+            if canonical is not None:
+                by_url.put((feed, canonical), (r.guid,))
+        items.write()
+        by_url.write()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        out = []
+        items, by_url, out = _Cells(self.items), _Cells(self.by_url), []
         for r in _ordered(rows, ["poll", "place"]):
-            canonical, digest, moment = _some(r.canonical), _some(r.content_hash), None if _some(r.updated) is None else int(r.updated)
-            guid = r.guid if self.items.containsKey((r.guid,)) else self.by_url.getValue((canonical,))[0] if canonical is not None and self.by_url.containsKey((canonical,)) else None
-            if guid is None:
-                row = (r.guid, canonical, "skipped" if r.baseline else "pending", digest, moment)
+            feed, canonical, digest, moment = _some(r.feed), _some(r.canonical), _some(r.content_hash), None if _some(r.updated) is None else int(r.updated)
+            guid, item = r.guid, items.get((feed, r.guid))
+            if item is None and canonical is not None and (named := by_url.get((feed, canonical))):
+                guid, item = named[0], items.get((feed, named[0]))
+            if item is None:
+                row = (canonical, "skipped" if r.baseline else "pending", digest, moment)
                 action = "new"
                 if canonical is not None:
-                    self.by_url.updateValue((canonical,), (r.guid,))
+                    by_url.put((feed, canonical), (guid,))
             else:
-                url, status, known, updated = self.items.getValue((guid,))
+                url, status, known, updated = item
                 changed = bool(digest) and bool(known) and digest != known
-                row = (guid, url, "pending" if changed else status, digest or known, moment if updated is None else updated if moment is None else max(moment, updated))
+                row = (url, "pending" if changed else status, digest or known, moment if updated is None else updated if moment is None else max(moment, updated))
                 action = "changed" if changed else "seen"
-            self._put(*row)
-            out.append((key[0], r.poll, r.place, *row, action))
+            if row != item:
+                items.put((feed, guid), row)
+            out.append((feed, r.poll, r.place, guid, *row, action))
+        items.write()
+        by_url.write()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEMS.split(", ")]).astype({"updated": "Int64"})
 
     def close(self) -> None:
@@ -94,13 +131,15 @@ def merged_items(entries: DataFrame, known: DataFrame | None = None) -> DataFram
     ``feed`` and the columns of an item.  An entry is the item of its guid, or
     else of its canonical URL (of several known ones, the least guid); a changed
     content hash makes it pending again, and ``updated`` never goes back.  A null
-    URL, hash or moment says nothing.  Entries are taken in the order of poll and place.
+    URL, hash or moment says nothing.  Entries are taken in the order of poll and
+    place.  A key of state is many feeds, as a key costs Python more than its rows do.
     """
     with_state_maps(entries.sparkSession)
     columns = ["feed", "guid", "canonical", "status", "content_hash", "updated"]
-    initial = None if known is None else known.select(*columns).groupBy("feed")
-    rows = entries.select("feed", "poll", "place", "guid", "canonical", "content_hash", "updated", "baseline")
-    return rows.groupBy("feed").transformWithStateInPandas(_Items(), ITEMS, "Append", "None", initial)
+    bucket = F.pmod(F.xxhash64("feed"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    initial = None if known is None else known.select(bucket, *columns).groupBy("bucket")
+    rows = entries.select(bucket, "feed", "poll", "place", "guid", "canonical", "content_hash", "updated", "baseline")
+    return rows.groupBy("bucket").transformWithStateInPandas(_Items(), ITEMS, "Append", "None", initial)
 
 
 # Events for late readers
@@ -189,8 +228,6 @@ def buffered(rows: DataFrame, most: int = BUFFER, linger: str = LINGER) -> DataF
 DRAINED = "url string, line long, state string"
 
 
-#: URLs are dealt to so many keys of state with so many cells each; a cell is read and written as one entry.
-BUCKETS, CELLS = 1024, 8
 #: Waiting lines of a URL beyond this go to entries of their own, which nothing touches until the lines are given.
 MOST_WAITING = 256
 

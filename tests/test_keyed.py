@@ -65,6 +65,17 @@ def test_items_are_merged_alike_however_polls_are_cut(spark, tmp_path, seed):
         assert last == {k: v for k, v in items.items() if k in last} and set(items) - set(last) <= {(f, g) for f, g, *_ in known}
 
 
+def test_a_key_of_items_has_many_feeds(spark, tmp_path):
+    """There are fewer entries of state than items."""
+    entries = [(f"f{n % 2000}", 1, n, f"g{n}", f"u{n}", "h", n, False) for n in range(150_000)]
+    spark.createDataFrame(entries, ENTRIES).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    run = keyed.merged_items(spark.readStream.schema(ENTRIES).parquet(f"file://{tmp_path}/in")).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start(f"file://{tmp_path}/out")
+    run.awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert got.where("action = 'new' AND feed = concat('f', place % 2000) AND guid = concat('g', place) AND updated = place").select("guid").distinct().count() == got.count() == 150_000
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress) < 150_000
+
+
 def test_one_poll_merges_as_in_batch(spark, tmp_path):
     rng = random.Random(3)
     known = [("a", f"k{i}", f"u{i}", "captured", f"h{i % 2}", i) for i in range(6)]
