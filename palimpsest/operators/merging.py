@@ -114,16 +114,21 @@ class MergeTable:
     def _merged(self, m: Manifest, only: set[str] | None = None) -> DataFrame:
         """Live rows with ``_v``, of all buckets or some of them."""
         takes = lambda b: only is None or b in only
-        base = self._files(m, [f"{f}/_bucket={b}" for b, (_, f, n) in m.base.items() if n and takes(b)])
+        base_folders = [f"{f}/_bucket={b}" for b, (_, f, n) in m.base.items() if n and takes(b)]
+        base = self._files(m, base_folders)
         since = {b: v for b, (v, _, _) in m.base.items()}
         folders = [f"{f}/_bucket={b}" for v, f, counts in m.deltas for b in counts if v > since.get(b, -1) and takes(b)]
         rows = base
         if folders:
             new = self._files(m, folders)
-            newest = new.groupBy(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).agg(F.max("_v").alias("_newest"))
+            keys = [F.col(k).alias(f"_k_{k}") for k in self.keys]
             same = [F.col(f"_k_{k}").eqNullSafe(F.col(k)) for k in self.keys]
-            kept = new.join(newest, [*same, F.col("_v") == F.col("_newest")], "left_semi").where("_live")
-            rows = base.join(newest, same, "left_anti").unionByName(kept)
+            if len(folders) == len({f.rpartition("/")[2] for f in folders}):  # a delta a bucket: its rows are the newest
+                newest, kept = new.select(*keys), new.where("_live")
+            else:
+                newest = new.groupBy(*keys).agg(F.max("_v").alias("_newest"))
+                kept = new.join(newest, [*same, F.col("_v") == F.col("_newest")], "left_semi").where("_live")
+            rows = base.join(newest, same, "left_anti").unionByName(kept) if base_folders else kept
         for version, column, folder in m.gone:
             values = self.spark.read.parquet(f"{self.path}/{folder}").withColumnRenamed("value", "_gone")
             rows = rows.join(values, (F.col(column) == F.col("_gone")) & (F.col("_v") < version), "left_anti")

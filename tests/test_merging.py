@@ -108,3 +108,13 @@ def test_a_write_is_as_large_as_the_change(spark, tmp_path):
     with open(f"{tmp_path}/t/manifests/{m.version + 1:09d}.json", "w") as f:
         f.write('{"version"')  # a writer that failed
     assert table.manifest().version == m.version and table.read().where("n = 3").count() == 1
+
+
+def test_one_delta_is_taken_without_comparing_versions(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", ["site", "url"], 4)
+    table.upsert(rows_of(spark, [(1, "a", 1, 1), (2, "b", 1, 1)]))
+    table.compact()
+    table.upsert(rows_of(spark, [(1, "a", 2, 2)]))
+    rows = table.read()
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.n for r in rows.collect()) == [1, 2]
